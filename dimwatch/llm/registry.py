@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, mixing, ngram_join, token_counts, toxicity
+from . import decontam, langid, lm_scoring, media, mixing, ngram_join, pii, secrets, token_counts, toxicity
 from .common import table
 
 #: Each tokenizer file's place comes from the package that carries them.
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified_documents(table(spark, sf_dir, "documents"))
 
@@ -41,9 +45,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_ngram_jaccard_join, op4_token_counts, op5_benchmark_decontamination, op6_mixing, op7_toxicity, op9_media_columns)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_ngram_jaccard_join, op4_token_counts, op5_benchmark_decontamination, op6_mixing, op7_toxicity, op8_secret_scan, op9_media_columns, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
