@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
 from .spans import find_spans
 from .trees import forest
 
@@ -84,6 +85,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """A row for each secret found: key, start_pos, end_pos (code points), sha256 of the secret, and score."""
     share = forest(labelled_findings(docs.sparkSession), N_FEATURES)
-    found = docs.select(F.col(key), candidates(F.col(text)).alias("_c")).where(F.size("_c") > 0).select(key, F.explode("_c").alias("_c"))
-    judged = found.select(key, "_c", features(F.col("_c.s"), F.col("_c.before"), F.col("_c.after")).alias("_f")).withColumn("score", share(F.col("_f")))
+    found = written(docs.select(F.col(key), F.explode(candidates(F.col(text))).alias("_c")))  # few and short, without the texts
+    described = F.array(features(F.col("_c.s"), F.col("_c.before"), F.col("_c.after")))
+    judged = written(found.select(key, "_c", F.transform(described, share)[0].alias("score")))  # else the filter would repeat the trees
     return judged.where(F.col("score") >= least).select(key, F.col("_c.start").alias("start_pos"), F.col("_c.end").alias("end_pos"), F.sha2(F.col("_c.s").cast("binary"), 256).alias("secret_sha256"), "score")
