@@ -34,8 +34,8 @@ def log_gaussian(x: Column, mu: Column, sigma: Column) -> Column:
     return -0.5 * ((x - mu) / s) * ((x - mu) / s) - F.log(s) - HALF_LOG_2PI
 
 
-def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
+def log_sum_exp(values: Column, top: Column) -> Column:
+    """Logarithm of the summed exponentials of an array whose greatest value is top."""
     return top + F.log(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
 
 
@@ -78,8 +78,9 @@ def local_log_bf(points: DataFrame, kind: str, keys: Keys = SOURCE, n: int = GRI
     sigma = F.coalesce(F.col("sigma_eff"), F.col("error")) if "sigma_eff" in points.columns else F.col("error")
     ended = grid_ends(points.where(F.col("baseline").isNotNull()), kind, keys).withColumn("_s", sigma).withColumn("_g", grid(n))
     event = F.transform("_g", lambda m: log_gaussian(F.col("mag"), m, F.col("_s")))
-    scored = ended.withColumn("_l", event).withColumn("log_bf", log_sum_exp(F.col("_l")) - math.log(n) - log_gaussian(F.col("mag"), F.col("baseline"), F.col("_s")))
-    return scored.drop("_g", "_l", "_s", "grid_start", "grid_stop")
+    scored = ended.withColumn("_l", event).withColumn("_top", F.array_max("_l"))  # a column of its own: a lambda would find it anew for each element
+    scored = scored.withColumn("log_bf", log_sum_exp(F.col("_l"), F.col("_top")) - math.log(n) - log_gaussian(F.col("mag"), F.col("baseline"), F.col("_s")))
+    return scored.drop("_g", "_l", "_top", "_s", "grid_start", "grid_stop")
 
 
 def baseline_evidence(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:

@@ -1,3 +1,180 @@
-"""Registered queries of the light-curve engine."""
+"""Registered queries of the light-curve engine: each applies one operator to whole tables of the star schema.
 
-QUERIES: dict = {}
+Doubles are rounded to six places, so that results compare across engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import baselines, bayes, clean, filters, peaks, runs, sky, stats
+from ..sources.adapters import points, sky_catalog, table
+
+CAMERA = ("source_id", "camera")
+#: Days of the rolling windows over event photometry, which spans a month, and over line items, which span years.
+EVENT_DAYS, ITEM_DAYS = 5.0, 300.0
+Made = Callable[[DataFrame], DataFrame]
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def _on(make: Made, of: str = "events") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(make(points(spark, sf_dir, of)))
+
+
+def _baseline(make: Made, of: str = "events") -> Callable[[SparkSession, str], DataFrame]:
+    return _on(lambda p: make(clean.clean_lc(p)).select("source_id", "seq", "baseline", "resid", "sigma_resid"), of)
+
+
+def _event_baseline(p: DataFrame) -> DataFrame:
+    return baselines.per_camera_median(clean.clean_lc(p), days=EVENT_DAYS, least_points=3)
+
+
+def naive_dip_runs(p: DataFrame) -> DataFrame:
+    """Runs, dips and jumps of every source from its per-camera rolling median."""
+    return runs.run_metrics(_event_baseline(p))
+
+
+def find_runs(p: DataFrame) -> DataFrame:
+    placed = clean.indexed(_event_baseline(p))
+    return runs.find_runs(placed, F.col("resid") >= 0.3).select("source_id", "start_idx", "end_idx", "n_points")
+
+
+def build_runs(p: DataFrame) -> DataFrame:
+    placed = runs.with_cadence(clean.indexed(_event_baseline(p))).withColumn("score", F.abs("resid"))
+    in_runs = runs.build_runs(placed.where(F.col("score") >= 0.3), max_gap_days=2.0)
+    return runs.summarize_runs(in_runs).drop("run", "cadence")
+
+
+def local_log_bf(p: DataFrame) -> DataFrame:
+    based = baselines.global_median(clean.clean_lc(p))
+    return bayes.local_log_bf(based, "dip").select("source_id", "seq", "log_bf")
+
+
+def dip_peaks(p: DataFrame) -> DataFrame:
+    delta = peaks.biweight_delta(clean.clean_lc(p))
+    return peaks.local_maxima(delta, "delta", 0.5).select("source_id", "seq", "idx", "delta")
+
+
+def _sky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    left = sky_catalog(table(spark, sf_dir, "customer"), "c_custkey", 0.37, 0.0)
+    return left, sky_catalog(table(spark, sf_dir, "supplier"), "s_suppkey", 0.37, 0.0004)
+
+
+def sky_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _sky(spark, sf_dir)
+    met = sky.pairs(left, right.select(F.col("source_id").alias("other_id"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2")), 3.0)
+    return rounded(met.select("source_id", "other_id", "sep_arcsec"), 3)
+
+
+def sky_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _sky(spark, sf_dir)
+    return rounded(sky.nearest(left, right, 3.0, {"source_id": "other_id"}).select("source_id", "other_id", "sep_arcsec"), 3)
+
+
+def custom_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, _ = _sky(spark, sf_dir)
+    return left.select("source_id", sky.custom_id(F.col("ra"), F.col("dec")).alias("custom_id"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate per source: cameras, span, rate and dip fraction, from its cleaned points."""
+    p = clean.clean_lc(points(spark, sf_dir))
+    span = F.max("jd") - F.min("jd")
+    one = p.groupBy("source_id").agg(F.countDistinct("camera").alias("n_cameras"), span.alias("time_span_days"), (F.count("*") / span).alias("points_per_day"), F.stddev_pop("mag").alias("std_mag"))
+    metrics = runs.run_metrics(baselines.global_median(p)).select("source_id", "dip_fraction", "n_dip_runs")
+    return one.join(metrics, "source_id")
+
+
+def _steps() -> list[filters.Step]:
+    return [
+        ("dip_dominated", lambda d: filters.dip_dominated(d, 0.5)), ("multi_camera", lambda d: filters.multi_camera(d, 5)),
+        ("sparse", lambda d: filters.sparse(d, 20.0, 1.5)), ("box", lambda d: filters.box(d, 1, 12, 9.0, 0.9) if "peaks_per_time" in d.columns else d),
+    ]
+
+
+def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.chain(candidates(spark, sf_dir), _steps())[0].select("source_id")
+
+
+def rejection_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.chain(candidates(spark, sf_dir), _steps())[1]
+
+
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = candidates(spark, sf_dir)
+    return rounded(filters.retention(before, filters.chain(before, _steps())[0]))
+
+
+def fp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").selectExpr("p_brand as mag_bin", "p_size % 3 as g_n_peaks", "case when p_size % 5 > 0 then p_size % 2 end as v_n_peaks")
+    return filters.fp_summary(parts)
+
+
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bayes.scan(points(spark, sf_dir, "lineitem"), days=ITEM_DAYS))
+
+
+_ID = ("source_id", "seq")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "clean_lc": _on(lambda p: clean.clean_lc(p).select(*_ID, "jd", "mag", "error")),
+    "scoring_status": _on(clean.scoring_status),
+    "valid_for_scoring": _on(lambda p: clean.valid_for_scoring(p, least_points=60).select(*_ID)),
+    "stats_quality": _on(lambda p: clean.stats_quality(p).select(*_ID)),
+    "plot_quality": _on(lambda p: clean.plot_quality(p).select(*_ID)),
+    "plot_times": _on(lambda p: clean.plot_times(p).select(*_ID, "jd_plot")),
+    "band_clipped": _on(lambda p: clean.band_clipped(p, sigmas=2.0).select(*_ID)),
+    "baseline_line": _on(lambda p: clean.baseline_line(baselines.global_median(p))),
+    "weighted_mean": _on(stats.weighted_mean),
+    "robust_sigma": _on(stats.robust_sigma),
+    "summary": _on(stats.summary),
+    "clipped": _on(stats.clipped),
+    "noise": _on(stats.noise),
+    "reduced_chi2": _on(stats.reduced_chi2),
+    "von_neumann": _on(stats.von_neumann),
+    "lag1_autocorrelation": _on(stats.lag1_autocorrelation),
+    "linear_trend": _on(stats.linear_trend),
+    "cadence": _on(stats.cadence),
+    "cadence_by_camera": _on(stats.cadence_by_camera),
+    "positive_cadence": _on(stats.positive_cadence),
+    "nightly": _on(stats.nightly),
+    "duty_cycle": _on(stats.duty_cycle),
+    "tumbling_counts": _on(stats.tumbling_counts),
+    "trailing_counts": _on(lambda p: stats.trailing_counts(p).select(*_ID, "n_trailing")),
+    "seasons": _on(lambda p: stats.seasons(p, gap_days=20.0), "lineitem"),
+    "top_gaps": _on(stats.top_gaps),
+    "per_camera_raw": _on(stats.per_camera_raw),
+    "raw_summary": _on(lambda p: stats.raw_summary(stats.per_camera_raw(p))),
+    "by_camera_and_band": _on(stats.by_camera_and_band),
+    "counts_by_grouping_sets": _on(stats.counts_by_grouping_sets),
+    "global_mean_baseline": _baseline(baselines.global_mean),
+    "global_median_baseline": _baseline(baselines.global_median),
+    "global_rolling_median_baseline": _baseline(lambda p: baselines.global_rolling_median(p, days=EVENT_DAYS)),
+    "global_rolling_mean_baseline": _baseline(lambda p: baselines.global_rolling_mean(p, days=EVENT_DAYS)),
+    "per_camera_mean_baseline": _baseline(baselines.per_camera_mean),
+    "per_camera_median_baseline": _baseline(lambda p: baselines.per_camera_median(p, days=ITEM_DAYS), "lineitem"),
+    "per_camera_trend_baseline": _baseline(baselines.per_camera_trend, "lineitem"),
+    "masked_points": _on(lambda p: baselines.masked_points(p, pad_days=1.0).select(*_ID, "flagged", "masked")),
+    "biweight": _on(peaks.biweight),
+    "biweight_delta": _on(lambda p: peaks.biweight_delta(p).select(*_ID, "delta")),
+    "dip_peaks": _on(dip_peaks),
+    "find_runs": _on(find_runs),
+    "build_runs": _on(build_runs),
+    "naive_dip_runs": _on(naive_dip_runs),
+    "local_log_bf": _on(local_log_bf),
+    "bayes_scan": scan,
+    "sky_pairs": sky_pairs,
+    "sky_nearest": sky_nearest,
+    "custom_id": custom_id,
+    "candidates": lambda spark, sf_dir: rounded(candidates(spark, sf_dir)),
+    "filter_chain": filter_chain,
+    "rejection_log": rejection_log,
+    "retention": retention,
+    "fp_summary": fp_summary,
+}

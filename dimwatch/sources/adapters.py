@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def julian(ts: str) -> str:
     """SQL for the Julian date of a timestamp without zone."""
-    return f"unix_micros(cast({ts} as timestamp)) / 86400e6D + 2440587.5D"
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts}) / 86400e6D + 2440587.5D"
 
 
 def event_points(events: DataFrame) -> DataFrame:
