@@ -18,6 +18,7 @@ from .clean import SOURCE, Keys, indexed, valid_for_scoring
 
 #: Half the logarithm of two pi; magnitudes of the grid; thresholds.
 HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
+KINDS = ("dip", "jump")
 GRID, LOGBF_THRESHOLD, PROBABILITY_THRESHOLD, SUM_FACTOR = 60, 5.0, 0.9999997, 2.5
 
 
@@ -117,16 +118,22 @@ def scored_runs(points: DataFrame, kind: str, keys: Keys = SOURCE, threshold: fl
 
 def scan(points: DataFrame, baseline: str = "per_camera_median", by_band: bool = False, threshold: float = LOGBF_THRESHOLD, **parameters: float) -> DataFrame:
     """A row per source (and band): for dips and jumps, whether it is significant, runs and their extremes, greatest
-    point score and triggered points. The baseline is computed once for both."""
+    point score and triggered points. Both kinds share one baseline and one shuffle of runs."""
     keys: Keys = ("source_id", "band") if by_band else SOURCE
-    based = BASELINES[baseline](valid_for_scoring(points, keys), keys, **parameters)
-    out = based.select(*keys).distinct()
-    for kind in ("dip", "jump"):
-        placed = R.with_cadence(indexed(based, keys), keys)
-        scores = local_log_bf(placed, kind, keys).withColumnRenamed("log_bf", "score")
-        most = scores.groupBy(*keys).agg(F.max("score").alias("max_log_bf_local"), F.count_if(F.col("score") >= threshold).alias("count"))
-        runs = R.build_runs(scores.where(F.col("score") >= threshold), keys)
-        kept = R.kept_summary(R.filter_runs(R.summarize_runs(runs, keys), threshold, SUM_FACTOR * threshold), keys)
-        wide = most.join(kept, list(keys), "left").fillna(0, ["run_count"]).withColumn("significant", F.col("run_count") > 0)
-        out = out.join(wide.select(*keys, *(F.col(c).alias(f"{kind}_{c}") for c in wide.columns if c not in keys)), list(keys), "left")
+    valid = valid_for_scoring(points, keys)
+    placed = R.with_cadence(indexed(BASELINES[baseline](valid, keys, **parameters), keys), keys)
+    for kind in KINDS:
+        placed = local_log_bf(placed, kind, keys).withColumnRenamed("log_bf", f"_{kind}")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("score")) for k in KINDS)))
+    scores = placed.select(*keys, "idx", "jd", "cadence", each.alias("_e")).select("*", "_e.*").drop("_e").withColumn("hit", F.col("score") >= threshold)
+    own = (*keys, "kind", "hit")
+    found = R.filter_runs(R.summarize_runs(R.build_runs(scores, own), own), threshold, SUM_FACTOR * threshold).withColumn("kept", F.col("kept") & F.col("hit"))
+    best = lambda c: F.max(F.when(F.col("kept"), F.col(c)))
+    values = {
+        "max_log_bf_local": lambda: F.max("run_max"), "count": lambda: F.coalesce(F.sum(F.when(F.col("hit"), F.col("n_points"))), F.lit(0)), "run_count": lambda: F.count_if("kept"), "max_run_points": lambda: best("n_points"),
+        "max_run_duration": lambda: best("duration_days"), "max_run_sum": lambda: best("run_sum"), "max_run_max": lambda: best("run_max"),
+    }
+    by_kind = found.groupBy(*keys, "kind").agg(*(v().alias(n) for n, v in values.items())).withColumn("significant", F.col("run_count") > 0)
+    wide = by_kind.groupBy(*keys).agg(*(F.max(F.when(F.col("kind") == k, F.col(n))).alias(f"{k}_{n}") for k in KINDS for n in (*values, "significant")))
+    out = valid.select(*keys).distinct().join(wide, list(keys), "left")
     return out.withColumn("baseline_source", F.lit(baseline)).withColumn("trigger_mode", F.lit("logbf"))

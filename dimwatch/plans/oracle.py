@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
     "filter_chain": _sql("SELECT * FROM s3", "source_id", "", _CANDIDATES),
     "rejection_log": _sql("""SELECT source_id, 'dip_dominated' AS filter FROM cb ANTI JOIN s1 USING (source_id) UNION ALL SELECT source_id, 'multi_camera' FROM s1 ANTI JOIN s2 USING (source_id)
       UNION ALL SELECT source_id, 'sparse' FROM s2 ANTI JOIN s3 USING (source_id)""", "source_id filter", "", _CANDIDATES),
-    "retention": _sql("SELECT (SELECT count(*) FROM cb) AS n_before, (SELECT count(DISTINCT source_id) FROM s3) AS n_kept, n_kept / n_before AS retention", "n_before n_kept", "retention", _CANDIDATES),
+    "retention": _sql("SELECT (SELECT count(*) FROM cb) AS n_before, (SELECT count(DISTINCT source_id) FROM s3) AS n_kept", "n_before n_kept n_kept/n_before@retention", "", _CANDIDATES).replace("n_kept/n_before@retention", "round(n_kept / n_before, 6) AS retention"),
     "fp_summary": """WITH q AS (SELECT p_brand AS mag_bin, p_size % 3 > 0 AS g, CASE WHEN p_size % 5 > 0 THEN p_size % 2 ELSE 0 END > 0 AS v FROM part)
       SELECT mag_bin, count(*) n, count(*) FILTER (g) n_g, count(*) FILTER (v) n_v, count(*) FILTER (g OR v) n_either, count(*) FILTER (g AND v) n_both FROM q GROUP BY ROLLUP (mag_bin)""",
 }
