@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import baselines, bayes, clean, filters, peaks, runs, sky, stats
+from ..operators import baselines, bayes, clean, filters, kernels, peaks, runs, sky, stats
 from ..sources.adapters import points, sky_catalog, table
 
 CAMERA = ("source_id", "camera")
@@ -51,6 +51,13 @@ def build_runs(p: DataFrame) -> DataFrame:
     return runs.summarize_runs(in_runs).drop("run", "cadence")
 
 
+def run_shapes(p: DataFrame) -> DataFrame:
+    """Shapes of the runs of the per-camera rolling median's residuals; runs and points are numbered alike."""
+    based = _event_baseline(p)
+    found = runs.find_runs(clean.indexed(based), F.col("resid") >= 0.3, max_gap=2)
+    return kernels.run_shapes(based, found, "dip").select("source_id", "start_idx", "end_idx", "morphology", "delta_bic_null")
+
+
 def local_log_bf(p: DataFrame) -> DataFrame:
     based = baselines.global_median(clean.clean_lc(p))
     return bayes.local_log_bf(based, "dip").select("source_id", "seq", "log_bf")
@@ -169,6 +176,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "naive_dip_runs": _on(naive_dip_runs),
     "local_log_bf": _on(local_log_bf),
     "bayes_scan": scan,
+    "per_camera_gp_baseline": _baseline(baselines.gp),
+    "per_camera_gp_masked_baseline": _baseline(baselines.gp_masked, "lineitem"),
+    "mixture_posterior": _on(lambda p: kernels.mixture_posterior(baselines.global_median(clean.clean_lc(p)), "dip")),
+    "run_shapes": _on(run_shapes),
     "sky_pairs": sky_pairs,
     "sky_nearest": sky_nearest,
     "custom_id": custom_id,
