@@ -3,8 +3,11 @@
 Words are white-space separated, A-Z lower-cased; each is encoded on its own by a public sentencepiece vocabulary, and
 an end closes the text. The model reads windows of CONTEXT + STRIDE ids: the first CONTEXT are context from the window
 before, the last STRIDE each predict their next id, so every id is scored once, in batches of masked attention. The
-output layer is factored by classes of ids: attention gives the class, and counts over all training documents the id
-within its class, smoothed so that every text has a probability.
+output layer is factored by superclasses and classes of ids: attention gives both, and counts over all training
+documents the id within its class, smoothed so that every text has a probability. Classes come from neighbour counts
+over all training documents. Training starts on a bounded sample, then every window of every training document takes
+part in one step: each task trains on its partition from that start, and the changes are averaged. So the model depends
+on how the input is split, but not on the order in which tasks end.
 
 The base score is an add-0.1 unigram over words. Word counts are gathered from all training documents by a shuffle and
 stay a table. A bounded head of the most frequent words goes to every task; the other words of a document are joined to
@@ -18,12 +21,14 @@ over its smoothed classes.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -36,12 +41,18 @@ CONTEXT, STRIDE = 8, 16
 WIDTH, KEY_WIDTH = 32, 16
 #: Most frequent ids that are a class of their own, and classes of the other ids.
 SINGLE, GROUPS = 96, 160
-#: Documents that train the model, at most; steps, windows a step, and learning rate.
+#: Superclasses, and classes of each.
+SUPER = 16
+#: Documents that training starts on, at most; steps, windows a step, and learning rate of this start.
 SAMPLE, STEPS, BATCH, RATE = 1500, 1800, 96, 4e-3
+#: Windows a step and learning rate of the pass over all training documents that follows.
+MANY, ALL_RATE = 384, 1e-3
+#: Sparse rows that tasks send to be summed: 32-bit places, and 64-bit values of each.
+PIECE = "part long, name string, at binary, value binary"
 #: Words in the head that goes to every task.
 HEAD = 65_536
 #: Windows scored together, and distinct words whose ids a task keeps.
-TOGETHER, MOST_KEPT = 64, 400_000
+TOGETHER, MOST_KEPT = 256, 400_000
 BEGIN, END = 1, 2
 #: The base score's addition to each count; the same within classes.
 ADD = 0.1
@@ -131,19 +142,24 @@ GAP = (CONTEXT + np.arange(STRIDE))[:, None] - np.arange(CONTEXT + STRIDE)
 AHEAD = np.where(GAP < 0, np.float32(-60), np.float32(0))
 
 
-# Schraudolph's exponential writes a scaled argument into a float's exponent and fraction bits. Within 3 %
-# of the exact one, and as classes' shares are these values over their sum, they are probabilities all the same.
-EXP_SCALE, EXP_OFFSET = np.float32(2**23 / math.log(2)), np.float32(127 * 2**23 - 486_411)
-EXP_LEAST, EXP_MOST = EXP_OFFSET - 80 * EXP_SCALE, EXP_OFFSET + 80 * EXP_SCALE
+def class_shares(h: np.ndarray, p: dict[str, np.ndarray], sup: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the superclasses, and of the classes within each row's own superclass; a column for each row of h,
+    which come in order of their superclasses and are cut by them."""
+    shares = p["o1"].T @ h.T + p["b1"][:, None], p["b2"].T[:, sup]
+    for g in np.flatnonzero(np.diff(cuts)):
+        shares[1][:, cuts[g] : cuts[g + 1]] += p["o2"][g].T @ h[cuts[g] : cuts[g + 1]].T
+    for z in shares:
+        z -= z.max(axis=0)
+        np.exp(z, out=z)
+        z /= z.sum(axis=0)
+    return shares
 
 
-def powers(scaled: np.ndarray, bits: np.ndarray, clip: bool) -> np.ndarray:
-    """About exp of logits that come times EXP_SCALE and with EXP_OFFSET, written over bits. Without clip they must be
-    known to lie within the bounds."""
-    if clip:
-        np.clip(scaled, EXP_LEAST, EXP_MOST, out=scaled)
-    np.copyto(bits, scaled, casting="unsafe")
-    return bits.view(np.float32)
+def by_superclass(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by superclass; superclass and place within it in that order; where each superclass starts."""
+    order = np.argsort((classes // SUPER).astype(np.int8), kind="stable")
+    sup, sub = np.divmod(classes[order], SUPER)
+    return order, sup, sub, np.searchsorted(sup, np.arange(SUPER + 1))
 
 
 @dataclass
@@ -154,8 +170,7 @@ class Model:
     tables: np.ndarray
     rows: np.ndarray
     by_gap: np.ndarray
-    out: np.ndarray
-    bias: np.ndarray
+    out: dict[str, np.ndarray]
     classes: np.ndarray
     within: np.ndarray
 
@@ -165,14 +180,8 @@ class Model:
         start, first, last = windows(per_text)
         text = np.searchsorted(np.cumsum(per_text), first, side="right")
         gap_bias = (self.by_gap[np.maximum(GAP, 0)] + AHEAD).astype(np.float32)
-        ones = np.ones(self.out.shape[1], np.float32)
-        k, most = KEY_WIDTH, TOGETHER * STRIDE
+        k = KEY_WIDTH
         past, own = np.ascontiguousarray(self.tables[:, k : 2 * k + WIDTH]), np.ascontiguousarray(np.hstack([self.tables[:, :k], self.tables[:, 2 * k + WIDTH :]]))
-        out = np.vstack([self.out * EXP_SCALE, self.bias * EXP_SCALE + EXP_OFFSET])  # the last input is always 1
-        reach = np.sqrt((self.out**2).sum(axis=0).max()), np.abs(self.bias).max()
-        # buffers that every batch writes over: small enough for a core's cache, and no page is asked for twice
-        scaled, bits = np.empty((most, out.shape[1]), np.float32), np.empty((most, out.shape[1]), np.int32)
-        h = np.ones((most, WIDTH + 1), np.float32)
         for a in range(0, len(start), TOGETHER):
             s = slice(a, a + TOGETHER)
             ids, there, after, to_score = window_ids(line, start[s], first[s], last[s])
@@ -180,120 +189,266 @@ class Model:
             seen, x = np.take(past, ids, axis=0, mode="clip"), np.take(own, ids[:, CONTEXT:], axis=0, mode="clip")
             weight = x[:, :, :k] @ seen[:, :, :k].transpose(0, 2, 1)
             weight += gap_bias
-            np.exp(weight, out=weight)
+            np.exp(np.minimum(weight, 30, out=weight), out=weight)
             weight *= there[:, None, :]
             weight /= weight.sum(axis=2, keepdims=True) + 1e-20
             attended = weight @ seen[:, :, k:]
             attended += x[:, :, k:]
-            rows = to_score.ravel()
-            n = np.count_nonzero(rows)
-            h[:n, :WIDTH] = attended.reshape(-1, WIDTH)[rows]
-            np.matmul(h[:n], out, out=scaled[:n])
-            clip = not np.sqrt(np.einsum("ij,ij->i", attended.reshape(-1, WIDTH), attended.reshape(-1, WIDTH)).max()) * reach[0] + reach[1] < 79
-            weights = powers(scaled[:n], bits[:n], clip)
+            rows = np.flatnonzero(to_score)
             target = after.ravel()[rows]
-            value = np.log(weights[np.arange(n), self.classes[target]] / (weights @ ones)) + self.within[target]
-            totals += np.bincount(np.repeat(text[s], to_score.sum(axis=1)), value, len(per_text))
+            order, sup, sub, cuts = by_superclass(self.classes[target])
+            one, two = class_shares(attended.reshape(-1, WIDTH)[rows[order]], self.out, sup, cuts)
+            at = np.arange(len(rows))
+            value = np.log(one[sup, at]) + np.log(two[sub, at]) + self.within[target[order]]
+            totals += np.bincount(np.repeat(text[s], STRIDE)[rows[order]], value, len(per_text))
         return totals / LN10
 
 
-def classify(line: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A class for each id: the most frequent alone, the others by what stands next to them (k-means on square roots
-    of neighbour shares), ids that the sample lacks in one class."""
+def neighbour_columns(counts: np.ndarray) -> np.ndarray:
+    """Each id's column in neighbour counts: the most frequent ids have one each, the others share the last."""
+    column = np.full(len(counts), 127)
+    column[np.lexsort((np.arange(len(counts)), -counts))[:127]] = np.arange(127)
+    return column
+
+
+def neighbours(line: np.ndarray, per_text: np.ndarray, column: np.ndarray, near: np.ndarray) -> None:
+    """Adds, for each id of the texts, what stands before it (columns 0 to 127) and after it (128 to 255)."""
+    inside = np.ones(len(line), bool)
+    inside[np.cumsum(per_text) - per_text] = False  # no pair goes from a text to the next
+    before, after = line[np.flatnonzero(inside) - 1].astype(np.int64), line[inside].astype(np.int64)
+    np.add.at(near.reshape(-1), after * 256 + column[before], 1)
+    np.add.at(near.reshape(-1), before * 256 + 128 + column[after], 1)
+
+
+def profiles(near: np.ndarray) -> np.ndarray:
+    """Square roots of neighbour shares."""
+    v = near.astype(np.float32)
+    v[:, :128] /= v[:, :128].sum(axis=1, keepdims=True) + 2
+    v[:, 128:] /= v[:, 128:].sum(axis=1, keepdims=True) + 2
+    return np.sqrt(v, out=v)
+
+
+def classify(near: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A class for each id: the most frequent alone, the others by what stands next to them (k-means on profiles), ids
+    that no training document has in one class. Classes are numbered so that SUPER like ones follow each other."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     classes = np.full(len(counts), SINGLE + GROUPS - 1)
     classes[order[:SINGLE]] = np.arange(SINGLE)
-    seen = np.bincount(line, minlength=len(counts))
-    rest = order[SINGLE:][seen[order[SINGLE:]] > 0]
+    rest = order[SINGLE:][counts[order[SINGLE:]] > 0]
     if len(rest) <= GROUPS:
         classes[rest] = SINGLE + np.arange(len(rest)) % GROUPS
-        return classes
-    column = np.full(len(counts), 127)
-    column[order[:127]] = np.arange(127)
-    near = np.zeros((len(counts), 256), np.float32)
-    np.add.at(near, (line[1:], column[line[:-1]]), 1)
-    np.add.at(near, (line[:-1], 128 + column[line[1:]]), 1)
-    v = near[rest]
-    v[:, :128] /= v[:, :128].sum(axis=1, keepdims=True) + 2
-    v[:, 128:] /= v[:, 128:].sum(axis=1, keepdims=True) + 2
-    v = np.sqrt(v)
-    centres = v[rng.choice(min(len(rest), 4 * GROUPS), GROUPS - 1, replace=False)]
-    for _ in range(10):
-        nearest = (v @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
-        for g in range(GROUPS - 1):
-            own = v[nearest == g]
-            if len(own):
-                centres[g] = own.mean(axis=0)
-    classes[rest] = SINGLE + nearest
-    return classes
-
-
-def train(line: np.ndarray, per_text: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 7) -> Model:
-    """A model from texts on one line; counts: of every id over all training documents."""
-    rng = np.random.default_rng(seed)
-    n_ids, n_classes = len(counts), SINGLE + GROUPS
-    classes = classify(line, counts, rng)
-    smooth = counts + ADD
-    total = np.bincount(classes, smooth, n_classes)
-    within = np.log(smooth / total[classes]).astype(np.float32)
-    seen = np.bincount(line, minlength=n_ids)
-    own_row = np.zeros(n_ids, np.int64)  # row 0 stays 0: for ids that are too rare in the sample to have a vector
-    common = np.flatnonzero(seen >= 8)
-    own_row[common] = 1 + np.arange(len(common))
-    normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    p = {
-        "c": normal(n_classes, WIDTH, scale=0.3), "e": normal(len(common) + 1, WIDTH, scale=0.1), "q": normal(WIDTH, KEY_WIDTH, scale=0.2), "k": normal(WIDTH, KEY_WIDTH, scale=0.2),
-        "v": normal(WIDTH, WIDTH, scale=0.2), "g": np.zeros(CONTEXT + STRIDE, np.float32), "o": normal(WIDTH, n_classes, scale=0.2), "b": np.log(total / total.sum() + 1e-9).astype(np.float32),
-    }
-    p["e"][0] = 0
-    start, first, last = windows(per_text) if len(per_text) else (np.zeros(0, int),) * 3
-    moments = {n: (np.zeros_like(x), np.zeros_like(x)) for n, x in p.items()}
-    root = np.float32(1 / math.sqrt(KEY_WIDTH))
-    for step in range(1, steps + 1 if len(start) else 1):
-        chosen = rng.integers(0, len(start), BATCH)
-        ids, there, after, to_score = window_ids(line, start[chosen], first[chosen], last[chosen])
-        x = p["c"][classes[ids]] + p["e"][own_row[ids]]
-        xq = x[:, CONTEXT:]
-        q, k, v = xq @ p["q"], x @ p["k"], x @ p["v"]
+    else:
+        v = profiles(near[rest])
+        centres = v[rng.choice(min(len(rest), 4 * GROUPS), GROUPS - 1, replace=False)]
+        for _ in range(10):
+            nearest = (v @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+            for g in range(GROUPS - 1):
+                own = v[nearest == g]
+                if len(own):
+                    centres[g] = own.mean(axis=0)
+        classes[rest] = SINGLE + nearest
+    by_class = np.zeros((SINGLE + GROUPS, 256))
+    np.add.at(by_class, classes, near)
+    v, parts = profiles(by_class), [np.arange(SINGLE + GROUPS)]
+    while len(parts) < SUPER:  # halves along the direction in which a part's classes differ most
+        halves = []
+        for part in parts:
+            own = v[part] - v[part].mean(axis=0)
+            along = own @ np.linalg.eigh(own.T @ own)[1][:, -1]
+            ordered = part[np.lexsort((part, along))]
+            halves += [ordered[: len(part) // 2], ordered[len(part) // 2 :]]
+        parts = halves
+    place = np.empty(SINGLE + GROUPS, np.int64)
+    place[np.concatenate(parts)] = np.arange(SINGLE + GROUPS)
+    return place[classes]
+
+
+def summed_by(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct places, the sum of the rows of values at each, and the number of these rows."""
+    order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 2**16 else at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(starts, append=len(at))
+
+
+class Learner:
+    """Parameters of the model in training, and one step of Adam at a time."""
+
+    def __init__(self, classes: np.ndarray, counts: np.ndarray, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        smooth = counts + ADD
+        total = np.bincount(classes, smooth, SUPER * SUPER)
+        self.classes, self.within = classes, np.log(smooth / total[classes]).astype(np.float32)
+        common = np.flatnonzero(counts >= 8)
+        self.own_row = np.zeros(len(counts), np.int64)  # row 0 stays 0: for ids that are too rare in the corpus to have a vector
+        self.own_row[common] = 1 + np.arange(len(common))
+        normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
+        total = total.reshape(SUPER, SUPER) / total.sum()
+        self.p = {
+            "c": normal(SUPER * SUPER, WIDTH, scale=0.3), "e": np.zeros((len(common) + 1, WIDTH), np.float32), "q": normal(WIDTH, KEY_WIDTH, scale=0.2), "k": normal(WIDTH, KEY_WIDTH, scale=0.2),
+            "v": normal(WIDTH, WIDTH, scale=0.2), "g": np.zeros(CONTEXT + STRIDE, np.float32), "o1": normal(WIDTH, SUPER, scale=0.2), "b1": np.log(total.sum(axis=1) + 1e-9).astype(np.float32),
+            "o2": normal(SUPER, WIDTH, SUPER, scale=0.2), "b2": np.log((total + 1e-9) / (total.sum(axis=1, keepdims=True) + 1e-9)).astype(np.float32),
+        }
+        self.restart()
+
+    def restart(self) -> None:
+        self.moments, self.steps = {n: (np.zeros_like(x), np.zeros_like(x)) for n, x in self.p.items()}, 0
+        self.seen = np.zeros(len(self.p["e"]), np.int64)
+
+    def step(self, ids: np.ndarray, there: np.ndarray, after: np.ndarray, to_score: np.ndarray, rate: float) -> None:
+        p, root, n_windows = self.p, np.float32(1 / math.sqrt(KEY_WIDTH)), len(ids)
+        x = p["c"][self.classes[ids]] + p["e"][self.own_row[ids]]
+        xq, flat = x[:, CONTEXT:], x.reshape(-1, WIDTH)
+        own = np.ascontiguousarray(xq).reshape(-1, WIDTH)
+        q, k, v = (own @ p["q"]).reshape(n_windows, STRIDE, -1), (flat @ p["k"]).reshape(n_windows, CONTEXT + STRIDE, -1), (flat @ p["v"]).reshape(n_windows, CONTEXT + STRIDE, -1)
         s = q @ k.transpose(0, 2, 1) * root + p["g"][np.maximum(GAP, 0)] + AHEAD
         w = np.exp(np.minimum(s, 30)) * there[:, None, :]
         w /= w.sum(axis=2, keepdims=True) + 1e-20
         h = xq + w @ v
-        rows = to_score.ravel()
+        rows = np.flatnonzero(to_score)
+        order, sup, sub, cuts = by_superclass(self.classes[after.ravel()[rows]])
+        rows = rows[order]
         hr = h.reshape(-1, WIDTH)[rows]
-        z = hr @ p["o"] + p["b"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), classes[after.ravel()[rows]]] -= 1
-        z /= len(z)
-        g = {"o": hr.T @ z, "b": z.sum(axis=0)}
-        dh = np.zeros((BATCH * STRIDE, WIDTH), np.float32)
-        dh[rows] = z @ p["o"].T
-        dh = dh.reshape(BATCH, STRIDE, WIDTH)
+        z1, z2 = class_shares(hr, p, sup, cuts)
+        at = np.arange(len(rows))
+        z1[sup, at] -= 1
+        z2[sub, at] -= 1
+        z1 /= len(rows)
+        z2 /= len(rows)
+        g = {"o1": (z1 @ hr).T, "b1": z1.sum(axis=1), "o2": np.zeros_like(p["o2"]), "b2": np.zeros_like(p["b2"])}
+        back = z1.T @ p["o1"].T
+        for i in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[i], cuts[i + 1])
+            g["o2"][i], g["b2"][i] = (z2[:, part] @ hr[part]).T, z2[:, part].sum(axis=1)
+            back[part] += z2[:, part].T @ p["o2"][i].T
+        dh = np.zeros((n_windows * STRIDE, WIDTH), np.float32)
+        dh[rows] = back
+        dh = dh.reshape(n_windows, STRIDE, WIDTH)
         dw = dh @ v.transpose(0, 2, 1)
         dv = w.transpose(0, 2, 1) @ dh
         ds = w * (dw - (dw * w).sum(axis=2, keepdims=True))
         g["g"] = np.bincount(np.maximum(GAP, 0).ravel(), ds.sum(axis=0).ravel(), CONTEXT + STRIDE).astype(np.float32)
-        dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ q * root
-        flat = x.reshape(-1, WIDTH)
-        g["q"], g["k"], g["v"] = xq.reshape(-1, WIDTH).T @ dq.reshape(-1, KEY_WIDTH), flat.T @ dk.reshape(-1, KEY_WIDTH), flat.T @ dv.reshape(-1, WIDTH)
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, CONTEXT:] += dh + dq @ p["q"].T
-        dx = (dx * there[:, :, None]).reshape(-1, WIDTH)
-        for name, at in (("c", classes[ids].ravel()), ("e", own_row[ids].ravel())):
-            g[name] = np.zeros_like(p[name])
-            np.add.at(g[name], at, dx)
-        g["e"][0] = 0
-        rate = RATE * (1 - step / (steps + 1)) * min(1, step / 50)
+        dq, dk = (ds @ k * root).reshape(-1, KEY_WIDTH), (ds.transpose(0, 2, 1) @ q * root).reshape(-1, KEY_WIDTH)
+        dv = dv.reshape(-1, WIDTH)
+        g["q"], g["k"], g["v"] = own.T @ dq, flat.T @ dk, flat.T @ dv
+        dx = (dk @ p["k"].T + dv @ p["v"].T).reshape(x.shape)
+        dx[:, CONTEXT:] += dh + (dq @ p["q"].T).reshape(dh.shape)
+        used = np.flatnonzero(there)
+        distinct, dx, n = summed_by(ids.ravel()[used], dx.reshape(-1, WIDTH)[used])
+        np.add.at(self.seen, self.own_row[distinct], n)
+        touched = {"c": summed_by(self.classes[distinct], dx)[:2], "e": (self.own_row[distinct][has := self.own_row[distinct] > 0], dx[has])}
+        self.steps += 1
+        fresh = 1 / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
         for name, x in p.items():
-            m, v2 = moments[name]
-            m += 0.1 * (g[name] - m)
-            v2 += 0.01 * (g[name] ** 2 - v2)
-            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v2 / (1 - 0.99**step)) + 1e-7)
-    distinct, rows = np.unique(np.stack([classes, own_row], axis=1), axis=0, return_inverse=True)
-    every = p["c"][distinct[:, 0]] + p["e"][distinct[:, 1]]
-    tables = np.hstack([every @ p["q"] * root, every @ p["k"], every @ p["v"], every]).astype(np.float32)
-    return Model(tables, rows.ravel().astype(np.int32), p["g"], p["o"], p["b"], classes, within)
+            which, grad = touched.get(name, (slice(None), g.get(name)))
+            m, v2 = (t[which] for t in self.moments[name])
+            m = m + 0.1 * (grad - m)
+            v2 = v2 + 0.01 * (grad**2 - v2)
+            self.moments[name][0][which], self.moments[name][1][which] = m, v2
+            x[which] -= np.float32(rate) * (m * np.float32(fresh[0])) / (np.sqrt(v2 * np.float32(fresh[1])) + np.float32(1e-7))
+
+    def model(self) -> Model:
+        p, root = self.p, np.float32(1 / math.sqrt(KEY_WIDTH))
+        distinct, rows = np.unique(np.stack([self.classes, self.own_row], axis=1), axis=0, return_inverse=True)
+        every = p["c"][distinct[:, 0]] + p["e"][distinct[:, 1]]
+        tables = np.hstack([every @ p["q"] * root, every @ p["k"], every @ p["v"], every]).astype(np.float32)
+        return Model(tables, rows.ravel().astype(np.int32), p["g"], {n: p[n] for n in ("o1", "b1", "o2", "b2")}, self.classes, self.within)
+
+
+def train(line: np.ndarray, per_text: np.ndarray, counts: np.ndarray, near: np.ndarray, steps: int = STEPS, seed: int = 7) -> Learner:
+    """Where training starts: a learner after some steps on the texts of one line. counts and near: of every id over
+    all training documents."""
+    rng = np.random.default_rng(seed)
+    learner = Learner(classify(near, counts, rng), counts, seed)
+    start, first, last = windows(per_text) if len(per_text) else (np.zeros(0, int),) * 3
+    for step in range(1, steps + 1 if len(start) else 1):
+        chosen = rng.integers(0, len(start), BATCH)
+        learner.step(*window_ids(line, start[chosen], first[chosen], last[chosen]), RATE * (1 - step / (steps + 1)) * min(1, step / 50))
+    return learner
+
+
+def added(pieces: DataFrame) -> DataFrame:
+    """Pieces of sparse rows (part, name, at, weight, value) summed by name and place, first by some of the parts."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("part")  # sums don't depend on the order of arrival
+        at, n = np.concatenate([np.frombuffer(x, np.int32) for x in group["at"]]), [len(x) // 4 for x in group["at"]]
+        value = np.concatenate([np.frombuffer(x, np.float64).reshape(k, -1) for x, k in zip(group["value"], n, strict=True)])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        total = np.add.reduceat(value[order], starts, axis=0)
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "name": [group["name"].iloc[0]], "at": [at[starts].tobytes()], "value": [total.tobytes()]})
+
+    first = pieces.groupBy("name", F.pmod("part", F.lit(32)).alias("some")).applyInPandas(add, PIECE)
+    return first.groupBy("name").applyInPandas(add, PIECE)
+
+
+def neighbour_counts(training: DataFrame, text: str, model: bytes, counts: np.ndarray) -> np.ndarray:
+    """What stands next to each id, over all training documents."""
+    column = neighbour_columns(counts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, near, part = Subwords(model), np.zeros((len(column), 256), np.int32), TaskContext.get().partitionId()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                neighbours(*subwords.sequences(*split_words(whole.slice(at, 512).column(0))), column, near)
+        for a in range(0, len(near), 1000):
+            own = near[a : a + 1000].reshape(-1)
+            there = np.flatnonzero(own)
+            if len(there):
+                yield piece(part, str(a), there + a * 256, own[there])
+
+    near = np.zeros(len(counts) * 256, np.float32)
+    for r in added(training.select(text).mapInArrow(count, PIECE)).toLocalIterator():
+        near[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float64)
+    return near.reshape(-1, 256)
+
+
+def piece(part: int, name: str, at: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([value.astype(np.float64).tobytes()], pa.binary())], names=["part", "name", "at", "value"])
+
+
+def learnt_from_all(learner: Learner, training: DataFrame, text: str, model: bytes) -> Learner:
+    """The learner after every window of every training document: each task steps through its own from the same start,
+    and the changes are averaged, a vector of an id by how often the task had it, the rest by windows."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, subwords = TaskContext.get().partitionId(), Subwords(model)
+        own, begun = pickle.loads(pickle.dumps(learner)), learner.p
+        own.restart()
+        rng, n = np.random.default_rng(part), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                line, per_text = subwords.sequences(*split_words(whole.slice(at, 512).column(0)))
+                start, first, last = windows(per_text)
+                mixed = rng.permutation(len(start))
+                for a in range(0, len(mixed), MANY):
+                    chosen = mixed[a : a + MANY]
+                    own.step(*window_ids(line, start[chosen], first[chosen], last[chosen]), ALL_RATE * min(1, (own.steps + 1) / 50) * len(chosen) / MANY)
+                n += len(start)
+        if n:
+            for name, x in own.p.items():
+                change = (x - begun[name]).astype(np.float64)
+                if name != "e":
+                    yield piece(part, name, np.arange(1), np.concatenate([[n], n * change.ravel()]))
+                    continue
+                there = np.flatnonzero(own.seen[1:]) + 1
+                for a in range(0, len(there), 4000):
+                    rows = there[a : a + 4000]
+                    for block in np.unique(rows // 1000):
+                        mine = rows[rows // 1000 == block]
+                        yield piece(part, f"e{block}", mine, np.hstack([own.seen[mine, None], own.seen[mine, None] * change[mine]]))
+
+    for r in added(training.select(text).mapInArrow(learn, PIECE)).toLocalIterator():
+        at = np.frombuffer(r["at"], np.int32)
+        value = np.frombuffer(r["value"], np.float64).reshape(len(at), -1)
+        x, mean = learner.p["e" if r["name"][0] == "e" else r["name"]], value[:, 1:] / value[:, :1]
+        if r["name"][0] == "e":
+            x[at] += mean.astype(np.float32)
+        else:
+            x += mean.reshape(x.shape).astype(np.float32)
+    return learner
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -340,8 +495,10 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
     head = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
     sample = sorted((r[0] or "" for r in bounded_rows(training, key, SAMPLE).select(text).collect()))
     line, per_text = Subwords(proto).sequences(*split_words(pa.array(sample, pa.string())))
-    model = train(line, per_text, id_counts(words, proto, n_docs))
-    del sample, line
+    counts = id_counts(words, proto, n_docs)
+    learner = train(line, per_text, counts, neighbour_counts(training, text, proto, counts))
+    model = learnt_from_all(learner, training, text, proto).model()
+    del sample, line, learner
     log_all = math.log10(train_tokens + ADD * (v + 1))
     log_end = math.log10(n_docs + ADD)
     head_words, head_logs = pa.array(head, pa.large_string()), np.log10(np.array([*head.values(), 0]) + ADD)

@@ -121,3 +121,32 @@ def test_odd_rows(spark, sf_dir, odd, tmp_path, monkeypatch, name):
 def test_ngram_join_keeps_one_of_each(spark, odd):
     kept = [r["doc_id"] for r in ngram_join.one_of_each(odd).collect()]
     assert kept.count(4) == 1 and 5 not in kept and kept.count(3) == 1 and None in kept
+
+
+def test_scores_learn_from_every_training_document(spark, sf_dir, monkeypatch):
+    """Word order in a document that the start of training doesn't sample matters to the scores of others."""
+    monkeypatch.setattr(lm_scoring, "SAMPLE", 1)
+    monkeypatch.setattr(lm_scoring, "train", partial(lm_scoring.train, steps=20))
+    rows = documents(spark, sf_dir).select("doc_id", "text").where("length(text) > 400").orderBy("doc_id").limit(20).withColumn("held", F.col("doc_id") % 5 == 0).cache()
+    sampled = lm_scoring.bounded_rows(rows.where("not held"), "doc_id", 1).first()["doc_id"]
+    other = next(r["doc_id"] for r in rows.orderBy("doc_id").collect() if not r["held"] and r["doc_id"] != sampled)
+    turned = rows.withColumn("text", F.when(F.col("doc_id") == other, F.array_join(F.reverse(F.split("text", " ")), " ")).otherwise(F.col("text")))
+    a, b = ({r["doc_id"]: (r["base_score"], r["score"]) for r in lm_scoring.lm_scores(docs.coalesce(2), registry.tokenizer_path(), "held").where("held_out").collect()} for docs in (rows, turned))
+    assert a and all(a[k][0] == pytest.approx(b[k][0]) and abs(a[k][1] - b[k][1]) > 1e-6 for k in a)
+
+
+def test_neighbours_are_counted_over_all_documents(spark, sf_dir):
+    from pathlib import Path
+
+    import numpy as np
+
+    docs, proto = documents(spark, sf_dir), Path(registry.tokenizer_path()).read_bytes()
+    subwords = lm_scoring.Subwords(proto)
+    texts = [[lm_scoring.BEGIN, *(i for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for i in subwords.model.encode(w)), lm_scoring.END] for r in docs.collect()]
+    counts = np.bincount([i for t in texts for i in t[1:]], minlength=subwords.size).astype(float)
+    column, expected = lm_scoring.neighbour_columns(counts), np.zeros((subwords.size, 256))
+    for t in texts:
+        for i, j in zip(t, t[1:]):
+            expected[j, column[i]] += 1
+            expected[i, 128 + column[j]] += 1
+    assert (lm_scoring.neighbour_counts(docs.repartition(5), "text", proto, counts) == expected).all()
