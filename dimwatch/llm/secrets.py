@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame operations only.
 
-Candidates are runs of 10 or more token characters with a digit, and cloud key ids. A forest fitted on labelled findings
+Candidates are runs of 10 or more token characters with a digit, cloud key ids, and whatever follows a naming word and
+a separator. A forest fitted on labelled findings
 judges each by its length and alphabet, its character transitions, how much of it is dictionary words, whether it is
 part of a path or file name, and the words next to it. Findings that half of the trees or more call secrets are kept.
 
@@ -19,7 +20,9 @@ from .spans import find_spans
 from .trees import forest
 
 TOKEN = "A-Za-z0-9_+/-"
-CANDIDATE = rf"(?<![{TOKEN}])(?:AKIA[A-Z0-9]{{16}}(?![{TOKEN}])|(?=[A-Za-z_+/-]*+[0-9])[{TOKEN}]{{10,}}+)={{0,2}}"
+#: What follows a naming word and a separator: any length, no digit needed, up to white space, quotes or brackets.
+NAMED = r"(?<=[=:>\"'\x20])(?<=(?i:password|passwd|passphrase|pwd|pass|token|secret|key|auth|bearer|credentials?|private)[\"']?\x20{0,2}[=:]{1,2}>?\x20{0,2}[\"']?)(?![=:>])(?:[^\s\"'`<>,;&(){}\[\]]|&(?!\w+=))+(?<![.?:])"
+CANDIDATE = rf"{NAMED}|(?<![{TOKEN}])(?:AKIA[A-Z0-9]{{16}}(?![{TOKEN}])|(?=[A-Za-z_+/-]*+[0-9])[{TOKEN}]{{10,}}+)={{0,2}}"
 #: Words that name secrets or tell of something else, parts of names that are no secrets, and frequent letter pairs.
 CUES = r"(?i)(?:password|passwd|pwd|pass|token|secret|api[ _-]?key|apikey|access[ _-]?key|key|auth|bearer|credentials?|private)[\"']?\s*(?:[=:]+|is)?\s*[\"']?$"
 OTHER_CUES = r"(?i)(?:commit|sha|sha1|md5|sha256|hash|checksum|digest|id|uuid|build|version|order|invoice|card|part|sku|isbn|file|image|img|page|ticket|tracking|phone|serial)[\"']?\s*(?:[=:#]+|no\.|is)?\s*[\"']?$"
@@ -64,11 +67,15 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     upper = lambda k, w: F.translate(F.upper(mixed(k, w)), "01890", "ZKQWX")
     number = lambda k, w: F.lpad(pick(k, 10**w).cast("string"), w, "0")
     word = lambda k: choose(k, ["theration", "enheit", "report", "ciones", "version", "chapter", "elleur", "model", "photo", "order", "thand", "ingtion"])
+    phrase = lambda k: choose(k, ["correct", "horse", "battery", "staple", "river", "purple", "window", "tiger", "garden", "silver", "monkey", "orange"])
+    plainly = ["required", "the", "none", "null", "true", "false", "here", "optional", "see", "changeme", "****", "your_password", "your-token-here", "${PASSWORD}", "$TOKEN", "https://example.org/reset", "os.environ", "to", "a", "values", "hidden", "not-set", "value", "string"]
     name = choose(3, ["password=", "token = \"", "secret: ", "api_key=", "key: ", "auth token ", "Bearer "])
     plain = choose(4, ["the ", "of ", "and ", "in ", ", ", "was "])
     good = [
         (F.concat(F.lit("AKIA"), upper(1, 16)), F.when(pick(5, 3) == 0, name).otherwise(plain)), (hexed(2, 40), name), (F.concat(hexed(3, 18)), name), (hexed(4, 32), name), (mixed(5, 40), name), (mixed(6, 24), name),
         (F.concat(F.lit("ghp_"), mixed(7, 36)), F.when(pick(6, 2) == 0, name).otherwise(plain)), (F.concat(F.lit("sk_live_"), mixed(8, 24)), F.when(pick(7, 2) == 0, name).otherwise(plain)), (mixed(9, 14), name), (mixed(10, 40), plain),
+        (F.concat_ws("-", phrase(41), phrase(42), phrase(43)), name), (F.concat(mixed(11, 1), number(44, 1), mixed(12, 5)), name), (F.concat(mixed(13, 4), choose(45, [*"!#.$%@"]), mixed(14, 4), choose(46, ["", "!", "#", "9"])), name),
+        (F.concat(phrase(47), choose(48, [*"!#.$%@"]), phrase(49), number(50, 2)), name), (F.concat(phrase(51), number(52, 3)), name),
     ]
     other = choose(8, ["commit ", "sha256: ", "id=", "build ", "file ", "card ", "order no. ", "hash "])
     bad = [
@@ -76,6 +83,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.concat_ws("-", hexed(24, 8), hexed(25, 4), hexed(26, 4), hexed(27, 4), hexed(28, 12)), F.when(pick(10, 2) == 0, other).otherwise(plain)),
         (F.concat(word(29), F.lit("_"), number(30, 8)), F.when(pick(11, 2) == 0, other).otherwise(plain)), (F.concat(F.lit("your-api-key-"), number(31, 3)), name), (F.concat(F.lit("EXAMPLE"), F.lit("xxxxxxxx"), number(32, 4)), name),
         (F.concat(word(33), word(34), number(35, 2)), plain), (F.concat(word(36), F.lit("/"), word(37), F.lit("/"), number(38, 4)), plain), (number(39, 12), F.when(pick(12, 2) == 0, other).otherwise(plain)), (F.concat(word(40), F.lit("-"), word(41), F.lit("-"), number(42, 4)), plain),
+        (choose(53, plainly), name), (choose(54, plainly), name), (phrase(55), name),
     ]
     made = lambda k, xs, i: F.coalesce(*(F.when(pick(k, len(xs)) == j, x[i]) for j, x in enumerate(xs)))
     out = rows.select("label", *(F.when(F.col("label") == 1, made(1, good, i)).otherwise(made(2, bad, i)).alias(c) for i, c in enumerate(("s", "before"))), choose(13, [" ", ". ", "\n", ", ", "\" "]).alias("after"))

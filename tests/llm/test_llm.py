@@ -150,3 +150,9 @@ def test_neighbours_are_counted_over_all_documents(spark, sf_dir):
             expected[j, column[i]] += 1
             expected[i, 128 + column[j]] += 1
     assert (lm_scoring.neighbour_counts(docs.repartition(5), "text", proto, counts) == expected).all()
+
+
+def test_named_secrets_without_digits_short_or_broken(spark):
+    texts = ["login with password=correct-horse-battery today", "set pwd=S3cr3t9 and go", 'the token: "aB3x!kQ9z#" was', "password: required for all", "the secret: none was", "key: https://example.org/reset here", "a key = 9f8a7Kq2LmZx81TrWq04BvC6dE. Then"]
+    found = {(r["doc_id"], r["secret_sha256"]) for r in secrets.secrets(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    assert found == {(i, hashlib.sha256(s.encode()).hexdigest()) for i, s in ((0, "correct-horse-battery"), (1, "S3cr3t9"), (2, "aB3x!kQ9z#"), (6, "9f8a7Kq2LmZx81TrWq04BvC6dE"))}
