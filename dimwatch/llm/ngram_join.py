@@ -185,8 +185,8 @@ def verified(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"tid": tid[keep], "links": links[keep], "root": [tid[find(i)] for i in np.flatnonzero(keep)]})
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id (the least id of its class) and n_links (documents of at least the similarity) of every row."""
+def _joined(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """key and tid of every row; and tid, root (the least tid of its class), class_id and n_links of every set."""
     signed = written(signatures(docs, key, text))
     texts = written(signed.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("nodes").alias("nodes")))
     placed = texts.select("tid", F.explode("nodes").alias("node"))
@@ -203,20 +203,44 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     links = found.groupBy("tid").agg(F.sum("links").alias("links"))
     classes = components(found, "tid", "root").withColumnRenamed("node", "tid")
     least = classes.join(texts.select("tid", "rep"), "tid").groupBy("root").agg(F.min("rep").alias("class_id"))
-    per_text = texts.select("tid", "rep", "copies").join(links, "tid", "left").join(classes.join(least, "root").select("tid", "class_id"), "tid", "left")
-    per_text = per_text.select("tid", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    whole = signed.select(key, "tid").join(per_text, "tid", "left")
+    per_text = texts.select("tid", "rep", "copies").join(links, "tid", "left").join(classes.join(least, "root").select("tid", "root", "class_id"), "tid", "left")
+    per_text = per_text.select("tid", F.coalesce("root", "tid").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select(key, "tid"), per_text
+
+
+def _of_rows(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    whole = rows.join(sets, "tid", "left")
     return whole.select(key, F.when(F.col("tid").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class_id (the least id of its class) and n_links (documents of at least the similarity) of every row."""
+    return _of_rows(*_joined(docs, key, text), key)
+
+
+def _set_ids(texts: pd.Series) -> pd.Series:
+    hashes = WordHashes()
+    return pd.Series([set_id(own) if len(own := shingles(t, hashes)) else None for t in texts], dtype=object)
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents whose class has a smaller id, and one of rows that repeat id and text. Rows with a
-    null id can't be told apart and stay."""
-    joined = written(ngram_join(docs, key, text))
+    null id stay where they have no set; of a class whose ids are all null, one row stays."""
+    rows, sets = _joined(docs, key, text)
+    nulls = docs.where(F.col(key).isNull())
+    some_null = not nulls.isEmpty()
+    sets = written(sets) if some_null else sets
+    joined = written(_of_rows(rows, sets, key))
     survivors = joined.where(F.col(key) == F.col("class_id")).select(key)
     repeated = joined.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
     kept = docs.join(survivors.distinct(), key, "left_semi")
     if not repeated.isEmpty():
         again = kept.join(repeated, key, "left_semi").dropDuplicates([key, text])
         kept = kept.join(repeated, key, "left_anti").unionByName(again)
-    return kept.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    kept = kept.select(docs.columns)
+    if not some_null:
+        return kept
+    nulls = nulls.withColumn("_tid", F.pandas_udf(_set_ids, "binary")(F.col(text)))
+    least = sets.where(F.col("class_id").isNull() & (F.col("tid") == F.col("root"))).select(F.col("tid").alias("_tid"))
+    own = nulls.join(least, "_tid", "left_semi").dropDuplicates(["_tid"])
+    return kept.unionByName(nulls.where(F.col("_tid").isNull()).unionByName(own).select(docs.columns))

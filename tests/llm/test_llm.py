@@ -156,3 +156,12 @@ def test_named_secrets_without_digits_short_or_broken(spark):
     texts = ["login with password=correct-horse-battery today", "set pwd=S3cr3t9 and go", 'the token: "aB3x!kQ9z#" was', "password: required for all", "the secret: none was", "key: https://example.org/reset here", "a key = 9f8a7Kq2LmZx81TrWq04BvC6dE. Then"]
     found = {(r["doc_id"], r["secret_sha256"]) for r in secrets.secrets(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
     assert found == {(i, hashlib.sha256(s.encode()).hexdigest()) for i, s in ((0, "correct-horse-battery"), (1, "S3cr3t9"), (2, "aB3x!kQ9z#"), (6, "9f8a7Kq2LmZx81TrWq04BvC6dE"))}
+
+
+def test_ngram_join_keeps_one_of_each_without_ids(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    near, other = long + " end", " ".join(f"other{i}" for i in range(60))
+    rows = [(None, long), (None, long), (None, near), (7, other), (None, other), (None, other + " end"), (None, None), (None, ""), (None, "alone here")]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(t in (long, near) for _, t in kept) == 1 and [k for k, t in kept if t and t.startswith("other")] == [7]
+    assert len(kept) == 5 and {t for _, t in kept} >= {None, "", "alone here"}
