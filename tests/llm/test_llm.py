@@ -9,7 +9,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from dimwatch.llm import decontam, lm_scoring, mixing, ngram_join, pii, registry, secrets
+from dimwatch.llm import decontam, lm_scoring, mixing, ngram_join, pii, registry, secrets, toxicity
 from tests.compare import difference
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, size string, score string"
@@ -165,3 +165,71 @@ def test_ngram_join_keeps_one_of_each_without_ids(spark):
     kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sum(t in (long, near) for _, t in kept) == 1 and [k for k, t in kept if t and t.startswith("other")] == [7]
     assert len(kept) == 5 and {t for _, t in kept} >= {None, "", "alone here"}
+
+
+def _one_of_each(rows):
+    """Ids kept of (id, text): the least of each class of the links' closure; rows without a word stay."""
+    sets, least = {k: _shingles(t) for k, t in rows}, {k: k for k, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    return {k for k, v in least.items() if k == v}
+
+
+def _holds_item(index, text):
+    """decontam's rule over every passage and item, without bounds or postings to walk."""
+    weights = [{} for _ in index.ids]
+    names = {v: k for k, v in index.vocabulary.items()}
+    for t, items, own in zip(index.terms.tolist(), index.items, index.weights, strict=True):
+        for i, w in zip(items, own, strict=True):
+            weights[i][names[t // len(names)], names[t % len(names)]] = w
+    words, half = re.findall(r"\w+", (text or "").lower()), index.passage // 2
+    for a in range(0, max(1, len(words) - half), half):
+        passage, around = words[a : a + index.passage], words[max(0, a - half) : a + index.passage + half]
+        there = set(zip(passage, passage[1:], strict=False))
+        for i, own in enumerate(weights):
+            if sum(w for pair, w in own.items() if pair in there) >= 0.5 - 1e-9 and all(decontam.overlap(part, around) >= 0.5 for part in index.parts[i]):
+                return True
+    return False
+
+
+def _redacted(text, spans):
+    out, at = "", 0
+    for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)):
+        out += text[at:start] + f"[{kind.upper()}]" if start >= at else ""
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_pipeline_stages_match_brute_force(spark, sf_dir, tmp_path):
+    import duckdb
+
+    import corpus_pipeline
+
+    (index,) = decontam.indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = documents(spark, sf_dir)
+    for name, stage in corpus_pipeline.STAGES:
+        rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+        path = f"{tmp_path}/{name}.parquet"
+        if name == "mixing":
+            docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+            con = duckdb.connect()
+            con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+            assert not difference(stage(spark, docs, sf_dir).toPandas(), con.execute(mixing.SQL).df())
+            break
+        if name == "toxicity":
+            matcher = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).matcher()
+            expected = {k: t for k, t in rows.items() if matcher.score(t) < 0.5}
+        elif name == "ngram_jaccard_join":
+            expected = {k: rows[k] for k in _one_of_each(rows.items())}
+        elif name == "benchmark_decontamination":
+            expected = {k: t for k, t in rows.items() if not _holds_item(index, t)}
+        else:
+            spans = {r["doc_id"]: r["spans"] for r in pii.found_documents(docs).collect()}
+            expected = {k: t if t is None else _redacted(t, spans[k]) for k, t in rows.items()}
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert {r["doc_id"]: r["text"] for r in docs.collect()} == expected, name
+        assert docs.count() == len(expected) and (expected != rows), name
