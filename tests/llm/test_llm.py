@@ -233,3 +233,26 @@ def test_pipeline_stages_match_brute_force(spark, sf_dir, tmp_path):
         docs = spark.read.parquet(path)
         assert {r["doc_id"]: r["text"] for r in docs.collect()} == expected, name
         assert docs.count() == len(expected) and (expected != rows), name
+
+
+def test_score_is_the_models_own_probability():
+    """A text's score against plain attention and exact shares, an id at a time in double precision."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    learner = lm_scoring.Learner(np.arange(600) % 256, rng.integers(0, 50, 600).astype(float), 1)
+    p = learner.p = {n: (x + rng.normal(0, 0.2, x.shape)).astype(np.float32) for n, x in learner.p.items()}
+    line, x = rng.integers(0, 600, 400), lambda i: p["c"][learner.classes[i]].astype(float) + p["e"][learner.own_row[i]]
+    expected = 0.0
+    for i in range(1, len(line)):
+        start = (i - 1) // lm_scoring.STRIDE * lm_scoring.STRIDE
+        seen = np.arange(max(0, start - lm_scoring.CONTEXT), i)
+        own, past = x(line[i - 1]), x(line[seen])
+        w = np.exp(past @ p["k"] @ (own @ p["q"]) / 4 + p["g"][i - 1 - seen])
+        h = own + w @ (past @ p["v"]) / w.sum()
+        sup, sub = divmod(int(learner.classes[line[i]]), lm_scoring.SUPER)
+        for z, k in ((h @ p["o1"] + p["b1"], sup), (h @ p["o2"][sup] + p["b2"][sup], sub)):
+            expected += z[k] - np.log(np.exp(z).sum())
+        expected += learner.within[line[i]]
+    found = learner.model().score(line, np.array([len(line)]))[0]
+    assert found == pytest.approx(expected / np.log(10), abs=1e-5 * len(line))
