@@ -26,9 +26,22 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.array_remove(F.split(text, SPACES), ""))).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder that the session names; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/dimwatch-checkpoints"
+    """A new folder below the shared checkpoint folder that the session names. Where none is set, a local session (one
+    machine, so its folders are shared) gets one; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/dimwatch-checkpoints"
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

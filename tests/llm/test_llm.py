@@ -256,3 +256,48 @@ def test_score_is_the_models_own_probability():
         expected += learner.within[line[i]]
     found = learner.model().score(line, np.array([len(line)]))[0]
     assert found == pytest.approx(expected / np.log(10), abs=1e-5 * len(line))
+
+
+def test_prefixes_are_shortened_by_what_is_found():
+    import numpy as np
+
+    found = np.zeros(ngram_join.BINS)
+    assert ngram_join.shortened(found, 8) == 6 and ngram_join.chance(0.8, 6) >= ngram_join.RECALL
+    found[-1] = 1e6  # near copies only: what a depth of 8 misses of them is nothing
+    assert ngram_join.shortened(found, 8) == 8
+    found[0] = 1e5
+    assert ngram_join.shortened(found, 8) < 8
+
+
+def test_join_is_the_same_in_small_blocks(spark, sf_dir, monkeypatch):
+    own = lambda: {(r["doc_id"], r["class_id"], r["n_links"]) for r in registry.op3_ngram_jaccard_join(spark, sf_dir).collect()}
+    whole = own()
+    monkeypatch.setattr(ngram_join, "NODE_BLOCK", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", -1)
+    assert own() == whole
+
+
+def test_recall_at_the_threshold():
+    """Pairs of sets at 0.8 meet in a node of some trie, and pass by their signatures, as often as the target says."""
+    import numpy as np
+
+    rng, signer, met = np.random.default_rng(5), ngram_join.Signer(), 0
+    for _ in range(1000):
+        shared = rng.integers(0, 2**63, 400).astype(np.uint64)
+        a, b = (signer.signatures([np.unique(np.concatenate([shared, rng.integers(0, 2**63, 50).astype(np.uint64)]))])[0] for _ in range(2))
+        same = a == b
+        met += same.reshape(ngram_join.TREES, ngram_join.DEPTH)[:, :6].all(axis=1).any() and same.sum() >= ngram_join.LEAST_EQUAL
+    assert met >= 999
+
+
+def test_join_classes_match_brute_force(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark, sf_dir).collect()]
+    found = {r["doc_id"]: r["class_id"] for r in registry.op3_ngram_jaccard_join(spark, sf_dir).collect()}
+    assert {k for k, v in found.items() if k == v} == _one_of_each(rows)
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "p", "q", "r"), (None, "a b c d e f", "s", "t", "u"), (None, "k l m", "v", "w", "x")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _id string, _Rep string, _tid string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3]], key=str)
