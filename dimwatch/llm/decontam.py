@@ -8,9 +8,14 @@ for all passages of a document together; the others walk the postings by block-m
 above the threshold. An item counts if the document around the passage also holds enough of the word triples of its
 question and of its answer.
 
+Passages are as long as the items need that they are held against: items are indexed by layers of lengths, 64 words,
+128 and so on, and each layer reads a document in passages of its own length, so what an item matches does not depend
+on the other items.
+
 The index goes to every task, so it is made for blocks of bounded numbers of items and bytes, each block against all
-documents; document frequencies are those of all items. Null and empty texts and items of fewer than two words match nothing; repeated items
-and rows are reported each; long texts are read whole, one passage list at a time; other columns are ignored.
+documents; document frequencies and mean length are those of all items, whatever the blocks. Null and empty texts
+match nothing, nor do items of fewer than two words, which have no pair; repeated items and rows are reported each;
+long texts are read whole, one passage list at a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Usual BM25 constants; postings in a block.
 K1, B, BLOCK = 1.2, 0.75, 8
 #: Share of an item's weight that a passage must hold; share of the question's and answer's triples that must be there.
 THRESHOLD, OVERLAP = 0.5, 0.5
-#: Words in a passage at least; it is as long as the longest item of its block otherwise.
+#: Words in the shortest passages; longer items have passages of twice, four times and so on as many.
 PASSAGE = 64
 #: Items and bytes of text in a block of the index, about.
 MOST_ITEMS, MOST_BYTES = 20_000, 16_000_000
@@ -68,9 +75,17 @@ def overlap(part: list[str], around: list[str]) -> float:
     return len(own & there) / len(own)
 
 
+def passage_length(n_words: int) -> int:
+    """Words in the passages that an item of so many words is held against."""
+    length = PASSAGE
+    while length < n_words:
+        length *= 2
+    return length
+
+
 @dataclass
-class Index:
-    """Postings of a block of items: for each term its item numbers, weights, and the largest weight of each BLOCK."""
+class Layer:
+    """Postings of items of like length: for each term its item numbers, weights, and the largest weight of each BLOCK."""
 
     ids: list
     parts: list[tuple[list[str], list[str]]]
@@ -83,9 +98,8 @@ class Index:
     passage: int
 
     @classmethod
-    def of(cls, ids: list, texts: list[str], frequency: Counter, n_items: int, mean_length: float) -> Index:
+    def of(cls, ids: list, texts: list[str], frequency: dict[tuple[str, str], int], n_items: int, mean_length: float, passage: int) -> Layer:
         """frequency: items that hold each pair, of n_items items with mean_length pairs."""
-        lengths = [len(words(t)) for t in texts]
         split = [pairs(words(t)) for t in texts]
         postings: dict[tuple[str, str], list[tuple[int, float]]] = {}
         for i, own in enumerate(split):
@@ -102,8 +116,7 @@ class Index:
         lists = [keys[t] for t in terms.tolist()]
         weights = [[w for _, w in x] for x in lists]
         maxima = [[max(w[j : j + BLOCK]) for j in range(0, len(w), BLOCK)] for w in weights]
-        longest = max(lengths, default=0)
-        return cls(ids, [question_and_answer(t) for t in texts], vocabulary, terms, [[i for i, _ in x] for x in lists], weights, maxima, np.array([*map(max, weights), 0.0]), max(PASSAGE, longest + longest % 2))
+        return cls(ids, [question_and_answer(t) for t in texts], vocabulary, terms, [[i for i, _ in x] for x in lists], weights, maxima, np.array([*map(max, weights), 0.0]), passage)
 
     def retrieve(self, query: set[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """Items whose summed weight of the query's terms reaches the threshold, by block-max WAND."""
@@ -148,11 +161,9 @@ class Index:
                     if c[0] < pivot:
                         move(c, pivot)
 
-    def matches(self, text: str | None, threshold: float = THRESHOLD, least: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
-        """For each item that the text holds: the best passage's score, and the shares of question and answer found."""
-        if not text or not self.ids:
-            return {}
-        own = words(text)
+    def matches(self, own: list[str], threshold: float = THRESHOLD, least: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
+        """For each item that a text of these words holds: the best passage's score, and the shares of question and
+        answer found."""
         ids = np.fromiter(map(self.vocabulary.get, own, repeat(-1)), np.int64, len(own))
         at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
         keys = ids[at] * len(self.vocabulary) + ids[at + 1]
@@ -180,36 +191,46 @@ class Index:
         return found
 
 
-def indexes(items: DataFrame, key: str = "item_id", text: str = "text", most_items: int = MOST_ITEMS, most_bytes: int = MOST_BYTES) -> Iterator[Index]:
-    """The index of all items with a pair of words, block by block."""
-    rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
-    blocks = max(1, -(-n // most_items), -(-size // most_bytes))
-    if blocks > 1:
-        frequencies, n_items, mean_length = _statistics(rows)
-    for i in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == i) if blocks > 1 else rows
-        own = [r for r in own.orderBy("k", "t").collect() if len(words(r["t"])) > 1]
-        if blocks == 1:
-            frequency = Counter(w for r in own for w in set(pairs(words(r["t"]))))
-            n_items, mean_length = len(own), sum(len(words(r["t"])) - 1 for r in own) / max(1, len(own))
-        elif own:
-            need = items.sparkSession.createDataFrame([(" ".join(w),) for w in {w for r in own for w in pairs(words(r["t"]))}], "w string")
-            frequency = Counter({tuple(r["w"].split(" ")): r["n"] for r in frequencies.join(F.broadcast(need), "w").collect()})
-        if own:
-            yield Index.of([r["k"] for r in own], [r["t"] for r in own], frequency, n_items, mean_length)
+@dataclass
+class Index:
+    """A block of items in layers by length."""
 
+    layers: list[Layer]
 
-def _statistics(rows: DataFrame) -> tuple[DataFrame, int, float]:
-    """Items by pair, number of items with pairs, and their mean length."""
+    def matches(self, text: str | None) -> list[tuple]:
+        """Of each item that the text holds: id, the best passage's score, and the shares of question and answer."""
+        if not text:
+            return []
+        own = words(text)
+        return [(layer.ids[k], *v) for layer in self.layers for k, v in layer.matches(own).items()]
+
+
+def indexes(items: DataFrame, key: str = "item_id", text: str = "text", most_items: int = MOST_ITEMS, most_bytes: int = MOST_BYTES) -> Iterator[Index]:
+    """The index of all items with a pair of words, block by block."""
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [" ".join(x) for x in pairs(words(t))])
 
-    own = rows.select(split("t").alias("w")).where(F.size("w") > 0)
-    n, mean = own.agg(F.count("*"), F.avg(F.size("w"))).first()
-    return own.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")), n, mean or 1.0
+    rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    rows = rows.groupBy("k", "t").agg(F.count("*").alias("n")).withColumn("pairs", split("t")).where(F.size("pairs") > 0)
+    rows = written(rows.select("k", "t", "n", "pairs"))
+    n_items, n_pairs, size = rows.agg(F.sum("n"), F.sum(F.col("n") * F.size("pairs")), F.sum(F.col("n") * F.octet_length("t"))).first()
+    if not n_items:
+        return
+    blocks = max(1, -(-n_items // most_items), -(-size // most_bytes))
+    terms = rows.select("k", "t", "n", F.explode(F.array_distinct("pairs")).alias("pair"))
+    held = terms.groupBy("pair").agg(F.sum("n").alias("items"))
+    own = terms.join(held, "pair").groupBy("k", "t", "n").agg(F.collect_list(F.struct("pair", "items")).alias("held"))
+    own = written(own.withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(blocks))))
+    for i in range(blocks):
+        by_length: dict[int, list] = {}
+        frequency = {}
+        for r in own.where(F.col("block") == i).orderBy("k", "t").collect():
+            by_length.setdefault(passage_length(len(words(r["t"]))), []).extend([r] * r["n"])
+            frequency.update((tuple(x["pair"].split(" ")), x["items"]) for x in r["held"])
+        if by_length:
+            yield Index([Layer.of([r["k"] for r in rs], [r["t"] for r in rs], frequency, n_items, n_pairs / n_items, length) for length, rs in sorted(by_length.items())])
 
 
 def contaminated(index: Index, text: Column) -> Column:
@@ -222,16 +243,16 @@ def contaminated(index: Index, text: Column) -> Column:
     return held(text)
 
 
-def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most_items: int = MOST_ITEMS) -> DataFrame:
     """A row for each document and item that it holds: key, item_key, score, question_overlap, answer_overlap."""
     kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(items, item_key, item_text):
+    for index in indexes(items, item_key, item_text, most_items):
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(i, index.ids[k], *v) for i, t in enumerate(b.column(1)) for k, v in index.matches(t.as_py()).items()]
+                rows = [(i, *match) for i, t in enumerate(b.column(1)) for match in index.matches(t.as_py())]
                 if rows:
                     at, ids, *scores = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ids), *(pa.array(x, pa.float64()) for x in scores)], names=[key, item_key, "score", "question_overlap", "answer_overlap"])
