@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import groupby, islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the corpus contracts: space and the five ASCII controls from tab to carriage return.
@@ -57,15 +58,28 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_rows(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most `most` rows, those with the least hash of their key: the same rows whatever the partitioning.
+def hashed(text: Column) -> Column:
+    """A hash that orders texts at random, the same in every run."""
+    return F.xxhash64(text)
 
-    Only keys travel to choose them; repeated keys share the bound.
-    """
-    spark = df.sparkSession
-    order = F.xxhash64(F.col(key))
-    ids = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).orderBy(order, F.col(key)).limit(most).collect()]
-    if not ids:
-        return df.limit(0)
-    chosen = spark.createDataFrame([(i,) for i in set(ids)], f"`{key}` {dict(df.dtypes)[key]}")
-    return df.join(F.broadcast(chosen), key, "left_semi").limit(most)
+
+def least_hashes(rows: DataFrame, most: int) -> list[Row]:
+    """At most `most` rows of each group of rows (g, h), distinct, those with the least h: the same rows whatever the
+    partitioning. Only rows below a bound that leaves about twice as many travel; no group meets in one task."""
+    least = -(2**63)
+    sizes = rows.groupBy("g").count().collect()
+    bounds = [(r["g"], min(2**63 - 1, least + int(2**64 * min(1.0, 2 * most / r["count"])))) for r in sizes]
+    if not bounds:
+        return []
+    low = F.broadcast(rows.sparkSession.createDataFrame(bounds, f"g {dict(rows.dtypes)['g']}, bound long"))
+    found = sorted(rows.join(low, "g").where("h <= bound").select("g", "h").distinct().collect())
+    return [r for _, own in groupby(found, lambda r: r["g"]) for r in islice(own, most)]
+
+
+def texts_of(docs: DataFrame, text: str, chosen: list[Row]) -> dict[int, str]:
+    """The texts of docs whose hashes were chosen, each once."""
+    if not chosen:
+        return {}
+    wanted = docs.sparkSession.createDataFrame(sorted({(r["h"],) for r in chosen}), "h long")
+    rows = docs.select(F.col(text).alias("t"), hashed(F.col(text)).alias("h")).join(F.broadcast(wanted), "h", "left_semi")
+    return {r["h"]: r["t"] for r in rows.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()}

@@ -17,14 +17,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, hashed, least_hashes, texts_of
 
 #: n-grams in a profile, and the largest n.
 LENGTH, MOST_N = 300, 4
-#: Training documents of each language, at most, chosen by the hash of their ids.
+#: Training texts of each language, at most, chosen by their hashes.
 SAMPLE = 600
 #: Of the softmax over mean distances (0 to 1) that gives the score.
 TEMPERATURE = 0.03
@@ -109,15 +108,12 @@ def fit(texts: list[str], langs: list[str]) -> Profiles:
     return Profiles(list(made), every, ranks)
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Profiles:
-    """Profiles from at most `sample` documents of each language."""
-    order = W.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    known = docs.where(F.col(lang).isNotNull())
-    ids = known.select(key, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select(key).distinct()
-    chosen = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    n_langs = known.select(lang).distinct().count()
-    rows = known.join(F.broadcast(chosen), key, "left_semi").where(F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).limit(2 * sample * n_langs).collect()
-    return fit([r["t"] for r in rows], [r["l"] for r in rows])
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Profiles:
+    """Profiles from at most `sample` distinct texts of each language."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    chosen = least_hashes(known.select(F.col(lang).cast("string").alias("g"), hashed(F.col(text)).alias("h")), sample)
+    texts = texts_of(known, text, chosen)
+    return fit([texts[r["h"]] for r in chosen], [r["g"] for r in chosen])
 
 
 def predict(profiles: Profiles, text: Column) -> Column:
@@ -132,6 +128,6 @@ def predict(profiles: Profiles, text: Column) -> Column:
 
 def identified_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, held_out, lang_pred and score of every document; rows of the fold CRC-32 mod 4 = 2 are never learnt from."""
-    profiles = learn(docs.where(fold(key, 4) != 2), key, text, lang)
-    out = docs.select(F.col(key), (fold(key, 4) == 2).alias("held_out"), predict(profiles, F.col(text)).alias("_p"))
-    return out.select(key, "held_out", "_p.lang_pred", "_p.score")
+    profiles = learn(docs.where(fold(key, 4) != 2), text, lang)
+    out = docs.select(F.col(key), (fold(key, 4) == 2).alias("held_out"), predict(profiles, F.col(text)).alias("found"))
+    return out.select(key, "held_out", "found.lang_pred", "found.score")

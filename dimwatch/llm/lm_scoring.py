@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, fold, written
+from .common import fold, free_name, hashed, least_hashes, texts_of, written
 
 CONTEXT, STRIDE = 8, 16
 WIDTH, KEY_WIDTH = 32, 16
@@ -139,7 +139,7 @@ def window_ids(line: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.
 
 #: Distance from each predicting id to each id of its window, and where it would look ahead.
 GAP = (CONTEXT + np.arange(STRIDE))[:, None] - np.arange(CONTEXT + STRIDE)
-AHEAD = np.where(GAP < 0, np.float32(-60), np.float32(0))
+AHEAD = np.where(GAP < 0, np.float32(-np.inf), np.float32(0))
 
 
 def class_shares(h: np.ndarray, p: dict[str, np.ndarray], sup: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -493,7 +493,7 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, v = n_words + n_docs, distinct + (n_docs > 0)
     head = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
-    sample = sorted((r[0] or "" for r in bounded_rows(training, key, SAMPLE).select(text).collect()))
+    sample = [*texts_of(training, text, least_hashes(training.where(F.col(text).isNotNull()).select(F.lit(0).alias("g"), hashed(F.col(text)).alias("h")), SAMPLE)).values()]
     line, per_text = Subwords(proto).sequences(*split_words(pa.array(sample, pa.string())))
     counts = id_counts(words, proto, n_docs)
     learner = train(line, per_text, counts, neighbour_counts(training, text, proto, counts))
@@ -535,4 +535,5 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
 
 def scored_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """lm_scores with the fold CRC-32 mod 10 = 0 held out."""
-    return lm_scores(docs.withColumn("_held_out", fold(key, 10) == 0), model_path, "_held_out", key, text)
+    held_out = free_name(docs, "_held_out")
+    return lm_scores(docs.withColumn(held_out, fold(key, 10) == 0), model_path, held_out, key, text)

@@ -15,15 +15,17 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, fold
+from .common import fold, hashed, least_hashes, texts_of, written
 
 #: Labelled documents of each class that the lexicon and curve are fitted on, at most.
 SAMPLE = 3000
@@ -84,12 +86,18 @@ class Matcher:
         """Sum of the weights of the lexicon words in a folded text, outside exception phrases."""
         if not len(self.automaton):
             return 0.0
-        hits, spared = [], []
+        hits: list[tuple[int, int, float]] = []
+        spared: list[tuple[int, int]] = []
         for end, (n, weight) in self.automaton.iter(text):
             start = end - n + 1
             if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
-                (spared if weight is None else hits).append((start, end, weight))
-        return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
+                if weight is None:
+                    spared.append((start, end))
+                else:
+                    hits.append((start, end, weight))
+        spared.sort()
+        starts, reach = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+        return sum(w for a, b, w in hits if not (k := bisect_right(starts, a)) or reach[k - 1] < b)
 
     def score(self, text: str | None) -> float:
         f = folded(text or "")
@@ -132,18 +140,16 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Lexicon:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Lexicon:
-    """A lexicon from at most `sample` labelled documents of each class, chosen by the hash of their ids. A document
-    with several labels is toxic if one of them says so."""
-    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
-    marked = marked.join(docs.select(key).distinct(), key, "left_semi")
-    counts = {r["_toxic"]: r["count"] for r in marked.groupBy("_toxic").count().collect()}
-    chosen = None
-    for y in (0, 1):
-        part = bounded_rows(marked.where(F.col("_toxic") == y), key, sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).where(F.col("_text").isNotNull()).limit(2 * sample).collect()
-    rows.sort(key=lambda r: (str(r[key]), r["_text"]))
-    return fit([r["_text"] for r in rows], [r["_toxic"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values())))
+    """A lexicon from at most `sample` labelled texts of each class, chosen by their hashes. A document with several
+    labels is toxic if one of them says so."""
+    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("g"))
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), hashed(F.col(text)).alias("h"))
+    rows = written(own.join(marked, "k").select("g", "h"))  # without ids and texts
+    counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().collect()}
+    chosen = least_hashes(rows, sample)
+    texts = texts_of(docs, text, chosen)
+    share = sum(n for y, n in counts.items() if y) / max(1, sum(counts.values()))
+    return fit([texts[r["h"]] for r in chosen], [int(r["g"] > 0) for r in chosen], share)
 
 
 def score(lexicon: Lexicon, text: Column) -> Column:
