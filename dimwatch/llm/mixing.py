@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Every document has a hash-random key (MD5 of its id), so "sorted by key" is a random order that reruns share. A
+Every document has a hash-random key (MD5 of its id and text, so rows without ids are dealt out too), so "sorted by key" is a random order that reruns share. A
 source's documents are laid out by key in buckets, the key's leading hex digits: a range partition of the sort that
 needs no sampling and splits a hot source like any other. Sums by (source, bucket) give each bucket's offset, a window
 within the bucket the rest of the prefix sum, and a source's order is cut where its target is reached. Targets above
@@ -52,10 +52,14 @@ def _named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
+def random_key(key: Column, text: Column) -> Column:
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def mix(sized: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
-    """sized (key, source, size and others) with source_size, target, and `taken`, the words that the mix takes of a
-    row, repeats counted."""
-    laid = sized.withColumn("_name", _named(F.col("source"))).withColumn("_key", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
+    """sized (key, source, size, _key and others) with source_size, target, and `taken`, the words that the mix takes
+    of a row, repeats counted."""
+    laid = sized.withColumn("_name", _named(F.col("source")))
     laid = laid.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     sums = laid.groupBy("_name", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
     by_source = sums.groupBy("_name").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
@@ -73,7 +77,7 @@ def mix(sized: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = (1, 2,
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """key, size, source_size, target and taken of every document; sizes are counted once and written, without texts."""
-    sized = written(docs.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    sized = written(docs.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), random_key(F.col(key), F.col(text)).alias("_key")))
     return mix(sized, key).select(key, "size", "source_size", "target", "taken")
 
 
@@ -81,7 +85,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 r AS (SELECT *, 3 * source_size AS cap, 3.0::DOUBLE * source_size / weight AS full_at FROM s),
