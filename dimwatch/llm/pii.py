@@ -18,8 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .spans import SPAN, digits, find_spans, luhn, overlaps, replaced, written_out
-from .trees import boosted
+from .trees import LABELLED_PARTS, boosted
 
 # The contract's patterns, each in a form that a backtracking engine runs in linear time. A look behind
 # keeps a match from being tried inside a run whose start has failed; \G lets one start where the last one ended.
@@ -88,7 +89,7 @@ def labelled_candidates(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     """Candidates made by rule with what they are: kind, features, label and a fold. Every other one is personal data:
     well-formed, mostly with a fitting word before; the others are numbers and codes of the same shapes with other
     words before, glued to other text, or failing their kind's checks."""
-    rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("int")).withColumn("h", F.xxhash64("id", F.lit(5)))
+    rows = spark.range(0, n, 1, LABELLED_PARTS).withColumn("label", (F.col("id") % 2).cast("int")).withColumn("h", F.xxhash64("id", F.lit(5)))
     pick = lambda k, m: F.pmod(F.xxhash64("h", F.lit(k)), F.lit(m))
     number = lambda k, w: F.lpad(pick(k, 10**w).cast("string"), w, "0")
     choose = lambda k, xs: F.element_at(F.array(*map(F.lit, xs)), (pick(k, len(xs)) + 1).cast("int"))
@@ -125,32 +126,29 @@ class Detector:
         counts = {(r["kind"], r["p"]): (r["n"], r["good"]) for r in scored.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()}
         self.thresholds = {k: calibrated([(p, *v) for (kind, p), v in counts.items() if kind == k], precision) for k in GENERATORS}
 
-    def spans(self, text: Column) -> tuple[dict[str, Column], Column]:
-        """Columns to select, in order of need: base spans by kind, and of one array column `_base` the accepted others."""
-        whole = F.coalesce(text, F.lit(""))
-        base = base_spans(whole)
+    def detected(self, docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
+        """docs with columns of spans, and these columns: by base kind, and `more` for the accepted others."""
+        at = {n: free_name(docs, f"_{n}") for n in (*BASE, "proposed", "described", "scored", "accepted", "more")}
+        col = {n: F.col(x) for n, x in at.items()}
+        whole = F.coalesce(F.col(text), F.lit(""))
         proposed = F.concat(*(find_spans(whole, k, p, whole.rlike(likely)) for k, (p, likely) in GENERATORS.items()))
-        return base, proposed
-
-    def detected(self, docs: DataFrame, text: str) -> DataFrame:
-        """docs with `_email`, `_ip`, `_card`, `_phone` and `_more`, arrays of spans."""
-        base, proposed = self.spans(F.col(text))
-        out = docs.withColumns({f"_{k}": v for k, v in base.items()} | {"_proposed": proposed})
+        out = docs.withColumns({at[k]: v for k, v in base_spans(whole).items()} | {at["proposed"]: proposed})
+        spans = {n: col[n] for n in (*BASE, "more")}
         if not any(x < 2 for x in self.thresholds.values()):
-            return out.withColumn("_more", F.array().cast(SPAN)).drop("_proposed")
+            return out.withColumn(at["more"], F.array().cast(SPAN)).drop(at["proposed"]), spans
         least = F.create_map(*(F.lit(x) for kv in self.thresholds.items() for x in kv))
-        of_base = F.concat(*(F.col(f"_{k}") for k in BASE))
-        free = F.filter(F.col("_proposed"), lambda x: ~F.exists(of_base, lambda b: overlaps(x, b)))
+        of_base = F.concat(*(col[k] for k in BASE))
+        free = F.filter(col["proposed"], lambda x: ~F.exists(of_base, lambda b: overlaps(x, b)))
         around = lambda x: features(x["kind"], x["s"], F.substring(F.col(text), F.greatest(x["start"] - 19, F.lit(1)), F.least(x["start"], F.lit(20))), F.substring(F.col(text), x["end"] + 1, 8))
         described = F.transform(free, lambda x: F.struct(*(x[n].alias(n) for n in ("kind", "s", "start", "end")), around(x).alias("f")))
-        scored = F.transform(F.col("_described"), lambda x: F.struct(*(x[n].alias(n) for n in ("kind", "s", "start", "end")), self.probability(x["f"]).alias("p")))
-        accepted = F.filter(F.col("_scored"), lambda x: x["p"] >= F.element_at(least, x["kind"]))
+        scored = F.transform(col["described"], lambda x: F.struct(*(x[n].alias(n) for n in ("kind", "s", "start", "end")), self.probability(x["f"]).alias("p")))
+        accepted = F.filter(col["scored"], lambda x: x["p"] >= F.element_at(least, x["kind"]))
         beats = lambda y, x: overlaps(x, y) & ((y["p"] > x["p"]) | ((y["p"] == x["p"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"])))))
-        best = F.filter(F.col("_accepted"), lambda x: ~F.exists(F.col("_accepted"), lambda y: beats(y, x)))
+        best = F.filter(col["accepted"], lambda x: ~F.exists(col["accepted"], lambda y: beats(y, x)))
         plain = F.transform(best, lambda x: F.struct(*(x[n].alias(n) for n in ("kind", "s", "start", "end")))).cast(SPAN)
-        none = F.size("_proposed") == 0
-        out = out.withColumn("_described", F.when(none, F.lit(None)).otherwise(described)).withColumn("_scored", scored).withColumn("_accepted", accepted)
-        return out.withColumn("_more", F.coalesce(plain, F.array().cast(SPAN))).drop("_proposed", "_described", "_scored", "_accepted")
+        none = F.size(col["proposed"]) == 0
+        out = out.withColumn(at["described"], F.when(none, F.lit(None)).otherwise(described)).withColumn(at["scored"], scored).withColumn(at["accepted"], accepted)
+        return out.withColumn(at["more"], F.coalesce(plain, F.array().cast(SPAN))).drop(*(at[n] for n in ("proposed", "described", "scored", "accepted"))), spans
 
 
 def calibrated(scores: list[tuple[float, int, int]], precision: float) -> float:
@@ -165,15 +163,14 @@ def calibrated(scores: list[tuple[float, int, int]], precision: float) -> float:
 
 def found_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, counts of the base kinds, their digest, and all spans, of every row."""
-    found = Detector(docs.sparkSession).detected(docs.select(key, text), text)
-    base = F.concat(*(F.col(f"_{k}") for k in BASE))
-    by_kind = F.concat(*(F.filter(F.col("_more"), lambda x, k=k: x["kind"] == k) for k in GENERATORS))
-    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE]
+    found, spans = Detector(docs.sparkSession).detected(docs.select(key, text), text)
+    base = F.concat(*(spans[k] for k in BASE))
+    by_kind = F.concat(*(F.filter(spans["more"], lambda x, k=k: x["kind"] == k) for k in GENERATORS))
+    counts = [F.size(spans[k]).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select(key, *counts, F.sha2(written_out(base).cast("binary"), 256).alias("base_sha256"), written_out(F.concat(base, by_kind)).alias("spans"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; the other columns as they are."""
-    found = Detector(docs.sparkSession).detected(docs, text)
-    every = F.concat(*(F.col(f"_{k}") for k in BASE), F.col("_more"))
-    return found.withColumn(text, replaced(F.col(text), every)).select(docs.columns)
+    found, spans = Detector(docs.sparkSession).detected(docs, text)
+    return found.withColumn(text, replaced(F.col(text), F.concat(*spans.values()))).select(docs.columns)

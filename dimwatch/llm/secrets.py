@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .spans import find_spans
-from .trees import forest
+from .trees import LABELLED_PARTS, forest
 
 TOKEN = "A-Za-z0-9_+/-"
 #: What follows a naming word and a separator: any length, no digit needed, up to white space, quotes or brackets.
@@ -59,7 +59,7 @@ def features(s: Column, before: Column, after: Column) -> Column:
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     """Findings made by rule, half of them secrets: key ids, hex and base-64 keys and passwords with and without a word
     that names them; and card numbers, commit and content hashes, uuids, file names, placeholders, words with digits."""
-    rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("int")).withColumn("h", F.xxhash64("id", F.lit(9)))
+    rows = spark.range(0, n, 1, LABELLED_PARTS).withColumn("label", (F.col("id") % 2).cast("int")).withColumn("h", F.xxhash64("id", F.lit(9)))
     pick = lambda k, m: F.pmod(F.xxhash64("h", F.lit(k)), F.lit(m))
     choose = lambda k, xs: F.element_at(F.array(*map(F.lit, xs)), (pick(k, len(xs)) + 1).cast("int"))
     hexed = lambda k, w: F.substring(F.sha2(F.concat(F.col("h").cast("string"), F.lit(str(k))).cast("binary"), 256), 1, w)

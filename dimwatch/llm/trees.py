@@ -11,6 +11,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Partitions of the labelled tables: trees are bagged by partition, so the number must not follow the cluster.
+LABELLED_PARTS = 4
+
 _TREE = re.compile(r"Tree \d+ \(weight ([-\d.E]+)\)")
 _TEST = re.compile(r"If \(feature (\d+) <= ([-\d.E]+)\)")
 
