@@ -118,7 +118,8 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Lexicon:
         docs[y].update(set(words))
         if y:
             for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-                contexts[word].add((before, after))
+                if len(contexts[word]) < LEAST_CONTEXTS:
+                    contexts[word].add((before, after))
     totals = [sum(y == k for _, y in skeletons) for k in (0, 1)]
     odds = {w: math.log((n + 0.5) / (totals[1] + 1)) - math.log((docs[0][w] + 0.5) / (totals[0] + 1)) for w, n in docs[1].items() if len(contexts[w]) >= LEAST_CONTEXTS}
     weights = dict(sorted(((w, x) for w, x in odds.items() if x >= LEAST_WEIGHT), key=lambda p: (-p[1], p[0]))[:MOST_WORDS])
