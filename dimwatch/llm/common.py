@@ -50,11 +50,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: later stages start from its files, so a lost executor costs no recomputation."""
+#: Rows of a file of small tables.
+ROWS_A_FILE = 25_000
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: later stages start from its files, so a lost executor costs no recomputation.
+    rows: about how many there are, of a small table that many tasks would write as many tiny files."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,5 +39,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-        now = written(_small_star(_large_star(now)))
+        now = written(_small_star(_large_star(now)), 2 * state[0])
     raise RuntimeError("components did not settle")

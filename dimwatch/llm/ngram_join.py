@@ -201,7 +201,8 @@ def _ties(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 yield tied(rows.slice(0, whole).combine_chunks(), ends)
         if rest:
             yield tied(rest.combine_chunks(), np.array([len(rest)]))
-        yield pa.RecordBatch.from_arrays([pa.nulls(BINS, pa.binary()), pa.nulls(BINS, pa.binary()), pa.array(range(BINS), pa.int32()), pa.array(found)], names=["u", "v", "bin", "n"])
+        if len(bins := np.flatnonzero(found)):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(bins), pa.binary()), pa.nulls(len(bins), pa.binary()), pa.array(bins, pa.int32()), pa.array(found[bins])], names=["u", "v", "bin", "n"])
 
     return tie
 
@@ -291,10 +292,12 @@ def small(ids: DataFrame) -> bool:
 def _joined(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """key and tid of every row; and tid, root (the least tid of its class), class_id and n_links of every set."""
     signed = written(signatures(docs, key, text))
-    texts = written(signed.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
-    tied = components(forest_ties(texts), "u", "v").withColumnRenamed("node", "tid").join(texts.select("tid", "rep", "copies", "size"), "tid")
+    n_rows = signed.count()
+    texts = written(signed.where(F.col("tid").isNotNull()).groupBy("tid").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), n_rows)
+    ties = forest_ties(texts)
+    tied = components(ties, "u", "v").withColumnRenamed("node", "tid").join(texts.select("tid", "rep", "copies", "size"), "tid")
     sizes = tied.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = written(tied.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")))
+    members = written(tied.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")), ties.count())
     rep = free_name(docs, "_rep")
     reps = members.select(F.col("rep").alias(rep)).distinct()
     reps = F.broadcast(reps) if small(reps) else reps
@@ -307,7 +310,7 @@ def _joined(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     least = classes.join(texts.select("tid", "rep"), "tid").groupBy("root").agg(F.min("rep").alias("class_id"))
     per_text = texts.select("tid", "rep", "copies").join(links, "tid", "left").join(classes.join(least, "root").select("tid", "root", "class_id"), "tid", "left")
     per_text = per_text.select("tid", F.coalesce("root", "tid").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select(key, "tid"), written(per_text)
+    return signed.select(key, "tid"), written(per_text, n_rows)
 
 
 def _of_rows(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
@@ -332,8 +335,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows, sets = _joined(docs, key, text)
     own_id, own_tid = free_name(docs, "_id"), free_name(docs, "_tid")
     by_id = F.col(key) == F.col(own_id)
+    n_rows = rows.count()
     rows = _of_rows(rows.where(F.col(key).isNotNull()), sets, key)
-    per_id = written(rows.groupBy(F.col(key).alias(own_id)).agg(F.max(F.col("class_id") == F.col(key)).alias("stays"), F.count("*").alias("n")))
+    per_id = written(rows.groupBy(F.col(key).alias(own_id)).agg(F.max(F.col("class_id") == F.col(key)).alias("stays"), F.count("*").alias("n")), n_rows)
     lost, repeated = per_id.where("not stays").select(own_id), per_id.where("stays and n > 1").select(own_id)
     kept = docs.where(F.col(key).isNotNull()).join(F.broadcast(lost) if small(lost) else lost, by_id, "left_anti")
     if not repeated.isEmpty():
