@@ -81,10 +81,10 @@ def least_hashes(rows: DataFrame, most: int) -> list[Row]:
     return [r for _, own in groupby(found, lambda r: r["g"]) for r in islice(own, most)]
 
 
-def texts_of(docs: DataFrame, text: str, chosen: list[Row]) -> dict[int, str]:
-    """The texts of docs whose hashes were chosen, each once."""
+def texts_of(docs: DataFrame, text: str, by: Column | str, chosen: list[Row]) -> dict[int, str]:
+    """The texts of docs whose hashes `by` were chosen, each once, in order of hash."""
     if not chosen:
         return {}
     wanted = docs.sparkSession.createDataFrame(sorted({(r["h"],) for r in chosen}), "h long")
-    rows = docs.select(F.col(text).alias("t"), hashed(F.col(text)).alias("h")).join(F.broadcast(wanted), "h", "left_semi")
+    rows = docs.select(F.col(text).alias("t"), (F.col(by) if isinstance(by, str) else by).alias("h")).join(F.broadcast(wanted), "h", "left_semi")
     return {r["h"]: r["t"] for r in rows.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()}

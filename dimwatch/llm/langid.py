@@ -112,7 +112,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     """Profiles from at most `sample` distinct texts of each language."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     chosen = least_hashes(known.select(F.col(lang).cast("string").alias("g"), hashed(F.col(text)).alias("h")), sample)
-    texts = texts_of(known, text, chosen)
+    texts = texts_of(known, text, hashed(F.col(text)), chosen)
     return fit([texts[r["h"]] for r in chosen], [r["g"] for r in chosen])
 
 

@@ -118,6 +118,26 @@ class Subwords:
         return line, per_text
 
 
+def id_type(size: int) -> type:
+    """Of stored ids of a vocabulary."""
+    return np.uint16 if size <= 2**16 else np.int32
+
+
+def stored(line: np.ndarray, per_text: np.ndarray, size: int) -> pa.Array:
+    """Sequences as bytes, one for each text."""
+    kind = id_type(size)
+    ends = np.concatenate([[0], np.cumsum(per_text)]) * np.dtype(kind).itemsize
+    data = pa.py_buffer(line.astype(kind).tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(per_text), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), data]).cast(pa.binary())
+
+
+def read_back(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences that were stored, on one line, and the number of ids of each text."""
+    kind = id_type(size)
+    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int32), lengths // np.dtype(kind).itemsize
+
+
 def windows(per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts on one line: the place of each window's first predicting id, and its text's first and last place."""
     last = np.cumsum(per_text)
@@ -384,15 +404,15 @@ def added(pieces: DataFrame) -> DataFrame:
     return first.groupBy("name").applyInPandas(add, PIECE)
 
 
-def neighbour_counts(training: DataFrame, text: str, model: bytes, counts: np.ndarray) -> np.ndarray:
-    """What stands next to each id, over all training documents."""
+def neighbour_counts(ids: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """What stands next to each id, over all sequences (a column `ids`)."""
     column = neighbour_columns(counts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, near, part = Subwords(model), np.zeros((len(column), 256), np.int32), TaskContext.get().partitionId()
+        near, part = np.zeros((len(column), 256), np.int32), TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                neighbours(*subwords.sequences(*split_words(whole.slice(at, 512).column(0))), column, near)
+                neighbours(*read_back(whole.column(0).slice(at, 512), len(column)), column, near)
         for a in range(0, len(near), 1000):
             own = near[a : a + 1000].reshape(-1)
             there = np.flatnonzero(own)
@@ -400,7 +420,7 @@ def neighbour_counts(training: DataFrame, text: str, model: bytes, counts: np.nd
                 yield piece(part, str(a), there + a * 256, own[there])
 
     near = np.zeros(len(counts) * 256, np.float32)
-    for r in added(training.select(text).mapInArrow(count, PIECE)).toLocalIterator():
+    for r in added(ids.select("ids").mapInArrow(count, PIECE)).toLocalIterator():
         near[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float64)
     return near.reshape(-1, 256)
 
@@ -409,18 +429,18 @@ def piece(part: int, name: str, at: np.ndarray, value: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([value.astype(np.float64).tobytes()], pa.binary())], names=["part", "name", "at", "value"])
 
 
-def learnt_from_all(learner: Learner, training: DataFrame, text: str, model: bytes) -> Learner:
+def learnt_from_all(learner: Learner, ids: DataFrame) -> Learner:
     """The learner after every window of every training document: each task steps through its own from the same start,
     and the changes are averaged, a vector of an id by how often the task had it, the rest by windows."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, subwords = TaskContext.get().partitionId(), Subwords(model)
+        part = TaskContext.get().partitionId()
         own, begun = pickle.loads(pickle.dumps(learner)), learner.p
         own.restart()
         rng, n = np.random.default_rng(part), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                line, per_text = subwords.sequences(*split_words(whole.slice(at, 512).column(0)))
+                line, per_text = read_back(whole.column(0).slice(at, 512), len(own.classes))
                 start, first, last = windows(per_text)
                 mixed = rng.permutation(len(start))
                 for a in range(0, len(mixed), MANY):
@@ -440,7 +460,7 @@ def learnt_from_all(learner: Learner, training: DataFrame, text: str, model: byt
                         mine = rows[rows // 1000 == block]
                         yield piece(part, f"e{block}", mine, np.hstack([own.seen[mine, None], own.seen[mine, None] * change[mine]]))
 
-    for r in added(training.select(text).mapInArrow(learn, PIECE)).toLocalIterator():
+    for r in added(ids.select("ids").mapInArrow(learn, PIECE)).toLocalIterator():
         at = np.frombuffer(r["at"], np.int32)
         value = np.frombuffer(r["value"], np.float64).reshape(len(at), -1)
         x, mean = learner.p["e" if r["name"][0] == "e" else r["name"]], value[:, 1:] / value[:, :1]
@@ -462,51 +482,43 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def id_counts(words: DataFrame, model: bytes, n_ends: int) -> np.ndarray:
-    """How often each id stands in the counted words; each distinct word is encoded once."""
+def id_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each id stands in the sequences."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(model)
-        totals = np.zeros(subwords.size)
-        for b in batches:
-            ids = subwords.model.encode(b.column(0).to_pylist(), num_threads=1)
-            n = b.column(1).to_numpy(zero_copy_only=False)
-            if ids:
-                totals += np.bincount(np.concatenate([*map(np.array, ids)]).astype(np.int64), np.repeat(n, list(map(len, ids))), subwords.size)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(size, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                totals += np.bincount(read_back(whole.column(0).slice(at, 512), size)[0], minlength=size)
         there = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there].astype(np.int64))], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there])], names=["id", "n"])
 
-    totals = np.zeros(Subwords(model).size)
-    for r in words.mapInArrow(encode, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    totals = np.zeros(size)
+    for r in ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         totals[r["id"]] = r["n"]
-    totals[END] += n_ends
+    totals[BEGIN] = 0  # nothing predicts it
     return totals
 
 
 def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows whose column `held_out`
     is true are not learnt from."""
-    spark, proto = docs.sparkSession, Path(model_path).read_bytes()
+    proto = Path(model_path).read_bytes()
+    size = Subwords(proto).size
     training = docs.where(~F.col(held_out))
     words = written(word_counts(training, text))
     n_docs = training.count()
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, v = n_words + n_docs, distinct + (n_docs > 0)
     head = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
-    sample = [*texts_of(training, text, least_hashes(training.where(F.col(text).isNotNull()).select(F.lit(0).alias("g"), hashed(F.col(text)).alias("h")), SAMPLE)).values()]
-    line, per_text = Subwords(proto).sequences(*split_words(pa.array(sample, pa.string())))
-    counts = id_counts(words, proto, n_docs)
-    learner = train(line, per_text, counts, neighbour_counts(training, text, proto, counts))
-    model = learnt_from_all(learner, training, text, proto).model()
-    del sample, line, learner
     log_all = math.log10(train_tokens + ADD * (v + 1))
     log_end = math.log10(n_docs + ADD)
     head_words, head_logs = pa.array(head, pa.large_string()), np.log10(np.array([*head.values(), 0]) + ADD)
     del head
     kind = docs.schema[key].dataType.simpleString()
-    names = ["row", key, "held_out", "n_tokens", "n_head", "head_sum", "score", "tail"]
+    names = ["row", key, "held_out", "n_tokens", "n_head", "head_sum", "h", "tail", "ids"]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, row = Subwords(proto), TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -518,16 +530,33 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
                 sums = np.bincount(owner[there], head_logs[place[there]], len(n)).astype(float)  # of nothing it gives whole numbers
                 ends = np.concatenate([[0], np.cumsum(n - known)])
                 tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(~there)).cast(pa.string()))
-                scores = model.score(*subwords.sequences(flat, n))
-                cols = [pa.array(row + np.arange(len(n))), b.column(0), b.column(2), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(scores), tail]
+                ids = stored(*subwords.sequences(flat, n), size)
+                cols = [pa.array(row + np.arange(len(n))), b.column(0), b.column(2), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), b.column(3), tail, ids]
                 row += len(n)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_head long, head_sum double, score double, tail array<string>"
-    scored = written(docs.select(key, text, F.col(held_out)).mapInArrow(score, schema))
-    rest = scored.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
+    counted = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_head long, head_sum double"
+    texts = docs.select(key, text, F.col(held_out), hashed(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    coded = written(texts.mapInArrow(read, f"{counted}, h long, tail array<string>, ids binary"))
+    known = coded.where("not held_out")
+    sample = texts_of(known, "ids", "h", least_hashes(known.select(F.lit(0).alias("g"), "h"), SAMPLE))
+    line, per_text = read_back(pa.array(sample.values(), pa.binary()), size)
+    counts = id_counts(known, size)
+    learner = train(line, per_text, counts, neighbour_counts(known, counts))
+    model = learnt_from_all(learner, known).model()
+    del sample, line, learner
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                scores = model.score(*read_back(b.column(b.num_columns - 1), size))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], names=[*names[:6], "score"])
+
+    scored = coded.select(*names[:6], "ids").mapInArrow(score, f"{counted}, score double")
+    rest = coded.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("tail_sum"), F.count("n").alias("n_tail"))
-    whole = scored.drop("tail").join(rest, "row", "left")
+    whole = scored.join(rest, "row", "left")
     base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) + F.lit(log_end) - F.col("n_tokens") * F.lit(log_all)
     n_known = F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + F.lit(int(n_docs > 0))
     return whole.select(key, "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = written(own.join(marked, "k").select("g", "h"))  # without ids and texts
     counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().collect()}
     chosen = least_hashes(rows, sample)
-    texts = texts_of(docs, text, chosen)
+    texts = texts_of(docs, text, hashed(F.col(text)), chosen)
     share = sum(n for y, n in counts.items() if y) / max(1, sum(counts.values()))
     return fit([texts[r["h"]] for r in chosen], [int(r["g"] > 0) for r in chosen], share)
 

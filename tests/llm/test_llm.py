@@ -151,7 +151,10 @@ def test_neighbours_are_counted_over_all_documents(spark, sf_dir):
         for i, j in zip(t, t[1:]):
             expected[j, column[i]] += 1
             expected[i, 128 + column[j]] += 1
-    assert (lm_scoring.neighbour_counts(docs.repartition(5), "text", proto, counts) == expected).all()
+    ids = spark.createDataFrame([(lm_scoring.np.array(t, lm_scoring.id_type(subwords.size)).tobytes(),) for t in texts], "ids binary")
+    assert (lm_scoring.neighbour_counts(ids.repartition(5), counts) == expected).all()
+    found = lm_scoring.id_counts(ids.repartition(3), subwords.size)
+    assert (found == counts).all()
 
 
 def test_named_secrets_without_digits_short_or_broken(spark):
@@ -368,3 +371,36 @@ print("sum", rows.select(F.sum(share(F.col("features")))).first()[0], rows.rdd.g
 """
     out = [subprocess.run([sys.executable, "-c", own, f"local[{n}]"], capture_output=True, text=True, timeout=300, check=True).stdout.split("sum ")[-1] for n in (1, 3)]
     assert out[0] == out[1] != ""
+
+
+def test_base_scores_match_sql(spark, sf_dir, duck, monkeypatch):
+    """Tokens, known tokens, training tokens and the base score by SQL, with every word in the head and with none."""
+    import zlib
+
+    import pandas as pd
+
+    folds = pd.DataFrame([(k, zlib.crc32(str(k).encode()) % 10 == 0) for (k,) in duck.execute("select doc_id from documents").fetchall()], columns=["doc_id", "held"])
+    duck.register("folds", folds)
+    expected = duck.execute(r"""
+      with d as (select doc_id, held, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents join folds using (doc_id)),
+      t as (select doc_id, held, unnest(list_append(w, '')) as token from d),
+      c as (select token, count(*) as c from t where not held group by token),
+      a as (select sum(c) as n, count(*) as v from c)
+      select doc_id, any_value(held) as held_out, count(*) as n_tokens, count(c) as n_known, any_value(n)::bigint as train_tokens, sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))) as base_score
+      from t left join c using (token) cross join a group by doc_id""").df()
+    monkeypatch.setattr(lm_scoring, "train", partial(lm_scoring.train, steps=2))
+    for head in (0, 65_536):
+        monkeypatch.setattr(lm_scoring, "HEAD", head)
+        assert not difference(registry.op1_lm_scoring(spark, sf_dir).drop("score").toPandas(), expected), head
+
+
+def test_shares_of_a_small_vocabulary_sum_to_one():
+    """The model's probabilities of every next id after a line add up to 1."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    learner = lm_scoring.Learner(np.arange(300) % 256, rng.integers(0, 50, 300).astype(float), 1)
+    learner.p = {n: (x + rng.normal(0, 0.3, x.shape)).astype(np.float32) for n, x in learner.p.items()}
+    model, line = learner.model(), rng.integers(0, 300, 30)
+    whole = [model.score(np.append(line, i), np.array([31]))[0] for i in range(300)]
+    assert sum(10.0 ** (x - model.score(line, np.array([30]))[0]) for x in whole) == pytest.approx(1, abs=1e-4)
