@@ -160,19 +160,23 @@ def window_ids(line: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.
 #: Distance from each predicting id to each id of its window, and where it would look ahead.
 GAP = (CONTEXT + np.arange(STRIDE))[:, None] - np.arange(CONTEXT + STRIDE)
 AHEAD = np.where(GAP < 0, np.float32(-np.inf), np.float32(0))
+#: By matrix product, sums over the ids of a window take a third of the time.
+ONES = np.ones(CONTEXT + STRIDE, np.float32)
 
 
-def class_shares(h: np.ndarray, p: dict[str, np.ndarray], sup: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def class_shares(h: np.ndarray, p: dict[str, np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the superclasses, and of the classes within each row's own superclass; a column for each row of h,
     which come in order of their superclasses and are cut by them."""
-    shares = p["o1"].T @ h.T + p["b1"][:, None], p["b2"].T[:, sup]
+    one, two = p["o1"].T @ h.T, np.empty((SUPER, len(h)), np.float32)
+    one += p["b1"][:, None]
     for g in np.flatnonzero(np.diff(cuts)):
-        shares[1][:, cuts[g] : cuts[g + 1]] += p["o2"][g].T @ h[cuts[g] : cuts[g + 1]].T
-    for z in shares:
+        part = slice(cuts[g], cuts[g + 1])
+        np.add(p["o2"][g].T @ h[part].T, p["b2"][g][:, None], out=two[:, part])
+    for z in (one, two):
         z -= z.max(axis=0)
         np.exp(z, out=z)
         z /= z.sum(axis=0)
-    return shares
+    return one, two
 
 
 def by_superclass(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,13 +215,13 @@ class Model:
             weight += gap_bias
             np.exp(np.minimum(weight, 30, out=weight), out=weight)
             weight *= there[:, None, :]
-            weight /= weight.sum(axis=2, keepdims=True) + 1e-20
+            weight /= (weight @ ONES + np.float32(1e-20))[:, :, None]
             attended = weight @ seen[:, :, k:]
             attended += x[:, :, k:]
             rows = np.flatnonzero(to_score)
             target = after.ravel()[rows]
             order, sup, sub, cuts = by_superclass(self.classes[target])
-            one, two = class_shares(attended.reshape(-1, WIDTH)[rows[order]], self.out, sup, cuts)
+            one, two = class_shares(np.take(attended.reshape(-1, WIDTH), rows[order], axis=0, mode="clip"), self.out, cuts)
             at = np.arange(len(rows))
             value = np.log(one[sup, at]) + np.log(two[sub, at]) + self.within[target[order]]
             totals += np.bincount(np.repeat(text[s], STRIDE)[rows[order]], value, len(per_text))
@@ -288,7 +292,7 @@ def summed_by(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 2**16 else at, kind="stable")
     at = at[order]
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(starts, append=len(at))
+    return at[starts], np.add.reduceat(np.take(values, order, axis=0, mode="clip"), starts, axis=0), np.diff(starts, append=len(at))
 
 
 class Learner:
@@ -317,24 +321,28 @@ class Learner:
 
     def step(self, ids: np.ndarray, there: np.ndarray, after: np.ndarray, to_score: np.ndarray, rate: float) -> None:
         p, root, n_windows = self.p, np.float32(1 / math.sqrt(KEY_WIDTH)), len(ids)
-        x = p["c"][self.classes[ids]] + p["e"][self.own_row[ids]]
-        xq, flat = x[:, CONTEXT:], x.reshape(-1, WIDTH)
-        own = np.ascontiguousarray(xq).reshape(-1, WIDTH)
-        q, k, v = (own @ p["q"]).reshape(n_windows, STRIDE, -1), (flat @ p["k"]).reshape(n_windows, CONTEXT + STRIDE, -1), (flat @ p["v"]).reshape(n_windows, CONTEXT + STRIDE, -1)
-        s = q @ k.transpose(0, 2, 1) * root + p["g"][np.maximum(GAP, 0)] + AHEAD
-        w = np.exp(np.minimum(s, 30)) * there[:, None, :]
-        w /= w.sum(axis=2, keepdims=True) + 1e-20
-        h = xq + w @ v
+        classes, own_rows = self.classes[ids], self.own_row[ids]
+        x = np.take(p["c"], classes, axis=0, mode="clip")
+        x += np.take(p["e"], own_rows, axis=0, mode="clip")
+        flat, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
+        q, k, v = (own @ (p["q"] * root)).reshape(n_windows, STRIDE, -1), (flat @ p["k"]).reshape(n_windows, CONTEXT + STRIDE, -1), (flat @ p["v"]).reshape(n_windows, CONTEXT + STRIDE, -1)
+        w = q @ k.transpose(0, 2, 1)
+        w += p["g"][np.maximum(GAP, 0)] + AHEAD
+        np.exp(np.minimum(w, 30, out=w), out=w)
+        w *= there[:, None, :]
+        w /= (w @ ONES + np.float32(1e-20))[:, :, None]
+        h = w @ v
+        h += own.reshape(h.shape)
         rows = np.flatnonzero(to_score)
         order, sup, sub, cuts = by_superclass(self.classes[after.ravel()[rows]])
         rows = rows[order]
-        hr = h.reshape(-1, WIDTH)[rows]
-        z1, z2 = class_shares(hr, p, sup, cuts)
+        hr = np.take(h.reshape(-1, WIDTH), rows, axis=0, mode="clip")
+        z1, z2 = class_shares(hr, p, cuts)
         at = np.arange(len(rows))
         z1[sup, at] -= 1
         z2[sub, at] -= 1
-        z1 /= len(rows)
-        z2 /= len(rows)
+        z1 *= np.float32(1 / len(rows))
+        z2 *= np.float32(1 / len(rows))
         g = {"o1": (z1 @ hr).T, "b1": z1.sum(axis=1), "o2": np.zeros_like(p["o2"]), "b2": np.zeros_like(p["b2"])}
         back = z1.T @ p["o1"].T
         for i in np.flatnonzero(np.diff(cuts)):
@@ -344,28 +352,34 @@ class Learner:
         dh = np.zeros((n_windows * STRIDE, WIDTH), np.float32)
         dh[rows] = back
         dh = dh.reshape(n_windows, STRIDE, WIDTH)
-        dw = dh @ v.transpose(0, 2, 1)
-        dv = w.transpose(0, 2, 1) @ dh
-        ds = w * (dw - (dw * w).sum(axis=2, keepdims=True))
-        g["g"] = np.bincount(np.maximum(GAP, 0).ravel(), ds.sum(axis=0).ravel(), CONTEXT + STRIDE).astype(np.float32)
-        dq, dk = (ds @ k * root).reshape(-1, KEY_WIDTH), (ds.transpose(0, 2, 1) @ q * root).reshape(-1, KEY_WIDTH)
-        dv = dv.reshape(-1, WIDTH)
+        dv = (w.transpose(0, 2, 1) @ dh).reshape(-1, WIDTH)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= ((ds * w) @ ONES)[:, :, None]
+        ds *= w
+        g["g"] = np.bincount(np.maximum(GAP, 0).ravel(), ds.reshape(n_windows, -1).sum(axis=0), CONTEXT + STRIDE).astype(np.float32)
+        dq, dk = (ds @ k).reshape(-1, KEY_WIDTH) * root, (ds.transpose(0, 2, 1) @ q).reshape(-1, KEY_WIDTH)
         g["q"], g["k"], g["v"] = own.T @ dq, flat.T @ dk, flat.T @ dv
-        dx = (dk @ p["k"].T + dv @ p["v"].T).reshape(x.shape)
-        dx[:, CONTEXT:] += dh + (dq @ p["q"].T).reshape(dh.shape)
+        dx = dk @ p["k"].T
+        dx += dv @ p["v"].T
+        dh += (dq @ p["q"].T).reshape(dh.shape)
+        dx.reshape(x.shape)[:, CONTEXT:] += dh
         used = np.flatnonzero(there)
-        distinct, dx, n = summed_by(ids.ravel()[used], dx.reshape(-1, WIDTH)[used])
+        distinct, dx, n = summed_by(np.take(ids, used), np.take(dx, used, axis=0, mode="clip"))
         np.add.at(self.seen, self.own_row[distinct], n)
         touched = {"c": summed_by(self.classes[distinct], dx)[:2], "e": (self.own_row[distinct][has := self.own_row[distinct] > 0], dx[has])}
         self.steps += 1
-        fresh = 1 / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
+        rate, fresh = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
         for name, x in p.items():
-            which, grad = touched.get(name, (slice(None), g.get(name)))
-            m, v2 = (t[which] for t in self.moments[name])
-            m = m + 0.1 * (grad - m)
-            v2 = v2 + 0.01 * (grad**2 - v2)
-            self.moments[name][0][which], self.moments[name][1][which] = m, v2
-            x[which] -= np.float32(rate) * (m * np.float32(fresh[0])) / (np.sqrt(v2 * np.float32(fresh[1])) + np.float32(1e-7))
+            which, grad = touched.get(name, (None, g.get(name)))
+            m, v2 = ((t if which is None else t[which]) for t in self.moments[name])
+            m += np.float32(0.1) * (grad - m)
+            v2 += np.float32(0.01) * (grad * grad - v2)
+            change = rate * m / (np.sqrt(v2 * fresh) + np.float32(1e-7))
+            if which is None:
+                x -= change
+            else:
+                self.moments[name][0][which], self.moments[name][1][which] = m, v2
+                x[which] -= change
 
     def model(self) -> Model:
         p, root = self.p, np.float32(1 / math.sqrt(KEY_WIDTH))
