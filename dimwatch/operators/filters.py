@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .clean import first_col
 
+# The names of columns below, which must match those of candidate files.
 ID = "source_id"
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
 
@@ -34,44 +35,56 @@ def with_peaks(df: DataFrame, band: str = "either", source_file: str | None = No
     return out.withColumn("source_file", F.lit(source_file)) if source_file else out
 
 
-def dip_dominated(df: DataFrame, least: float = 0.66) -> DataFrame:
-    """Candidates dominated by dips in some band, by fraction or by flag; an empty result is empty, not an error."""
+def dip_dominated_rule(df: DataFrame, least: float = 0.66) -> Column | None:
     fractions = [F.coalesce(as_number(df, c) >= least, F.lit(False)) for c in ("g_dip_fraction", "v_dip_fraction", "dip_fraction") if c in df.columns]
     flags = [F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in ("g_is_dip_dominated", "v_is_dip_dominated", "g_dip_dominated", "v_dip_dominated", "g_dipdom", "v_dipdom") if c in df.columns]
     tests = fractions + flags
-    return df.where(reduce(Column.__or__, tests)) if tests else df
+    return reduce(Column.__or__, tests) if tests else None
 
 
-def multi_camera(df: DataFrame, least: int = 2) -> DataFrame:
+def multi_camera_rule(df: DataFrame, least: int = 2) -> Column | None:
     n = _first(df, "n_cameras", "num_cameras", "camera_count", "n_cams", "ncam")
-    return df if n is None else df.where(n >= least)
+    return None if n is None else n >= least
 
 
-def periodic(df: DataFrame, most_power: float = 0.5, least_period: float | None = None, most_period: float | None = None) -> DataFrame:
-    """Candidates without a strong period; a missing power fails."""
+def periodic_rule(df: DataFrame, most_power: float = 0.5, least_period: float | None = None, most_period: float | None = None) -> Column | None:
     power, period = _first(df, "ls_max_power", "max_power"), _first(df, "best_period", "ls_best_period", "period")
     if power is None:
-        return df
+        return None
     keep = power <= most_power
     if period is not None and least_period is not None:
         keep &= period >= least_period
     if period is not None and most_period is not None:
         keep &= period <= most_period
-    return df.where(keep)
+    return keep
 
 
-def sparse(df: DataFrame, least_span: float = 200.0, least_rate: float = 0.05) -> DataFrame:
+def sparse_rule(df: DataFrame, least_span: float = 200.0, least_rate: float = 0.05) -> Column | None:
     span, rate = _first(df, "time_span_days", "time_span"), _first(df, "points_per_day", "cadence_per_day")
-    tests = [t for t in (span is not None and span >= least_span, rate is not None and rate >= least_rate) if t is not False]
-    return df.where(reduce(Column.__and__, tests)) if tests else df
+    tests = ([span >= least_span] if span is not None else []) + ([rate >= least_rate] if rate is not None else [])
+    return reduce(Column.__and__, tests) if tests else None
 
 
-def box(df: DataFrame, least_dips: int = 1, most_dips: int = 9, most_rate: float = 0.015, most_std: float = 0.15) -> DataFrame:
-    """Few, sparse dips on a quiet source; all three values must be there."""
+def box_rule(df: DataFrame, least_dips: int = 1, most_dips: int = 9, most_rate: float = 0.015, most_std: float = 0.15) -> Column | None:
     dips, rate, std = _first(df, "n_dip_runs", "n_dips", "number of dips"), _first(df, "peaks_per_time", "peaks per time"), _first(df, "std_mag", "std mag", "std")
     if dips is None or rate is None or std is None:
-        return df
-    return df.where(dips.between(least_dips, most_dips) & (rate <= most_rate) & (std <= most_std))
+        return None
+    return dips.between(least_dips, most_dips) & (rate <= most_rate) & (std <= most_std)
+
+
+def _of_rule(rule: Callable[..., Column | None], what: str) -> Callable[..., DataFrame]:
+    def kept(df: DataFrame, *args: float | None, **parameters: float | None) -> DataFrame:
+        return ByRule(lambda d: rule(d, *args, **parameters))(df)
+
+    kept.__doc__ = what
+    return kept
+
+
+dip_dominated = _of_rule(dip_dominated_rule, "Candidates dominated by dips in some band, by fraction or by flag; an empty result is empty, not an error.")
+multi_camera = _of_rule(multi_camera_rule, "Candidates that enough cameras saw.")
+periodic = _of_rule(periodic_rule, "Candidates without a strong period; a missing power fails.")
+sparse = _of_rule(sparse_rule, "Candidates that were seen long and often enough.")
+box = _of_rule(box_rule, "Few, sparse dips on a quiet source; all three values must be there.")
 
 
 def sigma_resid(df: DataFrame, raw: DataFrame, least: float = 3.0, key: str = ID) -> DataFrame:
@@ -101,31 +114,62 @@ def rejected(before: DataFrame, after: DataFrame, label: str, key: str = ID) ->
 
 
 def chain(df: DataFrame, steps: Sequence[Step], key: str = ID) -> tuple[DataFrame, DataFrame]:
-    """What passes all steps, and the rejection log of all of them."""
-    log = None
-    for label, step in steps:
-        after = step(df)
-        own = rejected(df, after, label, key)
-        log = own if log is None else log.unionByName(own)
-        df = after
-    if log is None:
-        log = df.select(key).withColumn("filter", F.lit("")).limit(0)
-    return df, log
+    """What passes all steps, and the rejection log: the ids that a step leaves no row of, with the step's name.
+
+    Rows are numbered by the steps that they have passed, in one pass and without joins beyond the steps' own: a step
+    that only filters becomes a mark, as its condition holds or not whatever came before; a step that joins is run on
+    what is left. An id's rejection is the last step that any of its rows reached."""
+    log, marked = None, df.withColumn(_FAILED, F.lit(None).cast("int"))
+    labels = [label for label, _ in steps]
+    for i, (_, step) in enumerate(steps):
+        rule = getattr(step, "rule", None)
+        if rule is not None:
+            test = rule(marked)
+            if test is not None:
+                marked = marked.withColumn(_FAILED, F.when(F.col(_FAILED).isNull() & ~F.coalesce(test, F.lit(False)), i).otherwise(F.col(_FAILED)))
+            continue
+        own = _logged(marked, labels, key)
+        left = marked.where(F.col(_FAILED).isNull())
+        after = step(left)
+        own = own.unionByName(rejected(left, after, labels[i], key))
+        log, marked = own if log is None else log.unionByName(own), after
+    own = _logged(marked, labels, key)
+    return marked.where(F.col(_FAILED).isNull()).drop(_FAILED), own if log is None else log.unionByName(own)
+
+
+_FAILED = "_failed_step"
+
+
+def _logged(marked: DataFrame, labels: Sequence[str], key: str) -> DataFrame:
+    """Ids of which no row is left, with the last step that failed one."""
+    last = marked.groupBy(key).agg(F.max(_FAILED).alias("_last"), F.count_if(F.col(_FAILED).isNull()).alias("_left")).where("_left = 0")
+    return last.select(key, F.get(F.array(*map(F.lit, [*labels, ""])), F.col("_last")).alias("filter"))
+
+
+class ByRule:
+    """A step that keeps the rows for which a condition on their own columns holds; no condition keeps all."""
+
+    def __init__(self, rule: Callable[[DataFrame], Column | None]) -> None:
+        self.rule = rule
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        test = self.rule(df)
+        return df if test is None else df.where(test)
 
 
 def default_steps(*, raw: DataFrame | None = None, catalog: DataFrame | None = None, vsx: DataFrame | None = None, least_dip_fraction: float = 0.66, least_cameras: int = 2, most_power: float = 0.5, use_box: bool = False, skip: Sequence[str] = ()) -> list[Step]:
     """The chain's usual steps in order, cheap ones first; joins only with their tables."""
-    steps: list[Step] = [("dip_dominated", lambda d: dip_dominated(d, least_dip_fraction)), ("multi_camera", lambda d: multi_camera(d, least_cameras))]
+    steps: list[Step] = [("dip_dominated", ByRule(lambda d: dip_dominated_rule(d, least_dip_fraction))), ("multi_camera", ByRule(lambda d: multi_camera_rule(d, least_cameras)))]
     if use_box:
-        steps.append(("box", box))
-    steps.append(("sparse", sparse))
+        steps.append(("box", ByRule(box_rule)))
+    steps.append(("sparse", ByRule(sparse_rule)))
     if catalog is not None:
         steps.append(("bns", lambda d: with_catalog(d, catalog)))
     if raw is not None:
         steps.append(("sigma", lambda d: sigma_resid(d, raw)))
     if vsx is not None:
         steps.append(("vsx_class", lambda d: with_vsx_class(d, vsx)))
-    steps.append(("periodic", lambda d: periodic(d, most_power)))
+    steps.append(("periodic", ByRule(lambda d: periodic_rule(d, most_power))))
     return [s for s in steps if s[0] not in skip]
 
 

@@ -89,15 +89,15 @@ def linear_trend(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
 
 
 def by_camera_and_band(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
-    """Per camera, band, and both: n, median, robust sigma, mean error and offset from the source's median. Points are
-    dealt out once for the three groupings."""
+    """Per camera, band, and both: n, median, robust sigma, mean error (a decimal, so that its sum doesn't depend on the
+    order of points) and offset from the source's median. Points are dealt out once for the three groupings."""
     whole = points.withColumn("source_median", F.median("mag").over(W.partitionBy(*keys)))
 
     def grouping(name: str, camera: Column, band: Column) -> DataFrame:
         marked = whole.withColumns({"grouping": F.lit(name), "g_camera": camera, "g_band": band})
         own = (*keys, "grouping", "g_camera", "g_band")
         dev = with_deviation(marked, own)
-        stats = dev.groupBy(*own).agg(F.count("*").alias("n_obs"), F.first("median").alias("med_mag"), (MAD_FACTOR * F.median("deviation")).alias("mad_sigma"), F.avg("error").alias("mean_err"), F.first("source_median").alias("_m"))
+        stats = dev.groupBy(*own).agg(F.count("*").alias("n_obs"), F.first("median").alias("med_mag"), (MAD_FACTOR * F.median("deviation")).alias("mad_sigma"), F.avg(F.col("error").cast("decimal(18,9)")).alias("mean_err"), F.first("source_median").alias("_m"))
         return stats.withColumn("offset", F.col("med_mag") - F.col("_m")).drop("_m")
 
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
