@@ -63,20 +63,30 @@ def predicted(kernel: Callable[[np.ndarray], np.ndarray], t: np.ndarray, y: np.n
     return across.T @ np.linalg.solve(root, y), np.maximum(kernel(np.zeros(1))[0] - (across * across).sum(axis=0), 0.0)
 
 
+def clipped_scale(x: np.ndarray, clip: float, rounds: int, least: int) -> np.ndarray:
+    """Members of x that stay within so many robust deviations of the median of those that stayed before. A round that
+    starts with fewer than `least` changes nothing; a result of fewer is replaced by all of x."""
+    own = np.sort(x)
+    low, high = 0, len(own)  # what stays is a stretch of the sorted values
+    for _ in range(rounds):
+        if high - low < least:
+            break
+        middle, reach = np.median(own[low:high]), clip * max(mad_sigma(own[low:high]), 1e-12)
+        low, high = np.searchsorted(own, middle - reach), np.searchsorted(own, middle + reach, side="right")
+    few = high - low < least
+    bounds = (-np.inf, np.inf) if few else (own[low], own[high - 1])
+    return (x >= bounds[0]) & (x <= bounds[1])
+
+
 def noise_floor(resid: np.ndarray, error: np.ndarray, variance: np.ndarray, clip: float = 3.0, rounds: int = 3, least: int = LEAST_FLOOR) -> float:
-    """Scatter of quiet residuals beyond errors and model variance; 0 for too few points."""
-    good = np.isfinite(resid) & np.isfinite(error) & np.isfinite(variance)
-    least = max(10, least)
-    if good.sum() < least:
+    """Scatter of quiet residuals that neither errors nor the model's variance explain: the robust variance of clipped
+    residuals less the median of both. 0 for too few points, or if nothing is left."""
+    table = np.stack([resid, error * error, variance])
+    table = table[:, np.isfinite(table).all(axis=0)]
+    if table.shape[1] < least:
         return 0.0
-    r, quiet = resid[good], np.ones(good.sum(), bool)
-    for _ in range(max(1, rounds)):
-        if quiet.sum() < least:
-            break
-        quiet = np.abs(r - np.median(r[quiet])) <= clip * max(mad_sigma(r[quiet]), 1e-12)
-    own = r[quiet] if quiet.sum() >= least else r
-    chosen = quiet if quiet.any() else ~quiet
-    return math.sqrt(max(max(mad_sigma(own), 1e-12) ** 2 - np.median(error[good][chosen] ** 2) - np.median(variance[good][chosen]), 0.0))
+    r, squared, modelled = table[:, clipped_scale(table[0], clip, rounds, least)]
+    return math.sqrt(max(mad_sigma(r) ** 2 - float(np.median(squared)) - float(np.median(modelled)), 0.0))
 
 
 def whole_errors(error: np.ndarray, jitter: float) -> np.ndarray:
@@ -191,8 +201,8 @@ def paczynski_shape(t: np.ndarray, amp: float, t0: float, width: float, base: fl
     return base + amp * e, np.stack([e, amp * e**3 * u / width, amp * e**3 * u * u / width, np.ones_like(t)])
 
 
-def least_squares(shape: Callable[..., tuple[np.ndarray, np.ndarray]], t: np.ndarray, y: np.ndarray, error: np.ndarray, start: np.ndarray, most: int = 400) -> np.ndarray:
-    """Parameters of the weighted least squares by damped Gauss-Newton steps."""
+def least_squares(shape: Callable[..., tuple[np.ndarray, np.ndarray]], t: np.ndarray, y: np.ndarray, error: np.ndarray, start: np.ndarray, most: int = 400, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Parameters of the weighted least squares by damped Gauss-Newton steps, each put back within the bounds."""
     p, damping, weight = np.array(start, float), 1e-3, 1 / np.maximum(error, 1e-9)
     value, slope = shape(t, *p)
     cost = (((y - value) * weight) ** 2).sum()
@@ -200,11 +210,12 @@ def least_squares(shape: Callable[..., tuple[np.ndarray, np.ndarray]], t: np.nda
         j = (slope * weight).T
         square = j.T @ j
         step = np.linalg.lstsq(square + damping * np.diag(np.diag(square) + 1e-12), j.T @ ((y - value) * weight), rcond=None)[0]
-        next_value, next_slope = shape(t, *(p + step))
+        moved = p + step if bounds is None else np.clip(p + step, *bounds)
+        next_value, next_slope = shape(t, *moved)
         next_cost = (((y - next_value) * weight) ** 2).sum()
         if np.isfinite(next_cost) and next_cost <= cost:
             done = cost - next_cost <= 1e-12 * max(cost, 1e-12)
-            p, value, slope, cost, damping = p + step, next_value, next_slope, next_cost, max(damping / 10, 1e-12)
+            p, value, slope, cost, damping = moved, next_value, next_slope, next_cost, max(damping / 10, 1e-12)
             if done:
                 break
         elif (damping := damping * 10) > 1e12:
@@ -212,31 +223,39 @@ def least_squares(shape: Callable[..., tuple[np.ndarray, np.ndarray]], t: np.nda
     return p
 
 
+# Points that a shape needs, the gain in BIC that it must exceed, the share of the window that a first
+# width is and its least, and the least error of a point.
+LEAST_SHAPE, GAIN, FIRST_WIDTH, LEAST_WIDTH, LEAST_ERROR = 4, 10.0, 0.25, 0.01, 1e-9
+#: Shapes that are tried for each kind of run, in order, and the sign of a first amplitude (0: that of the extreme point).
+SHAPES = {"dip": [("gaussian", gaussian_shape, 0)], "jump": [("gaussian", gaussian_shape, 0), ("paczynski", paczynski_shape, -1)]}
+
+
 def run_shape(t: np.ndarray, y: np.ndarray, error: np.ndarray, kind: str) -> tuple[str, float, float, float, float, float, float]:
-    """Shape that explains a run's surroundings best, its BIC and gain over none, and its parameters. A shape must gain
-    more than 10 over the best before it and point the right way: a bell for both kinds, then a microlensing curve for
-    jumps. `none` for fewer than four points, `noise` if nothing gains."""
-    missing = (math.nan,) * 4
-    if len(t) < 4:
-        return ("none", math.nan, 0.0, *missing)
-    base = np.median(y)
-    at = np.abs(y - base).argmax()
-    amp, width = y[at] - base, max((t[-1] - t[0]) / 4, 0.01)
-    bic = lambda r, k: float(((r / np.maximum(error, 1e-9)) ** 2).sum() + k * math.log(len(t)))
-    null = bic(y - base, 1)
-    best = ("noise", null, missing)
-    for name, shape, first in (("gaussian", gaussian_shape, amp), ("paczynski", paczynski_shape, -abs(amp)))[: 1 if kind == "dip" else 2]:
-        p = least_squares(shape, t, y, error, np.array([first, t[at], width, base]))
-        gain = bic(y - shape(t, *p)[0], 4)
-        if (p[0] > 0) == (kind == "dip") and p[0] != 0 and gain < best[1] - 10:
-            best = (name, gain, tuple(map(float, p)))
-    return (best[0], best[1], null - best[1], *best[2])
+    """Shape that explains a run's surroundings best, its BIC and gain over none, and its parameters. A shape must point
+    the right way and gain more than GAIN over the best before it. `none` for too few points, `noise` if nothing gains."""
+    if len(t) < LEAST_SHAPE:
+        return ("none", math.nan, 0.0, *(math.nan,) * 4)
+    e, level = np.maximum(error, LEAST_ERROR), float(np.median(y))
+    extreme = int(np.abs(y - level).argmax())
+    away = float(y[extreme]) - level
+    penalty = math.log(len(t))
+    flat = float((((y - level) / e) ** 2).sum()) + penalty
+    name, least, parameters = "noise", flat, (math.nan,) * 4
+    for own, shape, sign in SHAPES[kind]:
+        first = np.array([sign * abs(away) if sign else away, t[extreme], max(FIRST_WIDTH * (t[-1] - t[0]), LEAST_WIDTH), level])
+        fitted = least_squares(shape, t, y, error, first)
+        cost = float((((y - shape(t, *fitted)[0]) / e) ** 2).sum()) + 4 * penalty
+        fainter = fitted[0] > 0
+        if fitted[0] and fainter == (kind == "dip") and least - cost > GAIN:
+            name, least, parameters = own, cost, tuple(map(float, fitted))
+    return (name, least, flat - least, *parameters)
 
 
 def run_shapes(points: DataFrame, runs: DataFrame, kind: str, keys: Keys = SOURCE, pad: int = 5) -> DataFrame:
     """runs (keys, run, start_idx, end_idx) with morphology, bic, delta_bic_null, amp, t0, width and base, from a source's
     points up to `pad` places around each run. Runs are bounded by a source's points; a source's are fitted together."""
     placed = indexed(points, keys).select(*keys, "idx", "jd", "mag", "error")
+    runs = runs.select(*(F.col(c).alias(c) for c in runs.columns))  # columns of their own, where both come from one table
     types = dict(runs.dtypes)
     numbers = ["bic", "delta_bic_null", "amp", "t0", "width", "base"]
 
