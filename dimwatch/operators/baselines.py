@@ -1,13 +1,17 @@
 """Baselines: what a source's magnitude would be without an event. Each adds baseline, resid and sigma_resid.
 
-Windows only, so a source's points are dealt out once by source (or source and camera). A halving search for a window
+A source's points are dealt out once by source (or source and camera), for windows and for the kernel of rolling
+medians alike. A halving search for a window
 with enough points always ends as the first window did, since a shorter one holds no more; one frame says the same.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,9 +28,44 @@ def frame(keys: Keys, days: float, past_only: bool = True) -> str:
     return f"(partition by {', '.join(keys)} order by jd range between {around})"
 
 
-def rolling_median(value: str, keys: Keys, days: float, least_points: int = 10, past_only: bool = True) -> Column:
-    f = frame(keys, days, past_only)
-    return F.expr(f"case when count({value}) over {f} >= {least_points} then percentile({value}, 0.5D) over {f} end")
+def sliding(t: np.ndarray, x: np.ndarray, before: float, after: float, least: int, deviation: bool = False) -> np.ndarray:
+    """For each time in order, the median of the values between so many days before and after it, both ends and equal
+    times included, or their median absolute deviation; NaN for fewer than `least`. The window is kept sorted while it
+    moves, so a point costs its search and the shift of the window, not a sort of it."""
+    out = np.full(len(t), np.nan)
+    starts, ends = np.searchsorted(t, t - before, side="left"), np.searchsorted(t, t + after, side="right")
+    held: list[float] = []
+    a = b = 0
+    for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        for v in x[b:end].tolist():
+            if v == v:
+                insort(held, v)
+        b = max(b, end)
+        for v in x[a:start].tolist():
+            if v == v:
+                del held[bisect_left(held, v)]
+        a, n = start, len(held)
+        if n >= max(least, 1):
+            middle = (held[(n - 1) // 2] + held[n // 2]) / 2
+            out[i] = np.median(np.abs(np.array(held) - middle)) if deviation else middle
+    return out
+
+
+def rolled(points: DataFrame, to: str, value: str, keys: Keys, days: float, least_points: int = 10, past_only: bool = True, deviation: bool = False) -> DataFrame:
+    """points with a rolling median of a column (or its median absolute deviation), by a kernel over each group's points
+    in time; null where there are too few. Points without a time have none."""
+    before, after = (days, 0.0) if past_only else (days / 2, days / 2)
+
+    def roll(group: pa.Table) -> pa.Table:
+        t, x = (group[c].to_numpy().astype(float) for c in ("jd", value))
+        order = np.argsort(t, kind="stable")
+        order = order[~np.isnan(t[order])]
+        found = np.full(len(t), np.nan)
+        found[order] = sliding(t[order], x[order], before, after, least_points, deviation)
+        return group.append_column(to, pa.array(found, pa.float64(), from_pandas=True))
+
+    schema = ", ".join(f"`{c}` {k}" for c, k in points.dtypes) + f", `{to}` double"
+    return points.groupBy(*keys).applyInArrow(roll, schema)
 
 
 def rolling_mean(value: str, keys: Keys, days: float, least_points: int = 10, past_only: bool = True) -> Column:
@@ -34,20 +73,13 @@ def rolling_mean(value: str, keys: Keys, days: float, least_points: int = 10, pa
     return F.expr(f"case when count({value}) over {f} >= {least_points} then avg({value}) over {f} end")
 
 
-def middle(values: Column) -> Column:
-    """Median of an array without nulls."""
-    s, n = F.array_sort(values), F.size(values)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-
-
 def rolling_mad(points: DataFrame, value: str, keys: Keys, days: float, least_points: int = 10, add_error: str | None = None, past_only: bool = True, to: str = "sigma") -> DataFrame:
     """points with 1.4826 times the rolling MAD of a column, in quadrature with an error column if one is named."""
-    f = frame(keys, days, past_only)
-    listed = points.withColumn("_w", F.expr(f"collect_list({value}) over {f}")).withColumn("_m", middle(F.col("_w")))
-    mad = MAD_FACTOR * middle(F.transform("_w", lambda x: F.abs(x - F.col("_m"))))
+    mad = MAD_FACTOR * F.col(to)
     if add_error:
         mad = F.sqrt(mad * mad + F.coalesce(F.col(add_error), F.lit(0.0)) ** 2)
-    return listed.withColumn(to, F.when(F.size("_w") >= least_points, F.greatest(mad, F.lit(LEAST_SIGMA)))).drop("_w", "_m")
+    rows = rolled(points, to, value, keys, days, least_points, past_only, deviation=True)
+    return rows.withColumn(to, F.when(F.col(to).isNotNull(), F.greatest(mad, F.lit(LEAST_SIGMA))))
 
 
 def with_robust_sigma(points: DataFrame, keys: Keys) -> DataFrame:
@@ -72,7 +104,8 @@ def global_median(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
 
 
 def global_rolling_median(points: DataFrame, keys: Keys = SOURCE, days: float = 1000.0, least_points: int = 10, past_only: bool = True) -> DataFrame:
-    return _finished(points, rolling_median("mag", keys, days, least_points, past_only), keys)
+    rows = rolled(points.drop("baseline"), "baseline", "mag", keys, days, least_points, past_only)
+    return _finished(rows, F.col("baseline"), keys)
 
 
 def global_rolling_mean(points: DataFrame, keys: Keys = SOURCE, days: float = 1000.0, least_points: int = 10, past_only: bool = True) -> DataFrame:
@@ -92,7 +125,7 @@ def per_camera_trend(points: DataFrame, keys: Keys = SOURCE, days_short: float =
     exists. Sigma is a rolling MAD; the last days of a camera, where an event may have cut it off, and other gaps get
     the whole camera's and the least sigma."""
     own = (*keys, "camera")
-    out = points.withColumn("_s", rolling_median("mag", own, days_short, least_points)).withColumn("_l", rolling_median("mag", own, days_long, least_points))
+    out = rolled(rolled(points, "_s", "mag", own, days_short, least_points), "_l", "mag", own, days_long, least_points)
     both = F.col("_s").isNotNull() & F.col("_l").isNotNull()
     out = out.withColumn("baseline", F.when(both & (F.abs(F.col("_s") - F.col("_l")) > apart), F.col("_s")).otherwise(F.coalesce("_l", "_s")))
     out = out.withColumn("resid", F.col("mag") - F.col("baseline")).withColumn("_e", F.median("error").over(W.partitionBy(*own)))

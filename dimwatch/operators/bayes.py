@@ -1,13 +1,16 @@
 """Bayesian event scores: local log Bayes factors, triggers, runs and a row per source.
 
 A point's factor compares a flat prior over a grid of event magnitudes with the baseline. The grid is a function of the
-source's percentiles, so it is computed in the row and nothing is joined or exploded.
+source's percentiles, so it is computed in the row, by batches of rows, and nothing is joined or exploded.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,11 +38,6 @@ def log_gaussian(x: Column, mu: Column, sigma: Column) -> Column:
     return -0.5 * ((x - mu) / s) * ((x - mu) / s) - F.log(s) - HALF_LOG_2PI
 
 
-def log_sum_exp(values: Column, top: Column) -> Column:
-    """Logarithm of the summed exponentials of an array whose greatest value is top."""
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
-
-
 def logit_grid(low: float, high: float, n: int = 80) -> Column:
     """n probabilities evenly spaced in their log odds."""
     a, b = (math.log(max(p, 1e-12) / max(1 - p, 1e-12)) for p in (low, high))
@@ -68,20 +66,34 @@ def grid_ends(points: DataFrame, kind: str, keys: Keys = SOURCE) -> DataFrame:
     return out.withColumn("grid_stop", F.when(F.col("grid_start") == F.col("grid_stop"), F.col("grid_start") + apart).otherwise(F.col("grid_stop"))).drop("_lo", "_hi", "_b")
 
 
-def grid(n: int = GRID) -> Column:
-    """The magnitude grid between grid_start and grid_stop."""
-    step = (F.col("grid_stop") - F.col("grid_start")) / (n - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("grid_start") + i * step)
+def log_factor(n: int = GRID) -> Callable[..., Column]:
+    """Log Bayes factor of magnitudes against their baselines, for an event anywhere on a grid of n magnitudes between two
+    ends, from batches of columns: magnitude, baseline, sigma, ends. Nulls give null."""
+    share = np.linspace(0, 1, n)
+
+    @F.pandas_udf("double")
+    def factor(mag: pd.Series, baseline: pd.Series, sigma: pd.Series, start: pd.Series, stop: pd.Series) -> pd.Series:
+        m, b, s, low, high = (x.to_numpy(float, na_value=np.nan) for x in (mag, baseline, sigma, start, stop))
+        s, out = np.maximum(s, 1e-12), np.empty(len(m))
+        for at in range(0, len(m), 4096):  # so many points by n doubles at a time
+            r = slice(at, at + 4096)
+            z = (m[r, None] - (low[r, None] + share * (high[r] - low[r])[:, None])) / s[r, None]
+            exponent = -0.5 * z * z
+            top = exponent.max(axis=1, keepdims=True)
+            quiet = (m[r] - b[r]) / s[r]
+            out[r] = top[:, 0] + np.log(np.exp(exponent - top).sum(axis=1)) - math.log(n) + 0.5 * quiet * quiet
+        return pd.Series(out).where(np.isfinite(out), None)
+
+    return factor
 
 
 def local_log_bf(points: DataFrame, kind: str, keys: Keys = SOURCE, n: int = GRID) -> DataFrame:
-    """points (with baseline) with log_bf of a dip or jump. The effective error is sigma_eff if there is one."""
+    """points (with baseline) with log_bf of a dip or jump. The effective error is sigma_eff if there is one. The
+    Gaussians' own factors, sigma and the root of two pi, are the same for event and baseline."""
     sigma = F.coalesce(F.col("sigma_eff"), F.col("error")) if "sigma_eff" in points.columns else F.col("error")
-    ended = grid_ends(points.where(F.col("baseline").isNotNull()), kind, keys).withColumn("_s", sigma).withColumn("_g", grid(n))
-    event = F.transform("_g", lambda m: log_gaussian(F.col("mag"), m, F.col("_s")))
-    scored = ended.withColumn("_l", event).withColumn("_top", F.array_max("_l"))  # a column of its own: a lambda would find it anew for each element
-    scored = scored.withColumn("log_bf", log_sum_exp(F.col("_l"), F.col("_top")) - math.log(n) - log_gaussian(F.col("mag"), F.col("baseline"), F.col("_s")))
-    return scored.drop("_g", "_l", "_top", "_s", "grid_start", "grid_stop")
+    ended = grid_ends(points.where(F.col("baseline").isNotNull()), kind, keys)
+    scored = ended.withColumn("log_bf", log_factor(n)(F.col("mag"), F.col("baseline"), sigma, F.col("grid_start"), F.col("grid_stop")))
+    return scored.drop("grid_start", "grid_stop")
 
 
 def baseline_evidence(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
@@ -91,7 +103,7 @@ def baseline_evidence(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
 
 def triggered(points: DataFrame, kind: str, keys: Keys = SOURCE, threshold: float = LOGBF_THRESHOLD) -> DataFrame:
     """Points (with idx, cadence, score) whose score reaches the threshold; a probability above 1 is a percentage."""
-    placed = R.with_cadence(indexed(points, keys), keys)
+    placed = R.with_cadence(indexed(points.where(F.col("baseline").isNotNull()), keys), keys)
     return local_log_bf(placed, kind, keys).withColumnRenamed("log_bf", "score").where(F.col("score") >= threshold)
 
 
@@ -121,7 +133,8 @@ def scan(points: DataFrame, baseline: str = "per_camera_median", by_band: bool =
     point score and triggered points. Both kinds share one baseline and one shuffle of runs."""
     keys: Keys = ("source_id", "band") if by_band else SOURCE
     valid = valid_for_scoring(points, keys)
-    placed = R.with_cadence(indexed(BASELINES[baseline](valid, keys, **parameters), keys), keys)
+    based = BASELINES[baseline](valid, keys, **parameters)
+    placed = R.with_cadence(indexed(based.where(F.col("baseline").isNotNull()), keys), keys)  # points without a baseline don't part runs
     for kind in KINDS:
         placed = local_log_bf(placed, kind, keys).withColumnRenamed("log_bf", f"_{kind}")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("score")) for k in KINDS)))

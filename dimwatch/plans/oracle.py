@@ -83,16 +83,41 @@ _SKY = """sa AS (SELECT c_custkey::VARCHAR AS source_id, c_custkey * 0.37::DOUBL
 
 _CANDIDATES = _baseline("median(mag) OVER (PARTITION BY source_id)")[0] + ", " + _metrics("f") + """,
   ca AS (SELECT source_id, count(DISTINCT camera) AS n_cameras, max(jd) - min(jd) AS time_span_days, count(*) / (max(jd) - min(jd)) AS points_per_day, stddev_pop(mag) AS std_mag FROM ce GROUP BY source_id),
-  cb AS (SELECT ca.*, t.dip_fraction, t.n_dip_runs FROM ca JOIN t USING (source_id)),
-  s1 AS (SELECT * FROM cb WHERE dip_fraction >= 0.5), s2 AS (SELECT * FROM s1 WHERE n_cameras >= 5), s3 AS (SELECT * FROM s2 WHERE time_span_days >= 20 AND points_per_day >= 1.5)"""
+  cb AS (SELECT ca.*, t.dip_fraction, t.n_dip_runs, t.n_dip_runs / time_span_days AS peaks_per_time FROM ca JOIN t USING (source_id)),
+  s1 AS (SELECT * FROM cb WHERE dip_fraction >= 0.5), s2 AS (SELECT * FROM s1 WHERE n_cameras >= 5), s3 AS (SELECT * FROM s2 WHERE time_span_days >= 29 AND points_per_day >= 2), s4 AS (SELECT * FROM s3 WHERE n_dip_runs BETWEEN 1 AND 17 AND peaks_per_time <= 0.6 AND std_mag <= 1.35)"""
 
 
 def _grouping(name: str, keys: str, camera: str, band: str) -> str:
     by = ", ".join(["source_id", *keys.split()])
-    return f"""SELECT source_id, '{name}' AS grouping, {camera} AS g_camera, {band} AS g_band, count(*) n_obs, any_value(gm) med_mag, 1.4826 * median(abs(mag - gm)) mad_sigma, avg(error) mean_err, any_value(gm) - any_value(sm) AS "offset"
+    return f"""SELECT source_id, '{name}' AS grouping, {camera} AS g_camera, {band} AS g_band, count(*) n_obs, any_value(gm) med_mag, 1.4826 * median(abs(mag - gm)) mad_sigma, ((2 * sum((error * 1e9)::BIGINT)::HUGEINT + 1000 * count(*)) // (2000 * count(*)))::DOUBLE / 1000000 AS mean_err, any_value(gm) - any_value(sm) AS "offset"
       FROM (SELECT *, median(mag) OVER (PARTITION BY source_id) AS sm, median(mag) OVER (PARTITION BY {by}) AS gm FROM e) GROUP BY {by}"""
 
 
+def _kind(kind: str) -> str:
+    """Tables of one kind of event that end in `<kind>_row`: scores of points, their runs, and a row per source."""
+    k = kind
+    a, z = ("b + 0.02", "greatest(b + 0.02, hi + 0.5 * spread)") if kind == "dip" else ("least(b - 0.02, lo - 0.5 * spread)", "b - 0.02")
+    return f"""{k}_grid AS (SELECT source_id, {a} AS a, CASE WHEN {a} = {z} THEN ({a}) {'+' if kind == 'dip' else '-'} 0.1 ELSE {z} END AS z FROM ends),
+      {k}_each AS (SELECT source_id, seq, any_value(idx) AS idx, any_value(jd) AS jd, any_value(cadence) AS cadence, list(-0.5 * ((mag - (a + k * (z - a) / 59)) / error) ** 2) AS le, any_value(-0.5 * ((mag - baseline) / error) ** 2) AS lb
+        FROM placed JOIN {k}_grid USING (source_id) CROSS JOIN (SELECT unnest(range(60)) AS k) WHERE baseline IS NOT NULL GROUP BY source_id, seq),
+      {k}_scores AS (SELECT *, list_max(le) + ln(list_sum(list_transform(le, lambda x: exp(x - list_max(le))))) - ln(60) - lb AS score FROM {k}_each),
+      {k}_hits AS (SELECT *, CASE WHEN idx - lag(idx) OVER w > 2 OR jd - lag(jd) OVER w > greatest(coalesce(cadence, 0) * 5, 5) THEN 1 ELSE 0 END AS fresh FROM {k}_scores WHERE score >= 5 WINDOW w AS (PARTITION BY source_id ORDER BY idx)),
+      {k}_in AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY idx) AS run FROM {k}_hits),
+      {k}_runs AS (SELECT source_id, count(*) AS n, max(jd) - min(jd) AS days, max(score) AS most, sum(score) AS total FROM {k}_in GROUP BY source_id, run
+        HAVING n >= 3 AND days >= greatest(coalesce(any_value(cadence), 0) * 2, 2) AND most >= 5 AND total >= 12.5),
+      {k}_row AS (SELECT source_id, max(score) AS {k}_max_log_bf_local, count(*) FILTER (score >= 5) AS {k}_count, any_value(r.c) AS c, coalesce(any_value(r.c), 0)::BIGINT AS {k}_run_count, any_value(r.n) AS {k}_max_run_points, any_value(r.days) AS {k}_max_run_duration,
+        any_value(r.total) AS {k}_max_run_sum, any_value(r.most) AS {k}_max_run_max, coalesce(any_value(r.c), 0) > 0 AS {k}_significant
+        FROM {k}_scores LEFT JOIN (SELECT source_id, count(*) AS c, max(n) AS n, max(days) AS days, max(total) AS total, max(most) AS most FROM {k}_runs GROUP BY source_id) r USING (source_id) GROUP BY source_id)"""
+
+
+_SCAN = f"""valid AS (SELECT * FROM l WHERE error > 0 AND error < 10 QUALIFY count(*) OVER (PARTITION BY source_id) >= 10),
+  based AS (SELECT *, {_rolling(300.0, _CAMERA, 10)} AS baseline FROM valid),
+  spaced AS (SELECT *, row_number() OVER w - 1 AS idx, jd - lag(jd) OVER w AS dt FROM based WHERE baseline IS NOT NULL WINDOW w AS (PARTITION BY source_id ORDER BY jd, seq)),
+  placed AS (SELECT *, median(dt) FILTER (dt > 0) OVER (PARTITION BY source_id) AS cadence FROM spaced),
+  ends AS (SELECT source_id, median(baseline) AS b, quantile_cont(mag, 0.05) AS lo, quantile_cont(mag, 0.95) AS hi, greatest(quantile_cont(mag, 0.95) - quantile_cont(mag, 0.05), 0.05) AS spread FROM placed WHERE baseline IS NOT NULL GROUP BY source_id),
+  {_kind('dip')}, {_kind('jump')}"""
+
+
 SQL: dict[str, str] = {
     "clean_lc": _sql("SELECT * FROM ce", "source_id seq", "jd mag error"),
     "scoring_status": _sql("""SELECT source_id, count(*) FILTER (isfinite(jd) AND isfinite(mag) AND error > 0 AND error < 10) AS n_valid,
@@ -159,11 +184,17 @@ SQL: dict[str, str] = {
       ev AS (SELECT ce.source_id, seq, -0.5 * ((mag - (a + k * (z - a) / 59)) / error) ** 2 - ln(error) AS le, -0.5 * ((mag - b) / error) ** 2 - ln(error) AS lb FROM ce JOIN g1 USING (source_id) CROSS JOIN gi)"""),
     "sky_pairs": _sql("SELECT * FROM kn", "source_id other_id", "sep_arcsec", _SKY, 3),
     "sky_nearest": _sql("SELECT source_id, other_id, sep_arcsec FROM ka LEFT JOIN (SELECT source_id, arg_min(other_id, sep_arcsec) AS other_id, min(sep_arcsec) AS sep_arcsec FROM kn GROUP BY source_id) USING (source_id)", "source_id other_id", "sep_arcsec", _SKY, 3),
-    "candidates": _sql("SELECT * FROM cb", "source_id n_cameras n_dip_runs", "time_span_days points_per_day std_mag dip_fraction", _CANDIDATES),
-    "filter_chain": _sql("SELECT * FROM s3", "source_id", "", _CANDIDATES),
+    "candidates": _sql("SELECT * FROM cb", "source_id n_cameras n_dip_runs", "time_span_days points_per_day std_mag dip_fraction peaks_per_time", _CANDIDATES),
+    "filter_chain": _sql("SELECT * FROM s4", "source_id", "", _CANDIDATES),
     "rejection_log": _sql("""SELECT source_id, 'dip_dominated' AS filter FROM cb ANTI JOIN s1 USING (source_id) UNION ALL SELECT source_id, 'multi_camera' FROM s1 ANTI JOIN s2 USING (source_id)
-      UNION ALL SELECT source_id, 'sparse' FROM s2 ANTI JOIN s3 USING (source_id)""", "source_id filter", "", _CANDIDATES),
-    "retention": _sql("SELECT (SELECT count(*) FROM cb) AS n_before, (SELECT count(DISTINCT source_id) FROM s3) AS n_kept", "n_before n_kept n_kept/n_before@retention", "", _CANDIDATES).replace("n_kept/n_before@retention", "round(n_kept / n_before, 6) AS retention"),
+      UNION ALL SELECT source_id, 'sparse' FROM s2 ANTI JOIN s3 USING (source_id) UNION ALL SELECT source_id, 'box' FROM s3 ANTI JOIN s4 USING (source_id)""", "source_id filter", "", _CANDIDATES),
+    "retention": _sql("SELECT (SELECT count(*) FROM cb) AS n_before, (SELECT count(DISTINCT source_id) FROM s4) AS n_kept", "n_before n_kept n_kept/n_before@retention", "", _CANDIDATES).replace("n_kept/n_before@retention", "round(n_kept / n_before, 6) AS retention"),
     "fp_summary": """WITH q AS (SELECT p_brand AS mag_bin, p_size % 3 > 0 AS g, CASE WHEN p_size % 5 > 0 THEN p_size % 2 ELSE 0 END > 0 AS v FROM part)
       SELECT mag_bin, count(*) n, count(*) FILTER (g) n_g, count(*) FILTER (v) n_v, count(*) FILTER (g OR v) n_either, count(*) FILTER (g AND v) n_both FROM q GROUP BY ROLLUP (mag_bin)""",
+    "custom_id": _sql("""SELECT source_id, concat('J', lpad(floor(h)::BIGINT::VARCHAR, 2, '0'), lpad(floor(m)::BIGINT::VARCHAR, 2, '0'), lpad(round((m - floor(m)) * 60)::BIGINT::VARCHAR, 2, '0'), CASE WHEN dec < 0 THEN '-' ELSE '+' END,
+      lpad(floor(d)::BIGINT::VARCHAR, 2, '0'), lpad(floor(p)::BIGINT::VARCHAR, 2, '0'), lpad(round((p - floor(p)) * 60)::BIGINT::VARCHAR, 2, '0')) AS custom_id
+      FROM (SELECT *, (h - floor(h)) * 60 AS m, (d - floor(d)) * 60 AS p FROM (SELECT *, ra / 15 AS h, abs(dec) AS d FROM ka))""", "source_id custom_id", "", _SKY),
+    "bayes_scan": _sql("SELECT *, 'per_camera_median' AS baseline_source, 'logbf' AS trigger_mode FROM (SELECT DISTINCT source_id FROM valid) LEFT JOIN dip_row USING (source_id) LEFT JOIN jump_row USING (source_id)",
+                       "source_id baseline_source trigger_mode " + " ".join(f"{k}_{c}" for k in ("dip", "jump") for c in ("count", "run_count", "max_run_points", "significant")),
+                       " ".join(f"{k}_{c}" for k in ("dip", "jump") for c in ("max_log_bf_local", "max_run_duration", "max_run_sum", "max_run_max")), _SCAN, 3),
 }

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import baselines, bayes, clean, filters, kernels, peaks, runs, sky, stats
+from ..operators import baselines, bayes, clean, filters, finder, kernels, peaks, rows, runs, sky, stats
 from ..sources.adapters import points, sky_catalog, table
 
 CAMERA = ("source_id", "camera")
@@ -95,13 +95,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.max("jd") - F.min("jd")
     one = p.groupBy("source_id").agg(F.countDistinct("camera").alias("n_cameras"), span.alias("time_span_days"), (F.count("*") / span).alias("points_per_day"), F.stddev_pop("mag").alias("std_mag"))
     metrics = runs.run_metrics(baselines.global_median(p)).select("source_id", "dip_fraction", "n_dip_runs")
-    return one.join(metrics, "source_id")
+    return one.join(metrics, "source_id").withColumn("peaks_per_time", F.col("n_dip_runs") / F.col("time_span_days"))
 
 
 def _steps() -> list[filters.Step]:
+    rule = filters.ByRule
     return [
-        ("dip_dominated", lambda d: filters.dip_dominated(d, 0.5)), ("multi_camera", lambda d: filters.multi_camera(d, 5)),
-        ("sparse", lambda d: filters.sparse(d, 20.0, 1.5)), ("box", lambda d: filters.box(d, 1, 12, 9.0, 0.9) if "peaks_per_time" in d.columns else d),
+        ("dip_dominated", rule(lambda d: filters.dip_dominated_rule(d, 0.5))), ("multi_camera", rule(lambda d: filters.multi_camera_rule(d, 5))),
+        ("sparse", rule(lambda d: filters.sparse_rule(d, 29.0, 2.0))), ("box", rule(lambda d: filters.box_rule(d, 1, 17, 0.6, 1.35))),
     ]
 
 
@@ -124,7 +125,15 @@ def fp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bayes.scan(points(spark, sf_dir, "lineitem"), days=ITEM_DAYS))
+    return rounded(bayes.scan(points(spark, sf_dir, "lineitem"), days=ITEM_DAYS), 3)
+
+
+def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rows.scan_rows(points(spark, sf_dir, "lineitem"), days=ITEM_DAYS), 3)
+
+
+def scan_rows_by_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rows.scan_rows(points(spark, sf_dir, "lineitem"), "global_median", "posterior_prob"), 3)
 
 
 _ID = ("source_id", "seq")
@@ -158,7 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_gaps": _on(stats.top_gaps),
     "per_camera_raw": _on(stats.per_camera_raw),
     "raw_summary": _on(lambda p: stats.raw_summary(stats.per_camera_raw(p))),
-    "by_camera_and_band": _on(stats.by_camera_and_band),
+    "by_camera_and_band": _on(lambda p: stats.by_camera_and_band(p).withColumn("mean_err", F.round("mean_err", 6).cast("double"))),
     "counts_by_grouping_sets": _on(stats.counts_by_grouping_sets),
     "global_mean_baseline": _baseline(baselines.global_mean),
     "global_median_baseline": _baseline(baselines.global_median),
@@ -176,6 +185,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "naive_dip_runs": _on(naive_dip_runs),
     "local_log_bf": _on(local_log_bf),
     "bayes_scan": scan,
+    "scan_rows": scan_rows,
+    "scan_rows_by_posterior": scan_rows_by_posterior,
+    "residual_peaks": lambda spark, sf_dir: rounded(finder.residual_peaks(baselines.global_median(clean.clean_lc(points(spark, sf_dir, "lineitem"))), gate=False)),
+    "dip_finder": lambda spark, sf_dir: rounded(finder.source_rows(points(spark, sf_dir, "lineitem"), raw=stats.per_camera_raw(points(spark, sf_dir, "lineitem"))), 3),
+    "peak_finder": lambda spark, sf_dir: rounded(finder.source_rows(points(spark, sf_dir), "peaks"), 3),
+    "naive_finder": lambda spark, sf_dir: rounded(finder.source_rows(points(spark, sf_dir, "lineitem"), naive=True), 3),
     "per_camera_gp_baseline": _baseline(baselines.gp),
     "per_camera_gp_masked_baseline": _baseline(baselines.gp_masked, "lineitem"),
     "mixture_posterior": _on(lambda p: kernels.mixture_posterior(baselines.global_median(clean.clean_lc(p)), "dip")),
@@ -189,3 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retention": retention,
     "fp_summary": fp_summary,
 }
+
+from .catalog_queries import QUERIES as _OF_CATALOGS  # noqa: E402
+
+QUERIES |= _OF_CATALOGS
