@@ -1,0 +1 @@
+"""Column functions of catalogs, dates and reports."""

@@ -2,18 +2,21 @@
 
 import pytest
 
-from dimwatch.plans import oracle, queries
+from dimwatch.plans import catalog_queries, oracle, queries
 
 from .compare import difference
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+SQL = oracle.SQL | catalog_queries.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sf_dir, duck, name):
-    assert not difference(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(oracle.SQL[name]).df())
+    assert not difference(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(SQL[name]).df())
 
 
 def test_sql_belongs_to_queries():
-    assert set(oracle.SQL) <= set(queries.QUERIES)
+    assert set(SQL) <= set(queries.QUERIES) and not set(oracle.SQL) & set(catalog_queries.SQL)
 
 
 def test_flagship_has_a_row_per_source(spark):
