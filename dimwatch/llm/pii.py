@@ -165,7 +165,8 @@ def found_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """key, counts of the base kinds, their digest, and all spans, of every row."""
     found, spans = Detector(docs.sparkSession).detected(docs.select(key, text), text)
     base = F.concat(*(spans[k] for k in BASE))
-    by_kind = F.concat(*(F.filter(spans["more"], lambda x, k=k: x["kind"] == k) for k in GENERATORS))
+    of_kind = lambda kind: F.filter(spans["more"], lambda x: x["kind"] == kind)
+    by_kind = F.concat(*map(of_kind, GENERATORS))
     counts = [F.size(spans[k]).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select(key, *counts, F.sha2(written_out(base).cast("binary"), 256).alias("base_sha256"), written_out(F.concat(base, by_kind)).alias("spans"))
 
