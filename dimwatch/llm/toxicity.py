@@ -36,7 +36,7 @@ LEAST_CONTEXTS, LEAST_WEIGHT, MOST_WORDS = 4, 3.0, 20_000
 LEAST_CLEAN = 2
 
 # Look-alikes of Latin letters. i, l and 1 share one skeleton, as each stands for the others.
-CYRILLIC = dict(zip("авеокмнрстухіјѕԁԛԝ", "abeokmhpctyxijsdqw", strict=True))
+CYRILLIC = dict(zip("авеокмнрстухіјѕԁԛԝ", "abeokmhpctyxljsdqw", strict=True))
 GREEK = dict(zip("αβγεηικνορτυχω", "abyenlkvoptuxw", strict=True))
 DIGITS = dict(zip("013456789", "oleasgtbg", strict=True))
 SIGNS = {"@": "a", "$": "s", "€": "e", "ı": "l", "ɩ": "l", "ο": "o", "℮": "e"}
