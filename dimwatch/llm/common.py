@@ -72,8 +72,8 @@ def least_hashes(rows: DataFrame, most: int) -> list[Row]:
     """At most `most` rows of each group of rows (g, h), distinct, those with the least h: the same rows whatever the
     partitioning. Only rows below a bound that leaves about twice as many travel; no group meets in one task."""
     least = -(2**63)
-    sizes = rows.groupBy("g").count().collect()
-    bounds = [(r["g"], min(2**63 - 1, least + int(2**64 * min(1.0, 2 * most / r["count"])))) for r in sizes]
+    sizes = rows.groupBy("g").agg(F.approx_count_distinct("h").alias("n")).collect()
+    bounds = [(r["g"], min(2**63 - 1, least + int(2**64 * min(1.0, 2 * most / max(1, r["n"]))))) for r in sizes]
     if not bounds:
         return []
     low = F.broadcast(rows.sparkSession.createDataFrame(bounds, f"g {dict(rows.dtypes)['g']}, bound long"))
