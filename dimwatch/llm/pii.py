@@ -119,12 +119,20 @@ def labelled_candidates(spark: SparkSession, n: int = LABELLED) -> DataFrame:
 class Detector:
     """Boosted trees with a threshold for each generated kind."""
 
+    #: Thresholds by precision: like the trees, they are found once by a driver.
+    calibrations: dict[float, dict[str, float]] = {}
+
     def __init__(self, spark: SparkSession, precision: float = PRECISION) -> None:
         rows = labelled_candidates(spark)
-        self.probability = boosted(rows.where("not held_out"), N_FEATURES)
+        self.probability = boosted(rows.where("not held_out"), N_FEATURES, f"candidates {LABELLED}")
+        if precision not in self.calibrations:
+            self.calibrations[precision] = self._calibrated(rows, precision)
+        self.thresholds = self.calibrations[precision]
+
+    def _calibrated(self, rows: DataFrame, precision: float) -> dict[str, float]:
         scored = rows.where("held_out").select("kind", "label", F.round(self.probability(F.col("features")), 3).alias("p"))
         counts = {(r["kind"], r["p"]): (r["n"], r["good"]) for r in scored.groupBy("kind", "p").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()}
-        self.thresholds = {k: calibrated([(p, *v) for (kind, p), v in counts.items() if kind == k], precision) for k in GENERATORS}
+        return {k: calibrated([(p, *v) for (kind, p), v in counts.items() if kind == k], precision) for k in GENERATORS}
 
     def detected(self, docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
         """docs with columns of spans, and these columns: by base kind, and `more` for the accepted others."""

@@ -92,7 +92,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
 
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """A row for each secret found: key, start_pos, end_pos (code points), sha256 of the secret, and score."""
-    share = forest(labelled_findings(docs.sparkSession), N_FEATURES)
+    share = forest(labelled_findings(docs.sparkSession), N_FEATURES, f"findings {LABELLED}")
     found = written(docs.select(F.col(key), F.explode(candidates(F.col(text))).alias("_c")))  # few and short, without the texts
     described = F.array(features(F.col("_c.s"), F.col("_c.before"), F.col("_c.after")))
     judged = written(found.select(key, "_c", F.transform(described, share)[0].alias("score")))  # else the filter would repeat the trees

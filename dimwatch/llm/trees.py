@@ -18,6 +18,17 @@ _TREE = re.compile(r"Tree \d+ \(weight ([-\d.E]+)\)")
 _TEST = re.compile(r"If \(feature (\d+) <= ([-\d.E]+)\)")
 
 
+#: Descriptions of fitted ensembles by name: labelled tables are made by rule, so a name stands for its trees, and a driver
+#: fits each once.
+_FITTED: dict[tuple, str] = {}
+
+
+def _described(name: tuple, fit: Callable[[], str]) -> str:
+    if name not in _FITTED:
+        _FITTED[name] = fit()
+    return _FITTED[name]
+
+
 def _node(lines: list[str], at: int, feature: Callable[[int], Column]) -> tuple[Column, int]:
     line = lines[at].strip()
     if line.startswith("Predict:"):
@@ -40,10 +51,9 @@ def _assembled(labelled: DataFrame, n: int) -> DataFrame:
     return VectorAssembler(inputCols=[f"f{i}" for i in range(n)], outputCol="vector").transform(wide).select("label", "vector")
 
 
-def boosted(labelled: DataFrame, n: int, rounds: int = 8, depth: int = 3, seed: int = 11) -> Callable[[Column], Column]:
-    """Probability of label 1 from an array of features, by gradient-boosted trees."""
-    fitted = GBTClassifier(featuresCol="vector", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed).fit(_assembled(labelled, n))
-    described = fitted.toDebugString
+def boosted(labelled: DataFrame, n: int, name: str, rounds: int = 8, depth: int = 3, seed: int = 11) -> Callable[[Column], Column]:
+    """Probability of label 1 from an array of features, by gradient-boosted trees. The name is that of the table."""
+    described = _described(("boosted", name, n, rounds, depth, seed), lambda: GBTClassifier(featuresCol="vector", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed).fit(_assembled(labelled, n)).toDebugString)
 
     def probability(features: Column) -> Column:
         total = F.lit(0.0)
@@ -54,10 +64,10 @@ def boosted(labelled: DataFrame, n: int, rounds: int = 8, depth: int = 3, seed:
     return probability
 
 
-def forest(labelled: DataFrame, n: int, trees: int = 16, depth: int = 5, seed: int = 11) -> Callable[[Column], Column]:
-    """Share of the trees of a random forest that vote for label 1, from an array of features."""
-    fitted = RandomForestClassifier(featuresCol="vector", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(_assembled(labelled, n))
-    described = fitted.toDebugString
+def forest(labelled: DataFrame, n: int, name: str, trees: int = 16, depth: int = 5, seed: int = 11) -> Callable[[Column], Column]:
+    """Share of the trees of a random forest that vote for label 1, from an array of features. The name is that of the
+    table."""
+    described = _described(("forest", name, n, trees, depth, seed), lambda: RandomForestClassifier(featuresCol="vector", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(_assembled(labelled, n)).toDebugString)
 
     def share(features: Column) -> Column:
         total = F.lit(0.0)

@@ -366,7 +366,7 @@ spark = SparkSession.builder.master(sys.argv[1]).config(map={"spark.ui.enabled":
 from dimwatch.llm import secrets, pii
 from dimwatch.llm.trees import forest
 rows = secrets.labelled_findings(spark, 600)
-share = forest(rows, secrets.N_FEATURES, trees=4)
+share = forest(rows, secrets.N_FEATURES, "few findings", trees=4)
 print("sum", rows.select(F.sum(share(F.col("features")))).first()[0], rows.rdd.getNumPartitions(), pii.labelled_candidates(spark, 60).rdd.getNumPartitions())
 """
     out = [subprocess.run([sys.executable, "-c", own, f"local[{n}]"], capture_output=True, text=True, timeout=300, check=True).stdout.split("sum ")[-1] for n in (1, 3)]
