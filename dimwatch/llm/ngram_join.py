@@ -45,7 +45,7 @@ BINS = 20
 NODE_BLOCK, BLOCK, BLOCK_SHINGLES = 2048, 256, 250_000
 #: Bytes of ids that may go to every task; more are joined by shuffle.
 MOST_BROADCAST = 32_000_000
-MOST_WORDS_KEPT = 500_000
+MOST_WORDS_KEPT = 150_000
 _WORD = re.compile(r"\w+")
 
 
