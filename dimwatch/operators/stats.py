@@ -48,9 +48,10 @@ def clipped(points: DataFrame, keys: Keys = SOURCE, value: str = "mag", sigmas:
 
 
 def noise(points: DataFrame, keys: Keys = SOURCE, error: str = "error") -> DataFrame:
-    """Errors and signal to noise: mean, median and extremes."""
+    """Errors and signal to noise: mean (of decimals, so that it doesn't depend on the order of points), median and
+    extremes."""
     snr = SNR / F.col(error)
-    return points.where(F.col(error) > 0).groupBy(*keys).agg(F.avg(error).alias("err_mean"), F.median(error).alias("err_median"), F.min(error).alias("err_min"), F.max(error).alias("err_max"), F.avg(snr).alias("snr_mean"), F.median(snr).alias("snr_median"), F.max(snr).alias("snr_max"))
+    return points.where(F.col(error) > 0).groupBy(*keys).agg(F.avg(F.col(error).cast("decimal(18,9)")).cast("double").alias("err_mean"), F.median(error).alias("err_median"), F.min(error).alias("err_min"), F.max(error).alias("err_max"), F.avg(snr).alias("snr_mean"), F.median(snr).alias("snr_median"), F.max(snr).alias("snr_max"))
 
 
 def reduced_chi2(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:

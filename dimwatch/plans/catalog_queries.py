@@ -116,7 +116,7 @@ def source_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "customer").selectExpr("case c_custkey % 4 when 0 then '/lc/12/' || c_custkey || '.dat2' when 1 then c_custkey || '-light-curves.csv' when 2 then '' else cast(c_custkey as string) end as id")
     known = table(spark, sf_dir, "supplier").selectExpr("s_suppkey * 3 as source_id", "'known' as category", "s_suppkey % 2 = 0 as expected_detected")
-    return lookups.as_candidates(wanted, known)
+    return lookups.as_candidates(wanted, known).withColumn("expected_detected", F.col("expected_detected").cast("string"))
 
 
 def reproduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def reproduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as source_id", "case when c_custkey % 4 = 0 then '12_12.5' else '13_13.5' end as mag_bin", "'/lc/' || c_custkey as dat_path", "c_custkey % 5 > 0 as dat_exists")
     found = _part_candidates(spark, sf_dir).selectExpr("source_id", "case when cast(source_id as int) % 8 = 0 then '12_12.5' else '13_13.5' end as mag_bin", "'c' as category", "g_n_peaks", "v_n_peaks", "cast(source_id as int) % 6 = 1 as dip_significant")
     report = reports.reproduction_report(targets, manifest, found)
-    return report.select("source_id", "mag_bin", "category", "category_det", "detected", "matches_expected", "detection_details", "dat_exists")
+    return report.select("source_id", "mag_bin", "category", "category_det", "detected", F.col("matches_expected").cast("string").alias("matches_expected"), "detection_details", "dat_exists")
 
 
 def eda(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,13 +236,13 @@ SQL: dict[str, str] = {
     "source_metadata": """WITH w AS (SELECT c_custkey AS c, c_custkey::VARCHAR || CASE WHEN c_custkey % 2 = 0 THEN '-light-curves' ELSE '' END AS source_id FROM customer)
       SELECT w.source_id, 'cat' || coalesce(a.s_nationkey, b.s_nationkey, d.s_nationkey, e.s_nationkey) AS category, 'V' || coalesce(a.s_suppkey, b.s_suppkey, d.s_suppkey, e.s_suppkey) AS vsx_class
       FROM w LEFT JOIN supplier a ON a.s_suppkey * 5 = w.c AND w.c % 2 = 1 LEFT JOIN supplier b ON b.s_suppkey * 7 = w.c + 10 LEFT JOIN supplier d ON d.s_suppkey = w.c * 3 LEFT JOIN supplier e ON e.s_suppkey * 5 = w.c""",
-    "as_candidates": """SELECT c_custkey::VARCHAR AS source_id, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN 'known' END, 'unknown') AS category, s_suppkey % 2 = 0 AS expected_detected
+    "as_candidates": """SELECT c_custkey::VARCHAR AS source_id, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN 'known' END, 'unknown') AS category, (s_suppkey % 2 = 0)::VARCHAR AS expected_detected
       FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 4 <> 2) LEFT JOIN supplier ON s_suppkey * 3 = c_custkey""",
     "reproduction_report": _sql("""SELECT *, g > 0 AS hg, v > 0 AS hv FROM (SELECT t.source_id, t.mag_bin, 'dipper' AS category, CASE WHEN pc.source_id IS NOT NULL THEN 'c' END AS category_det, t.want, t.dat_exists,
         coalesce(pc.g, 0) AS g, coalesce(pc.v, 0) AS v, coalesce(pc.source_id::INT % 6 = 1, false) AS dip
         FROM (SELECT s_suppkey::VARCHAR AS source_id, CASE WHEN c_custkey % 4 = 0 THEN '12_12.5' ELSE '13_13.5' END AS mag_bin, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 2 = 0 END AS want, c_custkey % 5 > 0 AS dat_exists FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey) t
         LEFT JOIN pc ON pc.source_id = t.source_id AND CASE WHEN pc.source_id::INT % 8 = 0 THEN '12_12.5' ELSE '13_13.5' END = t.mag_bin)""", "source_id mag_bin category category_det dat_exists hg hv g v dip want", "", _PART).replace(
-        "SELECT source_id, mag_bin, category, category_det, dat_exists, hg, hv, g, v, dip, want FROM result", """SELECT source_id, mag_bin, category, category_det, hg OR hv OR dip AS detected, CASE WHEN want IS NOT NULL THEN (hg OR hv OR dip) = want END AS matches_expected,
+        "SELECT source_id, mag_bin, category, category_det, dat_exists, hg, hv, g, v, dip, want FROM result", """SELECT source_id, mag_bin, category, category_det, hg OR hv OR dip AS detected, CASE WHEN want IS NOT NULL THEN ((hg OR hv OR dip) = want)::VARCHAR END AS matches_expected,
           CASE WHEN hg OR hv OR dip THEN concat_ws('; ', CASE WHEN hg THEN 'g: ' || g || ' peaks' END, CASE WHEN hv THEN 'v: ' || v || ' peaks' END, CASE WHEN dip THEN 'dip significant' END) ELSE 'not detected' END AS detection_details, dat_exists FROM result"""),
     "eda": _sql(_DESCRIBED, '"column" n', "mean std least p05 p25 p50 p75 p95 greatest", _CANDIDATES),
     "eda_histogram": _sql("SELECT least(floor((error - 0.005::DOUBLE) / ((0.095::DOUBLE - 0.005::DOUBLE) / 9)), 8)::INT AS bin, count(*) AS n FROM cl WHERE error BETWEEN 0.005::DOUBLE AND 0.095::DOUBLE GROUP BY 1", "bin n"),

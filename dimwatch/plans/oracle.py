@@ -87,9 +87,13 @@ _CANDIDATES = _baseline("median(mag) OVER (PARTITION BY source_id)")[0] + ", " +
   s1 AS (SELECT * FROM cb WHERE dip_fraction >= 0.5), s2 AS (SELECT * FROM s1 WHERE n_cameras >= 5), s3 AS (SELECT * FROM s2 WHERE time_span_days >= 29 AND points_per_day >= 2), s4 AS (SELECT * FROM s3 WHERE n_dip_runs BETWEEN 1 AND 17 AND peaks_per_time <= 0.6 AND std_mag <= 1.35)"""
 
 
+#: The mean error rounded to six places, exactly.
+_MEAN_ERROR = "((2 * sum((error * 1e9)::BIGINT)::HUGEINT + 1000 * count(*)) // (2000 * count(*)))::DOUBLE / 1000000"
+
+
 def _grouping(name: str, keys: str, camera: str, band: str) -> str:
     by = ", ".join(["source_id", *keys.split()])
-    return f"""SELECT source_id, '{name}' AS grouping, {camera} AS g_camera, {band} AS g_band, count(*) n_obs, any_value(gm) med_mag, 1.4826 * median(abs(mag - gm)) mad_sigma, ((2 * sum((error * 1e9)::BIGINT)::HUGEINT + 1000 * count(*)) // (2000 * count(*)))::DOUBLE / 1000000 AS mean_err, any_value(gm) - any_value(sm) AS "offset"
+    return f"""SELECT source_id, '{name}' AS grouping, {camera} AS g_camera, {band} AS g_band, count(*) n_obs, any_value(gm) med_mag, 1.4826 * median(abs(mag - gm)) mad_sigma, {_MEAN_ERROR} AS mean_err, any_value(gm) - any_value(sm) AS "offset"
       FROM (SELECT *, median(mag) OVER (PARTITION BY source_id) AS sm, median(mag) OVER (PARTITION BY {by}) AS gm FROM e) GROUP BY {by}"""
 
 
@@ -133,7 +137,7 @@ SQL: dict[str, str] = {
     "summary": _sql(f"SELECT *, p75 - p25 AS iqr FROM (SELECT source_id, count(mag) n, avg(mag) mean, median(mag) AS median, stddev_samp(mag) std, {_QUANTILES} FROM e GROUP BY source_id)", "source_id n", "mean median std p05 p16 p25 p75 p84 p95 iqr"),
     "clipped": _sql("""SELECT source_id, avg(mag) FILTER (dev <= 3 * s) clipped_mean, stddev_samp(mag) FILTER (dev <= 3 * s) clipped_std, count(*) FILTER (NOT dev <= 3 * s) n_outliers
       FROM (SELECT *, 1.4826 * median(dev) OVER (PARTITION BY source_id) AS s FROM d) GROUP BY source_id""", "source_id n_outliers", "clipped_mean clipped_std", _DEVIATION),
-    "noise": _sql("SELECT source_id, avg(error) err_mean, median(error) err_median, min(error) err_min, max(error) err_max, avg(1.0857 / error) snr_mean, median(1.0857 / error) snr_median, max(1.0857 / error) snr_max FROM e WHERE error > 0 GROUP BY source_id",
+    "noise": _sql(f"SELECT source_id, {_MEAN_ERROR} err_mean, median(error) err_median, min(error) err_min, max(error) err_max, avg(1.0857 / error) snr_mean, median(1.0857 / error) snr_median, max(1.0857 / error) snr_max FROM e WHERE error > 0 GROUP BY source_id",
                   "source_id", "err_mean err_median err_min err_max snr_mean snr_median snr_max"),
     "reduced_chi2": _sql("SELECT source_id, CASE WHEN count(*) >= 2 THEN sum(((mag - m) / error) ** 2) / (count(*) - 1) END AS chi2_red FROM e JOIN wm USING (source_id) WHERE error > 0 GROUP BY source_id", "source_id", "chi2_red",
                          "wm AS (SELECT source_id, sum(mag / (error * error)) / sum(1 / (error * error)) AS m FROM e WHERE error > 0 GROUP BY source_id)"),
