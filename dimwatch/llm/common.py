@@ -50,6 +50,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that a later one has replaced."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows of a file of small tables.
 ROWS_A_FILE = 25_000
 

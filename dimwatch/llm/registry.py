@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lm_scoring, media, mixing, ngram_join, pii, row_patterns, secrets, token_counts, toxicity
+from . import ball_kmeans, decontam, langid, lm_scoring, media, mixing, ngram_join, pii, resharding, row_patterns, secrets, token_counts, toxicity
 from .common import table
 
 #: Each tokenizer file's place comes from the package that carries them.
@@ -57,9 +57,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.resharded(table(spark, sf_dir, "documents"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def op13_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_patterns.find_matches(table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_ngram_jaccard_join, op4_token_counts, op5_benchmark_decontamination, op6_mixing, op7_toxicity, op8_secret_scan, op9_media_columns, op10_pii, op13_row_patterns)}
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op13_row_patterns": row_patterns.SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_ngram_jaccard_join, op4_token_counts, op5_benchmark_decontamination, op6_mixing, op7_toxicity, op8_secret_scan, op9_media_columns, op10_pii, op11_resharding, op12_ball_kmeans, op13_row_patterns)}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op12_ball_kmeans": ball_kmeans.SQL, "op13_row_patterns": row_patterns.SQL}
