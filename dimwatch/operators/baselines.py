@@ -11,12 +11,12 @@ from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .clean import SOURCE, Keys
+from .groups import Columns, spans, with_kernel
 
 #: Makes the median absolute deviation a standard deviation; least sigma.
 MAD_FACTOR, LEAST_SIGMA = 1.4826, 1e-6
@@ -28,26 +28,47 @@ def frame(keys: Keys, days: float, past_only: bool = True) -> str:
     return f"(partition by {', '.join(keys)} order by jd range between {around})"
 
 
+def _middle_deviation(held: list[float], middle: float, at: int) -> float:
+    """Of sorted values, the median of their distances from `middle`, where the first `at` lie below it: the distances
+    above grow to the right and those below to the left, so the k-th of both is found by halving."""
+
+    def kth(k: int) -> float:
+        low, high = max(0, k - (len(held) - at)), min(k, at)
+        while low < high:  # how many of the k + 1 least distances, less one, lie below
+            take = (low + high) // 2
+            if middle - held[at - 1 - take] < held[at + k - take - 1] - middle:
+                low = take + 1
+            else:
+                high = take
+        below = middle - held[at - 1 - low] if low < at else float("inf")
+        above = held[at + k - low] - middle if at + k - low < len(held) else float("inf")
+        return min(below, above)
+
+    n = len(held)
+    return (kth((n - 1) // 2) + kth(n // 2)) / 2
+
+
 def sliding(t: np.ndarray, x: np.ndarray, before: float, after: float, least: int, deviation: bool = False) -> np.ndarray:
     """For each time in order, the median of the values between so many days before and after it, both ends and equal
     times included, or their median absolute deviation; NaN for fewer than `least`. The window is kept sorted while it
-    moves, so a point costs its search and the shift of the window, not a sort of it."""
+    moves, and both medians are found in it by halving, so a point costs its searches and the shift of the window."""
     out = np.full(len(t), np.nan)
     starts, ends = np.searchsorted(t, t - before, side="left"), np.searchsorted(t, t + after, side="right")
     held: list[float] = []
+    values = x.tolist()
     a = b = 0
     for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        for v in x[b:end].tolist():
+        for v in values[b:end]:
             if v == v:
                 insort(held, v)
         b = max(b, end)
-        for v in x[a:start].tolist():
+        for v in values[a:start]:
             if v == v:
                 del held[bisect_left(held, v)]
         a, n = start, len(held)
         if n >= max(least, 1):
             middle = (held[(n - 1) // 2] + held[n // 2]) / 2
-            out[i] = np.median(np.abs(np.array(held) - middle)) if deviation else middle
+            out[i] = _middle_deviation(held, middle, bisect_left(held, middle)) if deviation else middle
     return out
 
 
@@ -56,16 +77,15 @@ def rolled(points: DataFrame, to: str, value: str, keys: Keys, days: float, leas
     in time; null where there are too few. Points without a time have none."""
     before, after = (days, 0.0) if past_only else (days / 2, days / 2)
 
-    def roll(group: pa.Table) -> pa.Table:
-        t, x = (group[c].to_numpy().astype(float) for c in ("jd", value))
-        order = np.argsort(t, kind="stable")
-        order = order[~np.isnan(t[order])]
+    def roll(columns: Columns, starts: np.ndarray) -> Columns:
+        t, x = columns["jd"], columns["_x"]
         found = np.full(len(t), np.nan)
-        found[order] = sliding(t[order], x[order], before, after, least_points, deviation)
-        return group.append_column(to, pa.array(found, pa.float64(), from_pandas=True))
+        for s in spans(starts):
+            timed = np.flatnonzero(~np.isnan(t[s])) + s.start
+            found[timed] = sliding(t[timed], x[timed], before, after, least_points, deviation)
+        return {to: found}
 
-    schema = ", ".join(f"`{c}` {k}" for c, k in points.dtypes) + f", `{to}` double"
-    return points.groupBy(*keys).applyInArrow(roll, schema)
+    return with_kernel(points.withColumn("_x", F.col(value)), keys, ("jd", "_x"), roll, f"{to} double", ("jd",)).drop("_x")
 
 
 def rolling_mean(value: str, keys: Keys, days: float, least_points: int = 10, past_only: bool = True) -> Column:

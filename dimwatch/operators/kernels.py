@@ -1,6 +1,6 @@
 """Per-source numeric kernels in numpy, for what windows and aggregates can't say: Gaussian-process baselines, the mixture
-posterior, and fits of run shapes. Each gets the points of one source (or source and camera), which is bounded by how
-often a telescope looks, and runs on Arrow batches by applyInPandas.
+posterior, and fits of run shapes. Each gets the points of one source (or source and camera) in time, and takes time and
+memory in proportion to them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import processes
 from .clean import SOURCE, Keys, indexed
+from .groups import Columns, spans, with_kernel
 
 # The default kernels, given as (S0, w0, Q) and as (sigma, rho, Q); error of points that have none.
 S0, W0, Q, JITTER = 5e-4, 2 * math.pi / 2000, 0.7, 0.006
@@ -21,48 +23,16 @@ SIGMA, RHO = 0.05, 200.0
 MAD_FACTOR = 1.4826
 #: Points that a fit needs, of all and of unmasked ones; points that a noise floor is measured from.
 LEAST_FIT, LEAST_UNMASKED, LEAST_FLOOR = 5, 10, 30
+#: Least error of a point that a process is fitted to; least sigma of a point in the mixture.
+LEAST_GP_ERROR, LEAST_SIGMA = 1e-6, 1e-12
+#: Points of a block of the mixture; numbers of a working array.
+BLOCK, WORKING = 512, 2**16
 
 
 def mad_sigma(x: np.ndarray) -> float:
     return MAD_FACTOR * float(np.median(np.abs(x - np.median(x))))
 
 
-def sho(s0: float, w0: float, q: float) -> Callable[[np.ndarray], np.ndarray]:
-    """Covariance by time lag of a stochastically driven, damped harmonic oscillator."""
-    scale = s0 * w0 * q
-    eta = math.sqrt(abs(1 - 1 / (4 * q * q)))
-
-    def covariance(lag: np.ndarray) -> np.ndarray:
-        t = w0 * np.abs(lag)
-        if eta < 1e-9:
-            return scale * np.exp(-t) * (1 + t)
-        damped = np.exp(-t / (2 * q))
-        if q > 0.5:
-            return scale * damped * (np.cos(eta * t) + np.sin(eta * t) / (2 * eta * q))
-        grown, shrunk = np.exp((eta - 1 / (2 * q)) * t), np.exp(-(eta + 1 / (2 * q)) * t)
-        return scale * ((grown + shrunk) / 2 + (grown - shrunk) / 2 / (2 * eta * q))
-
-    return covariance
-
-
-def sho_of_sigma(sigma: float, rho: float, q: float) -> Callable[[np.ndarray], np.ndarray]:
-    """The same from a standard deviation and an undamped period."""
-    w0 = 2 * math.pi / rho
-    return sho(sigma * sigma / (w0 * q), w0, q)
-
-
-def exponentials(*terms: tuple[float, float]) -> Callable[[np.ndarray], np.ndarray]:
-    """Sum of amplitudes times exponentials of the lag over a time scale."""
-    return lambda lag: sum(a * np.exp(-np.abs(lag) / rho) for a, rho in terms)
-
-
-def predicted(kernel: Callable[[np.ndarray], np.ndarray], t: np.ndarray, y: np.ndarray, error: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of the process at some times, given centred values with independent errors."""
-    root = np.linalg.cholesky(kernel(t[:, None] - t) + np.diag(error * error))
-    across = np.linalg.solve(root, kernel(t[:, None] - at))
-    return across.T @ np.linalg.solve(root, y), np.maximum(kernel(np.zeros(1))[0] - (across * across).sum(axis=0), 0.0)
-
-
 def clipped_scale(x: np.ndarray, clip: float, rounds: int, least: int) -> np.ndarray:
     """Members of x that stay within so many robust deviations of the median of those that stayed before. A round that
     starts with fewer than `least` changes nothing; a result of fewer is replaced by all of x."""
@@ -100,51 +70,91 @@ def per_camera_gp(
     jitter: float = JITTER, sigma_floor: float | None = None, terms: tuple[tuple[float, float], ...] = (), masked: bool = False,
 ) -> DataFrame:
     """points with baseline, resid, sigma_resid, sigma_eff and baseline_source (`gp_sho`, or `median_fallback` for few
-    points or a failed fit), by source and camera. With masked, points whose column `masked` is true are left out of
-    the fit, the kernel is the long one by default, and sigma_eff has no noise floor."""
+    points), by source and camera. With masked, points whose column `masked` is true are left out of the fit, the kernel
+    is the long one by default, and sigma_eff has no noise floor. Time and memory grow with a camera's points."""
     if terms:
-        kernel = exponentials(*terms)
+        process = processes.exponentials(*terms)
     elif masked or (s0 is not None and w0 is not None):
-        kernel = sho(S0 if s0 is None else s0, W0 if w0 is None else w0, q)
+        process = processes.oscillator(S0 if s0 is None else s0, W0 if w0 is None else w0, q)
     else:
-        kernel = sho_of_sigma(SIGMA if sigma is None else sigma, RHO if rho is None else rho, q)
+        process = processes.oscillator_of_sigma(SIGMA if sigma is None else sigma, RHO if rho is None else rho, q)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["jd", "seq"])
-        t, y, raw = (group[c].to_numpy(float, na_value=np.nan) for c in ("jd", "mag", "error"))
+    def fit(columns: Columns, starts: np.ndarray) -> Columns:
+        t, y, raw = columns["jd"], columns["mag"], columns["error"]
         good = np.isfinite(t) & np.isfinite(y)
-        used = good & ~group["masked"].fillna(False).to_numpy(bool) if masked else good
-        error = whole_errors(raw, jitter)
-        baseline, source = np.full(len(y), np.median(y[good]) if good.any() else np.nan), "median_fallback"
-        spread = np.sqrt(error**2 + jitter**2)
-        if used.sum() >= (LEAST_UNMASKED if masked else LEAST_FIT):
-            own = whole_errors(raw[used], jitter)
-            mean = y[used].mean()
-            variance = np.zeros(len(y))
-            try:
-                mu, variance = predicted(kernel, t[used], y[used] - mean, np.maximum(own, 1e-6), np.where(np.isfinite(t), t, t[used][0]))
-                baseline, source = mu + mean, "gp_sho"
-            except np.linalg.LinAlgError:
-                pass
-            if not masked:
-                floor = noise_floor(y - baseline, error, variance) if sigma_floor is None else max(sigma_floor, 0.0)
-                spread = np.sqrt(np.maximum(error**2 + floor**2 + variance, 1e-12))
-            elif source == "gp_sho":
-                spread = np.sqrt(variance + max(float(np.median(own)), 1e-6) ** 2)
-        if masked and source != "gp_sho" and good.any():
-            r = (y - baseline)[good]
-            spread = np.full(len(y), max(math.hypot(mad_sigma(r), float(np.median(error[good]))), 1e-6))
+        used = good & ~(columns["_out"] > 0) if masked else good
+        when, centred, noise = np.where(np.isfinite(t), t, 0.0), np.zeros(len(y)), np.full(len(y), np.inf)
+        error, baseline, fitted = np.empty(len(y)), np.full(len(y), np.nan), []
+        for s in spans(starts):
+            error[s] = whole_errors(raw[s], jitter)
+            own, fits = good[s], used[s]
+            baseline[s] = np.median(y[s][own]) if own.any() else np.nan
+            if fits.sum() >= (LEAST_UNMASKED if masked else LEAST_FIT):
+                mean = y[s][fits].mean()
+                errors = whole_errors(raw[s][fits], jitter)
+                when[s] = np.where(np.isfinite(t[s]), t[s], t[s][fits][0])
+                centred[s], noise[s] = np.where(fits, y[s] - mean, 0.0), np.where(fits, 1.0, np.inf)
+                noise[np.flatnonzero(fits) + s.start] = np.maximum(errors, LEAST_GP_ERROR) ** 2
+                fitted.append((s, mean, max(float(np.median(errors)), LEAST_GP_ERROR)))
+        order = np.lexsort((when, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+        mu, variance = np.empty(len(y)), np.empty(len(y))
+        mu[order], variance[order] = processes.smoothed(process, when[order], centred[order], noise[order], starts)
+        spread, source = np.sqrt(error**2 + jitter**2), np.full(len(y), "median_fallback", object)
+        for s, mean, typical in fitted:
+            baseline[s], source[s] = mu[s] + mean, "gp_sho"
+            if masked:
+                spread[s] = np.sqrt(variance[s] + typical**2)
+            else:
+                floor = noise_floor(y[s] - baseline[s], error[s], variance[s]) if sigma_floor is None else max(sigma_floor, 0.0)
+                spread[s] = np.sqrt(np.maximum(error[s] ** 2 + floor**2 + variance[s], 1e-12))
+        for s in spans(starts):
+            if masked and source[s.start] != "gp_sho" and good[s].any():
+                r = (y[s] - baseline[s])[good[s]]
+                spread[s] = max(math.hypot(mad_sigma(r), float(np.median(error[s][good[s]]))), 1e-6)
         resid = y - baseline
-        return group.assign(baseline=baseline, resid=resid, sigma_resid=resid / spread, sigma_eff=spread, baseline_source=source)
+        return {"baseline": baseline, "resid": resid, "sigma_resid": resid / spread, "sigma_eff": spread, "baseline_source": source}
 
     kept = points.drop("baseline", "resid", "sigma_resid", "sigma_eff", "baseline_source")
-    schema = ", ".join(f"`{c}` {k}" for c, k in kept.dtypes) + ", baseline double, resid double, sigma_resid double, sigma_eff double, baseline_source string"
-    return kept.groupBy(*keys, "camera").applyInPandas(fit, schema)
-
-
-def log_normal(x: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> np.ndarray:
-    s = np.maximum(sigma, 1e-12)
-    return -0.5 * ((x - mu) / s) ** 2 - np.log(s) - 0.5 * math.log(2 * math.pi)
+    if masked:
+        kept = kept.withColumn("_out", F.coalesce(F.col("masked"), F.lit(False)).cast("int"))
+    out = with_kernel(kept, (*keys, "camera"), ("jd", "mag", "error", *["_out"] * masked), fit, "baseline double, resid double, sigma_resid double, sigma_eff double, baseline_source string")
+    return out.drop("_out")
+
+
+def event_posterior(mag: np.ndarray, sigma: np.ndarray, base: np.ndarray, mags: np.ndarray, shares: np.ndarray, kind: str) -> tuple[np.ndarray, float, float, float]:
+    """Of one source: each point's probability of the event, the mixture's log evidence less the baseline's, and the
+    magnitude and share at the posterior's peak.
+
+    A point's likelihood is share times baseline and rest times event (for jumps the other way round); both are taken
+    relative to the greater one, so they lie between 0 and 1, and logarithms are taken of products of some dozen points. Points go by in blocks, twice:
+    once for the posterior of magnitudes and shares, once for the points' probabilities. Memory is magnitudes by shares
+    and magnitudes by a block, whatever the number of points."""
+    of_event, of_quiet = (1 - shares, shares) if kind == "dip" else (shares, 1 - shares)
+    product = max(1, int(-250 / math.log10(min(of_event.min(), of_quiet.min()))))
+    s = np.maximum(sigma, LEAST_SIGMA)
+    log_likelihood = np.zeros((len(shares), len(mags)))
+
+    def blocks():
+        for at in range(0, len(mag), BLOCK):
+            r = slice(at, at + BLOCK)
+            ratio = 0.5 * (((mag[r] - base[r]) / s[r]) ** 2 - ((mag[r] - mags[:, None]) / s[r]) ** 2)
+            quiet, event = np.exp(-np.maximum(ratio, 0)), np.exp(np.minimum(ratio, 0))
+            step = max(1, WORKING // ratio.size)
+            for k in range(0, len(shares), step):
+                own = slice(k, k + step)
+                yield r, own, np.maximum(ratio, 0).sum(1) if k == 0 else None, of_quiet[own, None, None] * quiet + of_event[own, None, None] * event, event
+
+    for _, own, greater, mixed, _ in blocks():
+        if greater is not None:
+            log_likelihood += greater
+        log_likelihood[own] += np.log(np.multiply.reduceat(mixed, np.arange(0, mixed.shape[2], product), axis=2)).sum(2)
+    top = log_likelihood.max() if log_likelihood.size else 0.0
+    weight = np.exp(log_likelihood - top)
+    total, probability = weight.sum(), np.zeros(len(mag))
+    for r, own, _, mixed, event in blocks():
+        probability[r] += np.einsum("km,kmc->c", weight[own] * of_event[own, None], event / mixed)
+    k, m = np.unravel_index(log_likelihood.argmax(), log_likelihood.shape)
+    return np.clip(probability / total, 0, 1), float(top + math.log(total) - math.log(weight.size)), float(mags[m]), float(shares[k])
 
 
 def mixture_posterior(points: DataFrame, kind: str, keys: Keys = SOURCE, n_mags: int = 60, n_shares: int = 80) -> DataFrame:
@@ -158,31 +168,19 @@ def mixture_posterior(points: DataFrame, kind: str, keys: Keys = SOURCE, n_mags:
     low, high = (0.5, 1 - 1e-4) if kind == "dip" else (1e-4, 0.5)
     shares = 1 / (1 + np.exp(-np.linspace(math.log(low / (1 - low)), math.log(high / (1 - high)), n_shares)))
 
-    def weigh(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["jd", "seq"])
-        mag, sigma, base = (group[c].to_numpy(float) for c in ("mag", "_sigma", "baseline"))
-        mags = np.linspace(group["grid_start"].iloc[0], group["grid_stop"].iloc[0], n_mags)
-        event, quiet = log_normal(mag, mags[:, None], sigma), log_normal(mag, base, sigma)
-        bright, faint = (quiet[None], event) if kind == "dip" else (event, quiet[None])
-        likelihood, share_of_event = np.empty((n_mags, n_shares)), []
-        for k, p in enumerate(shares):  # a slice for each share: memory is magnitudes by points
-            own = math.log(1 - p) + event if kind == "dip" else math.log(p) + event
-            mix = np.logaddexp(math.log(p) + bright, math.log1p(-p) + faint)
-            likelihood[:, k] = mix.sum(axis=1)
-            share_of_event.append((own - mix).astype(np.float32))
-        top = likelihood.max()
-        weight = np.exp(likelihood - top)
-        total = weight.sum()
-        probability = sum((weight[:, k, None] * np.exp(x)).sum(axis=0) for k, x in enumerate(share_of_event)) / total
-        m, k = np.unravel_index(likelihood.argmax(), likelihood.shape)
-        factor = top + math.log(total) - math.log(likelihood.size) - quiet.sum()
-        return group[[*keys, "seq"]].assign(event_probability=np.clip(probability, 0, 1), bayes_factor=factor, best_mag_event=mags[m], best_p=shares[k])
+    def weigh(columns: Columns, starts: np.ndarray) -> Columns:
+        out = {c: np.empty(starts[-1]) for c in ("event_probability", "bayes_factor", "best_mag_event", "best_p")}
+        for s in spans(starts):
+            mags = np.linspace(columns["grid_start"][s.start], columns["grid_stop"][s.start], n_mags)
+            for c, found in zip(out, event_posterior(columns["mag"][s], columns["_sigma"][s], columns["baseline"][s], mags, shares, kind), strict=True):
+                out[c][s] = found
+        return out
 
     sigma = F.coalesce(F.col("sigma_eff"), F.col("error")) if "sigma_eff" in points.columns else F.col("error")
     ready = grid_ends(points.where(F.col("baseline").isNotNull()), kind, keys).withColumn("_sigma", sigma)
-    types = dict(points.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "seq")) + ", event_probability double, bayes_factor double, best_mag_event double, best_p double"
-    return ready.select(*keys, "seq", "jd", "mag", "_sigma", "baseline", "grid_start", "grid_stop").groupBy(*keys).applyInPandas(weigh, schema)
+    kept = ready.select(*keys, "seq", "jd", "mag", "_sigma", "baseline", "grid_start", "grid_stop")
+    out = with_kernel(kept, keys, ("mag", "_sigma", "baseline", "grid_start", "grid_stop"), weigh, "event_probability double, bayes_factor double, best_mag_event double, best_p double")
+    return out.select(*keys, "seq", "event_probability", "bayes_factor", "best_mag_event", "best_p")
 
 
 def gaussian_shape(t: np.ndarray, amp: float, t0: float, width: float, base: float) -> tuple[np.ndarray, np.ndarray]:
