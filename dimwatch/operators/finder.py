@@ -9,19 +9,25 @@ import math
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import baselines, clean, peaks
+from . import baselines, clean, peaks, runs
 from .clean import SOURCE, Keys
+from .groups import Columns, group_rows, spans
 from .kernels import gaussian_shape, least_squares, paczynski_shape
 
-# The finders' parameters. Of residuals, of biweight deltas, and of the gates that follow.
+# The finders' parameters. Of residuals, of biweight deltas, of a band's deltas, and of the gates that follow.
 RESIDUAL = {"height": 0.3, "distance": 25, "prominence": 0.17, "width": 2.0}
 DELTA = {"height": 3.0, "distance": 25, "prominence": 0.0, "width": 1.0}
+BAND = {"height": 3.0, "distance": 50}
 MOST_PEAKS, MOST_RATE, MOST_STD, MOST_DELTA_STD = 10, 0.015, 0.15, 2.5
-LEAST_ROWS, BAND_DISTANCE, MOST_WINDOW = 30, 50, 500
+LEAST_ROWS, MOST_WINDOW = 30, 500
+# Points that a fit needs, by kind of finder; widths at half maximum by the shapes' own widths; first widths as
+# shares of a window's span and their least; least span and least width of a fit; least chi squared of a score.
+LEAST_POINTS = {"dips": 2, "peaks": 3}
+FULL_WIDTH = {"dips": 2.3548, "peaks": 2 * math.sqrt(3)}
+FIRST_SHARE, FIRST_LEAST, LEAST_SPAN, LEAST_WIDTH, LEAST_CHI2 = {"dips": 1 / 6, "peaks": 1 / (2 * math.sqrt(3))}, 0.5, 1e-3, 1e-3, 1e-6
 
 
 def tops(x: np.ndarray) -> np.ndarray:
@@ -45,19 +51,49 @@ def apart(places: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def _onward(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place, the next higher place to the right, or the end, and the first lowest place on the way to it.
+
+    From the right, places wait on a stack until a place that is as high or higher passes them; it takes over the
+    lowest of what they had passed, so each place is put on and taken off once."""
+    n, values = len(x), x.tolist()
+    higher, low = [n] * n, list(range(n))
+    stack: list[int] = []
+    for i in range(n - 1, -1, -1):
+        own, least = values[i], i
+        while stack and values[stack[-1]] <= own:
+            passed = low[stack.pop()]
+            if values[passed] < values[least]:
+                least = passed
+        higher[i], low[i] = stack[-1] if stack else n, least
+        stack.append(i)
+    return np.array(higher, np.int64), np.array(low, np.int64)
+
+
 def prominences(x: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How far each peak stands above the higher of its two bases, and the bases' places. A base is the lowest point,
     nearest to the peak, on the way to a higher point or to the end."""
-    found = np.zeros(len(places)), np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-    for k, p in enumerate(places.tolist()):
-        higher = np.flatnonzero(x > x[p])
-        i = int(np.searchsorted(higher, p))
-        left = int(higher[i - 1]) + 1 if i else 0
-        right = int(higher[i]) if i < len(higher) else len(x)
-        found[1][k] = p - int(x[left : p + 1][::-1].argmin())
-        found[2][k] = p + int(x[p:right].argmin())
-        found[0][k] = x[p] - max(x[found[1][k]], x[found[2][k]])
-    return found
+    if not len(places):
+        return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    right = _onward(x)[1][places]
+    left = len(x) - 1 - _onward(x[::-1])[1][len(x) - 1 - places]
+    return x[places] - np.maximum(x[left], x[right]), left, right
+
+
+def _first_below(x: np.ndarray, level: float, start: int, end: int) -> int:
+    """The first place from start to end (in that order, both included) where x is at most the level, else end."""
+    step, size, at = (1, 64, start) if end >= start else (-1, 64, start)
+    while True:
+        last = at + step * size
+        if (last - end) * step >= 0:
+            last = end
+        part = x[at : last + 1] if step > 0 else x[last : at + 1][::-1]
+        found = np.flatnonzero(part <= level)
+        if len(found):
+            return at + step * int(found[0])
+        if last == end:
+            return end
+        at, size = last, 2 * size
 
 
 def widths(x: np.ndarray, places: np.ndarray, prominence: np.ndarray, left: np.ndarray, right: np.ndarray, share: float = 0.5) -> np.ndarray:
@@ -65,34 +101,36 @@ def widths(x: np.ndarray, places: np.ndarray, prominence: np.ndarray, left: np.n
     out = np.zeros(len(places))
     for k, p in enumerate(places.tolist()):
         level = x[p] - share * prominence[k]
-        below = np.flatnonzero(x[left[k] : p + 1] <= level)
-        i = int(left[k] + below[-1]) if len(below) else int(left[k])
-        below = np.flatnonzero(x[p : right[k] + 1] <= level)
-        j = int(p + below[0]) if len(below) else int(right[k])
+        i, j = _first_below(x, level, p, int(left[k])), _first_below(x, level, p, int(right[k]))
         low = i + (level - x[i]) / (x[i + 1] - x[i]) if x[i] < level else float(i)
         high = j - (level - x[j]) / (x[j - 1] - x[j]) if x[j] < level else float(j)
         out[k] = high - low
     return out
 
 
-def find_peaks(x: np.ndarray, height: float, distance: int = 1, prominence: float = 0.0, width: float = 0.0) -> np.ndarray:
-    """Places of the peaks that pass, in this order, height, distance, prominence and width."""
+def find_peaks(x: np.ndarray, height: float, distance: int = 1, prominence: float | None = None, width: float | None = None) -> np.ndarray:
+    """Places of the peaks that pass, in this order, height, distance, and if given prominence and width."""
     places = tops(x)
     places = places[x[places] >= height]
     places = apart(places, x[places], distance)
+    if (prominence or 0.0) <= 0 and width is None:  # no peak falls below its own bases
+        return places
     rise, left, right = prominences(x, places)
-    high = rise >= prominence
+    high = rise >= (prominence or 0.0)
     places, rise, left, right = places[high], rise[high], left[high], right[high]
-    return places[widths(x, places, rise, left, right) >= width]
+    return places if width is None else places[widths(x, places, rise, left, right) >= width]
 
 
-def window(delta: np.ndarray, p: int, least: float, most: int | None = None) -> slice:
-    """From the last point at or below a level before a peak to the first after it, the ends of the data or `most`
-    points away at the latest."""
-    low = np.flatnonzero(delta[: p + 1] <= least)
-    high = np.flatnonzero(delta[p:] <= least)
-    a, b = int(low[-1]) if len(low) else 0, p + int(high[0]) if len(high) else len(delta) - 1
-    return slice(max(a, p - most), min(b, p + most) + 1) if most else slice(a, b + 1)
+def windows(delta: np.ndarray, places: np.ndarray, least: float, most: int | None = None) -> list[slice]:
+    """For each peak, from the last point at or below a level before it to the first after it, the ends of the data or
+    `most` points away at the latest."""
+    low = np.concatenate([[0], np.flatnonzero(delta <= least), [len(delta) - 1]])
+    inner = low[1:-1]
+    starts = low[np.searchsorted(inner, places, side="right")]
+    ends = low[1 + np.searchsorted(inner, places, side="left")]
+    if most is not None:
+        starts, ends = np.maximum(starts, places - most), np.minimum(ends, places + most)
+    return [slice(int(a), int(b) + 1) for a, b in zip(starts, ends, strict=True)]
 
 
 def _fit(kind: str, t: np.ndarray, d: np.ndarray, top: float, at: float) -> tuple[float, np.ndarray]:
@@ -100,26 +138,24 @@ def _fit(kind: str, t: np.ndarray, d: np.ndarray, top: float, at: float) -> tupl
     bell = kind == "dips"
     shape = gaussian_shape if bell else paczynski_shape
     flat = lambda t, *p: (lambda v: (v[0], v[1][:3]))(shape(t, *p, 0.0))
-    span = max(t.max() - t.min(), 1e-3)
-    start = np.array([top, at, max(span / 6, 0.5)] if bell else [max(top, 0.0), at, max(span / (2 * math.sqrt(3)), 0.5)])
-    bounds = None if bell else (np.array([0.0, t.min() - span / 2, 1e-3]), np.array([np.inf, t.max() + span / 2, np.inf]))
+    span = max(t.max() - t.min(), LEAST_SPAN)
+    start = np.array([top if bell else max(top, 0.0), at, max(FIRST_SHARE[kind] * span, FIRST_LEAST)])
+    bounds = None if bell else (np.array([0.0, t.min() - span / 2, LEAST_WIDTH]), np.array([np.inf, t.max() + span / 2, np.inf]))
     p = least_squares(flat, t, d, np.ones(len(t)), start, bounds=bounds)
-    return (2.3548 if bell else 2 * math.sqrt(3)) * abs(p[2]), flat(t, *p)[0]
+    return FULL_WIDTH[kind] * abs(p[2]), flat(t, *p)[0]
 
 
 def scored(kind: str, delta: np.ndarray, jd: np.ndarray, places: np.ndarray, threshold: float) -> dict[str, list]:
     """For each peak: score, full width at half maximum, delta, points of its window and reduced chi squared of the fit.
     A score is half the peak's delta times width times points, over chi squared; too few points score nothing."""
-    least = 2 if kind == "dips" else 3
     out: dict[str, list] = {"scores": [], "fwhm": [], "delta_peak": [], "n_det": [], "chi2_red": []}
-    for p in places.tolist():
-        s = window(delta, p, threshold / 2, None if kind == "dips" else MOST_WINDOW)
+    for p, s in zip(places.tolist(), windows(delta, places, threshold / 2, None if kind == "dips" else MOST_WINDOW), strict=True):
         t, d = jd[s], delta[s]
         fwhm, chi2, score = 0.0, math.inf, 0.0
-        if len(d) >= least:
+        if len(d) >= LEAST_POINTS[kind]:
             fwhm, model = _fit(kind, t, d, float(delta[p]), float(jd[p]))
             chi2 = float(((d - model) ** 2).sum()) / max(len(d) - 3, 1)
-            score = max(float(delta[p]), 0.0) / 2 * fwhm * len(d) / max(chi2, 1e-6)
+            score = max(float(delta[p]), 0.0) / 2 * fwhm * len(d) / max(chi2, LEAST_CHI2)
         for name, value in zip(out, (score, fwhm, float(delta[p]), len(d), chi2), strict=True):
             out[name].append(value)
     return out
@@ -132,17 +168,19 @@ _SCORES = "scores array<double>, fwhm array<double>, delta_peak array<double>, n
 def peak_rows(points: DataFrame, value: str, keys: Keys = SOURCE, score: str | None = None, **rules: float) -> DataFrame:
     """A row per source (or other keys): n_rows, span, mean and population deviation of the values, peaks_idx and
     peaks_jd; with score (`dips` or `peaks`) also the lists of scores. Missing values count as 0."""
+    makes = f"n_rows long, span double, std double, {_LISTS}" + (f", {_SCORES}" if score else "")
 
-    def find(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["jd", "seq"])
-        jd, x = group["jd"].to_numpy(float), np.nan_to_num(group["_x"].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0)
-        at = find_peaks(x, **rules)
-        row = {k: group[k].iloc[0] for k in keys} | {"n_rows": len(x), "span": jd[-1] - jd[0], "std": x.std(), "peaks_idx": at.tolist(), "peaks_jd": jd[at].tolist()}
-        return pd.DataFrame([row | (scored(score, x, jd, at, rules["height"]) if score else {})])
+    def find(columns: Columns, starts: np.ndarray) -> dict[str, list]:
+        out: dict[str, list] = {part.split()[0]: [] for part in makes.split(", ")}
+        for s in spans(starts):
+            jd, x = columns["jd"][s], np.nan_to_num(columns["_x"][s], nan=0.0, posinf=0.0, neginf=0.0)
+            at = find_peaks(x, **rules)
+            row = {"n_rows": len(x), "span": jd[-1] - jd[0], "std": x.std(), "peaks_idx": at.tolist(), "peaks_jd": jd[at].tolist()}
+            for c, v in (row | (scored(score, x, jd, at, rules["height"]) if score else {})).items():
+                out[c].append(v)
+        return out
 
-    types = dict(points.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", n_rows long, span double, std double, {_LISTS}" + (f", {_SCORES}" if score else "")
-    return points.select(*keys, "jd", "seq", F.col(value).alias("_x")).groupBy(*keys).applyInPandas(find, schema)
+    return group_rows(points.withColumn("_x", F.col(value)), keys, ("jd", "_x"), find, makes)
 
 
 def gated(rows: DataFrame, most_peaks: int = MOST_PEAKS, most_rate: float = MOST_RATE, most_std: float = MOST_STD) -> DataFrame:
@@ -178,39 +216,60 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.withColumn("total_score", F.when(n > 0, summed / F.pow(F.log(n + F.lit(1.0)), n)).otherwise(0.0)).withColumn("best_score", F.coalesce(F.array_max("scores"), F.lit(0.0)))
 
 
+METRICS = (
+    "n_dip_runs", "n_jump_runs", "n_dip_points", "n_jump_points", "most_recent_dip", "most_recent_jump", "max_depth", "max_height", "max_dip_duration", "max_jump_duration",
+    "dip_fraction", "jump_fraction", "is_dip_dominated",
+)
+
+
 def _by_band(rows: DataFrame, columns: list[str]) -> DataFrame:
     """A row per source with g_ and v_ columns of the two bands' rows."""
     own = [F.first(F.when(F.col("band") == b, F.col(c)), ignorenulls=True).alias(f"{n}_{c}") for b, n in enumerate("gv") for c in columns]
     return rows.groupBy("source_id").agg(*own)
 
 
-def source_rows(points: DataFrame, kind: str = "dips", raw: DataFrame | None = None, naive: bool = False) -> DataFrame:
-    """A row per source of both bands' peaks: by biweight deltas with scores, or naive, by residuals of the mean with a
-    gate. Bands of fewer than LEAST_ROWS points have none. With counts and ends of the light curve (of g, else of V)
-    and, of per-camera summaries, their range and scatter."""
+def band_metrics(based: DataFrame, keys: Keys, threshold: float) -> DataFrame:
+    """Run metrics of points with a baseline, with whether dips are most of the runs."""
+    return runs.run_metrics(based, keys, threshold).withColumn("is_dip_dominated", runs.dip_dominated(F.col("dip_fraction")))
+
+
+def source_rows(points: DataFrame, kind: str = "dips", raw: DataFrame | None = None, naive: bool = False, baseline: str | None = None, sigma: float = BAND["height"], distance: int = BAND["distance"], **parameters: float) -> DataFrame:
+    """A row per source of both bands' peaks over a baseline of each band's cameras, with run metrics.
+
+    By deltas (default baseline: per-camera median): residuals in units of error and their biweight scale, peaks of at
+    least sigma with their scores, metrics of dips deeper than sigma magnitudes (none for kind `peaks`), and
+    biweight_R, the median of the baseline. Bands of fewer than LEAST_ROWS points before cleaning have no peaks.
+    Naive (default baseline: per-camera trend): gated peaks of residuals, metrics of dips of 0.3 magnitudes, mean_mag;
+    points are counted after cleaning. With counts and ends of the light curve (of g, else of V) and, of per-camera
+    summaries, their range and scatter."""
     from .stats import raw_summary
 
     keys: Keys = ("source_id", "band")
     good = clean.clean_lc(points)
-    ends = good.groupBy(*keys).agg(F.min("jd").alias("jd_first"), F.max("jd").alias("jd_last"), F.count("*").alias("rows"))
-    enough = good.join(ends.where(F.col("rows") >= LEAST_ROWS).select(*keys), list(keys), "left_semi")
+    ends = (good if naive else points).groupBy(*keys).agg(F.min("jd").alias("jd_first"), F.max("jd").alias("jd_last"), F.count("*").alias("rows"))
+    if not naive:
+        good = good.join(ends.where(F.col("rows") >= LEAST_ROWS).select(*keys), list(keys), "left_semi")
+    based = baselines.baseline_by_name(baseline or ("per_camera_trend" if naive else "per_camera_median"))(good, keys, **parameters)
     if naive:
-        found, columns = residual_peaks(enough, keys, distance=BAND_DISTANCE), ["n_peaks", "mean_mag", "peaks_idx", "peaks_jd"]
+        found, columns = residual_peaks(based, keys), ["n_peaks", "mean_mag", "peaks_idx", "peaks_jd"]
     else:
-        found = totals(delta_peaks(enough, keys, kind=kind, distance=BAND_DISTANCE))
+        delta = peaks.baseline_delta(based, keys, 1 if kind == "dips" else -1)
+        found = totals(peak_rows(delta, "delta", keys, kind, height=sigma, distance=distance)).withColumn("n_peaks", F.size("peaks_idx").cast("long"))
+        found = found.join(based.groupBy(*keys).agg(F.median("baseline").alias("biweight_R")), list(keys))
         columns = ["n_peaks", "biweight_R", "peaks_idx", "peaks_jd", "total_score", "best_score", "scores", "fwhm", "delta_peak", "n_det", "chi2_red"]
-    wide = _by_band(ends, ["jd_first", "jd_last", "rows"]).join(_by_band(found, columns), "source_id", "left")
+    if naive or kind == "dips":
+        found = found.join(band_metrics(based, keys, runs.THRESHOLD if naive else sigma), list(keys))
+    else:
+        found = found.withColumns({c: F.lit(None).cast("double") for c in METRICS})
+    wide = _by_band(ends, ["jd_first", "jd_last", "rows"]).join(_by_band(found, [*columns, *METRICS]), "source_id", "left")
     out = wide.withColumns({"jd_first": F.coalesce("g_jd_first", "v_jd_first"), "jd_last": F.coalesce("g_jd_last", "v_jd_last"), "n_rows_g": F.coalesce("g_rows", F.lit(0)), "n_rows_v": F.coalesce("v_rows", F.lit(0))})
-    out = out.fillna(0, ["g_n_peaks", "v_n_peaks"]).drop(*(f"{b}_{c}" for b in "gv" for c in ("jd_first", "jd_last", "rows")))
+    zero = ["n_peaks", *METRICS[:4]] + ([] if naive else ["total_score", "best_score"])
+    out = out.withColumns({f"{b}_{c}": F.coalesce(f"{b}_{c}", F.lit(0)).cast("long" if c.startswith("n_") else "double") for b in "gv" for c in zero})
+    out = out.withColumns({f"{b}_is_dip_dominated": F.coalesce(F.col(f"{b}_is_dip_dominated").cast("boolean"), F.lit(False)) for b in "gv"})
+    out = out.drop(*(f"{b}_{c}" for b in "gv" for c in ("jd_first", "jd_last", "rows")))
     return out if raw is None else out.join(raw_summary(raw), "source_id", "left")
 
 
-def found_in_bins(points: DataFrame, bins: DataFrame, kind: str = "dips", naive: bool = False) -> DataFrame:
-    """Source rows of all magnitude bins at once: bins has source_id and mag_bin; sources without peaks are left out."""
-    rows = source_rows(points, kind, naive=naive)
-    return rows.where((F.col("g_n_peaks") > 0) | (F.col("v_n_peaks") > 0)).join(bins.select("source_id", "mag_bin").distinct(), "source_id")
-
-
 def over_baseline(points: DataFrame, baseline: str = "per_camera_median", keys: Keys = SOURCE, **parameters: float) -> DataFrame:
     """Residual peaks of cleaned points over a registered baseline."""
     return residual_peaks(baselines.BASELINES[baseline](clean.clean_lc(points), keys, **parameters), keys)

@@ -56,19 +56,25 @@ def _quoted(df: DataFrame, names: list[str]) -> str:
     return "".join(f"`{c}` {types[c]}, " for c in names)
 
 
-def _arrow(values: np.ndarray | list) -> pa.Array:
-    return pa.array(values, from_pandas=True)
+_TYPES = {"double": pa.float64(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+
+
+def _arrow(values: np.ndarray | list, kind: str) -> pa.Array:
+    return pa.array(values, _TYPES[kind], from_pandas=True)
+
+
+def _schema(text: str) -> list[tuple[str, str]]:
+    return [tuple(part.split()) for part in text.split(", ")]
 
 
 def with_kernel(points: DataFrame, keys: Keys, uses: tuple[str, ...], kernel: Kernel, adds: str, order: tuple[str, ...] = ("jd", "seq")) -> DataFrame:
     """points with the columns `adds` (a schema) that the kernel makes, a value a row; NaN counts as null."""
-    names = [part.split()[0] for part in adds.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_groups(batches):
             made = kernel({c: _floats(table, c) for c in uses}, starts)
-            for name in names:
-                table = table.append_column(name, _arrow(made[name]))
+            for name, kind in _schema(adds):
+                table = table.append_column(name, _arrow(made[name], kind))
             yield from table.combine_chunks().to_batches()
 
     return _placed(points, keys, order).mapInArrow(run, _quoted(points, points.columns) + adds)
@@ -76,14 +82,13 @@ def with_kernel(points: DataFrame, keys: Keys, uses: tuple[str, ...], kernel: Ke
 
 def group_rows(points: DataFrame, keys: Keys, uses: tuple[str, ...], kernel: Kernel, makes: str, order: tuple[str, ...] = ("jd", "seq")) -> DataFrame:
     """A row per group: keys and the columns `makes` (a schema) that the kernel makes, a value a group."""
-    names = [part.split()[0] for part in makes.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_groups(batches):
             made = kernel({c: _floats(table, c) for c in uses}, starts)
             first = table.select(list(keys)).take(starts[:-1])
-            for name in names:
-                first = first.append_column(name, _arrow(made[name]))
+            for name, kind in _schema(makes):
+                first = first.append_column(name, _arrow(made[name], kind))
             yield from first.combine_chunks().to_batches()
 
     kept = points.select(*dict.fromkeys((*keys, *order, *uses)))

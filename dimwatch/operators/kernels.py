@@ -26,7 +26,7 @@ LEAST_FIT, LEAST_UNMASKED, LEAST_FLOOR = 5, 10, 30
 #: Least error of a point that a process is fitted to; least sigma of a point in the mixture.
 LEAST_GP_ERROR, LEAST_SIGMA = 1e-6, 1e-12
 #: Points of a block of the mixture; numbers of a working array.
-BLOCK, WORKING = 512, 2**16
+BLOCK, WORKING = 512, 2**15
 
 
 def mad_sigma(x: np.ndarray) -> float:

@@ -42,9 +42,9 @@ def biweight_delta(points: DataFrame, keys: Keys = SOURCE, sign: int = 1) -> Dat
 def baseline_delta(points: DataFrame, keys: Keys = SOURCE, sign: int = 1) -> DataFrame:
     """points (with baseline and resid) with delta in units of error and the residuals' biweight scale."""
     out = with_biweight(points, keys, "resid")
-    e = F.coalesce(F.col("error"), F.lit(0.0))
-    below = F.greatest(F.sqrt(e * e + F.col("biweight_scale") * F.col("biweight_scale")), F.lit(EPS))
-    return out.withColumn("delta", sign * F.col("resid") / below).drop("biweight_location", "biweight_scale")
+    e, scale = F.coalesce(F.col("error"), F.lit(0.0)), F.coalesce(F.col("biweight_scale"), F.lit(0.0))
+    total = F.sqrt(e * e + scale * scale)
+    return out.withColumn("delta", sign * F.col("resid") / F.when(total > 0, total).otherwise(EPS)).drop("biweight_location", "biweight_scale")
 
 
 def local_maxima(points: DataFrame, value: str, height: Column | float, keys: Keys = SOURCE) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .clean import SOURCE, Keys, in_time
 
 
+#: Magnitudes from the baseline that make a dip or jump.
+THRESHOLD = 0.3
+
+
 def find_runs(points: DataFrame, mask: Column, keys: Keys = SOURCE, max_gap: int = 1, min_length: int = 1) -> DataFrame:
     """start_idx, end_idx and n_points of runs of masked points, at most max_gap places apart, by number. points have idx."""
     w = W.partitionBy(*keys).orderBy("idx")
@@ -62,7 +66,7 @@ def best_run(runs: DataFrame, keys: Keys = SOURCE) -> DataFrame:
     return runs.where("kept").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def run_metrics(points: DataFrame, keys: Keys = SOURCE, threshold: float = 0.3) -> DataFrame:
+def run_metrics(points: DataFrame, keys: Keys = SOURCE, threshold: float = THRESHOLD) -> DataFrame:
     """Dips and jumps of at least a threshold from the baseline: runs, points, most recent time, greatest depth and
     height, longest duration, and dips' share of the runs. Sources without any keep zeros. points have baseline."""
     from .clean import indexed

@@ -205,6 +205,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fp_summary": fp_summary,
 }
 
-from .catalog_queries import QUERIES as _OF_CATALOGS  # noqa: E402
+from . import catalog_queries, oracle, peak_queries  # noqa: E402
 
-QUERIES |= _OF_CATALOGS
+QUERIES |= catalog_queries.QUERIES | peak_queries.QUERIES
+#: DuckDB's statements of the same results, where SQL has them.
+SQL: dict[str, str] = oracle.SQL | catalog_queries.SQL | peak_queries.SQL

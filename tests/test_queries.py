@@ -2,12 +2,11 @@
 
 import pytest
 
-from dimwatch.plans import catalog_queries, oracle, queries
+from dimwatch.plans import catalog_queries, oracle, peak_queries, queries
 
 from .compare import difference
 
-
-SQL = oracle.SQL | catalog_queries.SQL
+SQL = queries.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -16,7 +15,7 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(queries.QUERIES) and not set(oracle.SQL) & set(catalog_queries.SQL)
+    assert set(SQL) <= set(queries.QUERIES) and len(SQL) == sum(len(m.SQL) for m in (oracle, catalog_queries, peak_queries))
 
 
 def test_flagship_has_a_row_per_source(spark):
