@@ -23,7 +23,7 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def _find(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     points = files.read_light_curves(spark, files.expanded(spark, a.inputs))
     raw = files.read_raw(spark, files.expanded(spark, a.raw)) if a.raw else None
-    found = finder.source_rows(points, a.mode, raw, a.naive)
+    found = finder.source_rows(points, a.mode, raw, a.naive, a.baseline, a.sigma, a.distance)
     lists = [c for c, kind in found.dtypes if kind.startswith("array")]
     return found.withColumns({c: finder.in_order(F.col(c)) for c in lists}) if a.format == "csv" else found
 
@@ -78,7 +78,7 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     scan = command("scan", _scan, "inputs")
-    scan.add_argument("--baseline", choices=sorted(BASELINES), default="per_camera_gp")
+    scan.add_argument("--baseline", default="per_camera_gp", help=f"module:function, or one of {', '.join(sorted(BASELINES))}")
     scan.add_argument("--trigger-mode", choices=("logbf", "posterior_prob"), default="logbf")
     scan.add_argument("--logbf-threshold", type=float, default=bayes.LOGBF_THRESHOLD)
     scan.add_argument("--significance-threshold", type=float, default=100 * bayes.PROBABILITY_THRESHOLD)
@@ -87,6 +87,9 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--mode", choices=("dips", "peaks"), default="dips")
     find.add_argument("--naive", action="store_true")
     find.add_argument("--raw", nargs="*")
+    find.add_argument("--baseline", help="a name, or module:function; by default that of the mode")
+    find.add_argument("--sigma", type=float, default=finder.BAND["height"])
+    find.add_argument("--distance", type=int, default=finder.BAND["distance"])
     keep = command("filter", _filter, "inputs")
     for name, kind, default in (("include", str, "*"), ("exclude", str, None), ("catalog", str, None), ("vsx", str, None), ("rejections", str, None), ("min-dip-fraction", float, 0.66), ("min-cameras", int, 2), ("max-power", float, 0.5)):
         keep.add_argument(f"--{name}", type=kind, default=default)

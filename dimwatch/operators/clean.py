@@ -55,6 +55,14 @@ def stats_quality(points: DataFrame, keys: Keys = SOURCE, only_good: bool = True
     return first.where((F.col("good_bad") == 1) & (F.col("saturated") == 0)) if only_good else first
 
 
+def quality_totals(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
+    """A row per source: points there were, and how many stats_quality keeps, of all and of good ones."""
+    counts = [points.groupBy(*keys).agg(F.count("*").alias("n_before"))]
+    counts += [stats_quality(points, keys, good).groupBy(*keys).agg(F.count("*").alias(name)) for good, name in ((False, "n_whole"), (True, "n_good"))]
+    out = counts[0].join(counts[1], list(keys), "left").join(counts[2], list(keys), "left")
+    return out.fillna(0, ["n_whole", "n_good"])
+
+
 def plot_quality(points: DataFrame) -> DataFrame:
     return points.where((F.col("error") > 0) & (F.col("error") < 1) & (F.col("saturated") == 0) & (F.col("good_bad") == 1))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import baselines, clean, peaks, runs
 from .clean import SOURCE, Keys
 from .groups import Columns, group_rows, spans
-from .kernels import gaussian_shape, least_squares, paczynski_shape
+from .kernels import Shape, gaussian_shape, least_squares, paczynski_shape
 
 # The finders' parameters. Of residuals, of biweight deltas, of a band's deltas, and of the gates that follow.
 RESIDUAL = {"height": 0.3, "distance": 25, "prominence": 0.17, "width": 2.0}
@@ -133,31 +133,67 @@ def windows(delta: np.ndarray, places: np.ndarray, least: float, most: int | Non
     return [slice(int(a), int(b) + 1) for a, b in zip(starts, ends, strict=True)]
 
 
-def _fit(kind: str, t: np.ndarray, d: np.ndarray, top: float, at: float) -> tuple[float, np.ndarray]:
-    """Full width at half maximum, and model, of a curve without base fitted to a window."""
+#: Numbers of a working array of fits.
+WORKING = 2**18
+
+
+def _flat(shape: Shape) -> Shape:
+    """A shape without a base."""
+    return lambda t, *p: shape(t, *p, 0.0)
+
+
+def fits(kind: str, windows_of: list[tuple[np.ndarray, np.ndarray, float, float]]) -> list[tuple[float, float]]:
+    """Full width at half maximum, and sum of squares left, of curves without base fitted to windows (times, values, value
+    and time of the peak). Windows of like length are fitted together."""
     bell = kind == "dips"
-    shape = gaussian_shape if bell else paczynski_shape
-    flat = lambda t, *p: (lambda v: (v[0], v[1][:3]))(shape(t, *p, 0.0))
-    span = max(t.max() - t.min(), LEAST_SPAN)
-    start = np.array([top if bell else max(top, 0.0), at, max(FIRST_SHARE[kind] * span, FIRST_LEAST)])
-    bounds = None if bell else (np.array([0.0, t.min() - span / 2, LEAST_WIDTH]), np.array([np.inf, t.max() + span / 2, np.inf]))
-    p = least_squares(flat, t, d, np.ones(len(t)), start, bounds=bounds)
-    return FULL_WIDTH[kind] * abs(p[2]), flat(t, *p)[0]
-
-
-def scored(kind: str, delta: np.ndarray, jd: np.ndarray, places: np.ndarray, threshold: float) -> dict[str, list]:
-    """For each peak: score, full width at half maximum, delta, points of its window and reduced chi squared of the fit.
-    A score is half the peak's delta times width times points, over chi squared; too few points score nothing."""
-    out: dict[str, list] = {"scores": [], "fwhm": [], "delta_peak": [], "n_det": [], "chi2_red": []}
-    for p, s in zip(places.tolist(), windows(delta, places, threshold / 2, None if kind == "dips" else MOST_WINDOW), strict=True):
-        t, d = jd[s], delta[s]
+    shape = _flat(gaussian_shape if bell else paczynski_shape)
+    out: list[tuple[float, float]] = [(0.0, 0.0)] * len(windows_of)
+    order = sorted(range(len(windows_of)), key=lambda k: len(windows_of[k][0]))
+    while order:
+        n, take = len(windows_of[order[0]][0]), 1
+        while take < len(order) and (m := len(windows_of[order[take]][0])) <= max(2 * n, 16) and (take + 1) * m <= WORKING:
+            take += 1
+        own, order = order[:take], order[take:]
+        n = max(len(windows_of[k][0]) for k in own)
+        t, d, weight, start, low, high = np.zeros((take, n)), np.zeros((take, n)), np.zeros((take, n)), np.zeros((take, 3)), np.full((take, 3), -np.inf), np.full((take, 3), np.inf)
+        for row, k in enumerate(own):
+            times, values, top, at = windows_of[k]
+            m = len(times)
+            t[row, :m], t[row, m:], d[row, :m], weight[row, :m] = times, times[0], values, 1.0
+            span = max(times.max() - times.min(), LEAST_SPAN)
+            start[row] = top if bell else max(top, 0.0), at, max(FIRST_SHARE[kind] * span, FIRST_LEAST)
+            if not bell:
+                low[row], high[row] = (0.0, times.min() - span / 2, LEAST_WIDTH), (np.inf, times.max() + span / 2, np.inf)
+        p = least_squares(shape, t, d, weight, start, bounds=None if bell else (low, high))
+        left = (((d - shape(t, *(p[:, i : i + 1] for i in range(3)))[0]) * weight) ** 2).sum(1)
+        for row, k in enumerate(own):
+            out[k] = FULL_WIDTH[kind] * abs(float(p[row, 2])), float(left[row])
+    return out
+
+
+Curve = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def scored(kind: str, curves: list[Curve], threshold: float) -> list[dict[str, list]]:
+    """For each peak of each curve (times, deltas, places of the peaks): score, full width at half maximum, delta, points of
+    its window and reduced chi squared of the fit. A score is half the peak's delta times width times points, over chi
+    squared; too few points score nothing."""
+    asked, rows = [], []
+    for c, (jd, delta, places) in enumerate(curves):
+        for p, s in zip(places.tolist(), windows(delta, places, threshold / 2, None if kind == "dips" else MOST_WINDOW), strict=True):
+            fitted = s.stop - s.start >= LEAST_POINTS[kind]
+            rows.append((c, float(delta[p]), s.stop - s.start, len(asked) if fitted else None))
+            if fitted:
+                asked.append((jd[s], delta[s], float(delta[p]), float(jd[p])))
+    found = fits(kind, asked)
+    out: list[dict[str, list]] = [{"scores": [], "fwhm": [], "delta_peak": [], "n_det": [], "chi2_red": []} for _ in curves]
+    for c, top, n, k in rows:
         fwhm, chi2, score = 0.0, math.inf, 0.0
-        if len(d) >= LEAST_POINTS[kind]:
-            fwhm, model = _fit(kind, t, d, float(delta[p]), float(jd[p]))
-            chi2 = float(((d - model) ** 2).sum()) / max(len(d) - 3, 1)
-            score = max(float(delta[p]), 0.0) / 2 * fwhm * len(d) / max(chi2, LEAST_CHI2)
-        for name, value in zip(out, (score, fwhm, float(delta[p]), len(d), chi2), strict=True):
-            out[name].append(value)
+        if k is not None:
+            fwhm, chi2 = found[k][0], found[k][1] / max(n - 3, 1)
+            score = max(top, 0.0) / 2 * fwhm * n / max(chi2, LEAST_CHI2)
+        for name, value in zip(out[c], (score, fwhm, top, n, chi2), strict=True):
+            out[c][name].append(value)
     return out
 
 
@@ -172,11 +208,15 @@ def peak_rows(points: DataFrame, value: str, keys: Keys = SOURCE, score: str | N
 
     def find(columns: Columns, starts: np.ndarray) -> dict[str, list]:
         out: dict[str, list] = {part.split()[0]: [] for part in makes.split(", ")}
+        curves: list[Curve] = []
         for s in spans(starts):
             jd, x = columns["jd"][s], np.nan_to_num(columns["_x"][s], nan=0.0, posinf=0.0, neginf=0.0)
             at = find_peaks(x, **rules)
-            row = {"n_rows": len(x), "span": jd[-1] - jd[0], "std": x.std(), "peaks_idx": at.tolist(), "peaks_jd": jd[at].tolist()}
-            for c, v in (row | (scored(score, x, jd, at, rules["height"]) if score else {})).items():
+            curves.append((jd, x, at))
+            for c, v in {"n_rows": len(x), "span": jd[-1] - jd[0], "std": x.std(), "peaks_idx": at.tolist(), "peaks_jd": jd[at].tolist()}.items():
+                out[c].append(v)
+        for own in scored(score, curves, rules["height"]) if score else ():
+            for c, v in own.items():
                 out[c].append(v)
         return out
 

@@ -183,41 +183,62 @@ def mixture_posterior(points: DataFrame, kind: str, keys: Keys = SOURCE, n_mags:
     return out.select(*keys, "seq", "event_probability", "bayes_factor", "best_mag_event", "best_p")
 
 
-def gaussian_shape(t: np.ndarray, amp: float, t0: float, width: float, base: float) -> tuple[np.ndarray, np.ndarray]:
-    """A bell's values and their derivatives by amplitude, time, width and base."""
-    width = width or 1e-9
+Shape = Callable[..., tuple[np.ndarray, np.ndarray]]
+
+
+def gaussian_shape(t: np.ndarray, amp: np.ndarray, t0: np.ndarray, width: np.ndarray, base: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Bells' values, and their derivatives by amplitude, time, width and base, next to last axis. t has a row for each
+    bell, parameters a column."""
+    width = np.where(width == 0, 1e-9, width)
     u = (t - t0) / width
     e = np.exp(-0.5 * u * u)
-    return base + amp * e, np.stack([e, amp * e * u / width, amp * e * u * u / width, np.ones_like(t)])
+    return base + amp * e, np.stack([e, amp * e * u / width, amp * e * u * u / width, np.ones_like(t)], axis=-2)
 
 
-def paczynski_shape(t: np.ndarray, amp: float, t0: float, width: float, base: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same of a microlensing-like curve."""
-    width = width or 1e-9
+def paczynski_shape(t: np.ndarray, amp: np.ndarray, t0: np.ndarray, width: np.ndarray, base: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """The same of microlensing-like curves."""
+    width = np.where(width == 0, 1e-9, width)
     u = (t - t0) / width
     e = 1 / np.sqrt(1 + u * u)
-    return base + amp * e, np.stack([e, amp * e**3 * u / width, amp * e**3 * u * u / width, np.ones_like(t)])
+    return base + amp * e, np.stack([e, amp * e**3 * u / width, amp * e**3 * u * u / width, np.ones_like(t)], axis=-2)
+
+
+def least_squares(shape: Shape, t: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, most: int = 400, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Parameters of the weighted least squares of many curves, a row each, by damped Gauss-Newton steps that all curves take
+    together, each put back within its bounds. A curve is done once a step gains next to nothing, or no damping lets it gain.
+    Points of weight 0 fill up rows."""
+    p, damping, left = np.array(start, float), np.full(len(start), 1e-3), np.arange(len(start))
 
+    def at(rows: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            value, slope = shape(t[rows], *(q[:, k : k + 1] for k in range(q.shape[1])))
+            off = np.where(weight[rows] > 0, (y[rows] - value) * weight[rows], 0.0)
+            return off, slope[:, : q.shape[1]] * weight[rows][:, None, :], (off * off).sum(1)
 
-def least_squares(shape: Callable[..., tuple[np.ndarray, np.ndarray]], t: np.ndarray, y: np.ndarray, error: np.ndarray, start: np.ndarray, most: int = 400, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Parameters of the weighted least squares by damped Gauss-Newton steps, each put back within the bounds."""
-    p, damping, weight = np.array(start, float), 1e-3, 1 / np.maximum(error, 1e-9)
-    value, slope = shape(t, *p)
-    cost = (((y - value) * weight) ** 2).sum()
+    off, slope, cost = at(left, p)
     for _ in range(most):
-        j = (slope * weight).T
-        square = j.T @ j
-        step = np.linalg.lstsq(square + damping * np.diag(np.diag(square) + 1e-12), j.T @ ((y - value) * weight), rcond=None)[0]
-        moved = p + step if bounds is None else np.clip(p + step, *bounds)
-        next_value, next_slope = shape(t, *moved)
-        next_cost = (((y - next_value) * weight) ** 2).sum()
-        if np.isfinite(next_cost) and next_cost <= cost:
-            done = cost - next_cost <= 1e-12 * max(cost, 1e-12)
-            p, value, slope, cost, damping = moved, next_value, next_slope, next_cost, max(damping / 10, 1e-12)
-            if done:
-                break
-        elif (damping := damping * 10) > 1e12:
+        if not len(left):
             break
+        with np.errstate(all="ignore"):
+            square = slope @ slope.transpose(0, 2, 1)
+            diagonal = np.einsum("bii->bi", square) + 1e-12
+            square += (damping[left, None] * diagonal)[:, :, None] * np.eye(p.shape[1])
+            toward = (slope @ off[:, :, None])[..., 0]
+        sound = np.isfinite(square).all((1, 2)) & np.isfinite(toward).all(1)
+        square[~sound], toward[~sound] = np.eye(p.shape[1]), 0.0
+        try:
+            step = np.linalg.solve(square, toward[..., None])[..., 0]
+        except np.linalg.LinAlgError:
+            step = (np.linalg.pinv(square) @ toward[..., None])[..., 0]
+        moved = p[left] + step if bounds is None else np.clip(p[left] + step, bounds[0][left], bounds[1][left])
+        next_off, next_slope, next_cost = at(left, moved)
+        better = np.isfinite(next_cost) & (next_cost <= cost)
+        done = better & (cost - next_cost <= 1e-12 * np.maximum(cost, 1e-12))
+        p[left[better]] = moved[better]
+        off, slope, cost = (np.where(better.reshape(-1, *[1] * (old.ndim - 1)), new, old) for new, old in ((next_off, off), (next_slope, slope), (next_cost, cost)))
+        damping[left] = np.where(better, np.maximum(damping[left] / 10, 1e-12), damping[left] * 10)
+        on = ~done & (damping[left] <= 1e12) & sound
+        left, off, slope, cost = left[on], off[on], slope[on], cost[on]
     return p
 
 
@@ -225,7 +246,7 @@ def least_squares(shape: Callable[..., tuple[np.ndarray, np.ndarray]], t: np.nda
 # width is and its least, and the least error of a point.
 LEAST_SHAPE, GAIN, FIRST_WIDTH, LEAST_WIDTH, LEAST_ERROR = 4, 10.0, 0.25, 0.01, 1e-9
 #: Shapes that are tried for each kind of run, in order, and the sign of a first amplitude (0: that of the extreme point).
-SHAPES = {"dip": [("gaussian", gaussian_shape, 0)], "jump": [("gaussian", gaussian_shape, 0), ("paczynski", paczynski_shape, -1)]}
+SHAPES: dict[str, list[tuple[str, Shape, int]]] = {"dip": [("gaussian", gaussian_shape, 0)], "jump": [("gaussian", gaussian_shape, 0), ("paczynski", paczynski_shape, -1)]}
 
 
 def run_shape(t: np.ndarray, y: np.ndarray, error: np.ndarray, kind: str) -> tuple[str, float, float, float, float, float, float]:
@@ -241,7 +262,7 @@ def run_shape(t: np.ndarray, y: np.ndarray, error: np.ndarray, kind: str) -> tup
     name, least, parameters = "noise", flat, (math.nan,) * 4
     for own, shape, sign in SHAPES[kind]:
         first = np.array([sign * abs(away) if sign else away, t[extreme], max(FIRST_WIDTH * (t[-1] - t[0]), LEAST_WIDTH), level])
-        fitted = least_squares(shape, t, y, error, first)
+        fitted = least_squares(shape, t[None], y[None], 1 / e[None], first[None])[0]
         cost = float((((y - shape(t, *fitted)[0]) / e) ** 2).sum()) + 4 * penalty
         fainter = fitted[0] > 0
         if fitted[0] and fainter == (kind == "dip") and least - cost > GAIN:

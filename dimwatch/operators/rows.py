@@ -1,6 +1,6 @@
 """The scan's whole row per source: triggers by log Bayes factor or posterior, runs, shapes, thresholds, for dips and
-jumps. All of it starts from one baseline; points of a source are dealt out by source once for windows, and once for
-each kernel that needs numpy."""
+jumps. All of it starts from one baseline, which is written once with its points, as are each kind's scores; branches read
+those files."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import bayes, kernels
 from . import runs as R
-from .baselines import BASELINES
+from .baselines import baseline_by_name
+from ..sources.shared import stored
 from .clean import SOURCE, Keys, indexed, valid_for_scoring
 
 # The columns of a result row for each kind, in order of the result files.
@@ -31,7 +32,7 @@ def kind_rows(placed: DataFrame, kind: str, trigger: str, keys: Keys = SOURCE, m
     """A row per source of one kind of event, named by the kind. Of its kept runs the one with the greatest sum gives
     the shape; sources without a kept run have the shape `none`."""
     threshold, sum_threshold = bayes.trigger_threshold(trigger, **limits, min_points=min_points)
-    points = scored_points(placed, kind, trigger, keys)
+    points = stored(scored_points(placed, kind, trigger, keys).select(*keys, "idx", "jd", "cadence", "log_bf", "bayes_factor", "best_p", "score"))
     hits = points.where(F.col("score") >= threshold)
     kept = R.filter_runs(R.summarize_runs(R.build_runs(hits, keys), keys), threshold, sum_threshold, min_points).where("kept")
     best = kernels.run_shapes(placed, R.best_run(kept, keys).select(*keys, "run", "start_idx", "end_idx"), kind, keys)
@@ -47,14 +48,14 @@ def kind_rows(placed: DataFrame, kind: str, trigger: str, keys: Keys = SOURCE, m
 
 def scan_rows(points: DataFrame, baseline: str = "per_camera_median", trigger: str = "logbf", keys: Keys = SOURCE, min_points: int = 3, logbf: float = bayes.LOGBF_THRESHOLD, probability: float = bayes.PROBABILITY_THRESHOLD, **parameters: float) -> DataFrame:
     """A row per source that can be scored: the columns of both kinds, used_sigma_eff, baseline_source, trigger_mode."""
-    based = BASELINES[baseline](valid_for_scoring(points, keys), keys, **parameters)
-    placed = R.with_cadence(indexed(based.where(F.col("baseline").isNotNull()), keys), keys)
+    based = baseline_by_name(baseline)(valid_for_scoring(points, keys), keys, **parameters)
+    placed = stored(R.with_cadence(indexed(based.where(F.col("baseline").isNotNull()), keys), keys))
     dips, jumps = (kind_rows(placed, k, trigger, keys, min_points, logbf=logbf, probability=probability) for k in bayes.KINDS)
     rows = dips.join(jumps, list(keys))
     if "baseline_source" in based.columns:
         from ..functions.reports import joined_names
 
-        rows = rows.join(joined_names(based, keys[0], "baseline_source"), keys[0], "left")
+        rows = rows.join(joined_names(placed, keys[0], "baseline_source"), keys[0], "left")
     else:
         rows = rows.withColumn("baseline_source", F.lit(baseline))
     return rows.withColumn("used_sigma_eff", F.lit("sigma_eff" in based.columns)).withColumn("trigger_mode", F.lit(trigger))

@@ -128,6 +128,8 @@ SQL: dict[str, str] = {
       CASE WHEN n_valid >= 10 THEN 'ok' WHEN n_valid = 0 THEN 'no valid points' ELSE 'too few points' END AS status FROM e GROUP BY source_id""", "source_id n_valid status"),
     "valid_for_scoring": _sql("SELECT * FROM e WHERE error > 0 AND error < 10 QUALIFY count(*) OVER (PARTITION BY source_id) >= 60", "source_id seq"),
     "stats_quality": _sql("SELECT * FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source_id, jd ORDER BY seq) = 1) WHERE good_bad = 1 AND saturated = 0", "source_id seq"),
+    "quality_totals": _sql("""SELECT source_id, n_before, coalesce(n_whole, 0) AS n_whole, coalesce(n_good, 0) AS n_good FROM (SELECT source_id, count(*) AS n_before FROM e GROUP BY source_id)
+      LEFT JOIN (SELECT source_id, count(*) AS n_whole, count(*) FILTER (good_bad = 1 AND saturated = 0) AS n_good FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source_id, jd ORDER BY seq) = 1) GROUP BY source_id) USING (source_id)""", "source_id n_before n_whole n_good"),
     "plot_quality": _sql("SELECT * FROM ce WHERE good_bad = 1", "source_id seq"),
     "plot_times": _sql("SELECT *, jd - CASE WHEN median(jd) OVER (PARTITION BY source_id) > 2000000 THEN 2458000 ELSE 8000 END AS jd_plot FROM e WHERE error < 5", "source_id seq", "jd_plot"),
     "band_clipped": _sql("SELECT * FROM e WHERE error <= 1 WINDOW w AS (PARTITION BY source_id, band) QUALIFY abs(mag - median(mag) OVER w) <= 2 * stddev_samp(mag) OVER w", "source_id seq"),

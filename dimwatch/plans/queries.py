@@ -143,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scoring_status": _on(clean.scoring_status),
     "valid_for_scoring": _on(lambda p: clean.valid_for_scoring(p, least_points=60).select(*_ID)),
     "stats_quality": _on(lambda p: clean.stats_quality(p).select(*_ID)),
+    "quality_totals": _on(clean.quality_totals),
     "plot_quality": _on(lambda p: clean.plot_quality(p).select(*_ID)),
     "plot_times": _on(lambda p: clean.plot_times(p).select(*_ID, "jd_plot")),
     "band_clipped": _on(lambda p: clean.band_clipped(p, sigmas=2.0).select(*_ID)),

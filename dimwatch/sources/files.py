@@ -1,7 +1,7 @@
 """Light curves, catalogs and manifests from files; every reader takes many paths or globs and reads them distributed.
 
 Files are matched by name on the cluster's file system; a light curve's source_id is its file's stem. Numbers that don't
-parse are null. seq numbers points in file order.
+parse are null. seq is a point's line (from 0, comments counted), or in CSV files its row, in its file.
 """
 
 from __future__ import annotations
@@ -38,15 +38,29 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows read from files, with their path, the split's first byte, and a number that grows by 1 within a split."""
+    return rows.withColumns({"_path": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start"), "_n": F.monotonically_increasing_id()})
+
+
+def numbered(rows: DataFrame, to: str = "seq") -> DataFrame:
+    """rows of _placed with their number in the file, from 0, whatever the splits. The rows of each split are counted first;
+    prefix sums of the counts within a file, a row per split, say what a split's first number is."""
+    splits = rows.groupBy("_path", "_at").agg(F.count("*").alias("_rows"), F.min("_n").alias("_first"))
+    before = F.sum("_rows").over(W.partitionBy("_path").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    starts = splits.select("_path", "_at", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(starts, ["_path", "_at"]).withColumn(to, F.col("_n") + F.col("_shift")).drop("_at", "_n", "_shift")
+
+
 def _fields(spark: SparkSession, paths: Paths, columns: Sequence[str], has_header: bool = False) -> DataFrame:
-    """Lines of white-space separated fields as columns, with `path`; comments and empty lines are passed over."""
-    lines = spark.read.text(_list(paths)).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    """Lines of white-space separated fields as columns, with `path` and `seq`; comments and empty lines are passed over."""
+    lines = numbered(_placed(spark.read.text(_list(paths)))).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v"), F.col("_path").alias("path"), "seq")
     lines = lines.where((F.col("v") != "") & ~F.col("v").startswith("#"))
     if has_header:  # a header's first field is no number
         lines = lines.where(F.expr("try_cast(split_part(v, ' ', 1) as double)").isNotNull())
     fields = F.split("v", " ")
     typed = [F.get(fields, F.lit(i)).try_cast(c.split()[1]).alias(c.split()[0]) for i, c in enumerate(columns)]
-    return lines.select("path", *typed, F.monotonically_increasing_id().alias("seq"))
+    return lines.select("path", *typed, "seq")
 
 
 def read_dat2(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -64,12 +78,12 @@ def read_dat(spark: SparkSession, paths: Paths, columns: Sequence[str] = DAT2, h
 def read_skypatrol(spark: SparkSession, paths: Paths, unknown_band: str = "g") -> DataFrame:
     """Points of `<id>-light-curves.csv` or `<id>.csv`. Filters other than g and V count as g, or are dropped together
     with points without time or magnitude (unknown_band="drop")."""
-    raw = spark.read.option("header", True).option("comment", "#").option("ignoreLeadingWhiteSpace", True).csv(_list(paths)).withColumn("_path", F.col("_metadata.file_path"))
+    raw = numbered(_placed(spark.read.option("header", True).option("comment", "#").option("ignoreLeadingWhiteSpace", True).csv(_list(paths))), "_seq")
     first = F.lower(F.trim(F.col("Filter")))
     number = lambda c: F.col(c).try_cast("double")
     rows = raw.select(
         F.regexp_replace(stem(F.col("_path")), "-light-curves$", "").alias("source_id"), F.when(first.startswith("v"), 1).otherwise(0).alias("band"), F.col("Camera").alias("camera"), number("JD").alias("jd"),
-        number("Mag").alias("mag"), number("Mag Error").alias("error"), F.lit(0).alias("saturated"), (F.col("Quality") == "G").cast("int").alias("good_bad"), F.monotonically_increasing_id().alias("seq"), first.alias("_f"),
+        number("Mag").alias("mag"), number("Mag Error").alias("error"), F.lit(0).alias("saturated"), (F.col("Quality") == "G").cast("int").alias("good_bad"), F.col("_seq").alias("seq"), first.alias("_f"),
     )
     if unknown_band == "drop":
         rows = rows.where(F.col("_f").isin("g", "v") & F.col("jd").isNotNull() & F.col("mag").isNotNull())
@@ -121,9 +135,9 @@ def read_indexes(spark: SparkSession, root: str, bins: Sequence[str] = MAG_BINS)
     return df
 
 
-def files(spark: SparkSession, paths: Paths) -> DataFrame:
-    """path and source_id of matching files; their contents aren't read."""
-    return spark.read.format("binaryFile").load(_list(paths)).select("path", stem(F.col("path")).alias("source_id"))
+def files(spark: SparkSession, paths: Paths, below: bool = False) -> DataFrame:
+    """path and source_id of matching files (with below, of all files in folders below too); their contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", below).load(_list(paths)).select("path", stem(F.col("path")).alias("source_id"))
 
 
 def manifest(indexes: DataFrame, lc_root: str, lc_files: DataFrame, key: str = "asas_sn_id", suffix: str = ".dat2") -> DataFrame:
@@ -154,8 +168,21 @@ def read_detections(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
-    """All CSV files of the paths, by name of column; paths that aren't there are passed over. None if none is."""
-    found = [read_csv(spark, p) for p in expanded(spark, paths)]
+    """All rows of the CSV and Parquet files of the paths and below, by name of column; paths that aren't there are passed
+    over. None if there are no files. Headers are read in one distributed pass; files with one header are one scan, so the
+    plan grows with the kinds of headers and not with the files. Next to CSV, values of Parquet files are texts."""
+    there = expanded(spark, paths)
+    names = [r["path"] for r in files(spark, there, below=True).select("path").collect()] if there else []
+    parquet, csv = [n for n in names if n.endswith(".parquet")], [n for n in names if n.endswith(".csv")]
+    found = []
+    if csv:
+        lines = _placed(spark.read.text(csv)).where("_at = 0")
+        heads = lines.groupBy("_path").agg(F.min_by("value", "_n").alias("head"))
+        for r in heads.groupBy("head").agg(F.collect_list("_path").alias("paths")).orderBy("head").collect():
+            found.append(read_csv(spark, sorted(r["paths"])))
+    if parquet:
+        rows = spark.read.option("mergeSchema", True).parquet(*parquet)
+        found.append(rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns)) if csv else rows)
     out = found[0] if found else None
     for df in found[1:]:
         out = out.unionByName(df, allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from dimwatch.operators import lookups
+from dimwatch.operators import clean, lookups
 from dimwatch.sources import files, sinks
 
 
@@ -73,3 +73,40 @@ def test_candidates_default_to_unknown(spark):
     wanted = spark.createDataFrame([("/a/1.dat2",), ("1",), ("2-light-curves.csv",)], "id string")
     known = spark.createDataFrame([("1", "dipper")], "source_id string, category string")
     assert {(r["source_id"], r["category"]) for r in lookups.as_candidates(wanted, known).collect()} == {("1", "dipper"), ("2", "unknown")}
+
+
+def test_points_are_numbered_by_line_over_many_splits(spark, tmp_path):
+    (tmp_path / "big.dat2").write_text("# note\n" + "".join(f"{2458000 + i // 2} {13 + i / 1e4:.4f} 0.02 1 7 0 0 ba/F12\n" for i in range(2000)))
+    (tmp_path / "small.dat2").write_text("1 2 0.1 1 7 0 0 ba/F12\n\n3 4 0.1 1 7 0 0 ba/F12\n")
+    head = "JD,Mag,Mag Error,Filter,Quality,Camera\n"
+    (tmp_path / "curve.csv").write_text(head + "".join(f"{i},{13 + i / 1e4},0.02,g,G,ba\n" for i in range(2000)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(before, ("4096", "64")):
+            spark.conf.set(k, v)
+        points = files.read_dat2(spark, str(tmp_path / "*.dat2"))
+        assert points.rdd.getNumPartitions() > 1 and spark.read.text(str(tmp_path / "big.dat2")).rdd.getNumPartitions() > 10
+        rows = points.collect()
+        curve = files.read_skypatrol(spark, str(tmp_path / "curve.csv")).collect()
+        first = clean.stats_quality(points).where("source_id = 'big'").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["seq"], r["mag"]) for r in rows if r["source_id"] == "big") == [(i + 1, pytest.approx(13 + i / 1e4)) for i in range(2000)]
+    assert sorted((r["seq"], r["mag"]) for r in rows if r["source_id"] == "small") == [(0, 2.0), (2, 4.0)]
+    assert sorted((r["seq"], r["jd"]) for r in curve) == [(i, float(i)) for i in range(2000)]
+    assert len(first) == 1000 and all(r["seq"] % 2 == 1 for r in first)  # of equal times the first line
+
+
+def test_many_small_files_make_a_short_plan(spark, tmp_path):
+    for i in range(600):
+        head, row = ("a,b", f"{i},x") if i % 2 else ("b,c", f"y,{i}")
+        (tmp_path / f"{i}.csv").write_text(f"{head}\n{row}\n")
+    (tmp_path / "empty.csv").write_text("")
+    spark.createDataFrame([(7, 1.5)], "a int, d double").write.parquet(str(tmp_path / "table"))
+    out = files.read_many(spark, [str(tmp_path)])
+    rows = out.collect()
+    assert len(rows) == 601 and sorted(out.columns) == ["a", "b", "c", "d"] and {r["d"] for r in rows} == {None, "1.5"}
+    assert sorted(int(r["a"]) for r in rows if r["b"] == "x") == list(range(1, 600, 2))
+    scans = out._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert scans == 3 and files.read_many(spark, [str(tmp_path / "none*")]) is None

@@ -1,6 +1,7 @@
 """Peak finders, rolling windows, noise floor, filter chain and command line against literal loops."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -113,7 +114,7 @@ def test_scores_of_a_bell_and_of_a_microlensing_curve():
     lens = 8 / np.sqrt(1 + ((jd - 90) / 12) ** 2)
     for kind, delta, fwhm in (("dips", bell, 2.3548 * 6), ("peaks", lens, 2 * math.sqrt(3) * 12)):
         at = finder.find_peaks(delta, 3.0, 25)
-        found = finder.scored(kind, delta, jd, at, 3.0)
+        found = finder.scored(kind, [(jd, delta, at)], 3.0)[0]
         assert len(at) == 1 and found["fwhm"][0] == pytest.approx(fwhm, rel=1e-3) and found["chi2_red"][0] < 1e-6
         n = found["n_det"][0]
         assert found["scores"][0] == pytest.approx(delta[at[0]] / 2 * found["fwhm"][0] * n / 1e-6)
@@ -122,13 +123,139 @@ def test_scores_of_a_bell_and_of_a_microlensing_curve():
 def test_source_rows_of_both_bands(spark):
     """A dip in g, too few points in V."""
     jd = np.arange(300.0)
-    g = pd.DataFrame({"source_id": "a", "band": 0, "jd": jd, "mag": 13 + 0.5 * np.exp(-0.5 * ((jd - 150) / 4) ** 2) + 0.001 * (jd % 3), "error": 0.02, "seq": range(300)})
+    g = pd.DataFrame({"source_id": "a", "band": 0, "camera": "c", "jd": jd, "mag": 13 + 0.5 * np.exp(-0.5 * ((jd - 150) / 4) ** 2) + 0.001 * (jd % 3), "error": 0.02, "seq": range(300)})
     v = g.iloc[:20].assign(band=1, seq=range(300, 320))
     found = finder.source_rows(spark.createDataFrame(pd.concat([g, v])).withColumn("saturated", F.lit(0))).first()
     assert found["g_n_peaks"] == 1 and found["g_peaks_jd"] == [150.0] and found["v_n_peaks"] == 0 and (found["n_rows_g"], found["n_rows_v"]) == (300, 20)
     assert found["g_total_score"] == pytest.approx(found["g_best_score"] / math.log(2))
 
 
+def _median_before(t, x, days, least):
+    """Rolling medians over the days before each time."""
+    own = [[v for u, v in zip(t, x) if now - days <= u <= now] for now in t]
+    return [float(np.median(w)) if len(w) >= least else math.nan for w in own]
+
+
+def _literal_baseline(rows, trend):
+    out = {}
+    for cam in {r["camera"] for r in rows}:
+        own = [r for r in rows if r["camera"] == cam]
+        t, x = [r["jd"] for r in own], [r["mag"] for r in own]
+        if trend:
+            short, long = _median_before(t, x, 50.0, 10), _median_before(t, x, 800.0, 10)
+            base = [a if math.isfinite(a) and (not math.isfinite(b) or abs(a - b) > 0.05) else b for a, b in zip(short, long)]
+        else:
+            base = _median_before(t, x, 300.0, 10)
+        out |= {r["seq"]: b for r, b in zip(own, base)}
+    return [out[r["seq"]] for r in rows]
+
+
+def _biweight_scale(values):
+    x = np.array([v for v in values if math.isfinite(v)])
+    d = x - np.median(x)
+    mad = np.median(abs(d))
+    if mad == 0:
+        return 0.0
+    u = d / (6 * mad)
+    d, u = d[abs(u) < 1], u[abs(u) < 1]
+    return math.sqrt(len(x) * (d**2 * (1 - u**2) ** 4).sum()) / abs(((1 - u**2) * (1 - 5 * u**2)).sum())
+
+
+def _literal_metrics(rows, base, threshold):
+    """Runs of neighbouring points, of those with a baseline, that are so far from it."""
+    placed = [(r["jd"], r["mag"] - b) for r, b in zip(rows, base) if math.isfinite(b)]
+    out = {}
+    for kind, sign in (("dip", 1), ("jump", -1)):
+        groups, now = [], []
+        for jd, off in [*placed, (None, -math.inf * sign)]:
+            if sign * off >= threshold:
+                now.append((jd, sign * off))
+            elif now:
+                groups.append(now)
+                now = []
+        out |= {f"n_{kind}_runs": len(groups), f"n_{kind}_points": sum(map(len, groups)), f"most_recent_{kind}": max((g[-1][0] for g in groups), default=None), f"max_{kind}_duration": max((g[-1][0] - g[0][0] for g in groups), default=None),
+                {"dip": "max_depth", "jump": "max_height"}[kind]: max((x for g in groups for _, x in g), default=None)}
+    total = out["n_dip_runs"] + out["n_jump_runs"]
+    out |= {"dip_fraction": out["n_dip_runs"] / total if total else None, "jump_fraction": out["n_jump_runs"] / total if total else None}
+    return out | {"is_dip_dominated": bool(total) and out["dip_fraction"] >= 0.66}
+
+
+def _literal_source(rows, naive, sigma):
+    """The finder's row of one source, band by band."""
+    out = {}
+    for band, name in enumerate("gv"):
+        raw = sorted((r for r in rows if r["band"] == band), key=lambda r: (math.inf if r["jd"] is None else r["jd"], r["seq"]))
+        good = [r for r in raw if r["mag"] is not None and r["error"] is not None and 0 < r["error"] < 1 and r["saturated"] == 0]
+        counted = good if naive else raw
+        out[f"n_rows_{name}"] = len(counted)
+        found, metrics = [], dict.fromkeys(finder.METRICS) | {c: 0 for c in finder.METRICS[:4]} | {"is_dip_dominated": False}
+        if good and (naive or len(raw) >= 30):
+            base = _literal_baseline(good, naive)
+            off = [r["mag"] - b for r, b in zip(good, base)]
+            if naive:
+                x = [v if math.isfinite(v) else 0.0 for v in off]
+                found = _literal_peaks(x, 0.3, 25, 0.17, 2.0)
+                span = good[-1]["jd"] - good[0]["jd"]
+                if not 0 < len(found) < 10 or not span > 0 or len(found) / span > 0.015 or np.std(x) > 0.15:
+                    found = []
+            else:
+                scale = _biweight_scale(off)
+                x = [v / math.hypot(r["error"], scale) if math.isfinite(v) else 0.0 for r, v in zip(good, off)]
+                found = _literal_peaks(x, sigma, 50, 0.0, 0.0)
+                out[f"{name}_biweight_R"] = float(np.nanmedian(base)) if any(map(math.isfinite, base)) else None
+            metrics = _literal_metrics(good, base, 0.3 if naive else sigma)
+        out |= {f"{name}_n_peaks": len(found), f"{name}_peaks_idx": found or None} | {f"{name}_{k}": v for k, v in metrics.items()}
+    return out
+
+
+@pytest.mark.parametrize("naive", [False, True])
+def test_source_rows_match_a_literal_loop(spark, naive):
+    rng, rows = np.random.default_rng(8), []
+    for source in range(50):
+        for band in range(2):
+            n = int(rng.integers(20, 200))
+            for i in range(n):
+                depth = (0.5 if naive else 0.9) * (1 if source % 3 else -1) * math.exp(-0.5 * ((i - n / 2) / 3) ** 2) * (source % 5 > 0)
+                mag = None if rng.random() < 0.03 else float(13 + depth + rng.normal(0, 0.02 if naive else 0.04))
+                rows.append((str(source), band, "ab"[int(rng.integers(0, 2))], float(2.5 * (i if source % 2 else rng.integers(0, n))), mag, None if rng.random() < 0.03 else float(rng.uniform(0.01, 0.06)), int(rng.random() < 0.05), len(rows)))
+    points = spark.createDataFrame(rows, "source_id string, band int, camera string, jd double, mag double, error double, saturated int, seq long").repartition(7)
+    sigma = 0.5
+    got = {r["source_id"]: r for r in finder.source_rows(points, naive=naive, sigma=sigma).collect()}
+    table = [r.asDict() for r in points.collect()]
+    found = 0
+    for source in map(str, range(50)):
+        expected = _literal_source([r for r in table if r["source_id"] == source], naive, sigma)
+        found += expected["g_n_peaks"] + expected["v_n_peaks"]
+        for c, v in expected.items():
+            own = got[source][c] or None if c.endswith("idx") else got[source][c]
+            assert own == (pytest.approx(v) if isinstance(v, float) else v), (source, c)
+    assert found > 5
+
+
+def test_prominences_of_long_curves_are_quick():
+    x = np.random.default_rng(6).normal(size=200_000)
+    began = time.perf_counter()
+    assert len(finder.find_peaks(x, 0.0, 1, 0.5, 1.0)) > 1000
+    assert len(finder.find_peaks(np.concatenate([np.arange(100_000.0), np.arange(100_000.0)[::-1]]), 0.0, 1, 0.5, 1.0)) == 1
+    assert time.perf_counter() - began < 6
+
+
+def test_fits_together_equal_fits_alone():
+    rng = np.random.default_rng(7)
+    for kind in ("dips", "peaks"):
+        curves = []
+        for n in (40, 90, 300):
+            jd, delta = np.sort(rng.uniform(0, 900, n)), rng.normal(0, 1, n)
+            curves.append((jd, delta, finder.find_peaks(delta, 1.0, 9)))
+        together = finder.scored(kind, curves, 1.0)
+        for curve, own in zip(curves, together):
+            alone = finder.scored(kind, [curve], 1.0)[0]
+            assert own["n_det"] == alone["n_det"] and own["delta_peak"] == alone["delta_peak"]
+            for p in range(len(curve[2])):
+                one = finder.scored(kind, [(*curve[:2], curve[2][p : p + 1])], 1.0)[0]
+                assert own["chi2_red"][p] == pytest.approx(one["chi2_red"][0], rel=1e-4, abs=1e-6)
+
+
 def test_gate_drops_frequent_peaks(spark):
     rows = spark.createDataFrame([("a", 50.0, 0.1, [1]), ("b", 500.0, 0.1, [1]), ("c", 500.0, 0.2, [1]), ("d", 500.0, 0.1, [])], "source_id string, span double, std double, peaks_idx array<int>")
     assert {r["source_id"]: (r["n_peaks"], r["peaks_idx"]) for r in finder.gated(rows).collect()} == {"a": (0, []), "b": (1, [1]), "c": (0, []), "d": (0, [])}
@@ -162,16 +289,19 @@ def test_commands_read_and_write(spark, tmp_path):
     from dimwatch.__main__ import main
 
     rng = np.random.default_rng(1)
-    for name, dip in (("11", 0.0), ("12", 0.8)):
+    for name, dip in (("11", 0.0), ("12", 0.8), ("13", 4.0)):
         lines = [f"{2458000 + i} {13 + rng.normal(0, 0.01) + (dip if 60 <= i < 66 else 0):.4f} 0.02 1 3 0 0 ba/F1" for i in range(120)]
         (tmp_path / f"{name}.dat2").write_text("\n".join(lines) + "\n")
     main(["scan", f"{tmp_path}/*.dat2", "--baseline", "global_median", "--output", f"{tmp_path}/scan"])
     found = {r["path"]: r for r in spark.read.parquet(f"{tmp_path}/scan").collect()}
     assert found["12"]["dip_significant"] and not found["11"]["dip_significant"] and len(found["12"]) == 34 and found["12"]["dip_max_run_points"] == 6
     main(["stats", f"{tmp_path}/*.dat2", "--output", f"{tmp_path}/stats"])
-    assert spark.read.parquet(f"{tmp_path}/stats").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/stats").count() == 3
     main(["find", f"{tmp_path}/*.dat2", "--output", f"{tmp_path}/found", "--format", "csv"])
     peaks = {r["source_id"]: r for r in spark.read.option("header", True).csv(f"{tmp_path}/found").collect()}
-    assert int(peaks["12"]["g_n_peaks"]) > 0
+    assert int(peaks["12"]["g_n_peaks"]) > 0 and peaks["13"]["g_is_dip_dominated"] == "true" and peaks["12"]["g_is_dip_dominated"] == "false"
     main(["filter", f"{tmp_path}/found/*.csv", "--output", f"{tmp_path}/kept", "--rejections", f"{tmp_path}/log"])
-    assert "12" in {r["source_id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()}
+    assert {r["source_id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()} == {"13"}  # runs count from the finder's sigma, in magnitudes
+    main(["find", f"{tmp_path}/*.dat2", "--output", f"{tmp_path}/lower", "--sigma", "0.5", "--baseline", "global_median"])
+    main(["filter", f"{tmp_path}/lower", "--output", f"{tmp_path}/kept"])
+    assert {r["source_id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()} == {"12", "13"}
