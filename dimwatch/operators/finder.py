@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import baselines, clean, peaks, runs
 from .clean import SOURCE, Keys
 from .groups import Columns, group_rows, spans
-from .kernels import Shape, gaussian_shape, least_squares, paczynski_shape
+from .kernels import Fit, Shape, fitted, gaussian_shape, paczynski_shape
 
 # The finders' parameters. Of residuals, of biweight deltas, of a band's deltas, and of the gates that follow.
 RESIDUAL = {"height": 0.3, "distance": 25, "prominence": 0.17, "width": 2.0}
@@ -133,42 +133,22 @@ def windows(delta: np.ndarray, places: np.ndarray, least: float, most: int | Non
     return [slice(int(a), int(b) + 1) for a, b in zip(starts, ends, strict=True)]
 
 
-#: Numbers of a working array of fits.
-WORKING = 2**18
-
-
 def _flat(shape: Shape) -> Shape:
     """A shape without a base."""
     return lambda t, *p: shape(t, *p, 0.0)
 
 
-def fits(kind: str, windows_of: list[tuple[np.ndarray, np.ndarray, float, float]]) -> list[tuple[float, float]]:
+def fits(kind: str, asked: list[tuple[np.ndarray, np.ndarray, float, float]]) -> list[tuple[float, float]]:
     """Full width at half maximum, and sum of squares left, of curves without base fitted to windows (times, values, value
-    and time of the peak). Windows of like length are fitted together."""
+    and time of the peak)."""
     bell = kind == "dips"
-    shape = _flat(gaussian_shape if bell else paczynski_shape)
-    out: list[tuple[float, float]] = [(0.0, 0.0)] * len(windows_of)
-    order = sorted(range(len(windows_of)), key=lambda k: len(windows_of[k][0]))
-    while order:
-        n, take = len(windows_of[order[0]][0]), 1
-        while take < len(order) and (m := len(windows_of[order[take]][0])) <= max(2 * n, 16) and (take + 1) * m <= WORKING:
-            take += 1
-        own, order = order[:take], order[take:]
-        n = max(len(windows_of[k][0]) for k in own)
-        t, d, weight, start, low, high = np.zeros((take, n)), np.zeros((take, n)), np.zeros((take, n)), np.zeros((take, 3)), np.full((take, 3), -np.inf), np.full((take, 3), np.inf)
-        for row, k in enumerate(own):
-            times, values, top, at = windows_of[k]
-            m = len(times)
-            t[row, :m], t[row, m:], d[row, :m], weight[row, :m] = times, times[0], values, 1.0
-            span = max(times.max() - times.min(), LEAST_SPAN)
-            start[row] = top if bell else max(top, 0.0), at, max(FIRST_SHARE[kind] * span, FIRST_LEAST)
-            if not bell:
-                low[row], high[row] = (0.0, times.min() - span / 2, LEAST_WIDTH), (np.inf, times.max() + span / 2, np.inf)
-        p = least_squares(shape, t, d, weight, start, bounds=None if bell else (low, high))
-        left = (((d - shape(t, *(p[:, i : i + 1] for i in range(3)))[0]) * weight) ** 2).sum(1)
-        for row, k in enumerate(own):
-            out[k] = FULL_WIDTH[kind] * abs(float(p[row, 2])), float(left[row])
-    return out
+    curves: list[Fit] = []
+    for t, d, top, at in asked:
+        span = max(t.max() - t.min(), LEAST_SPAN)
+        start = np.array([top if bell else max(top, 0.0), at, max(FIRST_SHARE[kind] * span, FIRST_LEAST)])
+        bounds = (None, None) if bell else (np.array([0.0, t.min() - span / 2, LEAST_WIDTH]), np.array([np.inf, t.max() + span / 2, np.inf]))
+        curves.append((t, d, np.ones(len(t)), start, *bounds))
+    return [(FULL_WIDTH[kind] * abs(float(p[2])), left) for p, left in fitted(_flat(gaussian_shape if bell else paczynski_shape), curves)]
 
 
 Curve = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -181,9 +161,9 @@ def scored(kind: str, curves: list[Curve], threshold: float) -> list[dict[str, l
     asked, rows = [], []
     for c, (jd, delta, places) in enumerate(curves):
         for p, s in zip(places.tolist(), windows(delta, places, threshold / 2, None if kind == "dips" else MOST_WINDOW), strict=True):
-            fitted = s.stop - s.start >= LEAST_POINTS[kind]
-            rows.append((c, float(delta[p]), s.stop - s.start, len(asked) if fitted else None))
-            if fitted:
+            enough = s.stop - s.start >= LEAST_POINTS[kind]
+            rows.append((c, float(delta[p]), s.stop - s.start, len(asked) if enough else None))
+            if enough:
                 asked.append((jd[s], delta[s], float(delta[p]), float(jd[p])))
     found = fits(kind, asked)
     out: list[dict[str, list]] = [{"scores": [], "fwhm": [], "delta_peak": [], "n_det": [], "chi2_red": []} for _ in curves]

@@ -9,13 +9,12 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import processes
 from .clean import SOURCE, Keys, indexed
-from .groups import Columns, spans, with_kernel
+from .groups import Columns, group_rows, spans, with_kernel
 
 # The default kernels, given as (S0, w0, Q) and as (sigma, rho, Q); error of points that have none.
 S0, W0, Q, JITTER = 5e-4, 2 * math.pi / 2000, 0.7, 0.006
@@ -242,6 +241,38 @@ def least_squares(shape: Shape, t: np.ndarray, y: np.ndarray, weight: np.ndarray
     return p
 
 
+#: Numbers of a working array of fits.
+FIT_WORKING = 2**18
+#: Times, values, weights, first parameters, and their lower and upper bounds, of a curve to fit.
+Fit = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]
+
+
+def fitted(shape: Shape, curves: list[Fit]) -> list[tuple[np.ndarray, float]]:
+    """Parameters and weighted sum of squares of each curve. Curves of like length are fitted together."""
+    out: list = [None] * len(curves)
+    order = sorted(range(len(curves)), key=lambda k: len(curves[k][0]))
+    while order:
+        n, take = len(curves[order[0]][0]), 1
+        while take < len(order) and (m := len(curves[order[take]][0])) <= max(2 * n, 16) and (take + 1) * m <= FIT_WORKING:
+            take += 1
+        own, order = order[:take], order[take:]
+        n = max(len(curves[k][0]) for k in own)
+        start = np.array([curves[k][3] for k in own])
+        t, y, weight = np.zeros((take, n)), np.zeros((take, n)), np.zeros((take, n))
+        low, high = np.full_like(start, -np.inf), np.full_like(start, np.inf)
+        for row, k in enumerate(own):
+            m = len(curves[k][0])
+            t[row, m:] = curves[k][0][0]
+            t[row, :m], y[row, :m], weight[row, :m] = curves[k][:3]
+            if curves[k][4] is not None:
+                low[row], high[row] = curves[k][4:]
+        p = least_squares(shape, t, y, weight, start, bounds=(low, high) if np.isfinite(low).any() or np.isfinite(high).any() else None)
+        left = (((y - shape(t, *(p[:, i : i + 1] for i in range(p.shape[1])))[0]) * weight) ** 2).sum(1)
+        for row, k in enumerate(own):
+            out[k] = p[row], float(left[row])
+    return out
+
+
 # Points that a shape needs, the gain in BIC that it must exceed, the share of the window that a first
 # width is and its least, and the least error of a point.
 LEAST_SHAPE, GAIN, FIRST_WIDTH, LEAST_WIDTH, LEAST_ERROR = 4, 10.0, 0.25, 0.01, 1e-9
@@ -249,44 +280,51 @@ LEAST_SHAPE, GAIN, FIRST_WIDTH, LEAST_WIDTH, LEAST_ERROR = 4, 10.0, 0.25, 0.01,
 SHAPES: dict[str, list[tuple[str, Shape, int]]] = {"dip": [("gaussian", gaussian_shape, 0)], "jump": [("gaussian", gaussian_shape, 0), ("paczynski", paczynski_shape, -1)]}
 
 
-def run_shape(t: np.ndarray, y: np.ndarray, error: np.ndarray, kind: str) -> tuple[str, float, float, float, float, float, float]:
-    """Shape that explains a run's surroundings best, its BIC and gain over none, and its parameters. A shape must point
-    the right way and gain more than GAIN over the best before it. `none` for too few points, `noise` if nothing gains."""
-    if len(t) < LEAST_SHAPE:
-        return ("none", math.nan, 0.0, *(math.nan,) * 4)
-    e, level = np.maximum(error, LEAST_ERROR), float(np.median(y))
-    extreme = int(np.abs(y - level).argmax())
-    away = float(y[extreme]) - level
-    penalty = math.log(len(t))
-    flat = float((((y - level) / e) ** 2).sum()) + penalty
-    name, least, parameters = "noise", flat, (math.nan,) * 4
-    for own, shape, sign in SHAPES[kind]:
-        first = np.array([sign * abs(away) if sign else away, t[extreme], max(FIRST_WIDTH * (t[-1] - t[0]), LEAST_WIDTH), level])
-        fitted = least_squares(shape, t[None], y[None], 1 / e[None], first[None])[0]
-        cost = float((((y - shape(t, *fitted)[0]) / e) ** 2).sum()) + 4 * penalty
-        fainter = fitted[0] > 0
-        if fitted[0] and fainter == (kind == "dip") and least - cost > GAIN:
-            name, least, parameters = own, cost, tuple(map(float, fitted))
-    return (name, least, flat - least, *parameters)
+Surroundings = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def shapes_of(runs: list[Surroundings], kind: str) -> list[tuple[str, float, float, float, float, float, float]]:
+    """For the surroundings (times, magnitudes, errors) of each run, the shape that explains them best, its BIC and gain over
+    none, and its parameters. A shape must point the right way and gain more than GAIN over the best before it. `none` for
+    too few points, `noise` if nothing gains."""
+    out: list = [("none", math.nan, 0.0, *(math.nan,) * 4)] * len(runs)
+    enough = [k for k, (t, _, _) in enumerate(runs) if len(t) >= LEAST_SHAPE]
+    firsts, flat = {}, {}
+    for k in enough:
+        t, y, error = runs[k]
+        e, level = np.maximum(error, LEAST_ERROR), float(np.median(y))
+        extreme = int(np.abs(y - level).argmax())
+        flat[k] = float((((y - level) / e) ** 2).sum()) + math.log(len(t))
+        firsts[k] = e, float(y[extreme]) - level, t[extreme], level
+        out[k] = ("noise", flat[k], 0.0, *(math.nan,) * 4)
+    for name, shape, sign in SHAPES[kind]:
+        curves: list[Fit] = []
+        for k in enough:
+            t, y, _ = runs[k]
+            e, away, when, level = firsts[k]
+            curves.append((t, y, 1 / e, np.array([sign * abs(away) if sign else away, when, max(FIRST_WIDTH * (t[-1] - t[0]), LEAST_WIDTH), level]), None, None))
+        for k, (p, left) in zip(enough, fitted(shape, curves), strict=True):
+            cost = left + 4 * math.log(len(runs[k][0]))
+            if p[0] and (p[0] > 0) == (kind == "dip") and out[k][1] - cost > GAIN:
+                out[k] = (name, cost, flat[k] - cost, *map(float, p))
+    return out
 
 
 def run_shapes(points: DataFrame, runs: DataFrame, kind: str, keys: Keys = SOURCE, pad: int = 5) -> DataFrame:
     """runs (keys, run, start_idx, end_idx) with morphology, bic, delta_bic_null, amp, t0, width and base, from a source's
-    points up to `pad` places around each run. Runs are bounded by a source's points; a source's are fitted together."""
+    points up to `pad` places around each run. A run asks for its places one by one, so runs and points meet in a join by
+    source and place, which no source heats, and runs of many sources are fitted together."""
     placed = indexed(points, keys).select(*keys, "idx", "jd", "mag", "error")
     runs = runs.select(*(F.col(c).alias(c) for c in runs.columns))  # columns of their own, where both come from one table
-    types = dict(runs.dtypes)
-    numbers = ["bic", "delta_bic_null", "amp", "t0", "width", "base"]
-
-    def shapes(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        idx, t, y, e = (group[c].to_numpy() for c in ("idx", "jd", "mag", "error"))
-        rows = []
-        for r in own.itertuples(index=False):
-            s = slice(np.searchsorted(idx, r.start_idx - pad), np.searchsorted(idx, r.end_idx + pad, side="right"))
-            rows.append(run_shape(t[s], y[s], e[s], kind))
-        found = pd.DataFrame(rows, columns=["morphology", *numbers], index=own.index).astype({"morphology": object} | dict.fromkeys(numbers, float))
-        return pd.concat([own, found], axis=1)
-
-    schema = ", ".join(f"`{c}` {k}" for c, k in types.items()) + ", morphology string, " + ", ".join(f"{n} double" for n in numbers)
-    return placed.groupBy(*keys).cogroup(runs.groupBy(*keys)).applyInPandas(shapes, schema)
+    asked = runs.select(*keys, "run", F.explode(F.sequence(F.col("start_idx") - pad, F.col("end_idx") + pad)).alias("idx"))
+    around = placed.join(asked.withColumn("idx", F.col("idx").cast(dict(placed.dtypes)["idx"])), [*keys, "idx"])
+
+    def shapes(columns: Columns, starts: np.ndarray) -> dict[str, list]:
+        found = shapes_of([(columns["jd"][s], columns["mag"][s], columns["error"][s]) for s in spans(starts)], kind)
+        return dict(zip(("morphology", *NUMBERS), map(list, zip(*found, strict=True)), strict=True))
+
+    fits = group_rows(around, (*keys, "run"), ("jd", "mag", "error"), shapes, "morphology string, " + ", ".join(f"{n} double" for n in NUMBERS), ("idx",))
+    return runs.join(fits, [*keys, "run"])
+
+
+NUMBERS = ("bic", "delta_bic_null", "amp", "t0", "width", "base")

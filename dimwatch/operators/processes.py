@@ -77,38 +77,45 @@ def smoothed(process: Process, t: np.ndarray, y: np.ndarray, noise: np.ndarray,
     lengths = np.diff(starts)
     order = np.argsort(-lengths, kind="stable")
     begin, length = starts[:-1][order], lengths[order]
-    active = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left")  # series longer than the step
-    h, p0, used = process.seen, process.stationary, np.isfinite(noise)
-    moves = process.step(np.diff(t, prepend=t[:1]).clip(0) if n else t)
-    ahead_x, ahead_p, gains = np.empty((n, d)), np.empty((n, d, d)), np.zeros((n, d))
-    off, weight = np.zeros(n), np.zeros(n)
+    active = np.searchsorted(-length, -np.arange(length.max(initial=0)), side="left").tolist()  # series longer than the step
+    # rows in order of steps, so that a step's rows lie together
+    at = np.concatenate([[0], np.cumsum(active)]).astype(int)
+    rows = np.concatenate([begin[:k] + i for i, k in enumerate(active)]) if active else np.zeros(0, int)
+    h, p0 = process.seen, process.stationary
+    moves = process.step(np.diff(t, prepend=t[:1]).clip(0) if n else t)[rows]
+    noise = noise[rows]
+    y = np.where(np.isfinite(noise), y[rows], 0.0)
+    ahead_x, ahead_p, gains, drift, curb = np.empty((n, d)), np.empty((n, d, d)), np.empty((n, d)), np.empty((n, d)), np.empty(n)
     x, p = np.zeros((len(begin), d)), np.broadcast_to(p0, (len(begin), d, d)).copy()
-    for i, k in enumerate(active.tolist()):
-        rows, x, p = begin[:k] + i, x[:k], p[:k]
+    for i, k in enumerate(active):
+        own = slice(at[i], at[i] + k)
+        x, p = x[:k], p[:k]
         if i:
-            a = moves[rows]
+            a = moves[own]
             x, p = (a @ x[..., None])[..., 0], a @ (p - p0) @ a.transpose(0, 2, 1) + p0
-        ahead_x[rows], ahead_p[rows] = x, p
+        ahead_x[own], ahead_p[own] = x, p
         ph = p @ h
-        own, fits = np.where(used[rows], y[rows] - x @ h, 0.0), np.where(used[rows], 1 / (ph @ h + noise[rows]), 0.0)
+        fits = 1 / (ph @ h + noise[own])  # 0 where the noise is infinite
+        off = (y[own] - x @ h)[:, None]
         gain = ph * fits[:, None]
-        x, p = x + gain * own[:, None], p - gain[:, :, None] * ph[:, None, :]
-        gains[rows], off[rows], weight[rows] = gain, own, fits
-    mean, variance = np.empty(n), np.empty(n)
+        x, p = x + gain * off, p - gain[:, :, None] * ph[:, None, :]
+        gains[own], drift[own], curb[own] = gain, h * (off * fits[:, None]), fits
+    keeps = np.eye(d) - gains[:, :, None] * h
+    turns, bend = keeps.transpose(0, 2, 1), np.outer(h, h) * curb[:, None, None]
+    backs, curves = np.empty((n, d)), np.empty((n, d, d))
     back, curve = np.zeros((len(begin), d)), np.zeros((len(begin), d, d))
-    unit, hh = np.eye(d), np.outer(h, h)
     for i in range(len(active) - 1, -1, -1):
         k = active[i]
-        rows = begin[:k] + i
-        keep = unit - gains[rows][:, :, None] * h
-        turned = keep.transpose(0, 2, 1)
-        b = (turned @ back[:k, :, None])[..., 0] - h * (weight[rows] * off[rows])[:, None]
-        c = turned @ curve[:k] @ keep + hh * weight[rows][:, None, None]
-        ph = ahead_p[rows] @ h
-        mean[rows] = ahead_x[rows] @ h - (ph * b).sum(1)
-        variance[rows] = ph @ h - (ph[:, None, :] @ c @ ph[:, :, None])[:, 0, 0]
+        own = slice(at[i], at[i] + k)
+        turned = turns[own]
+        b, c = (turned @ back[:k, :, None])[..., 0] - drift[own], turned @ curve[:k] @ keeps[own] + bend[own]
+        backs[own], curves[own] = b, c
         if i:
-            a = moves[rows]
+            a = moves[own]
             up = a.transpose(0, 2, 1)
             back[:k], curve[:k] = (up @ b[..., None])[..., 0], up @ c @ a
+    ph = ahead_p @ h
+    mean, variance = np.empty(n), np.empty(n)
+    mean[rows] = ahead_x @ h - (ph * backs).sum(1)
+    variance[rows] = ph @ h - (ph[:, None, :] @ curves @ ph[:, :, None])[:, 0, 0]
     return mean, np.maximum(variance, 0.0)

@@ -55,9 +55,9 @@ def test_smoothing_equals_the_dense_solution(process):
 def test_many_points_of_a_camera_take_linear_time():
     rng, n = np.random.default_rng(1), 50_000
     t = np.sort(rng.uniform(0, 5000, n))
-    began = time.perf_counter()
+    began = time.process_time()
     mean, _ = processes.smoothed(PROCESSES[0], t, np.sin(t / 300) * 0.05, np.full(n, 1e-4), np.array([0, n]))
-    assert time.perf_counter() - began < 10 and np.abs(mean - np.sin(t / 300) * 0.05).max() < 0.01
+    assert time.process_time() - began < 10 and np.abs(mean - np.sin(t / 300) * 0.05).max() < 0.01
 
 
 def test_gp_baseline_of_odd_points_equals_the_dense_solution(spark):
