@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton over folded text.
 
-Folding lower-cases, composes compatibility forms, joins white space, drops invisible characters and maps look-alike
-letters, digits and signs of other scripts to one Latin skeleton, so "1d10t" and "idiot" fold alike. The lexicon is
+Folding lower-cases, takes compatibility forms apart, drops marks and invisible characters, joins white space and maps look-alike
+letters, digits and signs of other scripts to one Latin skeleton, so "1d10t", "ídiot" and "idiot" fold alike, whatever else a text holds. The lexicon is
 learnt from labelled documents: words whose log odds of a toxic document are high and which toxic documents use in
 several different contexts. Phrases around a lexicon word that only clean documents use are exceptions; matches inside
 them don't count. A logistic curve over the matched weight and its density by length gives the score.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -41,14 +42,16 @@ GREEK = dict(zip("αβγεηικνορτυχω", "abyenlkvoptuxw", strict=True))
 DIGITS = dict(zip("013456789", "oleasgtbg", strict=True))
 SIGNS = {"@": "a", "$": "s", "€": "e", "ı": "l", "ɩ": "l", "ο": "o", "℮": "e"}
 INVISIBLE = "­​‌‍⁠﻿"
-TABLE = str.maketrans(CYRILLIC | GREEK | DIGITS | SIGNS | {"i": "l"} | dict.fromkeys(INVISIBLE))
+#: Marks that stand on other characters.
+MARKS = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+TABLE = str.maketrans(CYRILLIC | GREEK | DIGITS | SIGNS | {"i": "l"} | dict.fromkeys([*INVISIBLE, *MARKS]))
 _WORD = re.compile(r"\w+")
 
 
 def folded(text: str) -> str:
     """The skeleton that is matched."""
-    if not text.isascii() and max(text) >= "⁰":
-        text = unicodedata.normalize("NFKC", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
     return " ".join(text.lower().translate(TABLE).split())
 
 
@@ -169,9 +172,8 @@ _last: list = []
 
 def _matcher(lexicon: Lexicon) -> Matcher:
     """The lexicon's matcher, built once in each Python worker."""
-    key = (lexicon.curve, len(lexicon.weights), hash(tuple(lexicon.weights)))
-    if not _last or _last[0] != key:
-        _last[:] = [key, lexicon.matcher()]
+    if not _last or _last[0] != lexicon:
+        _last[:] = [lexicon, lexicon.matcher()]
     return _last[1]
 
 

@@ -77,6 +77,18 @@ def test_toxicity_matches_a_scan_of_every_phrase(spark, sf_dir):
     assert words
 
 
+def test_folding_does_not_depend_on_the_rest_of_a_text():
+    for disguised in ("ìdíöt", "i\u0300di\u0301o\u0308t", "ìdiot\u0301", "\u2170diot", "ªé", "a\u0301e\u0301"):
+        plain = toxicity.folded(disguised)
+        assert toxicity.folded(disguised + " \u2603") == f"{plain} \u2603" and plain in ("ldlot", "ae")
+
+
+def test_a_lexicon_with_other_exceptions_is_another():
+    words = {"bad": 4.0}
+    one, two = (toxicity.Lexicon(words, e, (-3.0, 1.0, 1.0)) for e in ([], ["bad luck"]))
+    assert toxicity._matcher(one).score("bad luck") > toxicity._matcher(two).score("bad luck")
+
+
 def test_folding_sees_through_disguise():
     assert toxicity.folded("1D10T") == toxicity.folded("idiot") == toxicity.folded("іdі​оt") == toxicity.folded("ｉｄｉｏｔ")
 
