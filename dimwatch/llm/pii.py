@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name
-from .spans import SPAN, digits, find_spans, luhn, overlaps, replaced, written_out
+from .spans import SPAN, between, bound, chunks, clear_of, digits, find_spans, luhn, overlaps, replaced, written_out
 from .trees import LABELLED_PARTS, boosted
 
 # The contract's patterns, each in a form that a backtracking engine runs in linear time. A look behind
@@ -39,6 +39,10 @@ GENERATORS = {
     "mail": (r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z]{2,24}){1,3}", r"[\[(](?:at|AT)[\])]"),
 }
 KINDS = (*BASE, *GENERATORS)
+#: The longest and the shortest span of each generator, by its pattern; and how many proposed spans can start where one that overlaps
+#: a given span does: in a stretch as long as the longest one, each generator's own spans don't overlap.
+LENGTHS = {"tel": (14, 12), "ssn": (11, 11), "iban": (44, 16), "mac": (17, 17), "mail": (240, 8)}
+NEAR = sum(max(longest for longest, _ in LENGTHS.values()) // least + 1 for _, least in LENGTHS.values())
 CUES = r"(?i)(?:tel|phone|call|fax|mobile|cell|ssn|social|security|iban|account|bank|mail|contact|write|reach|mac|device|adapter)\W*$"
 OTHER_CUES = r"(?i)(?:order|invoice|version|sku|part|page|isbn|ref|total|build|model|serial|code|no|nr|item|ticket|lot)\W*$"
 #: Precision that a kind's threshold must reach on held-out labelled candidates; rows of that table; features.
@@ -146,13 +150,14 @@ class Detector:
             return out.withColumn(at["more"], F.array().cast(SPAN)).drop(at["proposed"]), spans
         least = F.create_map(*(F.lit(x) for kv in self.thresholds.items() for x in kv))
         of_base = F.concat(*(col[k] for k in BASE))
-        free = F.filter(col["proposed"], lambda x: ~F.exists(of_base, lambda b: overlaps(x, b)))
-        around = lambda x: features(x["kind"], x["s"], F.substring(F.col(text), F.greatest(x["start"] - 19, F.lit(1)), F.least(x["start"], F.lit(20))), F.substring(F.col(text), x["end"] + 1, 8))
-        described = F.transform(free, lambda x: F.struct(*(x[n].alias(n) for n in ("kind", "s", "start", "end")), around(x).alias("f")))
+        free = clear_of(col["proposed"], of_base)
+        around = lambda c, x: features(x["kind"], x["s"], between(c, F.greatest(x["start"] - 20, F.lit(0)), x["start"]), between(c, x["end"], x["end"] + 8))
+        described = bound(chunks(whole), lambda c: F.transform(free, lambda x: F.struct(*(x[n].alias(n) for n in ("kind", "s", "start", "end")), around(c, x).alias("f"))))
         scored = F.transform(col["described"], lambda x: F.struct(*(x[n].alias(n) for n in ("kind", "s", "start", "end")), self.probability(x["f"]).alias("p")))
         accepted = F.filter(col["scored"], lambda x: x["p"] >= F.element_at(least, x["kind"]))
         beats = lambda y, x: overlaps(x, y) & ((y["p"] > x["p"]) | ((y["p"] == x["p"]) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"])))))
-        best = F.filter(col["accepted"], lambda x: ~F.exists(col["accepted"], lambda y: beats(y, x)))
+        # spans are in order of start, so one that overlaps is NEAR places away at most
+        best = F.filter(col["accepted"], lambda x, i: ~F.exists(F.slice(col["accepted"], F.greatest(i - NEAR, F.lit(0)) + 1, 2 * NEAR + 1), lambda y: beats(y, x)))
         plain = F.transform(best, lambda x: F.struct(*(x[n].alias(n) for n in ("kind", "s", "start", "end")))).cast(SPAN)
         none = F.size(col["proposed"]) == 0
         out = out.withColumn(at["described"], F.when(none, F.lit(None)).otherwise(described)).withColumn(at["scored"], scored).withColumn(at["accepted"], accepted)

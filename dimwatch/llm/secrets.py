@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import find_spans
+from .spans import between, bound, chunks, find_spans
 from .trees import LABELLED_PARTS, forest
 
 TOKEN = "A-Za-z0-9_+/-"
@@ -35,8 +35,8 @@ def candidates(text: Column) -> Column:
     """Spans that may be secrets, with what stands before and after."""
     whole = F.coalesce(text, F.lit(""))
     found = find_spans(whole, "secret", CANDIDATE, whole.rlike(CANDIDATE))
-    around = lambda x: F.struct(x["s"].alias("s"), x["start"].alias("start"), x["end"].alias("end"), F.substring(whole, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24))).alias("before"), F.substring(whole, x["end"] + 1, 8).alias("after"))
-    return F.transform(found, around)
+    around = lambda c, x: F.struct(x["s"].alias("s"), x["start"].alias("start"), x["end"].alias("end"), between(c, F.greatest(x["start"] - 24, F.lit(0)), x["start"]).alias("before"), between(c, x["end"], x["end"] + 8).alias("after"))
+    return bound(found, lambda spans: F.when(F.size(spans) > 0, bound(chunks(whole), lambda c: F.transform(spans, lambda x: around(c, x)))).otherwise(F.array()))
 
 
 def features(s: Column, before: Column, after: Column) -> Column:
