@@ -206,8 +206,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fp_summary": fp_summary,
 }
 
-from . import catalog_queries, oracle, peak_queries  # noqa: E402
+from . import catalog_queries, oracle, peak_queries, stream_queries  # noqa: E402
 
-QUERIES |= catalog_queries.QUERIES | peak_queries.QUERIES
+QUERIES |= catalog_queries.QUERIES | peak_queries.QUERIES | stream_queries.QUERIES
 #: DuckDB's statements of the same results, where SQL has them.
-SQL: dict[str, str] = oracle.SQL | catalog_queries.SQL | peak_queries.SQL
+SQL: dict[str, str] = oracle.SQL | catalog_queries.SQL | peak_queries.SQL | stream_queries.SQL

@@ -2,7 +2,7 @@
 
 import pytest
 
-from dimwatch.plans import catalog_queries, oracle, peak_queries, queries
+from dimwatch.plans import catalog_queries, oracle, peak_queries, queries, stream_queries
 
 from .compare import difference
 
@@ -15,7 +15,7 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(queries.QUERIES) and len(SQL) == sum(len(m.SQL) for m in (oracle, catalog_queries, peak_queries))
+    assert set(SQL) <= set(queries.QUERIES) and len(SQL) == sum(len(m.SQL) for m in (oracle, catalog_queries, peak_queries, stream_queries))
 
 
 def test_flagship_has_a_row_per_source(spark):
