@@ -180,9 +180,36 @@ def raw_summary(raw: DataFrame, keys: Keys = SOURCE) -> DataFrame:
 
 
 def source_statistics(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
-    """All scalar statistics of a source in one row."""
-    parts = [summary, weighted_mean, robust_sigma, clipped, noise, reduced_chi2, von_neumann, lag1_autocorrelation, linear_trend, cadence, duty_cycle]
-    return reduce(lambda a, b: a.join(b, list(keys)), (f(points, keys) for f in parts))
+    """All scalar statistics of a source in one row: what summary, weighted_mean, robust_sigma, clipped, noise, reduced_chi2,
+    von_neumann, lag1_autocorrelation, linear_trend, cadence and duty_cycle give. Windows and the aggregate share one
+    exchange by source, and need none where points lie by source already (sources.layout)."""
+    w, mag, error = W.partitionBy(*keys), F.col("mag"), F.col("error")
+    fits = mag.isNotNull() & (error > 0)
+    out = with_previous(points, keys).withColumns({"_m": F.median("mag").over(w), "_fm": F.median(F.when(fits, mag)).over(w), "_t": F.col("jd") - F.min("jd").over(w)})
+    out = out.withColumn("_dev", F.abs(mag - F.col("_m")))
+    out = out.withColumn("_s", MAD_FACTOR * F.median("_dev").over(w))
+    inside = F.col("_dev") <= 3.0 * F.col("_s")
+    weight, y = F.when(fits, 1 / (error * error)), mag - F.col("_fm")
+    noisy, snr, step, night = F.when(error > 0, error), F.when(error > 0, SNR / error), mag - F.col("mag_before"), F.floor("jd").cast("long")
+    shares = (0.05, 0.16, 0.25, 0.75, 0.84, 0.95)
+    sums = out.groupBy(*keys).agg(
+        F.count("mag").alias("n"), F.avg("mag").alias("mean"), F.median("mag").alias("median"), F.stddev_samp("mag").alias("std"), F.percentile("mag", F.array(*map(F.lit, shares))).alias("_p"),
+        (F.sum(weight * mag) / F.sum(weight)).alias("wmean"), F.sqrt(1 / F.sum(weight)).alias("wsem"), F.first("_s").alias("robust_sigma"),
+        F.avg(F.when(inside, mag)).alias("clipped_mean"), F.stddev_samp(F.when(inside, mag)).alias("clipped_std"), F.count_if(~inside).alias("n_outliers"),
+        F.avg(noisy.cast("decimal(18,9)")).cast("double").alias("err_mean"), F.median(noisy).alias("err_median"), F.min(noisy).alias("err_min"), F.max(noisy).alias("err_max"), F.avg(snr).alias("snr_mean"), F.median(snr).alias("snr_median"), F.max(snr).alias("snr_max"),
+        F.sum(weight).alias("_a"), F.sum(weight * y).alias("_b"), F.sum(weight * y * y).alias("_c"), F.count_if(fits).alias("_k"),
+        F.avg(step * step).alias("_d"), F.var_samp("mag").alias("_v"), F.corr("mag_before", "mag").alias("_r"),
+        F.regr_slope("mag", "_t").alias("slope"), F.regr_intercept("mag", "_t").alias("intercept"), F.regr_r2("mag", "_t").alias("r2"),
+        F.avg("dt").alias("dt_mean"), F.median("dt").alias("dt_median"), F.percentile("dt", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"), (F.max("jd") - F.min("jd")).alias("span"),
+        F.size(F.collect_set(night)).cast("long").alias("nights"), (F.max(night) - F.min(night) + 1).alias("_nights"),
+    )
+    named = {f"p{round(100 * s):02d}": F.col("_p")[i] for i, s in enumerate(shares)}
+    out = sums.withColumns(named).withColumns({
+        "iqr": F.col("p75") - F.col("p25"), "chi2_red": F.when(F.col("_k") >= 2, (F.col("_c") - F.col("_b") * F.col("_b") / F.col("_a")) / (F.col("_k") - 1)),
+        "von_neumann": F.when((F.col("n") >= 3) & (F.col("_v") > 0), F.col("_d") / F.col("_v")), "lag1": F.when(F.col("n") >= 3, F.col("_r")), "slope_per_year": F.col("slope") * YEAR,
+        "dt_p05": F.col("_q")[0], "dt_p95": F.col("_q")[1], "duty_cycle": F.col("nights") / F.col("_nights"),
+    })
+    return out.drop("_p", "_a", "_b", "_c", "_k", "_d", "_v", "_r", "_q", "_nights")
 
 
 def child_tables(points: DataFrame, keys: Keys = SOURCE) -> dict[str, DataFrame]:

@@ -204,3 +204,6 @@ SQL: dict[str, str] = {
                        "source_id baseline_source trigger_mode " + " ".join(f"{k}_{c}" for k in ("dip", "jump") for c in ("count", "run_count", "max_run_points", "significant")),
                        " ".join(f"{k}_{c}" for k in ("dip", "jump") for c in ("max_log_bf_local", "max_run_duration", "max_run_sum", "max_run_max")), _SCAN, 3),
 }
+
+_PARTS = ("summary", "weighted_mean", "robust_sigma", "clipped", "noise", "reduced_chi2", "von_neumann", "lag1_autocorrelation", "linear_trend", "cadence", "duty_cycle")
+SQL["source_statistics"] = "SELECT * FROM " + " LEFT JOIN ".join(f"({SQL[part]}) q{i}" + (" USING (source_id)" if i else "") for i, part in enumerate(_PARTS))

@@ -166,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trailing_counts": _on(lambda p: stats.trailing_counts(p).select(*_ID, "n_trailing")),
     "seasons": _on(lambda p: stats.seasons(p, gap_days=20.0), "lineitem"),
     "top_gaps": _on(stats.top_gaps),
+    "source_statistics": _on(stats.source_statistics),
     "per_camera_raw": _on(stats.per_camera_raw),
     "raw_summary": _on(lambda p: stats.raw_summary(stats.per_camera_raw(p))),
     "by_camera_and_band": _on(lambda p: stats.by_camera_and_band(p).withColumn("mean_err", F.round("mean_err", 6).cast("double"))),

@@ -1,6 +1,13 @@
 """Small light curves whose results are known by hand."""
 
+from functools import reduce
+
+from pyspark.sql import functions as F
+
 from dimwatch.operators import baselines, bayes, clean, filters, peaks, runs, sky, stats
+from dimwatch.sources import layout
+from dimwatch.sources.adapters import points
+from tests.compare import difference
 
 SCHEMA = "source_id string, band int, camera string, jd double, mag double, error double, saturated int, good_bad int, seq long"
 
@@ -60,3 +67,24 @@ def test_latest_file_of_each_bin(spark):
     names = [("peaks_12_12_5_20250101_000000+0000.csv",), ("peaks_12_12_5_20250102_000000+0000.csv",), ("other.csv",)]
     r = filters.latest_per_bin(spark.createDataFrame(names, "file string")).collect()
     assert [(x["low"], x["high"], x["file"]) for x in r] == [("12", "12_5", names[1][0])]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0].count("Exchange hashpartitioning")
+
+
+def test_statistics_need_one_exchange_or_none(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("mag", F.when(F.col("seq") % 11 > 0, F.col("mag"))).withColumn("error", F.when(F.col("seq") % 7 > 0, F.col("error")))
+    whole = stats.source_statistics(p)
+    assert exchanges(whole) == 1
+    parts = (stats.summary, stats.weighted_mean, stats.robust_sigma, stats.clipped, stats.noise, stats.reduced_chi2, stats.von_neumann, stats.lag1_autocorrelation, stats.linear_trend, stats.cadence, stats.duty_cycle)
+    expected = reduce(lambda a, b: a.join(b, "source_id"), (f(p) for f in parts)).toPandas()
+    assert not difference(whole.toPandas(), expected)
+    spark.sql("drop table if exists laid_points")
+    layout.write_points(p, "laid_points", 4)
+    laid = layout.read_points(spark, "laid_points")
+    try:
+        assert exchanges(stats.source_statistics(laid)) == 0 and exchanges(baselines.global_median(laid)) == 0 and exchanges(bayes.grid_ends(baselines.global_median(laid), "dip")) == 0
+        assert not difference(stats.source_statistics(laid).toPandas(), expected)
+    finally:
+        spark.sql("drop table laid_points")
