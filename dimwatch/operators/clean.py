@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 Keys = tuple[str, ...]
 SOURCE: Keys = ("source_id",)
+#: Points that a source needs to be scored, and the error that a point must stay below.
+LEAST_POINTS, MOST_ERROR = 10, 10.0
 
 
 def finite(name: str) -> Column:
@@ -35,7 +37,7 @@ def clean_lc(points: DataFrame) -> DataFrame:
     return points.where(keep)
 
 
-def valid_for_scoring(points: DataFrame, keys: Keys = SOURCE, least_points: int = 10, most_error: float = 10.0) -> DataFrame:
+def valid_for_scoring(points: DataFrame, keys: Keys = SOURCE, least_points: int = LEAST_POINTS, most_error: float = MOST_ERROR) -> DataFrame:
     """Finite points with an error between 0 and most_error, of sources that have enough of them."""
     good = points.where(finite("jd") & finite("mag") & finite("error") & (F.col("error") > 0) & (F.col("error") < most_error))
     return good.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where(F.col("_n") >= least_points).drop("_n")

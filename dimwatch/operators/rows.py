@@ -11,7 +11,7 @@ from . import bayes, kernels
 from . import runs as R
 from .baselines import baseline_by_name
 from ..sources.shared import stored
-from .clean import SOURCE, Keys, indexed, valid_for_scoring
+from .clean import LEAST_POINTS, MOST_ERROR, SOURCE, Keys, finite, indexed, valid_for_scoring
 
 # The columns of a result row for each kind, in order of the result files.
 COLUMNS = (
@@ -46,19 +46,48 @@ def kind_rows(placed: DataFrame, kind: str, trigger: str, keys: Keys = SOURCE, m
     return rows.select(*keys, *(F.col(c).alias(f"{kind}_{c}") for c in COLUMNS))
 
 
-def scan_rows(points: DataFrame, baseline: str = "per_camera_median", trigger: str = "logbf", keys: Keys = SOURCE, min_points: int = 3, logbf: float = bayes.LOGBF_THRESHOLD, probability: float = bayes.PROBABILITY_THRESHOLD, **parameters: float) -> DataFrame:
-    """A row per source that can be scored: the columns of both kinds, used_sigma_eff, baseline_source, trigger_mode."""
+def scan_status(points: DataFrame, placed: DataFrame, scores: DataFrame, keys: Keys = SOURCE, least_points: int = LEAST_POINTS) -> DataFrame:
+    """A row per source of points: n_points, n_valid, and status, `ok` or the first reason for which it can't be scored.
+
+    points: all there were; placed: those that were given a baseline (with sigma_eff if the baseline makes it), null where it
+    failed; scores: rows of sources with max_log_bf_local. Errors are values of a row here, and stop nothing else."""
+    ok = finite("error") & (F.col("error") > 0)
+    before = points.groupBy(*keys).agg(F.count("*").alias("n_points"), F.count_if(finite("mag")).alias("_mag"), F.count_if(finite("error")).alias("_error"), F.count_if(ok).alias("_positive"),
+                                       F.count_if(finite("jd") & finite("mag") & ok & (F.col("error") < MOST_ERROR)).alias("n_valid"))
+    sigma = "sigma_eff" if "sigma_eff" in placed.columns else "error"
+    there = finite("baseline") & finite(sigma) & (F.col(sigma) > 0)
+    after = placed.groupBy(*keys).agg(F.count_if(finite("baseline")).alias("_baseline"), F.count_if(finite(sigma)).alias("_sigma"), F.count_if(finite(sigma) & (F.col(sigma) > 0)).alias("_good"), F.count_if(there).alias("_left"))
+    told = before.join(after, list(keys), "left").join(scores.select(*keys, F.lit(True).alias("_scored")), list(keys), "left")
+    reasons = [
+        (F.col("_mag") == 0, "all magnitudes are missing"), (F.col("_error") == 0, "all errors are missing"), (F.col("_positive") == 0, "no error is positive"), (F.col("n_valid") == 0, "no valid points"),
+        (F.col("n_valid") < least_points, "too few valid points"), (F.col("_sigma") == 0, f"the baseline gave no {sigma}"), (F.col("_good") == 0, f"the baseline gave no positive {sigma}"),
+        (F.coalesce("_baseline", F.lit(0)) == 0, "the baseline is missing everywhere"), (F.col("_left") == 0, "no valid points after the baseline"), (F.col("_scored").isNull(), "no point has a likelihood"),
+    ]
+    status = F.coalesce(*(F.when(test, F.lit(reason)) for test, reason in reasons), F.lit("ok"))
+    return told.select(*keys, "n_points", "n_valid", status.alias("status"))
+
+
+def scan_rows(points: DataFrame, baseline: str = "per_camera_median", trigger: str = "logbf", keys: Keys = SOURCE, min_points: int = 3, logbf: float = bayes.LOGBF_THRESHOLD, probability: float = bayes.PROBABILITY_THRESHOLD, require_sigma_eff: bool = False, **parameters: float) -> DataFrame:
+    """A row per source of points: the columns of both kinds, used_sigma_eff, baseline_source, trigger_mode, and status, `ok`
+    or why the source could not be scored; then the other columns are null."""
     based = baseline_by_name(baseline)(valid_for_scoring(points, keys), keys, **parameters)
-    placed = stored(R.with_cadence(indexed(based.where(F.col("baseline").isNotNull()), keys), keys))
+    if require_sigma_eff and "sigma_eff" not in based.columns:
+        raise ValueError(f"baseline {baseline} makes no sigma_eff")
+    marked, own = based.withColumn("_based", finite("baseline")), (*keys, "_based")
+    whole = stored(R.with_cadence(indexed(marked, own), own))  # places and cadences of the points that have a baseline
+    sigma = "sigma_eff" if "sigma_eff" in based.columns else "error"
+    placed = whole.where(F.col("_based") & finite(sigma) & (F.col(sigma) > 0)).drop("_based")
     dips, jumps = (kind_rows(placed, k, trigger, keys, min_points, logbf=logbf, probability=probability) for k in bayes.KINDS)
     rows = dips.join(jumps, list(keys))
+    status = scan_status(points, whole, rows.where(F.col("dip_max_log_bf_local").isNotNull() | F.col("jump_max_log_bf_local").isNotNull()), keys)
     if "baseline_source" in based.columns:
         from ..functions.reports import joined_names
 
         rows = rows.join(joined_names(placed, keys[0], "baseline_source"), keys[0], "left")
     else:
         rows = rows.withColumn("baseline_source", F.lit(baseline))
-    return rows.withColumn("used_sigma_eff", F.lit("sigma_eff" in based.columns)).withColumn("trigger_mode", F.lit(trigger))
+    rows = rows.withColumn("used_sigma_eff", F.lit("sigma_eff" in based.columns)).withColumn("trigger_mode", F.lit(trigger))
+    return status.select(*keys, "status").join(rows, list(keys), "left").select(*rows.columns, "status")
 
 
 def retriggered(placed: DataFrame, kind: str, sigma: float, keys: Keys = SOURCE) -> DataFrame:

@@ -264,12 +264,33 @@ def test_gate_drops_frequent_peaks(spark):
 def test_whole_rows_agree_with_the_scan(spark, sf_dir):
     p = points(spark, sf_dir, "lineitem")
     whole, scan = (df.toPandas().set_index("source_id").sort_index() for df in (rows.scan_rows(p, days=300.0), bayes.scan(p, days=300.0)))
-    assert len(whole.columns) == 33 and len(whole) == len(scan)
+    assert len(whole.columns) == 34 and len(whole) == len(scan) and set(whole["status"]) == {"ok"}
     for c in scan.columns:
         if c not in ("baseline_source", "trigger_mode"):
             assert whole[c].astype(float).fillna(0).to_numpy() == pytest.approx(scan[c].astype(float).fillna(0).to_numpy()), c
 
 
+def test_every_source_has_a_row_with_its_reason(spark):
+    def source(name, n=15, mag=13.0, error=0.02):
+        return [(name, "c", float(i), mag, error, i) for i in range(n)]
+
+    nan = float("nan")
+    made = source("fine") + source("no mag", mag=None) + source("nan mag", mag=nan) + source("no error", error=nan) + source("zero error", error=0.0) + source("few", 9) + source("wide error", error=20.0)
+    made += source("sigma nan") + source("sigma negative") + source("baseline nan") + source("split") + source("far", mag=1e200)
+    points = spark.createDataFrame(made, "source_id string, camera string, jd double, mag double, error double, seq long")
+    got = {r["source_id"]: r for r in rows.scan_rows(points, "tests.plugins:broken").collect()}
+    assert {k: r["status"] for k, r in got.items()} == {
+        "fine": "ok", "no mag": "all magnitudes are missing", "nan mag": "all magnitudes are missing", "no error": "all errors are missing", "zero error": "no error is positive", "few": "too few valid points",
+        "wide error": "no valid points", "sigma nan": "the baseline gave no sigma_eff", "sigma negative": "the baseline gave no positive sigma_eff", "baseline nan": "the baseline is missing everywhere",
+        "split": "no valid points after the baseline", "far": "no point has a likelihood",
+    }
+    assert got["fine"]["used_sigma_eff"] and got["fine"]["dip_count"] == 0 and got["few"]["dip_count"] is None
+    with pytest.raises(ValueError, match="makes no sigma_eff"):
+        rows.scan_rows(points, "global_median", require_sigma_eff=True)
+    with pytest.raises(ValueError, match="unknown baseline"):
+        rows.scan_rows(points, "none")
+
+
 def test_chain_matches_one_step_after_another(spark):
     df = spark.createDataFrame([(str(i % 13), i % 5 / 4.0, i % 3, i * 10.0, 0.02 * i, i % 4) for i in range(60)], "source_id string, dip_fraction double, n_cameras int, time_span_days double, points_per_day double, k int")
     joined = spark.createDataFrame([(i,) for i in range(3)], "k int")
@@ -294,7 +315,7 @@ def test_commands_read_and_write(spark, tmp_path):
         (tmp_path / f"{name}.dat2").write_text("\n".join(lines) + "\n")
     main(["scan", f"{tmp_path}/*.dat2", "--baseline", "global_median", "--output", f"{tmp_path}/scan"])
     found = {r["path"]: r for r in spark.read.parquet(f"{tmp_path}/scan").collect()}
-    assert found["12"]["dip_significant"] and not found["11"]["dip_significant"] and len(found["12"]) == 34 and found["12"]["dip_max_run_points"] == 6
+    assert found["12"]["dip_significant"] and not found["11"]["dip_significant"] and len(found["12"]) == 35 and found["12"]["dip_max_run_points"] == 6
     main(["stats", f"{tmp_path}/*.dat2", "--output", f"{tmp_path}/stats"])
     assert spark.read.parquet(f"{tmp_path}/stats").count() == 3
     main(["find", f"{tmp_path}/*.dat2", "--output", f"{tmp_path}/found", "--format", "csv"])
