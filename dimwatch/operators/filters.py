@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .clean import first_col
 
+LOG = logging.getLogger(__name__)
+
 # The names of columns below, which must match those of candidate files.
 ID = "source_id"
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
@@ -125,7 +128,9 @@ def chain(df: DataFrame, steps: Sequence[Step], key: str = ID) -> tuple[DataFram
         rule = getattr(step, "rule", None)
         if rule is not None:
             test = rule(marked)
-            if test is not None:
+            if test is None:
+                LOG.warning("step %s passes all rows: its columns are missing", labels[i])
+            else:
                 marked = marked.withColumn(_FAILED, F.when(F.col(_FAILED).isNull() & ~F.coalesce(test, F.lit(False)), i).otherwise(F.col(_FAILED)))
             continue
         own = _logged(marked, labels, key)
@@ -157,19 +162,20 @@ class ByRule:
         return df if test is None else df.where(test)
 
 
-def default_steps(*, raw: DataFrame | None = None, catalog: DataFrame | None = None, vsx: DataFrame | None = None, least_dip_fraction: float = 0.66, least_cameras: int = 2, most_power: float = 0.5, use_box: bool = False, skip: Sequence[str] = ()) -> list[Step]:
+def default_steps(*, raw: DataFrame | None = None, catalog: DataFrame | None = None, vsx: DataFrame | None = None, least_dip_fraction: float = 0.66, least_cameras: int = 2, most_power: float = 0.5, use_box: bool = False, skip: Sequence[str] = (),
+                  least_period: float | None = None, most_period: float | None = None, least_span: float = 200.0, least_rate: float = 0.05, least_dips: int = 1, most_dips: int = 9, most_rate: float = 0.015, most_std: float = 0.15, least_sigma: float = 3.0, radius_arcsec: float = 3.0) -> list[Step]:
     """The chain's usual steps in order, cheap ones first; joins only with their tables."""
     steps: list[Step] = [("dip_dominated", ByRule(lambda d: dip_dominated_rule(d, least_dip_fraction))), ("multi_camera", ByRule(lambda d: multi_camera_rule(d, least_cameras)))]
     if use_box:
-        steps.append(("box", ByRule(box_rule)))
-    steps.append(("sparse", ByRule(sparse_rule)))
+        steps.append(("box", ByRule(lambda d: box_rule(d, least_dips, most_dips, most_rate, most_std))))
+    steps.append(("sparse", ByRule(lambda d: sparse_rule(d, least_span, least_rate))))
     if catalog is not None:
         steps.append(("bns", lambda d: with_catalog(d, catalog)))
     if raw is not None:
-        steps.append(("sigma", lambda d: sigma_resid(d, raw)))
+        steps.append(("sigma", lambda d: sigma_resid(d, raw, least_sigma)))
     if vsx is not None:
-        steps.append(("vsx_class", lambda d: with_vsx_class(d, vsx)))
-    steps.append(("periodic", ByRule(lambda d: periodic_rule(d, most_power))))
+        steps.append(("vsx_class", lambda d: with_vsx_class(d, vsx, radius_arcsec)))
+    steps.append(("periodic", ByRule(lambda d: periodic_rule(d, most_power, least_period, most_period))))
     return [s for s in steps if s[0] not in skip]
 
 

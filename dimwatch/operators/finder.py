@@ -290,11 +290,6 @@ def source_rows(points: DataFrame, kind: str = "dips", raw: DataFrame | None = N
     return out if raw is None else out.join(raw_summary(raw), "source_id", "left")
 
 
-def over_baseline(points: DataFrame, baseline: str = "per_camera_median", keys: Keys = SOURCE, **parameters: float) -> DataFrame:
-    """Residual peaks of cleaned points over a registered baseline."""
-    return residual_peaks(baselines.BASELINES[baseline](clean.clean_lc(points), keys, **parameters), keys)
-
-
 def in_order(column: Column) -> Column:
     """A list of places as text, which result files of old finders have."""
     return F.concat(F.lit("["), F.array_join(column, ", "), F.lit("]"))
