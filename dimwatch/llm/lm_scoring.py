@@ -5,12 +5,13 @@ an end closes the text. The model reads windows of CONTEXT + STRIDE ids: the fir
 before, the last STRIDE each predict their next id, so every id is scored once, in batches of masked attention. The
 output layer is factored by superclasses and classes of ids: attention gives both, and counts over all training
 documents the id within its class, smoothed so that every text has a probability. Classes come from neighbour counts
-over all training documents. Training starts on a bounded sample, then every window of every training document takes
-part in one step: each task trains on its partition from that start, and the changes are averaged. So the model depends
-on how the input is split, but not on the order in which tasks end.
+over all training documents. Every window of every training document takes part in one step of training: documents are
+dealt out to shards of about SHARD_IDS ids by a hash of id and text, in ROUNDS rounds; each shard of a round trains from
+where the round starts, and their changes are averaged. The shards are the same however the input is split, each is trained
+in order of the hash, and sums go over shards in their order, so the model doesn't depend on partitions or tasks.
 
 The base score is an add-0.1 unigram over words. Word counts are gathered from all training documents by a shuffle and
-stay a table. A bounded head of the most frequent words goes to every task; the other words of a document are joined to
+stay a table. A bounded head of the most frequent short words goes to every task; the other words of a document are joined to
 the table by word, so nothing that grows with the corpus is broadcast or collected.
 
 Null and empty texts are one end token. Rows with null or repeated ids are scored each on its own; very long texts are
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, free_name, hashed, least_hashes, texts_of, written
+from .common import fold, free_name, written
 
 CONTEXT, STRIDE = 8, 16
 WIDTH, KEY_WIDTH = 32, 16
@@ -43,14 +44,17 @@ WIDTH, KEY_WIDTH = 32, 16
 SINGLE, GROUPS = 96, 160
 #: Superclasses, and classes of each.
 SUPER = 16
-#: Documents that training starts on, at most; steps, windows a step, and learning rate of this start.
-SAMPLE, STEPS, BATCH, RATE = 1500, 1800, 96, 4e-3
-#: Windows a step and learning rate of the pass over all training documents that follows.
-MANY, ALL_RATE = 384, 1e-3
+#: Ids of a shard, about; rounds of shards, with windows a step and learning rate of each round.
+SHARD_IDS = 1_000_000
+ROUNDS = ((96, 4e-3), (384, 2e-3), (384, 1e-3))
+#: Shards of the first rounds, as shares of all; the last round has the rest.
+SHARES = (0.05, 0.25)
 #: Sparse rows that tasks send to be summed: 32-bit places, and 64-bit values of each.
 PIECE = "part long, name string, at binary, value binary"
-#: Words in the head that goes to every task.
-HEAD = 65_536
+#: Words in the head that goes to every task, and the bytes of the longest ones.
+HEAD, LONGEST = 65_536, 64
+#: Pieces that are summed at once.
+FAN_IN = 16
 #: Windows scored together, and distinct words whose ids a task keeps.
 TOGETHER, MOST_KEPT = 256, 400_000
 BEGIN, END = 1, 2
@@ -389,20 +393,28 @@ class Learner:
         return Model(tables, rows.ravel().astype(np.int32), p["g"], {n: p[n] for n in ("o1", "b1", "o2", "b2")}, self.classes, self.within)
 
 
-def train(line: np.ndarray, per_text: np.ndarray, counts: np.ndarray, near: np.ndarray, steps: int = STEPS, seed: int = 7) -> Learner:
-    """Where training starts: a learner after some steps on the texts of one line. counts and near: of every id over
-    all training documents."""
-    rng = np.random.default_rng(seed)
-    learner = Learner(classify(near, counts, rng), counts, seed)
-    start, first, last = windows(per_text) if len(per_text) else (np.zeros(0, int),) * 3
-    for step in range(1, steps + 1 if len(start) else 1):
-        chosen = rng.integers(0, len(start), BATCH)
-        learner.step(*window_ids(line, start[chosen], first[chosen], last[chosen]), RATE * (1 - step / (steps + 1)) * min(1, step / 50))
-    return learner
+def beginning(counts: np.ndarray, near: np.ndarray, seed: int = 7) -> Learner:
+    """Where training starts. counts and near: of every id over all training documents."""
+    return Learner(classify(near, counts, np.random.default_rng(seed)), counts, seed)
+
+
+def trained(own: Learner, texts: Iterator[tuple[np.ndarray, np.ndarray]], seed: int, many: int, rate: float) -> int:
+    """Steps a learner once through every window of the texts, some texts on a line at a time; returns the windows."""
+    own.restart()
+    rng, n = np.random.default_rng(seed), 0
+    for line, per_text in texts:
+        start, first, last = windows(per_text)
+        mixed = rng.permutation(len(start))
+        for a in range(0, len(mixed), many):
+            chosen = mixed[a : a + many]
+            own.step(*window_ids(line, start[chosen], first[chosen], last[chosen]), rate * min(1, (own.steps + 1) / 50) * len(chosen) / many)
+        n += len(start)
+    return n
 
 
-def added(pieces: DataFrame) -> DataFrame:
-    """Pieces of sparse rows (part, name, at, weight, value) summed by name and place, first by some of the parts."""
+def added(pieces: DataFrame, parts: int) -> DataFrame:
+    """Pieces of sparse rows (part, name, at, value) summed by name and place; parts: there are fewer than so many. FAN_IN parts
+    that follow each other are summed at a time, so no sum holds more than these, however many there are."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")  # sums don't depend on the order of arrival
@@ -412,10 +424,13 @@ def added(pieces: DataFrame) -> DataFrame:
         at = at[order]
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         total = np.add.reduceat(value[order], starts, axis=0)
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "name": [group["name"].iloc[0]], "at": [at[starts].tobytes()], "value": [total.tobytes()]})
+        return pd.DataFrame({"part": [group["part"].iloc[0] // FAN_IN], "name": [group["name"].iloc[0]], "at": [at[starts].tobytes()], "value": [total.tobytes()]})
 
-    first = pieces.groupBy("name", F.pmod("part", F.lit(32)).alias("some")).applyInPandas(add, PIECE)
-    return first.groupBy("name").applyInPandas(add, PIECE)
+    while True:
+        pieces = pieces.groupBy("name", F.floor(F.col("part") / FAN_IN).alias("some")).applyInPandas(add, PIECE)
+        if parts <= FAN_IN:
+            return pieces
+        parts = -(-parts // FAN_IN)
 
 
 def neighbour_counts(ids: DataFrame, counts: np.ndarray) -> np.ndarray:
@@ -434,7 +449,7 @@ def neighbour_counts(ids: DataFrame, counts: np.ndarray) -> np.ndarray:
                 yield piece(part, str(a), there + a * 256, own[there])
 
     near = np.zeros(len(counts) * 256, np.float32)
-    for r in added(ids.select("ids").mapInArrow(count, PIECE)).toLocalIterator():
+    for r in added(ids.select("ids").mapInArrow(count, PIECE), ids.rdd.getNumPartitions()).toLocalIterator():
         near[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float64)
     return near.reshape(-1, 256)
 
@@ -443,45 +458,79 @@ def piece(part: int, name: str, at: np.ndarray, value: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([value.astype(np.float64).tobytes()], pa.binary())], names=["part", "name", "at", "value"])
 
 
-def learnt_from_all(learner: Learner, ids: DataFrame) -> Learner:
-    """The learner after every window of every training document: each task steps through its own from the same start,
-    and the changes are averaged, a vector of an id by how often the task had it, the rest by windows."""
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        own, begun = pickle.loads(pickle.dumps(learner)), learner.p
-        own.restart()
-        rng, n = np.random.default_rng(part), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                line, per_text = read_back(whole.column(0).slice(at, 512), len(own.classes))
-                start, first, last = windows(per_text)
-                mixed = rng.permutation(len(start))
-                for a in range(0, len(mixed), MANY):
-                    chosen = mixed[a : a + MANY]
-                    own.step(*window_ids(line, start[chosen], first[chosen], last[chosen]), ALL_RATE * min(1, (own.steps + 1) / 50) * len(chosen) / MANY)
-                n += len(start)
-        if n:
-            for name, x in own.p.items():
-                change = (x - begun[name]).astype(np.float64)
-                if name != "e":
-                    yield piece(part, name, np.arange(1), np.concatenate([[n], n * change.ravel()]))
-                    continue
-                there = np.flatnonzero(own.seen[1:]) + 1
-                for a in range(0, len(there), 4000):
-                    rows = there[a : a + 4000]
-                    for block in np.unique(rows // 1000):
-                        mine = rows[rows // 1000 == block]
-                        yield piece(part, f"e{block}", mine, np.hstack([own.seen[mine, None], own.seen[mine, None] * change[mine]]))
-
-    for r in added(ids.select("ids").mapInArrow(learn, PIECE)).toLocalIterator():
-        at = np.frombuffer(r["at"], np.int32)
-        value = np.frombuffer(r["value"], np.float64).reshape(len(at), -1)
-        x, mean = learner.p["e" if r["name"][0] == "e" else r["name"]], value[:, 1:] / value[:, :1]
-        if r["name"][0] == "e":
-            x[at] += mean.astype(np.float32)
-        else:
-            x += mean.reshape(x.shape).astype(np.float32)
+def changes(own: Learner, begun: dict[str, np.ndarray], shard: int, n: int) -> Iterator[pa.RecordBatch]:
+    """What a shard's n windows changed, times its weight, as pieces: vectors of ids weigh by how often the shard had the id, the rest
+    by windows."""
+    for name, x in own.p.items():
+        change = (x - begun[name]).astype(np.float64)
+        if name != "e":
+            yield piece(shard, name, np.arange(1), np.concatenate([[n], n * change.ravel()]))
+            continue
+        there = np.flatnonzero(own.seen[1:]) + 1
+        for block in np.unique(there // 1000):
+            mine = there[there // 1000 == block]
+            yield piece(shard, f"e{block}", mine, np.hstack([own.seen[mine, None], own.seen[mine, None] * change[mine]]))
+
+
+def apply(p: dict[str, np.ndarray], name: str, at: np.ndarray, value: np.ndarray) -> None:
+    """Adds mean changes, from sums of weights and weighted changes."""
+    mean = (value[:, 1:] / value[:, :1]).astype(np.float32)
+    if name[0] == "e":
+        p["e"][at] += mean
+    else:
+        p[name] += mean.reshape(p[name].shape)
+
+
+def rounds(n_ids: float, shard_ids: int) -> list[tuple[int, int]]:
+    """First shard of each round and the one after its last; at least one shard a round."""
+    n = max(len(ROUNDS), math.ceil(n_ids / shard_ids))
+    cuts = [0]
+    for i, share in enumerate(SHARES):
+        cuts.append(min(max(cuts[-1] + 1, round(share * n)), n - len(ROUNDS) + 1 + i))
+    return list(zip(cuts, [*cuts[1:], n], strict=True))
+
+
+def learnt_from_all(learner: Learner, ids: DataFrame, n_ids: float, shard_ids: int = SHARD_IDS) -> Learner:
+    """The learner after every window of every training document (columns ids and h, by which documents are dealt out)."""
+    cuts = rounds(n_ids, shard_ids)
+    n_shards, size = cuts[-1][1], len(learner.classes)
+    # hashes choose the shard by their remainder and the place in it by the whole
+    dealt = ids.select("ids", "h", F.pmod("h", F.lit(n_shards)).alias("shard"))
+
+    def learn_from(seed: int, many: int, rate: float, begun: Learner):
+        def texts(lists: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part in lists:
+                yield read_back(part, size)
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, now = [], None
+            for whole in chain(batches, [None]):
+                shards = np.zeros(0) if whole is None else whole.column(2).to_numpy()
+                cut = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else []
+                for a, b in zip(cut, cut[1:], strict=False):
+                    if shards[a] != now and held:
+                        yield from learnt(now, held)
+                        held = []
+                    now = int(shards[a])
+                    held.append(whole.column(0).slice(a, b - a))
+            if held:
+                yield from learnt(now, held)
+
+        def learnt(shard: int, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            own, column = pickle.loads(pickle.dumps(begun)), pa.chunked_array(held)
+            pieces = [pa.concat_arrays(column.slice(at, 512).chunks) for at in range(0, len(column), 512)]
+            if n := trained(own, texts(pieces), seed + shard, many, rate):
+                yield from changes(own, begun.p, shard, n)
+
+        return learn
+
+    for i, ((first, after), (many, rate)) in enumerate(zip(cuts, ROUNDS, strict=True)):
+        mine = dealt.where((F.col("shard") >= first) & (F.col("shard") < after))
+        sorted_shards = mine.repartition(max(1, min(after - first, 4096)), "shard").sortWithinPartitions("shard", "h", "ids")
+        pieces = written(sorted_shards.mapInArrow(learn_from(1000 * i, many, rate, learner), PIECE))
+        for r in added(pieces.withColumn("part", F.col("part") - first), after - first).toLocalIterator():
+            at = np.frombuffer(r["at"], np.int32)
+            apply(learner.p, r["name"], at, np.frombuffer(r["value"], np.float64).reshape(len(at), -1))
     return learner
 
 
@@ -524,7 +573,7 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
     n_docs = training.count()
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, v = n_words + n_docs, distinct + (n_docs > 0)
-    head = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
+    head = {r["word"]: r["n"] for r in words.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(HEAD).collect()}
     log_all = math.log10(train_tokens + ADD * (v + 1))
     log_end = math.log10(n_docs + ADD)
     head_words, head_logs = pa.array(head, pa.large_string()), np.log10(np.array([*head.values(), 0]) + ADD)
@@ -550,15 +599,13 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     counted = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_head long, head_sum double"
-    texts = docs.select(key, text, F.col(held_out), hashed(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    texts = docs.select(key, text, F.col(held_out), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).alias("h"))
     coded = written(texts.mapInArrow(read, f"{counted}, h long, tail array<string>, ids binary"))
     known = coded.where("not held_out")
-    sample = texts_of(known, "ids", "h", least_hashes(known.select(F.lit(0).alias("g"), "h"), SAMPLE))
-    line, per_text = read_back(pa.array(sample.values(), pa.binary()), size)
     counts = id_counts(known, size)
-    learner = train(line, per_text, counts, neighbour_counts(known, counts))
-    model = learnt_from_all(learner, known).model()
-    del sample, line, learner
+    learner = beginning(counts, neighbour_counts(known, counts))
+    model = learnt_from_all(learner, known, counts.sum()).model()
+    del learner
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

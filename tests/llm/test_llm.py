@@ -6,7 +6,6 @@ import hashlib
 import math
 import re
 from collections import Counter
-from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,9 +110,8 @@ def test_classifiers_on_held_out_rows(spark, sf_dir):
 
 
 @pytest.mark.parametrize("name", ["op2_language_id", "op3_ngram_jaccard_join", "op4_token_counts", "op6_mixing", "op7_toxicity", "op9_media_columns", "op1_lm_scoring"])
-def test_odd_rows(spark, sf_dir, odd, tmp_path, monkeypatch, name):
+def test_odd_rows(spark, sf_dir, odd, tmp_path, name):
     """Every row gets a result, with or without rows in the table."""
-    monkeypatch.setattr(lm_scoring, "train", partial(lm_scoring.train, steps=20))
     for docs, where in ((odd, "odd"), (odd.limit(0), "empty")):
         docs.write.parquet(f"{tmp_path}/{where}/documents.parquet")
         spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/{where}/labels.parquet")
@@ -125,16 +123,50 @@ def test_ngram_join_keeps_one_of_each(spark, odd):
     assert kept.count(4) == 1 and 5 not in kept and kept.count(3) == 1 and None in kept
 
 
-def test_scores_learn_from_every_training_document(spark, sf_dir, monkeypatch):
-    """Word order in a document that the start of training doesn't sample matters to the scores of others."""
-    monkeypatch.setattr(lm_scoring, "SAMPLE", 1)
-    monkeypatch.setattr(lm_scoring, "train", partial(lm_scoring.train, steps=20))
+def test_scores_learn_from_every_training_document(spark, sf_dir):
+    """Word order in any one training document matters to the scores of others, whatever the partitions."""
     rows = documents(spark, sf_dir).select("doc_id", "text").where("length(text) > 400").orderBy("doc_id").limit(20).withColumn("held", F.col("doc_id") % 5 == 0).cache()
-    sampled = rows.where("not held").orderBy(lm_scoring.hashed(F.col("text"))).first()["doc_id"]
-    other = next(r["doc_id"] for r in rows.orderBy("doc_id").collect() if not r["held"] and r["doc_id"] != sampled)
+    other = [r["doc_id"] for r in rows.orderBy("doc_id").collect() if not r["held"]][7]
     turned = rows.withColumn("text", F.when(F.col("doc_id") == other, F.array_join(F.reverse(F.split("text", " ")), " ")).otherwise(F.col("text")))
-    a, b = ({r["doc_id"]: (r["base_score"], r["score"]) for r in lm_scoring.lm_scores(docs.coalesce(2), registry.tokenizer_path(), "held").where("held_out").collect()} for docs in (rows, turned))
+    scores = lambda docs: {r["doc_id"]: (r["base_score"], r["score"]) for r in lm_scoring.lm_scores(docs, registry.tokenizer_path(), "held").where("held_out").collect()}
+    a, b = scores(rows.repartition(3)), scores(turned.repartition(3))
     assert a and all(a[k][0] == pytest.approx(b[k][0]) and abs(a[k][1] - b[k][1]) > 1e-6 for k in a)
+    assert scores(rows.repartition(11)) == {k: (pytest.approx(x), pytest.approx(y, rel=1e-6)) for k, (x, y) in a.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_training_equals_a_loop_over_shards(spark, parts):
+    import copy
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    counts = np.r_[0, 0, 0, rng.integers(1, 50, 297)].astype(float)
+    texts = [(int(rng.integers(-(2**62), 2**62)), np.r_[lm_scoring.BEGIN, rng.integers(3, 300, rng.integers(0, 120)), lm_scoring.END]) for _ in range(60)]
+    ids = spark.createDataFrame([(h, t.astype(np.uint16).tobytes()) for h, t in texts], "h long, ids binary").repartition(parts)
+    begin = lm_scoring.Learner(np.arange(300) % 256, counts, 1)
+    n_ids = sum(len(t) for _, t in texts)
+    found = lm_scoring.learnt_from_all(copy.deepcopy(begin), ids, n_ids, shard_ids=n_ids / 20)
+    expected, cuts = copy.deepcopy(begin), lm_scoring.rounds(n_ids, n_ids / 20)
+    assert cuts == [(0, 1), (1, 5), (5, 20)]
+    for i, ((first, after), (many, rate)) in enumerate(zip(cuts, lm_scoring.ROUNDS, strict=True)):
+        sums: dict = {}
+        for shard in range(first, after):
+            mine = sorted(((h, t) for h, t in texts if h % cuts[-1][1] == shard), key=lambda x: x[0])
+            if not mine:
+                continue
+            own = copy.deepcopy(expected)
+            n = lm_scoring.trained(own, iter([(np.concatenate([t for _, t in mine]), np.array([len(t) for _, t in mine]))]), 1000 * i + shard, many, rate)
+            for name, x in own.p.items():
+                weight = own.seen[:, None].astype(float) if name == "e" else np.full([1] * x.ndim, float(n))
+                total = sums.setdefault(name, [np.zeros_like(weight), np.zeros(x.shape)])
+                total[0] = total[0] + weight
+                total[1] = total[1] + weight * (x.astype(float) - expected.p[name])
+        for name, (weight, change) in sums.items():
+            expected.p[name] += np.where(weight > 0, change / np.maximum(weight, 1e-9), 0).astype(np.float32)
+    for name, x in expected.p.items():
+        assert np.allclose(x, found.p[name], atol=1e-5), name
+        assert np.abs(x - begin.p[name]).max() > 1e-4
 
 
 def test_neighbours_are_counted_over_all_documents(spark, sf_dir):
@@ -388,7 +420,6 @@ def test_base_scores_match_sql(spark, sf_dir, duck, monkeypatch):
       a as (select sum(c) as n, count(*) as v from c)
       select doc_id, any_value(held) as held_out, count(*) as n_tokens, count(c) as n_known, any_value(n)::bigint as train_tokens, sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))) as base_score
       from t left join c using (token) cross join a group by doc_id""").df()
-    monkeypatch.setattr(lm_scoring, "train", partial(lm_scoring.train, steps=2))
     for head in (0, 65_536):
         monkeypatch.setattr(lm_scoring, "HEAD", head)
         assert not difference(registry.op1_lm_scoring(spark, sf_dir).drop("score").toPandas(), expected), head
