@@ -66,7 +66,10 @@ def _manifest(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _stats(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return stats.source_statistics(files.read_light_curves(spark, files.expanded(spark, a.inputs)))
+    points = files.read_light_curves(spark, files.expanded(spark, a.inputs))
+    for name, made in stats.child_tables(points).items() if a.tables else ():
+        sinks.write_results(made, f"{a.tables}/{name}")
+    return stats.source_statistics(points)
 
 
 def _vsx(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -140,9 +143,11 @@ def parser() -> argparse.ArgumentParser:
     listing.add_argument("--lc-root", required=True)
     listing.add_argument("--mag-bin", action="append")
     listing.add_argument("--id-column", default="asas_sn_id")
-    command("stats", _stats, "inputs")
-    command("clean-vsx", _vsx).add_argument("--catalog", required=True)
-    match = command("crossmatch", _crossmatch, "inputs")
+    command("stats", _stats, "inputs").add_argument("--tables", help="where the tables that go with the statistics are written")
+    cleaned, match = command("clean-vsx", _vsx), command("crossmatch", _crossmatch, "inputs")
+    cleaned.add_argument("--catalog", required=True)
+    for p in (cleaned, match):
+        p.add_argument("--stamp", help="output is a folder that gets a CSV named by command and stamp")
     match.add_argument("--catalog", required=True)
     match.add_argument("--radius", type=float, default=3.0)
     again = command("reproduce", _reproduce)
@@ -158,7 +163,9 @@ def main(arguments: Sequence[str] | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = SparkSession.builder.appName("dimwatch").getOrCreate()
     out = a.run(spark, a)
-    if a.format == "csv":
+    if getattr(a, "stamp", None):
+        sinks.write_stamped(out, a.output, a.command.replace("-", "_"), a.stamp)
+    elif a.format == "csv":
         out.write.mode("overwrite").option("header", True).csv(a.output)
     else:
         sinks.write_results(out, a.output)

@@ -166,7 +166,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spark.range(1).select(F.posexplode(bayes.logit_grid(0.5, 0.9999)).alias("k", "p")), 9)
+    """Where the share of each part's size lies on the grid of mixing shares: how many of the grid are below, and the greatest of them."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "(p_size + 0.25D) / 51 as share")
+    below = F.filter(bayes.logit_grid(0.02, 0.98), lambda g: g < F.col("share"))
+    return rounded(parts.select("p_partkey", F.size(below).alias("n_below"), F.array_max(below).alias("nearest")), 9)
 
 
 def peak_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +267,8 @@ SQL: dict[str, str] = {
     "dates": _sql("SELECT source_id, seq, (jd - 2449718.5) / 365.25::DOUBLE + 1995 AS year, jd - 2450000 AS back FROM l", "source_id seq", "year back"),
     "parsed_lists": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 0 END AS n, (CASE p_partkey % 4 WHEN 0 THEN p_size + 2.5 WHEN 1 THEN p_size + 4 WHEN 2 THEN 0 END)::DOUBLE AS total, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END = p_size % 4 AS fits FROM part",
     "labels": _sql("SELECT source_id, 'mag_bin: ' || mag_bin || ', g_n_peaks: ' || g || CASE WHEN flag THEN ', v_is_dip_dominated: true' ELSE '' END AS label FROM pc", "source_id label", "", _PART),
-    "logit_grid": "SELECT k::INT AS k, round(1 / (1 + exp(-(k * ln(0.9999::DOUBLE / (1 - 0.9999::DOUBLE)) / 79))), 9) AS p FROM range(80) t(k)",
+    "logit_grid": """WITH g AS (SELECT 1 / (1 + exp(-(ln(0.02::DOUBLE / 0.98) + k * (ln(0.98::DOUBLE / 0.02) - ln(0.02::DOUBLE / 0.98)) / 79))) AS p FROM (SELECT unnest(range(80)) AS k)),
+      q AS (SELECT p_partkey, (p_size + 0.25::DOUBLE) / 51 AS share FROM part) SELECT p_partkey, count(p)::INT AS n_below, round(max(p), 9) AS nearest FROM q LEFT JOIN g ON p < share GROUP BY p_partkey""",
     "peak_times": _sql("SELECT source_id, max(jd) FILTER (n = 1) AS first, max(jd) FILTER (n = 6) AS sixth, NULL::DOUBLE AS \"none\" FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY jd, seq) AS n FROM e) GROUP BY source_id", "source_id", 'first sixth').replace("round(sixth, 6) AS sixth FROM", 'round(sixth, 6) AS sixth, "none" FROM'),
     "box_gate": _sql("""SELECT c.source_id, std_mag, coalesce(n, 0) AS n_peaks, coalesce(n, 0) / span AS peaks_per_time, coalesce(n, 0) > 0 AND coalesce(n, 0) < 9 AND coalesce(n, 0) / span <= 0.3 AND std_mag <= 1.4 AS passes
       FROM (SELECT source_id, stddev_pop(mag) AS std_mag, max(jd) - min(jd) AS span FROM ce GROUP BY source_id) c LEFT JOIN (SELECT source_id, count(*) AS n FROM (SELECT *, lag(delta) OVER w < delta AND lead(delta) OVER w < delta AND delta >= 1.5 AS top FROM bd WINDOW w AS (PARTITION BY source_id ORDER BY jd, seq)) WHERE top GROUP BY source_id) USING (source_id)""",

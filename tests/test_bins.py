@@ -77,3 +77,15 @@ def test_newest_file_of_each_bin(spark, tmp_path):
 def test_labelled_candidates(spark):
     rows = candidates.labelled(spark)
     assert rows.count() == 29 and rows.where("expected_detected").count() == 21
+
+
+def test_tables_and_stamped_catalogs_by_command(spark, tmp_path):
+    (tmp_path / "5.dat2").write_text("".join(f"{2458000 + i} {13 + i / 100:.2f} 0.02 1 3 {i % 2} 0 ba/F1\n" for i in range(30)))
+    main(["stats", f"{tmp_path}/*.dat2", "--tables", f"{tmp_path}/tables", "--output", f"{tmp_path}/stats"])
+    assert spark.read.parquet(f"{tmp_path}/tables/nights").count() == 30 and spark.read.parquet(f"{tmp_path}/tables/seasons").count() == 1
+    line = [" "] * 206
+    for at, value in ((0, "42"), (42, "10.5"), (52, "-3.25"), (62, "VAR")):
+        line[at : at + len(value)] = value
+    (tmp_path / "vsx.dat").write_text("".join(line) + "\n")
+    main(["clean-vsx", "--catalog", f"{tmp_path}/vsx.dat", "--stamp", "20250101_0000", "--output", f"{tmp_path}/catalogs"])
+    assert spark.read.option("header", True).csv(f"{tmp_path}/catalogs/clean_vsx_20250101_0000").first()["class"] == "VAR"
