@@ -135,7 +135,7 @@ def test_scores_learn_from_every_training_document(spark, sf_dir):
 
 
 @pytest.mark.parametrize("parts", [1, 5])
-def test_training_equals_a_loop_over_shards(spark, parts):
+def test_training_equals_a_loop_over_shards(spark, monkeypatch, parts):
     import copy
 
     import numpy as np
@@ -144,6 +144,7 @@ def test_training_equals_a_loop_over_shards(spark, parts):
     counts = np.r_[0, 0, 0, rng.integers(1, 50, 297)].astype(float)
     texts = [(int(rng.integers(-(2**62), 2**62)), np.r_[lm_scoring.BEGIN, rng.integers(3, 300, rng.integers(0, 120)), lm_scoring.END]) for _ in range(60)]
     ids = spark.createDataFrame([(h, t.astype(np.uint16).tobytes()) for h, t in texts], "h long, ids binary").repartition(parts)
+    monkeypatch.setattr(lm_scoring, "ROUNDS", ((4, 0.4), (4, 0.2), (6, 0.1)))  # few windows make many steps
     begin = lm_scoring.Learner(np.arange(300) % 256, counts, 1)
     n_ids = sum(len(t) for _, t in texts)
     found = lm_scoring.learnt_from_all(copy.deepcopy(begin), ids, n_ids, shard_ids=n_ids / 20)
@@ -166,7 +167,7 @@ def test_training_equals_a_loop_over_shards(spark, parts):
             expected.p[name] += np.where(weight > 0, change / np.maximum(weight, 1e-9), 0).astype(np.float32)
     for name, x in expected.p.items():
         assert np.allclose(x, found.p[name], atol=1e-5), name
-        assert np.abs(x - begin.p[name]).max() > 1e-4
+        assert np.abs(x - begin.p[name]).max() > 1e-3
 
 
 def test_neighbours_are_counted_over_all_documents(spark, sf_dir):
