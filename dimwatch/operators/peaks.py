@@ -47,16 +47,18 @@ def baseline_delta(points: DataFrame, keys: Keys = SOURCE, sign: int = 1) -> Dat
     return out.withColumn("delta", sign * F.col("resid") / F.when(total > 0, total).otherwise(EPS)).drop("biweight_location", "biweight_scale")
 
 
-def local_maxima(points: DataFrame, value: str, height: Column | float, keys: Keys = SOURCE) -> DataFrame:
-    """The points at strict local maxima of at least a height: of a plateau, its middle one, the earlier of two. The
-    first and last points, or plateaus there, are none. Runs of equal values are collapsed by a running count."""
+def local_maxima(points: DataFrame, value: str, height: Column | float, keys: Keys = SOURCE, plateaus: bool = True) -> DataFrame:
+    """The points at strict local maxima of at least a height: of a plateau, its middle one, the earlier of two; without
+    plateaus, only points above both neighbours. The first and last points, or plateaus there, are none. Runs of equal
+    values are collapsed by a running count."""
     w = in_time(keys)
     placed = points.where(F.col(value).isNotNull()).withColumn("idx", F.row_number().over(w) - 1)
     before = F.lag(value).over(w)
-    run = F.sum(F.when(before.isNull() | (before != F.col(value)), 1).otherwise(0)).over(w)
+    if not plateaus:
+        beside = placed.withColumns({"_before": before, "_after": F.lead(value).over(w)})
+        return beside.where((F.col("_before") < F.col(value)) & (F.col("_after") < F.col(value)) & (F.col(value) >= height)).drop("_before", "_after")
     own = W.partitionBy(*keys, "_run")
     marked = placed.withColumns({"_before": before, "_after": F.lead(value).over(w)}).withColumn("_new", F.when(F.col("_before").isNull() | (F.col("_before") != F.col(value)), 1).otherwise(0))
-    del run
     marked = marked.withColumn("_run", F.sum("_new").over(w))
     sides = marked.withColumns({
         "_left": F.max(F.when(F.col("_new") == 1, F.col("_before"))).over(own), "_right": F.max(F.when(F.col("_after").isNull() | (F.col("_after") != F.col(value)), F.col("_after"))).over(own),
