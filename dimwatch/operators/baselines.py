@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .clean import SOURCE, Keys
-from .groups import Columns, spans, with_kernel
+from .groups import Columns, percentiles, rows_of, spans, with_kernel, with_percentiles
 
 #: Makes the median absolute deviation a standard deviation; least sigma.
 MAD_FACTOR, LEAST_SIGMA = 1.4826, 1e-6
@@ -72,18 +72,22 @@ def sliding(t: np.ndarray, x: np.ndarray, before: float, after: float, least: in
     return out
 
 
+def _slid(t: np.ndarray, x: np.ndarray, starts: np.ndarray, before: float, after: float, least: int, deviation: bool = False) -> np.ndarray:
+    """`sliding` over each group's points that have a time."""
+    found = np.full(len(t), np.nan)
+    for s in spans(starts):
+        timed = np.flatnonzero(~np.isnan(t[s])) + s.start
+        found[timed] = sliding(t[timed], x[timed], before, after, least, deviation)
+    return found
+
+
 def rolled(points: DataFrame, to: str, value: str, keys: Keys, days: float, least_points: int = 10, past_only: bool = True, deviation: bool = False) -> DataFrame:
     """points with a rolling median of a column (or its median absolute deviation), by a kernel over each group's points
     in time; null where there are too few. Points without a time have none."""
     before, after = (days, 0.0) if past_only else (days / 2, days / 2)
 
     def roll(columns: Columns, starts: np.ndarray) -> Columns:
-        t, x = columns["jd"], columns["_x"]
-        found = np.full(len(t), np.nan)
-        for s in spans(starts):
-            timed = np.flatnonzero(~np.isnan(t[s])) + s.start
-            found[timed] = sliding(t[timed], x[timed], before, after, least_points, deviation)
-        return {to: found}
+        return {to: _slid(columns["jd"], columns["_x"], starts, before, after, least_points, deviation)}
 
     return with_kernel(points.withColumn("_x", F.col(value)), keys, ("jd", "_x"), roll, f"{to} double", ("jd",)).drop("_x")
 
@@ -104,10 +108,17 @@ def rolling_mad(points: DataFrame, value: str, keys: Keys, days: float, least_po
 
 def with_robust_sigma(points: DataFrame, keys: Keys) -> DataFrame:
     """points (with resid) with robust_sigma of the residuals of their group, the error's median in quadrature."""
-    w = W.partitionBy(*keys)
-    out = points.withColumn("_m", F.median("resid").over(w)).withColumn("_d", F.abs(F.col("resid") - F.col("_m")))
-    total = F.sqrt((MAD_FACTOR * F.coalesce(F.median("_d").over(w), F.lit(0.0))) ** 2 + F.coalesce(F.median("error").over(w), F.lit(0.0)) ** 2)
-    return out.withColumn("robust_sigma", F.greatest(total, F.lit(LEAST_SIGMA))).drop("_m", "_d")
+    out = with_percentiles(points, keys, "resid", _m=0.5).withColumn("_d", F.abs(F.col("resid") - F.col("_m")))
+    out = with_percentiles(with_percentiles(out, keys, "_d", _spread=0.5), keys, "error", _typical=0.5)
+    total = F.sqrt((MAD_FACTOR * F.coalesce(F.col("_spread"), F.lit(0.0))) ** 2 + F.coalesce(F.col("_typical"), F.lit(0.0)) ** 2)
+    return out.withColumn("robust_sigma", F.greatest(total, F.lit(LEAST_SIGMA))).drop("_m", "_d", "_spread", "_typical")
+
+
+def _robust_sigma(resid: np.ndarray, error: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """robust_sigma of each row's group."""
+    away = np.abs(resid - rows_of(percentiles(resid, starts, 0.5)[0], starts))
+    spread, typical = np.nan_to_num(percentiles(away, starts, 0.5)[0]), np.nan_to_num(percentiles(error, starts, 0.5)[0])
+    return rows_of(np.maximum(np.sqrt((MAD_FACTOR * spread) ** 2 + typical**2), LEAST_SIGMA), starts)
 
 
 def _finished(points: DataFrame, baseline: Column, keys: Keys) -> DataFrame:
@@ -115,17 +126,28 @@ def _finished(points: DataFrame, baseline: Column, keys: Keys) -> DataFrame:
     return with_robust_sigma(out, keys).withColumn("sigma_resid", F.col("resid") / F.col("robust_sigma")).drop("robust_sigma")
 
 
+def _by_kernel(points: DataFrame, keys: Keys, baseline: Callable[[Columns, np.ndarray], np.ndarray]) -> DataFrame:
+    """points with baseline, resid and sigma_resid, where a function of a batch of groups makes the baseline: one pass for all three."""
+
+    def make(columns: Columns, starts: np.ndarray) -> Columns:
+        found = baseline(columns, starts)
+        resid = columns["mag"] - found
+        return {"baseline": found, "resid": resid, "sigma_resid": resid / _robust_sigma(resid, columns["error"], starts)}
+
+    return with_kernel(points.drop("baseline", "resid", "sigma_resid"), keys, ("jd", "mag", "error"), make, "baseline double, resid double, sigma_resid double", ("jd",))
+
+
 def global_mean(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
     return _finished(points, F.avg("mag").over(W.partitionBy(*keys)), keys)
 
 
 def global_median(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
-    return _finished(points, F.median("mag").over(W.partitionBy(*keys)), keys)
+    return _finished(with_percentiles(points.drop("baseline"), keys, "mag", baseline=0.5), F.col("baseline"), keys)
 
 
 def global_rolling_median(points: DataFrame, keys: Keys = SOURCE, days: float = 1000.0, least_points: int = 10, past_only: bool = True) -> DataFrame:
-    rows = rolled(points.drop("baseline"), "baseline", "mag", keys, days, least_points, past_only)
-    return _finished(rows, F.col("baseline"), keys)
+    before, after = (days, 0.0) if past_only else (days / 2, days / 2)
+    return _by_kernel(points, keys, lambda c, starts: _slid(c["jd"], c["mag"], starts, before, after, least_points))
 
 
 def global_rolling_mean(points: DataFrame, keys: Keys = SOURCE, days: float = 1000.0, least_points: int = 10, past_only: bool = True) -> DataFrame:
@@ -144,16 +166,21 @@ def per_camera_trend(points: DataFrame, keys: Keys = SOURCE, days_short: float =
     """The long rolling median, or the short one where both exist and are more than `apart` magnitudes apart or only it
     exists. Sigma is a rolling MAD; the last days of a camera, where an event may have cut it off, and other gaps get
     the whole camera's and the least sigma."""
-    own = (*keys, "camera")
-    out = rolled(rolled(points, "_s", "mag", own, days_short, least_points), "_l", "mag", own, days_long, least_points)
-    both = F.col("_s").isNotNull() & F.col("_l").isNotNull()
-    out = out.withColumn("baseline", F.when(both & (F.abs(F.col("_s") - F.col("_l")) > apart), F.col("_s")).otherwise(F.coalesce("_l", "_s")))
-    out = out.withColumn("resid", F.col("mag") - F.col("baseline")).withColumn("_e", F.median("error").over(W.partitionBy(*own)))
-    out = rolling_mad(out, "resid", own, days_short, max(8, least_points // 2), "_e", to="_sigma")
-    out = with_robust_sigma(out, own)
-    late = F.col("jd") >= F.max("jd").over(W.partitionBy(*own)) - last_window_guard
-    sigma = F.coalesce(F.col("_sigma"), F.when(late, F.col("robust_sigma")), F.lit(LEAST_SIGMA))
-    return out.withColumn("sigma_resid", F.col("resid") / sigma).drop("_s", "_l", "_e", "_sigma", "robust_sigma")
+
+    def trend(columns: Columns, starts: np.ndarray) -> Columns:
+        t, mag, error = columns["jd"], columns["mag"], columns["error"]
+        short, long = (_slid(t, mag, starts, days, 0.0, least_points) for days in (days_short, days_long))
+        baseline = np.where(np.isnan(long) | (np.abs(short - long) > apart), short, long)
+        resid = mag - baseline
+        typical = rows_of(np.nan_to_num(percentiles(error, starts, 0.5)[0]), starts)
+        recent = _slid(t, resid, starts, days_short, 0.0, max(8, least_points // 2), True)
+        late = t >= rows_of(np.fmax.reduceat(t, starts[:-1]), starts) - last_window_guard
+        other = np.where(late, _robust_sigma(resid, error, starts), LEAST_SIGMA)
+        sigma = np.where(np.isnan(recent), other, np.maximum(np.sqrt((MAD_FACTOR * recent) ** 2 + typical**2), LEAST_SIGMA))
+        return {"baseline": baseline, "resid": resid, "sigma_resid": resid / sigma}
+
+    kept = points.drop("baseline", "resid", "sigma_resid")
+    return with_kernel(kept, (*keys, "camera"), ("jd", "mag", "error"), trend, "baseline double, resid double, sigma_resid double", ("jd",))
 
 
 def near_flagged(points: DataFrame, keys: Keys, flag: str, days: float, to: str) -> DataFrame:
@@ -165,11 +192,10 @@ def near_flagged(points: DataFrame, keys: Keys, flag: str, days: float, to: str)
 def masked_points(points: DataFrame, keys: Keys = ("source_id", "camera"), threshold: float = -1.0, pad_days: float = 100.0, sign: int = 1) -> DataFrame:
     """points with `masked`: those near an excursion, for a baseline fitted to the rest. sign 1 flags brightenings as
     the original method does, -1 flags dips."""
-    w = W.partitionBy(*keys)
-    out = points.withColumn("resid", F.col("mag") - F.median("mag").over(w))
-    out = with_robust_sigma(out, keys)
+    out = with_percentiles(points, keys, "mag", _middle=0.5)
+    out = with_robust_sigma(out.withColumn("resid", F.col("mag") - F.col("_middle")), keys)
     out = out.withColumn("flagged", sign * F.col("resid") / F.col("robust_sigma") < threshold)
-    return near_flagged(out, keys, "flagged", pad_days, "masked").drop("resid", "robust_sigma")
+    return near_flagged(out, keys, "flagged", pad_days, "masked").drop("_middle", "resid", "robust_sigma")
 
 
 def gp(points: DataFrame, keys: Keys = SOURCE, **parameters: float) -> DataFrame:

@@ -37,10 +37,18 @@ def clean_lc(points: DataFrame) -> DataFrame:
     return points.where(keep)
 
 
+def _scored(points: DataFrame, most_error: float) -> DataFrame:
+    return points.where(finite("jd") & finite("mag") & finite("error") & (F.col("error") > 0) & (F.col("error") < most_error))
+
+
+def scorable(points: DataFrame, keys: Keys = SOURCE, least_points: int = LEAST_POINTS, most_error: float = MOST_ERROR) -> DataFrame:
+    """The sources of valid_for_scoring, a row each."""
+    return _scored(points, most_error).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least_points).select(*keys)
+
+
 def valid_for_scoring(points: DataFrame, keys: Keys = SOURCE, least_points: int = LEAST_POINTS, most_error: float = MOST_ERROR) -> DataFrame:
     """Finite points with an error between 0 and most_error, of sources that have enough of them."""
-    good = points.where(finite("jd") & finite("mag") & finite("error") & (F.col("error") > 0) & (F.col("error") < most_error))
-    return good.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where(F.col("_n") >= least_points).drop("_n")
+    return _scored(points, most_error).withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where(F.col("_n") >= least_points).drop("_n")
 
 
 def scoring_status(points: DataFrame, keys: Keys = SOURCE, least_points: int = 10) -> DataFrame:

@@ -95,6 +95,37 @@ def group_rows(points: DataFrame, keys: Keys, uses: tuple[str, ...], kernel: Ker
     return _placed(kept, keys, order).mapInArrow(run, _quoted(points, list(keys)) + makes)
 
 
+def percentiles(x: np.ndarray, starts: np.ndarray, *shares: float) -> list[np.ndarray]:
+    """For each share, each group's exact percentile, interpolated as Spark does; NaN counts as missing, and is the percentile of nothing.
+
+    Spark's own window evaluates a percentile anew for every row, by sorting its group; here each group is sorted once."""
+    first, group = starts[:-1], np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    own, n, out = x[np.lexsort((x, group))], np.add.reduceat((x == x).astype(np.int64), first), []
+    for share in shares:
+        at = np.maximum(n - 1, 0) * share
+        low, high = np.floor(at), np.ceil(at)
+        a, b = own[first + low.astype(np.int64)], own[first + high.astype(np.int64)]
+        out.append(np.where(n > 0, np.where(low == high, a, (high - at) * a + (at - low) * b), np.nan))
+    return out
+
+
+def with_percentiles(points: DataFrame, keys: Keys, value: str, **shares: float) -> DataFrame:
+    """points with exact percentiles of a column over its group, interpolated as Spark does, null for no value. The same as
+    percentile() over a window, which would sort a group's values anew for every one of its rows; here ranks find them."""
+    w = W.partitionBy(*keys)
+    out = points.withColumn("_rank", F.row_number().over(w.orderBy(F.col(value).asc_nulls_last()))).withColumn("_count", F.count(value).over(w))
+    at = {to: (F.col("_count") - 1) * F.lit(float(share)) for to, share in shares.items()}
+    sides = {f"_{side}{i}": F.max(F.when(F.col("_rank") == place(x) + 1, F.col(value))).over(w) for i, x in enumerate(at.values()) for side, place in (("low", F.floor), ("high", F.ceil))}
+    out = out.withColumns(sides)
+    made = {to: F.when(F.floor(x) == F.ceil(x), F.col(f"_low{i}")).otherwise((F.ceil(x) - x) * F.col(f"_low{i}") + (x - F.floor(x)) * F.col(f"_high{i}")) for i, (to, x) in enumerate(at.items())}
+    return out.withColumns(made).drop("_rank", "_count", *sides)
+
+
+def rows_of(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A value of each group, at each of its rows."""
+    return np.repeat(values, np.diff(starts))
+
+
 def spans(starts: np.ndarray) -> Iterator[slice]:
     """The groups' rows."""
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .clean import SOURCE, Keys, in_time
+from .groups import with_percentiles
 
 #: Tuning constant of the biweights; least denominator of a delta.
 TUNING, EPS = 6.0, 1e-6
@@ -16,8 +17,8 @@ def with_biweight(points: DataFrame, keys: Keys = SOURCE, value: str = "mag", c:
     """points with the group's biweight location and scale: one step from the median with the raw median absolute
     deviation, which must not be 0 (then: the median, and 0)."""
     w = W.partitionBy(*keys)
-    out = points.withColumn("_m", F.median(value).over(w)).withColumn("_a", F.abs(F.col(value) - F.col("_m")))
-    out = out.withColumn("_mad", F.median("_a").over(w)).withColumn("_d", F.col(value) - F.col("_m"))
+    out = with_percentiles(points, keys, value, _m=0.5).withColumn("_a", F.abs(F.col(value) - F.col("_m")))
+    out = with_percentiles(out, keys, "_a", _mad=0.5).withColumn("_d", F.col(value) - F.col("_m"))
     out = out.withColumn("_u", F.when(F.col("_mad") > 0, F.col("_d") / (c * F.col("_mad")))).withColumn("_q", 1 - F.col("_u") * F.col("_u"))
     inside = F.abs(F.col("_u")) < 1
     d, u2, q = F.col("_d"), F.col("_u") * F.col("_u"), F.col("_q")

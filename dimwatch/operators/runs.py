@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .clean import SOURCE, Keys, in_time
-
+from .groups import percentiles, rows_of, with_percentiles
 
 #: Magnitudes from the baseline that make a dip or jump.
 THRESHOLD = 0.3
@@ -25,8 +26,14 @@ def find_runs(points: DataFrame, mask: Column, keys: Keys = SOURCE, max_gap: int
 def with_cadence(points: DataFrame, keys: Keys = SOURCE) -> DataFrame:
     """points with the source's median positive time between neighbours."""
     dt = F.col("jd") - F.lag("jd").over(in_time(keys))
-    out = points.withColumn("_dt", dt)
-    return out.withColumn("cadence", F.median(F.when(F.col("_dt") > 0, F.col("_dt"))).over(W.partitionBy(*keys))).drop("_dt")
+    return with_percentiles(points.drop("cadence").withColumn("_dt", F.when(dt > 0, dt)), keys, "_dt", cadence=0.5).drop("_dt")
+
+
+def cadences(jd: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The cadence at each row of whole sources in time."""
+    step = np.diff(jd, prepend=np.nan)
+    step[starts[:-1]] = np.nan
+    return rows_of(percentiles(np.where(step > 0, step, np.nan), starts, 0.5)[0], starts)
 
 
 def build_runs(triggered: DataFrame, keys: Keys = SOURCE, allow_gap_points: int = 1, max_gap_days: float | None = None) -> DataFrame:

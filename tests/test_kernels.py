@@ -159,3 +159,14 @@ def test_shapes_of_runs(spark):
     assert kernels.run_shapes(curve(spark, lens), runs, "jump").first()["morphology"] == "paczynski"
     assert kernels.run_shapes(curve(spark, [13.0] * 40), runs, "dip").first()["morphology"] == "noise"
     assert kernels.run_shapes(curve(spark, bell), runs.where(F.lit(False)), "dip").count() == 0
+
+
+def test_percentiles_of_groups_match_numpy():
+    from dimwatch.operators.groups import percentiles
+
+    rng = np.random.default_rng(4)
+    x, starts = np.where(rng.random(40) < 0.2, np.nan, rng.integers(0, 9, 40)), np.array([0, 1, 7, 20, 40])
+    x[0] = np.nan
+    for share, found in zip((0.05, 0.5, 0.95), percentiles(x, starts, 0.05, 0.5, 0.95), strict=True):
+        own = [x[a:b][~np.isnan(x[a:b])] for a, b in zip(starts[:-1], starts[1:])]
+        assert np.allclose(found, [np.percentile(o, 100 * share) if len(o) else np.nan for o in own], equal_nan=True)
