@@ -26,6 +26,8 @@ LEAST_FIT, LEAST_UNMASKED, LEAST_FLOOR = 5, 10, 30
 LEAST_GP_ERROR, LEAST_SIGMA = 1e-6, 1e-12
 #: Points of a block of the mixture; numbers of a working array.
 BLOCK, WORKING = 512, 2**15
+#: A share of a sum that changes no double, and that of so many cells neither.
+NEXT_TO_NOTHING = 1e-21
 
 
 def mad_sigma(x: np.ndarray) -> float:
@@ -125,61 +127,88 @@ def event_posterior(mag: np.ndarray, sigma: np.ndarray, base: np.ndarray, mags:
     magnitude and share at the posterior's peak.
 
     A point's likelihood is share times baseline and rest times event (for jumps the other way round); both are taken
-    relative to the greater one, so they lie between 0 and 1, and logarithms are taken of products of some dozen points. Points go by in blocks, twice:
-    once for the posterior of magnitudes and shares, once for the points' probabilities. Memory is magnitudes by shares
-    and magnitudes by a block, whatever the number of points."""
+    relative to the greater one, so they lie between 0 and 1, and logarithms are taken of products of some dozen points.
+    A point whose lesser part is below what a double adds to the greater is counted, not multiplied (its factor is one of the
+    two shares), and cells of the posterior whose weight no double adds to a probability are left out of its sum. Points go
+    by in blocks, twice: once for the posterior of magnitudes and shares, once for the points' probabilities. Memory is
+    magnitudes by shares and magnitudes by a block, whatever the number of points."""
     of_event, of_quiet = (1 - shares, shares) if kind == "dip" else (shares, 1 - shares)
-    product = max(1, int(-250 / math.log10(min(of_event.min(), of_quiet.min()))))
+    odds = of_event / of_quiet
+    most = float(max((1 / odds).max(), 1 + odds.max()))
+    product, reach = max(1, int(250 / math.log10(most))), -math.log(NEXT_TO_NOTHING) + math.log(most)
     s = np.maximum(sigma, LEAST_SIGMA)
-    log_likelihood = np.zeros((len(shares), len(mags)))
+    log_likelihood = np.repeat((len(mag) * np.log(of_quiet))[:, None], len(mags), axis=1)
 
-    def blocks():
+    def blocks(of: np.ndarray):
         for at in range(0, len(mag), BLOCK):
             r = slice(at, at + BLOCK)
-            ratio = 0.5 * (((mag[r] - base[r]) / s[r]) ** 2 - ((mag[r] - mags[:, None]) / s[r]) ** 2)
-            quiet, event = np.exp(-np.maximum(ratio, 0)), np.exp(np.minimum(ratio, 0))
-            step = max(1, WORKING // ratio.size)
-            for k in range(0, len(shares), step):
-                own = slice(k, k + step)
-                yield r, own, np.maximum(ratio, 0).sum(1) if k == 0 else None, of_quiet[own, None, None] * quiet + of_event[own, None, None] * event, event
-
-    for _, own, greater, mixed, _ in blocks():
-        if greater is not None:
-            log_likelihood += greater
-        log_likelihood[own] += np.log(np.multiply.reduceat(mixed, np.arange(0, mixed.shape[2], product), axis=2)).sum(2)
+            yield r, 0.5 * (((mag[r] - base[r]) / s[r]) ** 2 - ((mag[r] - of[:, None]) / s[r]) ** 2)
+
+    for _, ratio in blocks(mags):
+        log_likelihood += np.maximum(ratio, 0).sum(1) + np.log(odds)[:, None] * (ratio > reach).sum(1)
+        open_ = np.abs(ratio) <= reach
+        counts, left = open_.sum(1), ratio[open_]
+        quiet, event = np.exp(-np.maximum(left, 0)), np.exp(np.minimum(left, 0))
+        parts = -(-counts // product)  # products of each magnitude
+        own = np.flatnonzero(parts)
+        if not len(own):
+            continue
+        begins = np.repeat(np.cumsum(counts) - counts, parts) + product * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        sums, step = (np.cumsum(parts) - parts)[own], max(1, WORKING // len(left))
+        for k in range(0, len(odds), step):
+            mixed = odds[k : k + step, None] * event
+            mixed += quiet
+            log_likelihood[k : k + step, own] += np.add.reduceat(np.log(np.multiply.reduceat(mixed, begins, axis=1)), sums, axis=1)
     top = log_likelihood.max() if log_likelihood.size else 0.0
     weight = np.exp(log_likelihood - top)
     total, probability = weight.sum(), np.zeros(len(mag))
-    for r, own, _, mixed, event in blocks():
-        probability[r] += np.einsum("km,kmc->c", weight[own] * of_event[own, None], event / mixed)
+    heavy = weight > NEXT_TO_NOTHING * total
+    own = np.flatnonzero(heavy.any(0))
+    for r, ratio in blocks(mags[own]):
+        quiet, event = np.exp(-np.maximum(ratio, 0)), np.exp(np.minimum(ratio, 0))
+        for n, m in enumerate(own.tolist()):
+            k = np.flatnonzero(heavy[:, m])
+            part = odds[k, None] * event[n]
+            probability[r] += weight[k, m] @ (part / (part + quiet[n]))
     k, m = np.unravel_index(log_likelihood.argmax(), log_likelihood.shape)
     return np.clip(probability / total, 0, 1), float(top + math.log(total) - math.log(weight.size)), float(mags[m]), float(shares[k])
 
 
+def shares_of(kind: str, n: int = 80) -> np.ndarray:
+    """The mixture's grid of shares, evenly spaced in their log odds."""
+    low, high = (0.5, 1 - 1e-4) if kind == "dip" else (1e-4, 0.5)
+    return 1 / (1 + np.exp(-np.linspace(math.log(low / (1 - low)), math.log(high / (1 - high)), n)))
+
+
+POSTERIOR = ("event_probability", "bayes_factor", "best_mag_event", "best_p")
+
+
+def posteriors(mag: np.ndarray, sigma: np.ndarray, base: np.ndarray, starts: np.ndarray, kind: str, n_mags: int = 60, n_shares: int = 80) -> Columns:
+    """The columns of mixture_posterior for whole sources."""
+    from .bayes import ends
+
+    out, shares = {c: np.empty(starts[-1]) for c in POSTERIOR}, shares_of(kind, n_shares)
+    low, high = ends(mag, base, starts, kind)
+    for s in spans(starts):
+        for c, found in zip(out, event_posterior(mag[s], sigma[s], base[s], np.linspace(low[s.start], high[s.start], n_mags), shares, kind), strict=True):
+            out[c][s] = found
+    return out
+
+
 def mixture_posterior(points: DataFrame, kind: str, keys: Keys = SOURCE, n_mags: int = 60, n_shares: int = 80) -> DataFrame:
     """A row per point (keys, seq): the probability that it belongs to the event component of a two-part mixture, meant
     over the posterior of event magnitude and mixing share; and, alike for a source's points, the mixture's log evidence
     less the baseline's (bayes_factor), and best_mag_event and best_p at the posterior's peak. points have baseline.
 
     The share p is that of the brighter component: the baseline for dips, the event for jumps."""
-    from .bayes import grid_ends
-
-    low, high = (0.5, 1 - 1e-4) if kind == "dip" else (1e-4, 0.5)
-    shares = 1 / (1 + np.exp(-np.linspace(math.log(low / (1 - low)), math.log(high / (1 - high)), n_shares)))
+    from .bayes import effective_sigma
 
     def weigh(columns: Columns, starts: np.ndarray) -> Columns:
-        out = {c: np.empty(starts[-1]) for c in ("event_probability", "bayes_factor", "best_mag_event", "best_p")}
-        for s in spans(starts):
-            mags = np.linspace(columns["grid_start"][s.start], columns["grid_stop"][s.start], n_mags)
-            for c, found in zip(out, event_posterior(columns["mag"][s], columns["_sigma"][s], columns["baseline"][s], mags, shares, kind), strict=True):
-                out[c][s] = found
-        return out
-
-    sigma = F.coalesce(F.col("sigma_eff"), F.col("error")) if "sigma_eff" in points.columns else F.col("error")
-    ready = grid_ends(points.where(F.col("baseline").isNotNull()), kind, keys).withColumn("_sigma", sigma)
-    kept = ready.select(*keys, "seq", "jd", "mag", "_sigma", "baseline", "grid_start", "grid_stop")
-    out = with_kernel(kept, keys, ("mag", "_sigma", "baseline", "grid_start", "grid_stop"), weigh, "event_probability double, bayes_factor double, best_mag_event double, best_p double")
-    return out.select(*keys, "seq", "event_probability", "bayes_factor", "best_mag_event", "best_p")
+        return posteriors(columns["mag"], columns["_sigma"], columns["baseline"], starts, kind, n_mags, n_shares)
+
+    kept = points.where(F.col("baseline").isNotNull()).select(*keys, "seq", "jd", "mag", effective_sigma(points).alias("_sigma"), "baseline")
+    out = with_kernel(kept, keys, ("mag", "_sigma", "baseline"), weigh, ", ".join(f"{c} double" for c in POSTERIOR))
+    return out.select(*keys, "seq", *POSTERIOR)
 
 
 Shape = Callable[..., tuple[np.ndarray, np.ndarray]]

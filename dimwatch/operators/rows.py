@@ -1,9 +1,10 @@
 """The scan's whole row per source: triggers by log Bayes factor or posterior, runs, shapes, thresholds, for dips and
-jumps. All of it starts from one baseline, which is written once with its points, as are each kind's scores; branches read
-those files."""
+jumps. All of it starts from one baseline, which is written once with its points, as are the scores of both kinds; branches
+read those files."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from . import runs as R
 from .baselines import baseline_by_name
 from ..sources.shared import stored
 from .clean import LEAST_POINTS, MOST_ERROR, SOURCE, Keys, finite, indexed, valid_for_scoring
+from .groups import Columns, with_kernel
 
 # The columns of a result row for each kind, in order of the result files.
 COLUMNS = (
@@ -23,16 +25,39 @@ COLUMNS = (
 def scored_points(placed: DataFrame, kind: str, trigger: str, keys: Keys = SOURCE) -> DataFrame:
     """placed (baseline, idx, cadence) with log_bf, the mixture's bayes_factor and best_p, and score, by which the
     trigger goes: log_bf, or the probability of the event."""
-    posterior = kernels.mixture_posterior(placed, kind, keys).drop("best_mag_event")
-    out = bayes.local_log_bf(placed, kind, keys).join(posterior, [*keys, "seq"])
-    return out.withColumn("score", F.col("log_bf") if trigger == "logbf" else F.col("event_probability"))
+    return of_kind(with_scores(placed, (kind,), keys), kind, trigger)
 
 
-def kind_rows(placed: DataFrame, kind: str, trigger: str, keys: Keys = SOURCE, min_points: int = 3, **limits: float) -> DataFrame:
+SCORES = ("log_bf", "event_probability", "bayes_factor", "best_p")
+
+
+def with_scores(placed: DataFrame, kinds: tuple[str, ...], keys: Keys = SOURCE) -> DataFrame:
+    """placed with the scores of each kind (`<kind>_<score>`), in one pass over sources in time."""
+
+    def weigh(columns: Columns, starts: np.ndarray) -> Columns:
+        mag, base, sigma = (columns[c] for c in ("mag", "baseline", "_sigma"))
+        out = {}
+        for kind in kinds:
+            found = kernels.posteriors(mag, sigma, base, starts, kind) | {"log_bf": bayes.log_factors(mag, base, sigma, *bayes.ends(mag, base, starts, kind))}
+            out |= {f"{kind}_{c}": found[c] for c in SCORES}
+            out[f"{kind}_log_bf"] = np.where(np.isfinite(found["log_bf"]), found["log_bf"], np.nan)
+        return out
+
+    ready = placed.where(F.col("baseline").isNotNull()).withColumn("_sigma", bayes.effective_sigma(placed))
+    return with_kernel(ready, keys, ("mag", "baseline", "_sigma"), weigh, ", ".join(f"{k}_{c} double" for k in kinds for c in SCORES)).drop("_sigma")
+
+
+def of_kind(scored: DataFrame, kind: str, trigger: str) -> DataFrame:
+    """scored with one kind's scores under their own names, and the trigger's."""
+    out = scored.withColumns({c: F.col(f"{kind}_{c}") for c in SCORES}).withColumn("score", F.col(f"{kind}_{'log_bf' if trigger == 'logbf' else 'event_probability'}"))
+    return out.drop(*(c for c in scored.columns if any(c == f"{k}_{s}" for k in bayes.KINDS for s in SCORES)))
+
+
+def kind_rows(placed: DataFrame, kind: str, trigger: str, keys: Keys = SOURCE, min_points: int = 3, scored: DataFrame | None = None, **limits: float) -> DataFrame:
     """A row per source of one kind of event, named by the kind. Of its kept runs the one with the greatest sum gives
     the shape; sources without a kept run have the shape `none`."""
     threshold, sum_threshold = bayes.trigger_threshold(trigger, **limits, min_points=min_points)
-    points = stored(scored_points(placed, kind, trigger, keys).select(*keys, "idx", "jd", "cadence", "log_bf", "bayes_factor", "best_p", "score"))
+    points = of_kind(stored(with_scores(placed, (kind,), keys)) if scored is None else scored, kind, trigger)
     hits = points.where(F.col("score") >= threshold)
     kept = R.filter_runs(R.summarize_runs(R.build_runs(hits, keys), keys), threshold, sum_threshold, min_points).where("kept")
     best = kernels.run_shapes(placed, R.best_run(kept, keys).select(*keys, "run", "start_idx", "end_idx"), kind, keys)
@@ -70,14 +95,15 @@ def scan_status(points: DataFrame, placed: DataFrame, scores: DataFrame, keys: K
 def scan_rows(points: DataFrame, baseline: str = "per_camera_median", trigger: str = "logbf", keys: Keys = SOURCE, min_points: int = 3, logbf: float = bayes.LOGBF_THRESHOLD, probability: float = bayes.PROBABILITY_THRESHOLD, require_sigma_eff: bool = False, **parameters: float) -> DataFrame:
     """A row per source of points: the columns of both kinds, used_sigma_eff, baseline_source, trigger_mode, and status, `ok`
     or why the source could not be scored; then the other columns are null."""
-    based = baseline_by_name(baseline)(valid_for_scoring(points, keys), keys, **parameters)
+    based = baseline_by_name(baseline)(valid_for_scoring(points, keys), keys, **parameters).drop("resid", "sigma_resid")
     if require_sigma_eff and "sigma_eff" not in based.columns:
         raise ValueError(f"baseline {baseline} makes no sigma_eff")
     marked, own = based.withColumn("_based", finite("baseline")), (*keys, "_based")
     whole = stored(R.with_cadence(indexed(marked, own), own))  # places and cadences of the points that have a baseline
     sigma = "sigma_eff" if "sigma_eff" in based.columns else "error"
     placed = whole.where(F.col("_based") & finite(sigma) & (F.col(sigma) > 0)).drop("_based")
-    dips, jumps = (kind_rows(placed, k, trigger, keys, min_points, logbf=logbf, probability=probability) for k in bayes.KINDS)
+    scored = stored(with_scores(placed.select(*keys, "idx", "jd", "seq", "cadence", "mag", "baseline", *dict.fromkeys(("error", sigma))), bayes.KINDS, keys).drop("mag", "baseline", "error", "sigma_eff"))
+    dips, jumps = (kind_rows(placed, k, trigger, keys, min_points, scored, logbf=logbf, probability=probability) for k in bayes.KINDS)
     rows = dips.join(jumps, list(keys))
     status = scan_status(points, whole, rows.where(F.col("dip_max_log_bf_local").isNotNull() | F.col("jump_max_log_bf_local").isNotNull()), keys)
     if "baseline_source" in based.columns:
