@@ -96,9 +96,7 @@ def group_rows(points: DataFrame, keys: Keys, uses: tuple[str, ...], kernel: Ker
 
 
 def percentiles(x: np.ndarray, starts: np.ndarray, *shares: float) -> list[np.ndarray]:
-    """For each share, each group's exact percentile, interpolated as Spark does; NaN counts as missing, and is the percentile of nothing.
-
-    Spark's own window evaluates a percentile anew for every row, by sorting its group; here each group is sorted once."""
+    """For each share, each group's exact percentile, interpolated as Spark does; NaN counts as missing, and is the percentile of nothing."""
     first, group = starts[:-1], np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     own, n, out = x[np.lexsort((x, group))], np.add.reduceat((x == x).astype(np.int64), first), []
     for share in shares:
@@ -111,7 +109,7 @@ def percentiles(x: np.ndarray, starts: np.ndarray, *shares: float) -> list[np.nd
 
 def with_percentiles(points: DataFrame, keys: Keys, value: str, **shares: float) -> DataFrame:
     """points with exact percentiles of a column over its group, interpolated as Spark does, null for no value. The same as
-    percentile() over a window, which would sort a group's values anew for every one of its rows; here ranks find them."""
+    percentile() over a window, by ranks."""
     w = W.partitionBy(*keys)
     out = points.withColumn("_rank", F.row_number().over(w.orderBy(F.col(value).asc_nulls_last()))).withColumn("_count", F.count(value).over(w))
     at = {to: (F.col("_count") - 1) * F.lit(float(share)) for to, share in shares.items()}
