@@ -24,7 +24,8 @@ from ..sources.adapters import event_points
 DAYS, GAP_DAYS = 3.0, 30.0
 #: The Julian date and the milliseconds of a day that `at` counts from.
 EPOCH, DAY_MS = 2440587.5, 86400e3
-_STATE = "waiting_jd array<double>, waiting_seq array<long>, first double, recent array<double>, bin long, n long"
+#: Times and numbers are kept as bytes, which cost the same however many there are.
+_STATE = "waiting_jd binary, waiting_seq binary, first double, recent binary, bin long, n long"
 _OUT = "source_id string, seq long, jd double, n_trailing long, bin long, n_in_bin long"
 
 
@@ -46,31 +47,34 @@ def counted(points: DataFrame, delay: str = "1 day", days: float = DAYS) -> Data
     far, equal times included. The greatest n_in_bin of a bin is its count."""
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        jd, seq, first, recent, bin, n = state.get if state.exists else ([], [], None, [], -1, 0)
-        waiting = list(zip(jd, seq, strict=True))
+        held, held_seq, first, recent, bin, n = state.get if state.exists else (b"", b"", None, b"", -1, 0)
+        jd, seq, recent = [np.frombuffer(held)], [np.frombuffer(held_seq, np.int64)], np.frombuffer(recent)
         if not state.hasTimedOut:
             for batch in batches:
-                waiting += zip(batch["jd"].tolist(), batch["seq"].tolist(), strict=True)
-        waiting.sort()
-        passed = state.getCurrentWatermarkMs()
-        ms = [int(np.floor((t - EPOCH) * DAY_MS)) for t, _ in waiting]
-        go = sum(m <= passed for m in ms)
-        times = np.array([*recent, *(t for t, _ in waiting[:go])])
-        out = []
+                jd.append(batch["jd"].to_numpy(np.float64))
+                seq.append(batch["seq"].to_numpy(np.int64))
+        jd, seq = np.concatenate(jd), np.concatenate(seq)
+        order = np.lexsort((seq, jd))
+        jd, seq = jd[order], seq[order]
+        ms = np.floor((jd - EPOCH) * DAY_MS)
+        go = int(np.count_nonzero(ms <= state.getCurrentWatermarkMs()))
+        out = None
         if go:
-            first = waiting[0][0] if first is None else first
-            own = times[len(recent) :]
+            own = jd[:go]
+            times = np.concatenate([recent, own])
+            first = float(own[0]) if first is None else first
             trailing = np.searchsorted(times, own, side="right") - np.searchsorted(times, own - days, side="left")
             bins = np.floor((own - first) / days).astype(np.int64)
-            for (t, s), k, b, peers in zip(waiting[:go], trailing.tolist(), bins.tolist(), (np.searchsorted(own, own, side="right") - np.searchsorted(bins, bins, side="left")).tolist(), strict=True):
-                out.append((key[0], s, t, k, b, peers + (n if b == bin else 0)))
-            n, bin = out[-1][5], out[-1][4]
-            recent = times[np.searchsorted(times, times[-1] - days, side="left") :].tolist()
-        left = waiting[go:]
-        state.update(([t for t, _ in left], [s for _, s in left], first, list(recent), bin, n))
-        if left:
-            state.setTimeoutTimestamp(ms[go] - 1)  # goes off once the watermark has reached the first that waits
-        yield pd.DataFrame(out, columns=["source_id", "seq", "jd", "n_trailing", "bin", "n_in_bin"])
+            peers = np.searchsorted(own, own, side="right") - np.searchsorted(bins, bins, side="left")
+            peers[bins == bin] += n
+            out = pd.DataFrame({"source_id": [key[0]] * go, "seq": seq[:go], "jd": own, "n_trailing": trailing, "bin": bins, "n_in_bin": peers})
+            n, bin = int(peers[-1]), int(bins[-1])
+            recent = times[np.searchsorted(times, times[-1] - days, side="left") :]
+        state.update((jd[go:].tobytes(), seq[go:].tobytes(), first, recent.tobytes(), bin, n))
+        if go < len(jd):
+            state.setTimeoutTimestamp(int(ms[go]) - 1)  # goes off once the watermark has reached the first that waits
+        if out is not None:  # a table costs a source more than its counts, even an empty one
+            yield out
 
     kept = points.select("source_id", "seq", "jd", "at").withWatermark("at", delay)
     return kept.groupBy("source_id").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

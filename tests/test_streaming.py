@@ -46,3 +46,41 @@ def test_late_points_and_a_restart(spark, tmp_path):
         bins[r["source_id"], r["bin"]] = max(bins.get((r["source_id"], r["bin"]), 0), r["n_in_bin"])
     assert bins == {(r["source_id"], r["bin"]): r["n"] for r in stats.tumbling_counts(points).collect() if r["bin"] < 100}
     assert sorted((r["source_id"], r["start_jd"], r["end_jd"], r["n_obs"]) for r in seasons.collect()) == sorted((r["source_id"], r["start_jd"], r["end_jd"], r["n_obs"]) for r in stats.seasons(points, gap_days=1.5).collect() if r["end_jd"] < 2461000)
+
+
+class State:
+    """A state of a group, as Spark's."""
+
+    def __init__(self, watermark):
+        self.value, self.hasTimedOut, self.watermark = None, False, watermark
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+
+def test_sources_without_results_send_no_table(monkeypatch):
+    """Points that wait make no table, and are kept as bytes; the one that the watermark passes makes one."""
+    import numpy as np
+    import pandas as pd
+
+    class Points:
+        select = withWatermark = groupBy = lambda self, *_: self
+        applyInPandasWithState = lambda self, update, *_: update
+
+    update, state = counts.counted(Points()), State(0)
+    jd = counts.EPOCH + np.array([5.0, 1.0, 2.0, 2.0])
+    assert list(update(("a",), iter([pd.DataFrame({"jd": jd, "seq": [1, 2, 4, 3]})]), state)) == []
+    assert isinstance(state.value[0], bytes) and state.timeout == counts.DAY_MS - 1
+    state.hasTimedOut, state.watermark = True, 3 * counts.DAY_MS
+    (out,) = update(("a",), iter([]), state)
+    assert out.to_dict("list") == {"source_id": ["a"] * 3, "seq": [2, 3, 4], "jd": [jd[1], jd[2], jd[3]], "n_trailing": [1, 3, 3], "bin": [0, 0, 0], "n_in_bin": [1, 3, 3]}
+    assert state.timeout == 5 * counts.DAY_MS - 1
