@@ -1,11 +1,14 @@
-"""LM scoring: a causal self-attention model on subword ids, trained and run in numpy.
+"""LM scoring: a causal self-attention model on ids of words and subwords, trained and run in numpy.
 
-Words are white-space separated, A-Z lower-cased; each is encoded on its own by a public sentencepiece vocabulary, and
-an end closes the text. The model reads windows of CONTEXT + STRIDE ids: the first CONTEXT are context from the window
+Words are white-space separated, A-Z lower-cased. As many of the most frequent ones as 16 bits leave room for are ids of
+their own; any other word is encoded on its own by a public sentencepiece vocabulary, and stands in the line of ids by its
+first piece. An end closes the text. The model reads windows of CONTEXT + STRIDE ids: the first CONTEXT are context from the window
 before, the last STRIDE each predict their next id, so every id is scored once, in batches of masked attention. The
 output layer is factored by superclasses and classes of ids: attention gives both, and counts over all training
-documents the id within its class, smoothed so that every text has a probability. Classes come from neighbour counts
-over all training documents. Every window of every training document takes part in one step of training: documents are
+documents the id within its class, smoothed so that every text has a probability. A word that is spelled has a share of those
+that begin with its first piece: by its own count over all training documents, smoothed (Witten and Bell's way) by the
+probability of its further pieces and end, each of which follows from the piece before by counts.
+Classes come from neighbour counts over all training documents. Every window of every training document takes part in one step of training: documents are
 dealt out to shards of about SHARD_IDS ids by a hash of id and text, in ROUNDS rounds; each shard of a round trains from
 where the round starts, and their changes are averaged. The shards are the same however the input is split, each is trained
 in order of the hash, and sums go over shards in their order, so the model doesn't depend on partitions or tasks.
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, free_name, written
+from .common import dropped, fold, free_name, scratch_dir, written
 
 CONTEXT, STRIDE = 8, 16
 WIDTH, KEY_WIDTH = 32, 16
@@ -49,7 +52,7 @@ SHARD_IDS = 1_000_000
 ROUNDS = ((96, 4e-3), (384, 2e-3), (384, 1e-3))
 #: Shards of the first rounds, as shares of all; the last round has the rest.
 SHARES = (0.05, 0.25)
-#: Sparse rows that tasks send to be summed: 32-bit places, and 64-bit values of each.
+#: Sparse rows that tasks send to be summed: 32-bit places, and 32-bit values of each, which are summed in 64 bits.
 PIECE = "part long, name string, at binary, value binary"
 #: Words in the head that goes to every task, and the bytes of the longest ones.
 HEAD, LONGEST = 65_536, 64
@@ -57,9 +60,11 @@ HEAD, LONGEST = 65_536, 64
 FAN_IN = 16
 #: Windows scored together, and distinct words whose ids a task keeps.
 TOGETHER, MOST_KEPT = 256, 400_000
-BEGIN, END = 1, 2
+UNKNOWN, BEGIN, END = 0, 1, 2
 #: The base score's addition to each count; the same within classes.
 ADD = 0.1
+#: How many counts a piece's share over all words weighs against its share after the piece before.
+BACK = 10
 LN10 = math.log(10)
 
 
@@ -78,48 +83,75 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Subwords:
-    """Ids of words by a sentencepiece model; words and their ids, one after another in an array, stay while there is
-    room."""
+    """A sentencepiece model."""
 
     def __init__(self, model: bytes) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = self.model.get_piece_size()
+
+    def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words on one line, at least one a word, and the number of each word's."""
+        coded = [x or [UNKNOWN] for x in self.model.encode(words, num_threads=1)]
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.int32, n.sum()), n
+
+
+def followers(line: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
+    """What follows each piece of words on one line; end after a word's last."""
+    after = np.append(line[1:], end)
+    after[np.cumsum(n) - 1] = end
+    return after
+
+
+@dataclass
+class Spelled:
+    """Counts of words that are spelled. row: each piece's row in logs, log probabilities of what follows (pieces and, in the last
+    column, the word's end); words: how many begin with each piece; kinds: how many different ones, 1 at least."""
+
+    row: np.ndarray
+    logs: np.ndarray
+    words: np.ndarray
+    kinds: np.ndarray
+
+
+class Spelling:
+    """Of words: their first pieces, and what adds to their counts (log10) and divides these for their shares of the words that
+    begin with the same piece. Words that were met stay while there is room."""
+
+    def __init__(self, model: bytes, counts: Spelled) -> None:
+        self.subwords, self.counts = Subwords(model), counts
         self.clear()
 
     def clear(self) -> None:
         self.kept: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.first, self.prior = np.zeros(0, np.int32), np.zeros(0, np.float32)
 
-    def of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where in `ids` each word's ids start, and their number."""
-        if len(self.kept) > MOST_KEPT or len(self.ids) > 8 * MOST_KEPT:
+    def of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.kept) > MOST_KEPT:
             self.clear()
+        c = self.counts
         if new := [w for w in distinct if w not in self.kept]:
             self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new)), strict=True))
-            coded = self.model.encode(new, num_threads=1)
-            n = np.fromiter(map(len, coded), np.int64, len(coded))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.int32, n.sum())])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+            line, n = self.subwords.pieces(new)
+            starts = np.cumsum(n) - n
+            share = np.add.reduceat(c.logs[c.row[line], followers(line, n, self.subwords.size)], starts, dtype=np.float64) / LN10
+            self.first = np.concatenate([self.first, line[starts]])
+            self.prior = np.concatenate([self.prior, (np.log10(c.kinds[line[starts]]) + share).astype(np.float32)])
         at = np.fromiter(map(self.kept.__getitem__, distinct), np.int64, len(distinct))
-        return self.ends[at], self.ends[at + 1] - self.ends[at]
-
-    def sequences(self, flat: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts, each after a begin and before an end, on one line; and the number of ids of each text."""
-        coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy()
-        starts, lengths = self.of(coded.dictionary.to_pylist())
-        per_word = lengths[codes]
-        at = np.repeat(starts[codes] - (np.cumsum(per_word) - per_word), per_word) + np.arange(per_word.sum())
-        ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(n)])]
-        per_text = np.diff(ends) + 2
-        line = np.empty(per_text.sum(), np.int32)
-        last = np.cumsum(per_text)
-        inner = np.ones(len(line), bool)
-        inner[last - 1] = inner[last - per_text] = False
-        line[inner], line[last - per_text], line[last - 1] = self.ids[at], BEGIN, END
-        return line, per_text
+        first = self.first[at]
+        return first, self.prior[at], c.words[first] + c.kinds[first]
+
+
+def sequences(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts of n ids, each after a begin and before an end, on one line; and the number of ids of each text."""
+    per_text = n + 2
+    line, last = np.empty(per_text.sum(), np.int32), np.cumsum(per_text)
+    inner = np.ones(len(line), bool)
+    inner[last - 1] = inner[last - per_text] = False
+    line[inner], line[last - per_text], line[last - 1] = ids, BEGIN, END
+    return line, per_text
 
 
 def id_type(size: int) -> type:
@@ -171,11 +203,13 @@ ONES = np.ones(CONTEXT + STRIDE, np.float32)
 def class_shares(h: np.ndarray, p: dict[str, np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the superclasses, and of the classes within each row's own superclass; a column for each row of h,
     which come in order of their superclasses and are cut by them."""
-    one, two = p["o1"].T @ h.T, np.empty((SUPER, len(h)), np.float32)
+    one, two = np.ascontiguousarray((h @ p["o1"]).T), np.empty((len(h), SUPER), np.float32)
     one += p["b1"][:, None]
     for g in np.flatnonzero(np.diff(cuts)):
         part = slice(cuts[g], cuts[g + 1])
-        np.add(p["o2"][g].T @ h[part].T, p["b2"][g][:, None], out=two[:, part])
+        np.matmul(h[part], p["o2"][g], out=two[part])
+        two[part] += p["b2"][g]
+    two = np.ascontiguousarray(two.T)
     for z in (one, two):
         z -= z.max(axis=0)
         np.exp(z, out=z)
@@ -249,8 +283,8 @@ def neighbours(line: np.ndarray, per_text: np.ndarray, column: np.ndarray, near:
 
 
 def profiles(near: np.ndarray) -> np.ndarray:
-    """Square roots of neighbour shares."""
-    v = near.astype(np.float32)
+    """Square roots of neighbour shares, in place of counts of 32 bits."""
+    v = near.astype(np.float32, copy=False)
     v[:, :128] /= v[:, :128].sum(axis=1, keepdims=True) + 2
     v[:, 128:] /= v[:, 128:].sum(axis=1, keepdims=True) + 2
     return np.sqrt(v, out=v)
@@ -292,11 +326,13 @@ def classify(near: np.ndarray, counts: np.ndarray, rng: np.random.Generator) ->
 
 
 def summed_by(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct places, the sum of the rows of values at each, and the number of these rows."""
+    """The distinct places, the sum of the rows of values at each, and the number of these rows. Values are summed two by two, as
+    complex numbers: numpy's sums of parts of rows cost by the number, whatever its width."""
     order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 2**16 else at, kind="stable")
     at = at[order]
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[starts], np.add.reduceat(np.take(values, order, axis=0, mode="clip"), starts, axis=0), np.diff(starts, append=len(at))
+    sums = np.add.reduceat(np.take(values, order, axis=0, mode="clip").view(np.complex64), starts, axis=0)
+    return at[starts], sums.view(np.float32), np.diff(starts, append=len(at))
 
 
 class Learner:
@@ -329,7 +365,9 @@ class Learner:
         x = np.take(p["c"], classes, axis=0, mode="clip")
         x += np.take(p["e"], own_rows, axis=0, mode="clip")
         flat, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
-        q, k, v = (own @ (p["q"] * root)).reshape(n_windows, STRIDE, -1), (flat @ p["k"]).reshape(n_windows, CONTEXT + STRIDE, -1), (flat @ p["v"]).reshape(n_windows, CONTEXT + STRIDE, -1)
+        to_past = np.hstack([p["k"], p["v"]])
+        q, past = (own @ (p["q"] * root)).reshape(n_windows, STRIDE, -1), (flat @ to_past).reshape(n_windows, CONTEXT + STRIDE, -1)
+        k, v = past[:, :, :KEY_WIDTH], past[:, :, KEY_WIDTH:]
         w = q @ k.transpose(0, 2, 1)
         w += p["g"][np.maximum(GAP, 0)] + AHEAD
         np.exp(np.minimum(w, 30, out=w), out=w)
@@ -348,23 +386,26 @@ class Learner:
         z1 *= np.float32(1 / len(rows))
         z2 *= np.float32(1 / len(rows))
         g = {"o1": (z1 @ hr).T, "b1": z1.sum(axis=1), "o2": np.zeros_like(p["o2"]), "b2": np.zeros_like(p["b2"])}
-        back = z1.T @ p["o1"].T
+        back, by_row, back_two = z1.T @ p["o1"].T, np.ascontiguousarray(z2.T), np.ascontiguousarray(p["o2"].transpose(0, 2, 1))
         for i in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[i], cuts[i + 1])
             g["o2"][i], g["b2"][i] = (z2[:, part] @ hr[part]).T, z2[:, part].sum(axis=1)
-            back[part] += z2[:, part].T @ p["o2"][i].T
+            back[part] += by_row[part] @ back_two[i]
         dh = np.zeros((n_windows * STRIDE, WIDTH), np.float32)
         dh[rows] = back
         dh = dh.reshape(n_windows, STRIDE, WIDTH)
-        dv = (w.transpose(0, 2, 1) @ dh).reshape(-1, WIDTH)
+        d_past = np.empty_like(past)
+        np.matmul(w.transpose(0, 2, 1), dh, out=d_past[:, :, KEY_WIDTH:])
         ds = dh @ v.transpose(0, 2, 1)
         ds -= ((ds * w) @ ONES)[:, :, None]
         ds *= w
         g["g"] = np.bincount(np.maximum(GAP, 0).ravel(), ds.reshape(n_windows, -1).sum(axis=0), CONTEXT + STRIDE).astype(np.float32)
-        dq, dk = (ds @ k).reshape(-1, KEY_WIDTH) * root, (ds.transpose(0, 2, 1) @ q).reshape(-1, KEY_WIDTH)
-        g["q"], g["k"], g["v"] = own.T @ dq, flat.T @ dk, flat.T @ dv
-        dx = dk @ p["k"].T
-        dx += dv @ p["v"].T
+        dq = (ds @ k).reshape(-1, KEY_WIDTH) * root
+        np.matmul(ds.transpose(0, 2, 1), q, out=d_past[:, :, :KEY_WIDTH])
+        d_past = d_past.reshape(-1, KEY_WIDTH + WIDTH)
+        g["q"], d_to_past = own.T @ dq, flat.T @ d_past
+        g["k"], g["v"] = d_to_past[:, :KEY_WIDTH], d_to_past[:, KEY_WIDTH:]
+        dx = d_past @ np.ascontiguousarray(to_past.T)
         dh += (dq @ p["q"].T).reshape(dh.shape)
         dx.reshape(x.shape)[:, CONTEXT:] += dh
         used = np.flatnonzero(there)
@@ -372,13 +413,21 @@ class Learner:
         np.add.at(self.seen, self.own_row[distinct], n)
         touched = {"c": summed_by(self.classes[distinct], dx)[:2], "e": (self.own_row[distinct][has := self.own_row[distinct] > 0], dx[has])}
         self.steps += 1
-        rate, fresh = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
+        rate, fresh = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / math.sqrt(1 - 0.99**self.steps))
         for name, x in p.items():
             which, grad = touched.get(name, (None, g.get(name)))
-            m, v2 = ((t if which is None else t[which]) for t in self.moments[name])
-            m += np.float32(0.1) * (grad - m)
-            v2 += np.float32(0.01) * (grad * grad - v2)
-            change = rate * m / (np.sqrt(v2 * fresh) + np.float32(1e-7))
+            m, v2 = ((t if which is None else np.take(t, which, axis=0, mode="clip")) for t in self.moments[name])
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * grad
+            v2 *= np.float32(0.99)
+            grad = grad * grad
+            grad *= np.float32(0.01)
+            v2 += grad
+            change = np.sqrt(v2)
+            change *= fresh
+            change += np.float32(1e-7)
+            np.divide(m, change, out=change)
+            change *= rate
             if which is None:
                 x -= change
             else:
@@ -419,11 +468,11 @@ def added(pieces: DataFrame, parts: int) -> DataFrame:
     def add(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")  # sums don't depend on the order of arrival
         at, n = np.concatenate([np.frombuffer(x, np.int32) for x in group["at"]]), [len(x) // 4 for x in group["at"]]
-        value = np.concatenate([np.frombuffer(x, np.float64).reshape(k, -1) for x, k in zip(group["value"], n, strict=True)])
+        value = np.concatenate([np.frombuffer(x, np.float32).reshape(k, -1) for x, k in zip(group["value"], n, strict=True)])
         order = np.argsort(at, kind="stable")
         at = at[order]
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        total = np.add.reduceat(value[order], starts, axis=0)
+        total = np.add.reduceat(value[order], starts, axis=0, dtype=np.float64).astype(np.float32)
         return pd.DataFrame({"part": [group["part"].iloc[0] // FAN_IN], "name": [group["name"].iloc[0]], "at": [at[starts].tobytes()], "value": [total.tobytes()]})
 
     while True:
@@ -450,12 +499,12 @@ def neighbour_counts(ids: DataFrame, counts: np.ndarray) -> np.ndarray:
 
     near = np.zeros(len(counts) * 256, np.float32)
     for r in added(ids.select("ids").mapInArrow(count, PIECE), ids.rdd.getNumPartitions()).toLocalIterator():
-        near[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float64)
+        near[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
     return near.reshape(-1, 256)
 
 
 def piece(part: int, name: str, at: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([value.astype(np.float64).tobytes()], pa.binary())], names=["part", "name", "at", "value"])
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([value.astype(np.float32).tobytes()], pa.binary())], names=["part", "name", "at", "value"])
 
 
 def changes(own: Learner, begun: dict[str, np.ndarray], shard: int, n: int) -> Iterator[pa.RecordBatch]:
@@ -527,10 +576,13 @@ def learnt_from_all(learner: Learner, ids: DataFrame, n_ids: float, shard_ids: i
     for i, ((first, after), (many, rate)) in enumerate(zip(cuts, ROUNDS, strict=True)):
         mine = dealt.where((F.col("shard") >= first) & (F.col("shard") < after))
         sorted_shards = mine.repartition(max(1, min(after - first, 4096)), "shard").sortWithinPartitions("shard", "h", "ids")
-        pieces = written(sorted_shards.mapInArrow(learn_from(1000 * i, many, rate, learner), PIECE))
+        path = scratch_dir(ids.sparkSession)
+        sorted_shards.mapInArrow(learn_from(1000 * i, many, rate, learner), PIECE).write.parquet(path)
+        pieces = ids.sparkSession.read.schema(PIECE).parquet(path)
         for r in added(pieces.withColumn("part", F.col("part") - first), after - first).toLocalIterator():
             at = np.frombuffer(r["at"], np.int32)
-            apply(learner.p, r["name"], at, np.frombuffer(r["value"], np.float64).reshape(len(at), -1))
+            apply(learner.p, r["name"], at, np.frombuffer(r["value"], np.float32).reshape(len(at), -1))
+        dropped(ids.sparkSession, path)
     return learner
 
 
@@ -563,11 +615,43 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
     return totals
 
 
+def spelled(words: DataFrame, whole: pa.Array, model: bytes) -> Spelled:
+    """By all words (columns word and n) that aren't whole ids. The most frequent pieces have a row each, the others share one."""
+    size = Subwords(model).size
+    ends, begins, kinds = size, size + 1, size + 2  # what stands in the column `after` apart from pieces
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = Subwords(model)
+        for b in batches:
+            b = b.filter(pc.invert(pc.is_in(b.column(0), value_set=whole)))
+            if b.num_rows:
+                line, n = subwords.pieces(b.column(0).to_numpy(zero_copy_only=False).tolist())
+                first, times = line[np.cumsum(n) - n], b.column(1).to_numpy()
+                piece = np.concatenate([line, first, first]).astype(np.int64)
+                after = np.concatenate([followers(line, n, ends), np.full(len(n), begins), np.full(len(n), kinds)])
+                pair, at = np.unique(piece * (size + 3) + after, return_inverse=True)
+                n = np.bincount(at, np.concatenate([np.repeat(times, n), times, np.ones(len(n))])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair // (size + 3)), pa.array(pair % (size + 3)), pa.array(n)], names=["piece", "after", "n"])
+
+    pairs = written(words.mapInArrow(count, "piece long, after long, n long").groupBy("piece", "after").agg(F.sum("n").alias("n")))
+    by_piece = np.zeros((3, size))
+    what = F.when(F.col("after") <= ends, 0).otherwise(F.col("after") - ends)
+    for r in pairs.groupBy("piece", what.alias("what")).agg(F.sum("n").alias("n")).collect():
+        by_piece[r["what"], r["piece"]] = r["n"]
+    row, table = neighbour_columns(by_piece[0]), np.zeros((128, size + 1))
+    alone = F.when(F.col("piece").isin([int(i) for i in np.flatnonzero(row < 127)]), F.col("piece"))
+    for r in pairs.where(F.col("after") <= ends).groupBy(alone.alias("piece"), "after").agg(F.sum("n").alias("n")).toLocalIterator():
+        table[127 if r["piece"] is None else row[r["piece"]], r["after"]] = r["n"]
+    share = table.sum(axis=0) + ADD
+    table += BACK * share / share.sum()
+    table /= table.sum(axis=1, keepdims=True)
+    return Spelled(row, np.log(table, out=table).astype(np.float32), by_piece[1], np.maximum(by_piece[2], 1))
+
+
 def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows whose column `held_out`
     is true are not learnt from."""
     proto = Path(model_path).read_bytes()
-    size = Subwords(proto).size
     training = docs.where(~F.col(held_out))
     words = written(word_counts(training, text))
     n_docs = training.count()
@@ -576,13 +660,18 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
     head = {r["word"]: r["n"] for r in words.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(HEAD).collect()}
     log_all = math.log10(train_tokens + ADD * (v + 1))
     log_end = math.log10(n_docs + ADD)
-    head_words, head_logs = pa.array(head, pa.large_string()), np.log10(np.array([*head.values(), 0]) + ADD)
+    head_words, head_counts = pa.array(head, pa.large_string()), np.array([*head.values(), 0])
+    head_logs = np.log10(head_counts + ADD)
     del head
+    pieces = Subwords(proto).size
+    n_whole = min(len(head_words), max(0, 2**16 - pieces))
+    size = pieces + n_whole
+    spelled_counts = spelled(words, head_words.slice(0, n_whole).cast(pa.string()), proto)
     kind = docs.schema[key].dataType.simpleString()
-    names = ["row", key, "held_out", "n_tokens", "n_head", "head_sum", "h", "tail", "ids"]
+    names = ["row", key, "held_out", "n_tokens", "n_head", "head_sum", "spelled", "h", "tail", "ids"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, row = Subwords(proto), TaskContext.get().partitionId() << 40
+        spelling, row = Spelling(proto, spelled_counts), TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -591,16 +680,25 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
                 owner, there = np.repeat(np.arange(len(n)), n), place >= 0
                 known = np.bincount(owner[there], minlength=len(n))
                 sums = np.bincount(owner[there], head_logs[place[there]], len(n)).astype(float)  # of nothing it gives whole numbers
+                parts = np.flatnonzero(~there | (place >= n_whole))
+                coded = flat.take(pa.array(parts)).dictionary_encode()
+                first, prior, among = (x[coded.indices.to_numpy()] for x in spelling.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+                line = place + pieces
+                line[parts] = first
+                value, beyond = -np.log10(among), place[parts] < 0  # of words beyond the head, the join to their counts adds the rest
+                value[~beyond] += np.log10(head_counts[place[parts[~beyond]]] + 10.0 ** prior[~beyond])
+                spelt = np.bincount(owner[parts], value, len(n)).astype(float)
                 ends = np.concatenate([[0], np.cumsum(n - known)])
-                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(~there)).cast(pa.string()))
-                ids = stored(*subwords.sequences(flat, n), size)
-                cols = [pa.array(row + np.arange(len(n))), b.column(0), b.column(2), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), b.column(3), tail, ids]
+                words_beyond = pa.StructArray.from_arrays([flat.take(pa.array(parts[beyond])).cast(pa.string()), pa.array(prior[beyond])], names=["word", "prior"])
+                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words_beyond)
+                ids = stored(*sequences(line, n), size)
+                cols = [pa.array(row + np.arange(len(n))), b.column(0), b.column(2), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(spelt), b.column(3), tail, ids]
                 row += len(n)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    counted = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_head long, head_sum double"
+    counted = f"row long, `{key}` {kind}, held_out boolean, n_tokens long, n_head long, head_sum double, spelled double"
     texts = docs.select(key, text, F.col(held_out), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    coded = written(texts.mapInArrow(read, f"{counted}, h long, tail array<string>, ids binary"))
+    coded = written(texts.mapInArrow(read, f"{counted}, h long, tail array<struct<word: string, prior: float>>, ids binary"))
     known = coded.where("not held_out")
     counts = id_counts(known, size)
     learner = beginning(counts, neighbour_counts(known, counts))
@@ -611,16 +709,16 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                scores = model.score(*read_back(b.column(b.num_columns - 1), size))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], names=[*names[:6], "score"])
+                scores = model.score(*read_back(b.column(b.num_columns - 1), size)) + b.column(6).to_numpy()
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores)], names=[*names[:7], "score"])
 
-    scored = coded.select(*names[:6], "ids").mapInArrow(score, f"{counted}, score double")
-    rest = coded.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
-    rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("tail_sum"), F.count("n").alias("n_tail"))
+    scored = coded.select(*names[:7], "ids").mapInArrow(score, f"{counted}, score double")
+    rest = coded.select("row", F.inline("tail")).join(words, "word", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("tail_sum"), F.count("n").alias("n_tail"), F.sum(F.when(F.col("n").isNull(), F.col("prior")).otherwise(F.log10(F.col("n") + F.pow(F.lit(10.0), F.col("prior"))))).alias("tail_spelled"))
     whole = scored.join(rest, "row", "left")
     base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) + F.lit(log_end) - F.col("n_tokens") * F.lit(log_all)
     n_known = F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + F.lit(int(n_docs > 0))
-    return whole.select(key, "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return whole.select(key, "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("tail_spelled", F.lit(0.0))).alias("score"))
 
 
 def scored_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -436,3 +436,34 @@ def test_shares_of_a_small_vocabulary_sum_to_one():
     model, line = learner.model(), rng.integers(0, 300, 30)
     whole = [model.score(np.append(line, i), np.array([31]))[0] for i in range(300)]
     assert sum(10.0 ** (x - model.score(line, np.array([30]))[0]) for x in whole) == pytest.approx(1, abs=1e-4)
+
+
+def test_spelled_words_share_what_begins_alike(spark):
+    """Shares of words by counts and a loop over pieces; a word is one id, however many pieces it has, and whole words have none."""
+    from pathlib import Path
+
+    import numpy as np
+    import pyarrow as pa
+
+    proto = Path(registry.tokenizer_path()).read_bytes()
+    words = {"whole": 9, "thhaoronnd": 3, "thhaor": 2, "leéonbeungkeit": 5, "zzz%%%": 1}
+    counts = lm_scoring.spelled(spark.createDataFrame(list(words.items()), "word string, n long").repartition(3), pa.array(["whole"]), proto)
+    model = lm_scoring.Subwords(proto).model
+    pieces, pairs, begins = {w: model.encode(w) for w in [*words, "thlenew"]}, {}, {}
+    for w in list(words)[1:]:
+        for a, b in zip(pieces[w], [*pieces[w][1:], len(counts.row)], strict=True):
+            pairs[a, b] = pairs.get((a, b), 0) + words[w]
+        begins.setdefault(pieces[w][0], []).append(words[w])
+    after = np.full(len(counts.row) + 1, lm_scoring.ADD)
+    for (_, b), n in pairs.items():
+        after[b] += n
+    after *= lm_scoring.BACK / after.sum()
+    first, prior, among = lm_scoring.Spelling(proto, counts).of(list(pieces))
+    assert np.allclose(np.exp(counts.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
+    for i, w in enumerate(pieces):
+        share, own = 1.0, begins.get(pieces[w][0], [])
+        for a, b in zip(pieces[w], [*pieces[w][1:], len(counts.row)], strict=True):
+            row = sum(n for (x, _), n in pairs.items() if x == a)
+            share *= (pairs.get((a, b), 0) + after[b]) / (row + lm_scoring.BACK)
+        assert first[i] == pieces[w][0] and among[i] == sum(own) + max(1, len(own))
+        assert prior[i] == pytest.approx(np.log10(max(1, len(own)) * share), abs=1e-4), w
