@@ -28,7 +28,7 @@ import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -58,8 +58,11 @@ PIECE = "part long, name string, at binary, value binary"
 HEAD, LONGEST = 65_536, 64
 #: Pieces that are summed at once.
 FAN_IN = 16
-#: Windows scored together, and distinct words whose ids a task keeps.
-TOGETHER, MOST_KEPT = 256, 400_000
+#: Windows scored together, and windows of a step that are worked through together: few enough for their arrays to stay in the
+#: cache and in memory that the process keeps, so no parameter of the model depends on them but by single precision.
+TOGETHER, BLOCK = 256, 128
+#: Distinct words whose ids a task keeps.
+MOST_KEPT = 400_000
 UNKNOWN, BEGIN, END = 0, 1, 2
 #: The base score's addition to each count; the same within classes.
 ADD = 0.1
@@ -132,14 +135,16 @@ class Spelling:
         if len(self.kept) > MOST_KEPT:
             self.clear()
         c = self.counts
-        if new := [w for w in distinct if w not in self.kept]:
-            self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new)), strict=True))
+        at = np.fromiter(map(self.kept.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(unmet := np.flatnonzero(at < 0)):
+            new = [distinct[i] for i in unmet.tolist()]
+            at[unmet] = np.arange(len(self.kept), len(self.kept) + len(new))
+            self.kept.update(zip(new, at[unmet].tolist(), strict=True))
             line, n = self.subwords.pieces(new)
             starts = np.cumsum(n) - n
             share = np.add.reduceat(c.logs[c.row[line], followers(line, n, self.subwords.size)], starts, dtype=np.float64) / LN10
             self.first = np.concatenate([self.first, line[starts]])
             self.prior = np.concatenate([self.prior, (np.log10(c.kinds[line[starts]]) + share).astype(np.float32)])
-        at = np.fromiter(map(self.kept.__getitem__, distinct), np.int64, len(distinct))
         first = self.first[at]
         return first, self.prior[at], c.words[first] + c.kinds[first]
 
@@ -190,7 +195,9 @@ def window_ids(line: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.
     there = (at >= first[:, None]) & (at < last[:, None])
     ahead = start[:, None] + np.arange(1, STRIDE + 1)
     to_score = ahead <= last[:, None]
-    return line[np.where(there, at, 0)], there, line[np.where(to_score, ahead, 0)], to_score
+    at *= there
+    ahead *= to_score
+    return np.take(line, at), there, np.take(line, ahead), to_score
 
 
 #: Distance from each predicting id to each id of its window, and where it would look ahead.
@@ -200,18 +207,24 @@ AHEAD = np.where(GAP < 0, np.float32(-np.inf), np.float32(0))
 ONES = np.ones(CONTEXT + STRIDE, np.float32)
 
 
-def class_shares(h: np.ndarray, p: dict[str, np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the superclasses, and of the classes within each row's own superclass; a column for each row of h,
-    which come in order of their superclasses and are cut by them."""
-    one, two = np.ascontiguousarray((h @ p["o1"]).T), np.empty((len(h), SUPER), np.float32)
+def class_inputs(h: np.ndarray, p: dict[str, np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log shares, but for sums, of the superclasses, and of the classes within each row's own superclass; a column for each row
+    of h, which come in order of their superclasses and are cut by them. The largest of a column is 0."""
+    one, two = p["o1"].T @ h.T, np.empty((SUPER, len(h)), np.float32)
     one += p["b1"][:, None]
     for g in np.flatnonzero(np.diff(cuts)):
         part = slice(cuts[g], cuts[g + 1])
-        np.matmul(h[part], p["o2"][g], out=two[part])
-        two[part] += p["b2"][g]
-    two = np.ascontiguousarray(two.T)
+        np.matmul(p["o2"][g].T, h[part].T, out=two[:, part])
+    two += np.repeat(p["b2"].T, np.diff(cuts), axis=1)
     for z in (one, two):
         z -= z.max(axis=0)
+    return one, two
+
+
+def class_shares(h: np.ndarray, p: dict[str, np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares by class_inputs."""
+    one, two = class_inputs(h, p, cuts)
+    for z in (one, two):
         np.exp(z, out=z)
         z /= z.sum(axis=0)
     return one, two
@@ -259,9 +272,10 @@ class Model:
             rows = np.flatnonzero(to_score)
             target = after.ravel()[rows]
             order, sup, sub, cuts = by_superclass(self.classes[target])
-            one, two = class_shares(np.take(attended.reshape(-1, WIDTH), rows[order], axis=0, mode="clip"), self.out, cuts)
-            at = np.arange(len(rows))
-            value = np.log(one[sup, at]) + np.log(two[sub, at]) + self.within[target[order]]
+            value, at = self.within[target[order]], np.arange(len(rows))
+            for z, own_class in zip(class_inputs(np.take(attended.reshape(-1, WIDTH), rows[order], axis=0, mode="clip"), self.out, cuts), (sup, sub), strict=True):
+                value += z[own_class, at]
+                value -= np.log(np.exp(z, out=z).sum(axis=0))
             totals += np.bincount(np.repeat(text[s], STRIDE)[rows[order]], value, len(per_text))
         return totals / LN10
 
@@ -277,9 +291,12 @@ def neighbours(line: np.ndarray, per_text: np.ndarray, column: np.ndarray, near:
     """Adds, for each id of the texts, what stands before it (columns 0 to 127) and after it (128 to 255)."""
     inside = np.ones(len(line), bool)
     inside[np.cumsum(per_text) - per_text] = False  # no pair goes from a text to the next
-    before, after = line[np.flatnonzero(inside) - 1].astype(np.int64), line[inside].astype(np.int64)
-    np.add.at(near.reshape(-1), after * 256 + column[before], 1)
-    np.add.at(near.reshape(-1), before * 256 + 128 + column[after], 1)
+    at = np.flatnonzero(inside)
+    before, after = line[at - 1].astype(np.int64), line[at].astype(np.int64)
+    places = np.concatenate([after * 256 + column[before], before * 256 + 128 + column[after]])
+    places = np.sort(places.astype(np.int32) if near.size < 2**31 else places)  # adding once at each place is faster than pair by pair
+    starts = np.flatnonzero(np.diff(places, prepend=-1))
+    near.reshape(-1)[places[starts]] += np.diff(starts, append=len(places)).astype(near.dtype)
 
 
 def profiles(near: np.ndarray) -> np.ndarray:
@@ -325,14 +342,24 @@ def classify(near: np.ndarray, counts: np.ndarray, rng: np.random.Generator) ->
     return place[classes]
 
 
-def summed_by(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct places, the sum of the rows of values at each, and the number of these rows. Values are summed two by two, as
-    complex numbers: numpy's sums of parts of rows cost by the number, whatever its width."""
+def ordered(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of places, where each distinct one starts in it, and how often it stands there."""
     order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 2**16 else at, kind="stable")
     at = at[order]
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    sums = np.add.reduceat(np.take(values, order, axis=0, mode="clip").view(np.complex64), starts, axis=0)
-    return at[starts], sums.view(np.float32), np.diff(starts, append=len(at))
+    return order, starts, np.diff(starts, append=len(at))
+
+
+def summed(values: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of rows of values from each start to the next. Values are summed two by two, as complex numbers: numpy's sums of
+    parts of rows cost by the number of rows."""
+    return np.add.reduceat(np.take(values, rows, axis=0, mode="clip").view(np.complex64), starts, axis=0).view(np.float32)
+
+
+def summed_by(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places and the sum of the rows of values at each."""
+    order, starts, _ = ordered(at)
+    return at[order[starts]], summed(values, order, starts)
 
 
 class Learner:
@@ -360,58 +387,18 @@ class Learner:
         self.seen = np.zeros(len(self.p["e"]), np.int64)
 
     def step(self, ids: np.ndarray, there: np.ndarray, after: np.ndarray, to_score: np.ndarray, rate: float) -> None:
-        p, root, n_windows = self.p, np.float32(1 / math.sqrt(KEY_WIDTH)), len(ids)
-        classes, own_rows = self.classes[ids], self.own_row[ids]
-        x = np.take(p["c"], classes, axis=0, mode="clip")
-        x += np.take(p["e"], own_rows, axis=0, mode="clip")
-        flat, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, WIDTH)
-        to_past = np.hstack([p["k"], p["v"]])
-        q, past = (own @ (p["q"] * root)).reshape(n_windows, STRIDE, -1), (flat @ to_past).reshape(n_windows, CONTEXT + STRIDE, -1)
-        k, v = past[:, :, :KEY_WIDTH], past[:, :, KEY_WIDTH:]
-        w = q @ k.transpose(0, 2, 1)
-        w += p["g"][np.maximum(GAP, 0)] + AHEAD
-        np.exp(np.minimum(w, 30, out=w), out=w)
-        w *= there[:, None, :]
-        w /= (w @ ONES + np.float32(1e-20))[:, :, None]
-        h = w @ v
-        h += own.reshape(h.shape)
-        rows = np.flatnonzero(to_score)
-        order, sup, sub, cuts = by_superclass(self.classes[after.ravel()[rows]])
-        rows = rows[order]
-        hr = np.take(h.reshape(-1, WIDTH), rows, axis=0, mode="clip")
-        z1, z2 = class_shares(hr, p, cuts)
-        at = np.arange(len(rows))
-        z1[sup, at] -= 1
-        z2[sub, at] -= 1
-        z1 *= np.float32(1 / len(rows))
-        z2 *= np.float32(1 / len(rows))
-        g = {"o1": (z1 @ hr).T, "b1": z1.sum(axis=1), "o2": np.zeros_like(p["o2"]), "b2": np.zeros_like(p["b2"])}
-        back, by_row, back_two = z1.T @ p["o1"].T, np.ascontiguousarray(z2.T), np.ascontiguousarray(p["o2"].transpose(0, 2, 1))
-        for i in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[i], cuts[i + 1])
-            g["o2"][i], g["b2"][i] = (z2[:, part] @ hr[part]).T, z2[:, part].sum(axis=1)
-            back[part] += by_row[part] @ back_two[i]
-        dh = np.zeros((n_windows * STRIDE, WIDTH), np.float32)
-        dh[rows] = back
-        dh = dh.reshape(n_windows, STRIDE, WIDTH)
-        d_past = np.empty_like(past)
-        np.matmul(w.transpose(0, 2, 1), dh, out=d_past[:, :, KEY_WIDTH:])
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= ((ds * w) @ ONES)[:, :, None]
-        ds *= w
-        g["g"] = np.bincount(np.maximum(GAP, 0).ravel(), ds.reshape(n_windows, -1).sum(axis=0), CONTEXT + STRIDE).astype(np.float32)
-        dq = (ds @ k).reshape(-1, KEY_WIDTH) * root
-        np.matmul(ds.transpose(0, 2, 1), q, out=d_past[:, :, :KEY_WIDTH])
-        d_past = d_past.reshape(-1, KEY_WIDTH + WIDTH)
-        g["q"], d_to_past = own.T @ dq, flat.T @ d_past
-        g["k"], g["v"] = d_to_past[:, :KEY_WIDTH], d_to_past[:, KEY_WIDTH:]
-        dx = d_past @ np.ascontiguousarray(to_past.T)
-        dh += (dq @ p["q"].T).reshape(dh.shape)
-        dx.reshape(x.shape)[:, CONTEXT:] += dh
-        used = np.flatnonzero(there)
-        distinct, dx, n = summed_by(np.take(ids, used), np.take(dx, used, axis=0, mode="clip"))
-        np.add.at(self.seen, self.own_row[distinct], n)
-        touched = {"c": summed_by(self.classes[distinct], dx)[:2], "e": (self.own_row[distinct][has := self.own_row[distinct] > 0], dx[has])}
+        p, share = self.p, np.float32(1 / np.count_nonzero(to_score))
+        g: dict[str, np.ndarray] = {}
+        at, dx = [], []
+        for a in range(0, len(ids), BLOCK):
+            s = slice(a, a + BLOCK)
+            own, *by_id = self.slopes(ids[s], there[s], after[s], to_score[s], share)
+            for name, grad in own.items():
+                g[name] = g[name] + grad if a else grad
+            at.append(by_id[0])
+            dx.append(by_id[1])
+        distinct, dx = summed_by(np.concatenate(at), np.concatenate(dx))
+        touched = {"c": summed_by(self.classes[distinct], dx), "e": (self.own_row[distinct][has := self.own_row[distinct] > 0], dx[has])}
         self.steps += 1
         rate, fresh = np.float32(rate / (1 - 0.9**self.steps)), np.float32(1 / math.sqrt(1 - 0.99**self.steps))
         for name, x in p.items():
@@ -434,6 +421,67 @@ class Learner:
                 self.moments[name][0][which], self.moments[name][1][which] = m, v2
                 x[which] -= change
 
+    def slopes(self, ids: np.ndarray, there: np.ndarray, after: np.ndarray, to_score: np.ndarray, share: np.float32) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Slopes of some windows' share of a step's loss: by parameter; and distinct ids and those by their inputs. What depends on an
+        id alone is worked out once for each distinct one, forth and back."""
+        p, root, n_windows, kv = self.p, np.float32(1 / math.sqrt(KEY_WIDTH)), len(ids), KEY_WIDTH + WIDTH
+        used = np.flatnonzero(there)
+        order, starts, n = ordered(np.take(ids, used))
+        used = used[order]
+        distinct, owner = np.take(ids, used[starts]), np.repeat(np.arange(len(n)), n)
+        at = np.zeros(ids.shape, np.int64)
+        np.put(at, used, owner)
+        x = np.take(p["c"], self.classes[distinct], axis=0, mode="clip")
+        x += np.take(p["e"], self.own_row[distinct], axis=0, mode="clip")
+        to_all = np.hstack([p["k"], p["v"], p["q"] * root])
+        by_id = x @ to_all
+        past, own = np.take(by_id[:, :kv], at, axis=0, mode="clip"), np.take(np.hstack([by_id[:, kv:], x]), at[:, CONTEXT:], axis=0, mode="clip")
+        q, k, v = own[:, :, :KEY_WIDTH], past[:, :, :KEY_WIDTH], past[:, :, KEY_WIDTH:]
+        w = q @ k.transpose(0, 2, 1)
+        w += p["g"][np.maximum(GAP, 0)] + AHEAD
+        np.exp(np.minimum(w, 30, out=w), out=w)
+        w *= there[:, None, :]
+        w /= (w @ ONES + np.float32(1e-20))[:, :, None]
+        h = w @ v
+        h += own[:, :, KEY_WIDTH:]
+        rows = np.flatnonzero(to_score)
+        order, sup, sub, cuts = by_superclass(self.classes[np.take(after, rows)])
+        rows = rows[order]
+        hr = np.take(h.reshape(-1, WIDTH), rows, axis=0, mode="clip")
+        z1, z2 = class_shares(hr, p, cuts)
+        places = np.arange(len(rows))
+        z1[sup, places] -= 1
+        z2[sub, places] -= 1
+        z1 *= share
+        z2 *= share
+        g = {"o1": (z1 @ hr).T, "b1": z1.sum(axis=1), "o2": np.zeros_like(p["o2"]), "b2": np.zeros_like(p["b2"])}
+        back = z1.T @ p["o1"].T
+        met = np.flatnonzero(np.diff(cuts))
+        g["b2"][met] = np.add.reduceat(z2, cuts[met], axis=1).T
+        for i in met:
+            part = slice(cuts[i], cuts[i + 1])
+            g["o2"][i] = (z2[:, part] @ hr[part]).T
+            back[part] += z2[:, part].T @ p["o2"][i].T
+        d_past, dh = np.empty_like(past), np.zeros((n_windows * STRIDE, WIDTH), np.float32)
+        dh[rows] = back
+        dh = dh.reshape(h.shape)
+        np.matmul(w.transpose(0, 2, 1), dh, out=d_past[:, :, KEY_WIDTH:])
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= ((ds * w) @ ONES)[:, :, None]
+        ds *= w
+        g["g"] = np.bincount(np.maximum(GAP, 0).ravel(), ds.reshape(n_windows, -1).sum(axis=0), CONTEXT + STRIDE).astype(np.float32)
+        dq = (ds @ k).reshape(-1, KEY_WIDTH)
+        np.matmul(ds.transpose(0, 2, 1), q, out=d_past[:, :, :KEY_WIDTH])
+        d_past = d_past.reshape(-1, kv)
+        flat, own_x = np.take(x, at.ravel(), axis=0, mode="clip"), own[:, :, KEY_WIDTH:].reshape(-1, WIDTH)
+        d_to_past = flat.T @ d_past
+        g["k"], g["v"], g["q"] = d_to_past[:, :KEY_WIDTH], d_to_past[:, KEY_WIDTH:], own_x.T @ dq * root
+        dx = d_past @ to_all[:, :kv].T
+        dh += (dq @ to_all[:, kv:].T).reshape(dh.shape)
+        dx.reshape(n_windows, -1, WIDTH)[:, CONTEXT:] += dh
+        np.add.at(self.seen, self.own_row[distinct], n)
+        return g, distinct, summed(dx, used, starts)
+
     def model(self) -> Model:
         p, root = self.p, np.float32(1 / math.sqrt(KEY_WIDTH))
         distinct, rows = np.unique(np.stack([self.classes, self.own_row], axis=1), axis=0, return_inverse=True)
@@ -615,6 +663,14 @@ def id_counts(ids: DataFrame, size: int) -> np.ndarray:
     return totals
 
 
+def whole_counts(spelled_counts: Spelled, head_counts: np.ndarray, n_docs: int) -> np.ndarray:
+    """How often each id stands in the sequences, as id_counts gives it, from counts of words: whole ones, and those that begin with a piece."""
+    counts = np.concatenate([spelled_counts.words, head_counts]).astype(float)
+    counts[END] += n_docs
+    counts[BEGIN] = 0
+    return counts
+
+
 def spelled(words: DataFrame, whole: pa.Array, model: bytes) -> Spelled:
     """By all words (columns word and n) that aren't whole ids. The most frequent pieces have a row each, the others share one."""
     size = Subwords(model).size
@@ -667,6 +723,7 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
     n_whole = min(len(head_words), max(0, 2**16 - pieces))
     size = pieces + n_whole
     spelled_counts = spelled(words, head_words.slice(0, n_whole).cast(pa.string()), proto)
+    head_spelled = Spelling(proto, spelled_counts).of(head_words.slice(n_whole).to_pylist())
     kind = docs.schema[key].dataType.simpleString()
     names = ["row", key, "held_out", "n_tokens", "n_head", "head_sum", "spelled", "h", "tail", "ids"]
 
@@ -681,11 +738,15 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
                 known = np.bincount(owner[there], minlength=len(n))
                 sums = np.bincount(owner[there], head_logs[place[there]], len(n)).astype(float)  # of nothing it gives whole numbers
                 parts = np.flatnonzero(~there | (place >= n_whole))
-                coded = flat.take(pa.array(parts)).dictionary_encode()
-                first, prior, among = (x[coded.indices.to_numpy()] for x in spelling.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+                beyond = place[parts] < 0
+                coded = flat.take(pa.array(parts[beyond])).dictionary_encode()
+                in_head, met = place[parts] - n_whole, spelling.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+                first, prior, among = (np.empty(len(parts), x.dtype) for x in met)
+                for x, of_head, of_met in zip((first, prior, among), head_spelled, met, strict=True):
+                    x[beyond], x[~beyond] = of_met[coded.indices.to_numpy()], of_head[in_head[~beyond]]
                 line = place + pieces
                 line[parts] = first
-                value, beyond = -np.log10(among), place[parts] < 0  # of words beyond the head, the join to their counts adds the rest
+                value = -np.log10(among)  # of words beyond the head, the join to their counts adds the rest
                 value[~beyond] += np.log10(head_counts[place[parts[~beyond]]] + 10.0 ** prior[~beyond])
                 spelt = np.bincount(owner[parts], value, len(n)).astype(float)
                 ends = np.concatenate([[0], np.cumsum(n - known)])
@@ -700,7 +761,7 @@ def lm_scores(docs: DataFrame, model_path: str, held_out: str, key: str = "doc_i
     texts = docs.select(key, text, F.col(held_out), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).alias("h"))
     coded = written(texts.mapInArrow(read, f"{counted}, h long, tail array<struct<word: string, prior: float>>, ids binary"))
     known = coded.where("not held_out")
-    counts = id_counts(known, size)
+    counts = whole_counts(spelled_counts, head_counts[:n_whole], n_docs)
     learner = beginning(counts, neighbour_counts(known, counts))
     model = learnt_from_all(learner, known, counts.sum()).model()
     del learner

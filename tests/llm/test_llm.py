@@ -467,3 +467,46 @@ def test_spelled_words_share_what_begins_alike(spark):
             share *= (pairs.get((a, b), 0) + after[b]) / (row + lm_scoring.BACK)
         assert first[i] == pieces[w][0] and among[i] == sum(own) + max(1, len(own))
         assert prior[i] == pytest.approx(np.log10(max(1, len(own)) * share), abs=1e-4), w
+
+
+def test_a_step_is_the_same_in_blocks(monkeypatch):
+    """A step's windows are worked through in blocks, whose slopes add up to the whole step's."""
+    import numpy as np
+
+    found = []
+    for block in (10**6, 128, 7):
+        monkeypatch.setattr(lm_scoring, "BLOCK", block)
+        rng = np.random.default_rng(5)
+        learner = lm_scoring.Learner(np.arange(600) % 256, rng.integers(0, 50, 600).astype(float), 1)
+        begun = {n: x.copy() for n, x in learner.p.items()}
+        lines = [np.r_[lm_scoring.BEGIN, rng.integers(3, 600, rng.integers(0, 200)), lm_scoring.END] for _ in range(40)]
+        lm_scoring.trained(learner, iter([(np.concatenate(lines), np.array([len(x) for x in lines]))]), 1, 150, 0.01)
+        found.append(learner)
+    for other in found[1:]:
+        assert (other.seen == found[0].seen).all()
+        for name, x in other.p.items():
+            assert np.allclose(x, found[0].p[name], atol=1e-5) and np.abs(x - begun[name]).max() > 1e-4, name
+
+
+def test_counts_of_ids_follow_from_counts_of_words(spark, odd, monkeypatch):
+    """Without another pass over the texts, ids' counts are those of the stored sequences; words are whole, in the head, or neither."""
+
+    class Seen(Exception):
+        pass
+
+    def neighbour_counts(ids, counts):
+        assert counts.sum() > 0 and (lm_scoring.id_counts(ids, len(counts)) == counts).all()
+        raise Seen
+
+    def id_counts(ids, size, count=lm_scoring.id_counts):
+        calls.append(size)
+        return count(ids, size)
+
+    monkeypatch.setattr(lm_scoring, "neighbour_counts", neighbour_counts)
+    for head in (65_536, 5):
+        calls: list = []
+        monkeypatch.setattr(lm_scoring, "HEAD", head)
+        monkeypatch.setattr(lm_scoring, "id_counts", id_counts)
+        with pytest.raises(Seen):
+            lm_scoring.lm_scores(odd.withColumn("held", F.col("doc_id") == 6), registry.tokenizer_path(), "held")
+        assert len(calls) == 1  # the test's own
